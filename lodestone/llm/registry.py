@@ -1,8 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from lodestone.llm import decontaminate
+from lodestone.llm.decontaminate import op3_benchmark_decontamination
 from lodestone.llm.media import op9_media_columns
 from lodestone.llm.packing import op8_packing
+from lodestone.llm.simhash import op2_simhash_near_dedup
 from lodestone.llm.token_counts import op7_token_counts
+from lodestone.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op8_packing, op9_media_columns)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_benchmark_decontamination, op4_toxicity, op7_token_counts, op8_packing, op9_media_columns)}
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.ORACLE}
