@@ -35,6 +35,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: What tells documents apart and orders them: doc_id (nulls last), then a hash of the text. Rows alike in both are one document.
+KEY = ("__null", "__id", "__hash")
+
+
+def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs with the columns KEY."""
+    values = F.col(id_column).isNull(), F.coalesce(F.col(id_column), F.lit(0)).cast("long"), F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+    return docs.withColumns(dict(zip(KEY, values)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,11 +2,25 @@
 
 from lodestone.llm import decontaminate
 from lodestone.llm.decontaminate import op3_benchmark_decontamination
+from lodestone.llm.line_dedup import op5_line_dedup
 from lodestone.llm.media import op9_media_columns
 from lodestone.llm.packing import op8_packing
+from lodestone.llm.quality import op6_quality_classifier
 from lodestone.llm.simhash import op2_simhash_near_dedup
 from lodestone.llm.token_counts import op7_token_counts
 from lodestone.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_benchmark_decontamination, op4_toxicity, op7_token_counts, op8_packing, op9_media_columns)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_simhash_near_dedup,
+        op3_benchmark_decontamination,
+        op4_toxicity,
+        op5_line_dedup,
+        op6_quality_classifier,
+        op7_token_counts,
+        op8_packing,
+        op9_media_columns,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.ORACLE}
