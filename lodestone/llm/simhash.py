@@ -12,10 +12,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import binary_list, cut, table
+from lodestone.llm.common import KEY, binary_list, cut, keyed, table
 from lodestone.llm.components import stars
 
 #: Bits that may differ, and positional bytes that are then shared at least.
@@ -44,17 +44,18 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long. A null text has no words."""
+def fingerprints(docs: DataFrame, keys: list[str], text_column: str = "text") -> DataFrame:
+    """The columns keys and fp, the fingerprint's bits as a signed long. A null text has no words."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fps = np.array([fingerprint(t or b"") for t in binary_list(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t or b"") for t in binary_list(batch.column(len(keys)))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], [*keys, "fp"])
 
-    return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"doc_id {docs.schema[id_column].dataType.simpleString()}, fp long")
+    own = docs.select(*keys)
+    return docs.select(*keys, F.col(text_column).alias("__text")).mapInArrow(run, own.schema.add("fp", "long"))
 
 
 def shared_bytes(x: np.ndarray) -> np.ndarray:
@@ -142,20 +143,33 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return postings.mapInArrow(run, "a long, b long")
 
 
+def components(marked: DataFrame, least: Column) -> DataFrame:
+    """(fp, component) of every distinct fp of marked: the aggregate least over all rows whose fingerprints links connect."""
+    nodes = cut(marked.groupBy("fp").agg(least.alias("least")), "nodes")
+    star = stars(near_links(nodes.select("fp")))
+    linked = star.union(star.select("b", "b").distinct())
+    whole = linked.join(nodes, linked.a == nodes.fp).groupBy("b").agg(F.min("least").alias("component"))
+    of_linked = linked.join(whole, "b").select(F.col("a").alias("fp"), "component")
+    return cut(nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "components")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the least doc_id reachable over links of at most 2 differing bits.
 
     Null and empty texts have fingerprint zero and link like others. Repeated rows stay, with the same values. A null
     doc_id never is a component_id unless its component has no other.
     """
-    marked = cut(fingerprints(docs, id_column, text_column), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    star = stars(near_links(nodes.select("fp")))
-    linked = star.union(star.select("b", "b").distinct())
-    whole = linked.join(nodes, linked.a == nodes.fp).groupBy("b").agg(F.min("least").alias("component_id"))
-    of_linked = linked.join(whole, "b").select(F.col("a").alias("fp"), "component_id")
-    ids = nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    marked = cut(fingerprints(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), ["doc_id"]), "fingerprints")
+    ids = components(marked, F.min("doc_id"))
+    return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of docs for each component, in their own columns: that with the least doc_id (nulls last), of those the one with the least hash of its text."""
+    own = keyed(docs, id_column, text_column)
+    marked = cut(fingerprints(own.select(*KEY, F.col(text_column).alias("text")), list(KEY)), "fingerprints")
+    chosen = components(marked, F.min(F.struct(*KEY))).select("component.*").distinct()
+    return own.join(chosen, list(KEY), "left_semi").dropDuplicates(list(KEY)).select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
