@@ -9,6 +9,7 @@ rerun of a task gives the same sequences, and memory is bounded by one block.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,7 @@ from lodestone.llm.common import binary_list, slices, table, tokenizer_path
 BLOCK = 1024
 #: Segments that a sequence may have.
 SEGMENTS = 256
-MEMO = 300_000
+MEMO = 1_000_000
 
 
 def place(demand: np.ndarray, limits: np.ndarray, cut: bool = False) -> list[list[tuple[int, int, int]]]:
@@ -75,21 +76,29 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.ends = {c.encode(): array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ",."}
 
     def __call__(self, text: bytes) -> bytes:
         out = []
         for part in slices(text):
-            words = part.split()
+            words = (part if b"<|" in part else part.lower()).split()  # the tokenizer lower-cases too, but not what could be a special string
             if new := set(words).difference(self.memo):
                 if len(self.memo) > MEMO:
                     self.memo.clear()
                     new = set(words)
-                new = list(new)
-                for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                    self.memo[word] = np.array(e.ids, "<u4").tobytes()
+                self.learn(new)
             out.append(b"".join(map(self.memo.__getitem__, words)))
         return b"".join(out)
 
+    def learn(self, new: set[bytes]) -> None:
+        """Encodes new pieces; a comma or full stop after an ASCII letter is a pre-token of its own, so it shares the ids of the piece before it."""
+        ended = {w: w[:-1] for w in new if w[-1:] in (b",", b".") and w[-2:-1].isalpha()}
+        fresh = list((new.difference(ended) | {*ended.values()}).difference(self.memo))
+        for word, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
+            self.memo[word] = array("I", e.ids).tobytes()
+        for word, start in ended.items():
+            self.memo[word] = self.memo[start] + self.ends[word[-1:]]
+
 
 @lru_cache(2)
 def ids_of(path: str) -> Ids:
