@@ -2,6 +2,7 @@
 
 from lodestone.llm import decontaminate
 from lodestone.llm.decontaminate import op3_benchmark_decontamination
+from lodestone.llm.html_text import op1_html_extraction
 from lodestone.llm.line_dedup import op5_line_dedup
 from lodestone.llm.media import op9_media_columns
 from lodestone.llm.packing import op8_packing
@@ -13,6 +14,7 @@ from lodestone.llm.toxicity import op4_toxicity
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op2_simhash_near_dedup,
         op3_benchmark_decontamination,
         op4_toxicity,
