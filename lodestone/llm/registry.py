@@ -3,6 +3,7 @@
 from lodestone.llm import decontaminate
 from lodestone.llm.decontaminate import op3_benchmark_decontamination
 from lodestone.llm.html_text import op1_html_extraction
+from lodestone.llm.language_model import op10_lm_scoring
 from lodestone.llm.line_dedup import op5_line_dedup
 from lodestone.llm.media import op9_media_columns
 from lodestone.llm.packing import op8_packing
@@ -23,6 +24,7 @@ QUERIES = {
         op7_token_counts,
         op8_packing,
         op9_media_columns,
+        op10_lm_scoring,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.ORACLE}
