@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import binary_list, slices, table, tokenizer_path
 
-MEMO = 400_000
+MEMO = 1_000_000
 #: Characters that are stable under NFC, lower-case one to one, and whose letters are exactly the class in PRE.
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
