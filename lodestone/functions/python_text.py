@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import TYPOGRAPHY
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def nfkc(text: Column) -> Column:
+    """text in Unicode normal form KC."""
+
+    def normal(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(normal, "string")(text)
 
 
 def typographic_normal(text: Column) -> Column:
@@ -34,13 +38,16 @@ def _common(a: list[str], b: list[str]) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf("double")
-def rouge_l(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+def _f1(p: str | None, r: str | None) -> float:
+    a, b = (p or "").lower().split(), (r or "").lower().split()
+    n = _common(a, b) if a and b else 0
+    return round(2 * n / (len(a) + len(b)), 4) if n else 0.0
+
+
+def rouge_l(prediction: Column, reference: Column) -> Column:
     """F1 of the longest common subsequence of lower-cased words, to 4 digits; 0 if either side has no word."""
 
-    def one(p, r):
-        a, b = (p or "").lower().split(), (r or "").lower().split()
-        n = _common(a, b) if a and b else 0
-        return round(2 * n / (len(a) + len(b)), 4) if n else 0.0
+    def score(p: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series(list(map(_f1, p, r)), dtype=float)
 
-    return pd.Series([one(p, r) for p, r in zip(prediction, reference)], dtype=float)
+    return F.pandas_udf(score, "double")(prediction, reference)

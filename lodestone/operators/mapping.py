@@ -68,8 +68,9 @@ def review_priority(qa: DataFrame, candidates: DataFrame) -> DataFrame:
 def containment(chunks: DataFrame, parents: DataFrame, size: int = 5) -> DataFrame:
     """(chunk_id, parent_id, equal, within, contains) of all pairs where one normal text holds the other.
 
-    chunks: chunk_id, text; parents: parent_id, text. Only pairs that share the first size words of the shorter text (or
-    all of a shorter one) are compared: whichever text is held, its start is a window of the other.
+    chunks: chunk_id, text; parents: parent_id, text. A held text's inner words are whole words of the text that holds it,
+    so only pairs that share its second to (size + 1)th word (without its last) are compared. Of held texts with fewer
+    than three words, all words must be whole.
     """
 
     def sides(df, key, side):
@@ -79,7 +80,9 @@ def containment(chunks: DataFrame, parents: DataFrame, size: int = 5) -> DataFra
     c, p = sides(chunks, "chunk_id", "c"), sides(parents, "parent_id", "p")
 
     def heads(df, side, key):
-        return df.select(key, F.array_join(F.slice(f"{side}_w", 1, size), " ").alias("gram"))
+        w = F.col(f"{side}_w")
+        inner = F.when(F.size(w) < 3, w).otherwise(F.slice(w, F.lit(2), F.least(F.lit(size), F.size(w) - 2)))
+        return df.select(key, F.array_join(inner, " ").alias("gram"))
 
     def windows(df, side, key, lengths):
         def at(n):
