@@ -38,6 +38,7 @@ class Sequence:
         bits = data[at + 32 + lows : at + 32 + lows + highs]
         self.select = np.flatnonzero(np.unpackbits(bits, bitorder="little")).astype(np.int64)  # the directory of set bits
         self.end = at + 32 + lows + highs
+        self.held: np.ndarray | None = None
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         high = (self.select[i] - i) << self.low
@@ -47,17 +48,15 @@ class Sequence:
         eight = np.ascontiguousarray(self.lows[(bit >> 3)[:, None] + np.arange(8)]).view("<u8").ravel()
         return high | ((eight >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)).astype(np.int64)
 
+    def values(self) -> np.ndarray:
+        """All values in order: 8 bytes each, held while the level is asked."""
+        if self.held is None:
+            self.held = self[np.arange(self.n)]
+        return self.held
+
     def successor(self, first: np.ndarray, stop: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """For each query the least index in [first, stop) whose value is at least the query's, or stop."""
-        low, high = first.copy(), stop.copy()
-        active = np.flatnonzero(low < high)
-        while len(active):
-            middle = (low[active] + high[active]) >> 1
-            less = self[middle] < values[active]
-            low[active[less]] = middle[less] + 1
-            high[active[~less]] = middle[~less]
-            active = active[low[active] < high[active]]
-        return low
+        """For each query the least index in [first, stop) whose value is at least the query's, or stop. Queries that come in order are met in order."""
+        return np.clip(np.searchsorted(self.values(), values), first, stop)
 
 
 def _codebook(weights: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -119,7 +118,7 @@ class Trie:
         zero = np.zeros(len(keys), np.int64)
         rows, node = self._step(self.top, rows, zero, zero + self.top.n, a)
         for level, (pointers, sequence, ids) in enumerate(((self.pointers1, self.middle, b), (self.pointers2, self.bottom, c))):
-            rows, node = self._step(sequence, rows, pointers[node], pointers[node + 1], (node << WORD_BITS) | ids[rows])
+            rows, node = self._step(sequence, rows, pointers.values()[node], pointers.values()[node + 1], (node << WORD_BITS) | ids[rows])
             least, step = self.scales[level]
             out[rows] += least + step * self.codes[level][node]
         return out
@@ -128,5 +127,5 @@ class Trie:
     def _step(sequence: Sequence, rows: np.ndarray, first: np.ndarray, stop: np.ndarray, values: np.ndarray):
         at = sequence.successor(first, stop, values)
         inside = at < stop
-        inside[inside] = sequence[at[inside]] == values[inside]
+        inside[inside] = sequence.values()[at[inside]] == values[inside]
         return rows[inside], at[inside]

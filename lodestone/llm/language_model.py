@@ -232,21 +232,26 @@ def requests(docs: DataFrame, known, shards: int) -> DataFrame:
 
         def grouped(keys, doc, shard):
             """Rows of the (key, document) pairs, in shards."""
-            order = np.lexsort((doc, keys))
-            keys, doc = keys[order], doc[order]
+            if keys[0] >= 0 and int(keys.max()) >> 3 * WORD_BITS == 0:  # trigram keys leave room for the document's number
+                both = np.sort(keys << 16 | doc)
+                keys, doc = both >> 16, both & 0xFFFF
+            else:
+                order = np.argsort(keys, kind="stable")  # documents come in order already
+                keys, doc = keys[order], doc[order]
             new_key = np.diff(keys, prepend=keys[0] ^ 1) != 0
             starts = np.flatnonzero(new_key | (np.diff(doc, prepend=-1) != 0))
-            times = np.diff(np.append(starts, len(keys)))
-            keys, doc = keys[starts], doc[starts]
-            first = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ 1) != 0)
+            times = np.diff(np.append(starts, len(keys))).astype(np.uint32)
+            keys, doc = keys[starts], doc[starts].astype(np.uint16)
+            first = np.flatnonzero(new_key[starts])
             holders = np.diff(np.append(first, len(keys)))
             distinct = keys[first]
-            where = shard(distinct)
-            for s in range(shards):
-                mine = np.flatnonzero(where == s)
-                if len(mine):
-                    spread = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(holders[mine])[:-1]]), holders[mine]) + np.arange(holders[mine].sum())
-                    yield s, packed(np.diff(distinct[mine], prepend=0)), packed(holders[mine].astype(np.uint32)), pack_parts([packed(doc[spread].astype(np.uint16)), packed(times[spread].astype(np.uint32))])
+            where = shard(distinct).astype(np.uint16 if shards < 1 << 16 else np.int64)
+            order = np.argsort(where, kind="stable")
+            for s, x in by_shard(where[order], shards):
+                mine = order[x]
+                n = holders[mine]
+                spread = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                yield s, packed(np.diff(distinct[mine], prepend=0)), packed(n.astype(np.uint32)), pack_parts([packed(doc[spread]), packed(times[spread])])
 
         def flush():
             nonlocal number
