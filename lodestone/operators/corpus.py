@@ -176,7 +176,7 @@ def issues(parents: DataFrame, children: DataFrame, large_parent: int = 40_000,
         n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(column).alias("d"))
         return rule(n, "critical", code, F.col("n") != F.col("d") if code.startswith("duplicate") else F.col("n") == 0, F.lit("*"), F.lit(message))
 
-    p, c = F.col("parent_id"), F.col("child_id")
+    p, c = F.col("parent_id").cast("string"), F.col("child_id")
     blank = lambda col: F.trim(F.coalesce(F.col(col), F.lit(""))) == ""
     acronyms = (p == "GM_EU_376_2014_ACRONYMS") & (F.upper("title") == "LIST OF ACRONYMS")
     actual = children.groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "child_id"))), lambda x: x["child_id"]).alias("actual"))

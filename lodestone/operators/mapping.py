@@ -69,8 +69,8 @@ def containment(chunks: DataFrame, parents: DataFrame, size: int = 5) -> DataFra
     """(chunk_id, parent_id, equal, within, contains) of all pairs where one normal text holds the other.
 
     chunks: chunk_id, text; parents: parent_id, text. A held text's inner words are whole words of the text that holds it,
-    so only pairs that share its second to (size + 1)th word (without its last) are compared. Of held texts with fewer
-    than three words, all words must be whole.
+    so only pairs that share its second to (size + 1)th word (without its last) are compared. Held texts of one or two
+    words meet the parts of words, of the lengths that occur among them.
     """
 
     def sides(df, key, side):
@@ -81,8 +81,26 @@ def containment(chunks: DataFrame, parents: DataFrame, size: int = 5) -> DataFra
 
     def heads(df, side, key):
         w = F.col(f"{side}_w")
-        inner = F.when(F.size(w) < 3, w).otherwise(F.slice(w, F.lit(2), F.least(F.lit(size), F.size(w) - 2)))
-        return df.select(key, F.array_join(inner, " ").alias("gram"))
+        inner = F.slice(w, F.lit(2), F.least(F.lit(size), F.size(w) - 2))
+        return df.where(F.size(w) > 2).select(key, F.array_join(inner, " ").alias("gram"))
+
+    def short(held, hside, hkey, other, oside, okey):
+        """Pairs whose held text has one or two words: the first may begin, and the last end, inside a word."""
+        h, w = F.col(f"{hside}_w"), F.col(f"{oside}_w")
+        few = held.where(F.size(h) < 3)
+        sizes_ = [tuple(x for x in r if x is not None) for r in few.select(F.length(h[0]), F.length(F.get(h, F.lit(1)))).distinct().collect()]  # a row for each combination of word lengths
+
+        def parts(n):
+            if len(n) == 1:
+                inside = F.transform(F.filter(w, lambda x: F.length(x) >= n[0]), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (n[0] - 1)), lambda i: F.substring(x, i, F.lit(n[0]))))
+                return F.flatten(inside)
+            pairs = F.transform(w, lambda x, i: F.when((F.length(x) >= n[0]) & (F.length(F.get(w, i + 1)) >= n[1]), F.concat(F.right(x, F.lit(n[0])), F.lit(" "), F.left(F.get(w, i + 1), F.lit(n[1])))))
+            return F.filter(pairs, lambda x: x.isNotNull())
+
+        if not sizes_:
+            return few.select(hkey).join(other.select(okey).limit(0)).select("chunk_id", "parent_id")
+        grams = other.select(okey, F.explode(F.array_distinct(F.concat(*map(parts, sizes_)))).alias("gram"))
+        return few.select(hkey, F.array_join(h, " ").alias("gram")).join(grams, "gram").select("chunk_id", "parent_id")
 
     def windows(df, side, key, lengths):
         def at(n):
@@ -95,6 +113,8 @@ def containment(chunks: DataFrame, parents: DataFrame, size: int = 5) -> DataFra
     likely = (
         heads(c, "c", "chunk_id").join(windows(p, "p", "parent_id", lengths), "gram").select("chunk_id", "parent_id")
         .union(heads(p, "p", "parent_id").join(windows(c, "c", "chunk_id", lengths), "gram").select("chunk_id", "parent_id"))
+        .union(short(c, "c", "chunk_id", p, "p", "parent_id"))
+        .union(short(p, "p", "parent_id", c, "c", "chunk_id"))
         .distinct()
     )
     pairs = likely.join(c, "chunk_id").join(p, "parent_id")

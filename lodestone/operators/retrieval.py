@@ -70,7 +70,7 @@ def cosine_top_k(queries: DataFrame, docs: DataFrame, limit: int, query_id: str
     import numpy as np
 
     kinds = queries.schema[query_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
-    rows = queries.select(F.col(query_id), unit_vector(F.col(vector))).limit(block + 1).collect()
+    rows = queries.select(F.col(query_id).alias("q"), unit_vector(F.col(vector)).alias("v")).limit(block + 1).collect()
     if len(rows) > block:
         raise ValueError(f"more than {block} queries; call once for each block")
     names = [r[0] for r in rows]
@@ -94,7 +94,7 @@ def cosine_top_k(queries: DataFrame, docs: DataFrame, limit: int, query_id: str
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(np.array(cols[1]), batch.column(0).type), pa.array(cols[2], pa.float64())], ["q", "id", "score"])
 
-    near = docs.select(F.col(doc_id), unit_vector(F.col(vector))).mapInArrow(best, f"q {kinds[0]}, id {kinds[1]}, score double")
+    near = docs.select(F.col(doc_id).alias("id"), unit_vector(F.col(vector)).alias("v")).mapInArrow(best, f"q {kinds[0]}, id {kinds[1]}, score double")
     return top_k(near, ["q"], [F.desc("score"), F.asc("id")], limit)
 
 
