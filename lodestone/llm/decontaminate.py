@@ -71,15 +71,16 @@ EMPTY = "struct<hits:array<int>,items:array<string>>"
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs with a column __found: struct(n_words, hits, items). hits are the 1-based positions of words inside any occurrence of a window."""
+    """(row, text, found) of every row of docs; found: struct(n_words, hits, items). hits are the 1-based positions of words inside any occurrence of a window."""
+    docs = docs.select(F.struct("*").alias("row"), F.col(text_column).alias("text"))
     grams = windows(benchmark, size, item_column, item_text)
     n, weight = grams.agg(F.count(F.lit(1)), F.sum(F.length(F.concat_ws(" ", "window")))).first()
-    own = words(F.col(text_column))
+    own = words(F.col("text"))
     if not n:
-        return docs.withColumn("__found", let(own, lambda w: F.struct(F.size(w).alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))))
+        return docs.withColumn("found", let(own, lambda w: F.struct(F.size(w).alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))))
     lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # size values at most
     if n > max_windows or 4 * weight > MAX_BYTES:
-        return _joined(docs, grams, lengths, text_column)
+        return _joined(docs, grams, lengths)
     longest = F.array_max(F.transform("window", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     held = {"__anchors": grams.agg(F.collect_set(longest)).scalar()}  # columns, as higher-order functions take no subquery
     for k in lengths:
@@ -90,13 +91,13 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_column
     def scanned(w):
         return F.struct(F.size(w).alias("n_words"), F.when(F.arrays_overlap(w, F.col("__anchors")), _found(w, sets)).alias("f"))
 
-    found = docs.withColumns(held).withColumn("__found", let(own, scanned)).drop(*held)
-    return found.withColumn("__found", F.struct(F.col("__found.n_words"), F.coalesce("__found.f.hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("__found.f.items", F.array().cast("array<string>")).alias("items")))
+    found = docs.withColumns(held).withColumn("found", let(own, scanned)).drop(*held)
+    return found.withColumn("found", F.struct(F.col("found.n_words"), F.coalesce("found.f.hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("found.f.items", F.array().cast("array<string>")).alias("items")))
 
 
-def _joined(docs: DataFrame, grams: DataFrame, lengths: list[int], text_column: str) -> DataFrame:
+def _joined(docs: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
     """The same for a benchmark beyond the bound: windows of all texts joined with its windows by hash."""
-    texts = docs.select(F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256).alias("__key"), words(F.col(text_column)).alias("w"))
+    texts = docs.select(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("__key"), words(F.col("text")).alias("w"))
 
     def of_length(k):
         return F.transform(positions(F.col("w"), k), lambda i: F.struct(F.lit(k).alias("length"), i.alias("at"), F.slice("w", i, k).alias("window")))
@@ -104,15 +105,15 @@ def _joined(docs: DataFrame, grams: DataFrame, lengths: list[int], text_column:
     each = texts.select("__key", F.explode(F.concat(*map(of_length, lengths))).alias("p")).select("__key", "p.*").withColumn("h", F.xxhash64("window"))
     hits = each.join(grams, ["length", "h", "window"]).select("__key", "item", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("hit"))
     by_text = hits.groupBy("__key").agg(F.collect_set("hit").alias("hits"), F.collect_set("item").alias("items"))
-    out = docs.withColumn("__key", F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256)).join(by_text, "__key", "left")
-    found = F.struct(F.size(words(F.col(text_column))).alias("n_words"), F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.select(*(docs[c] for c in docs.columns), found.alias("__found"))
+    out = docs.withColumn("__key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(by_text, "__key", "left")
+    found = F.struct(F.size(words(F.col("text"))).alias("n_words"), F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("row", "text", found.alias("found"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_column: str = "doc_id", text_column: str = "text", **more) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row; null and empty texts have no words and no hits."""
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    found = occurrences(docs, benchmark, size, "doc_id", "text", **more).select("doc_id", "__found.*")
+    found = occurrences(docs, benchmark, size, "doc_id", "text", **more).select("row.doc_id", "found.*")
     return found.select(
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
@@ -127,13 +128,14 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, whole: bool = True, size
     """docs without contamination, in their own columns: whole documents with a hit go, or (whole=False) only the hit words and what parts them from the next."""
     found = occurrences(docs, benchmark, size, id_column, text_column, **more)
     if whole:
-        return found.where(F.size("__found.hits") == 0).select(*docs.columns)
+        return found.where(F.size("found.hits") == 0).select("row.*")
     both_cases = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    kept = F.regexp_extract_all(F.col(text_column), F.lit(both_cases), F.lit(0))
-    gaps = F.split(F.col(text_column), both_cases, -1)
+    kept = F.regexp_extract_all("text", F.lit(both_cases), F.lit(0))
+    gaps = F.split("text", both_cases, -1)
     pieces = F.zip_with(kept, F.slice(gaps, 2, F.greatest(F.size(kept), F.lit(1))), lambda a, b: F.concat(a, b))
-    rest = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains("__found.hits", i + 1)), ""))
-    return found.withColumn(text_column, F.when(F.size("__found.hits") > 0, rest).otherwise(F.col(text_column))).select(*docs.columns)
+    rest = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains("found.hits", i + 1)), ""))
+    text = F.when(F.size("found.hits") > 0, rest).otherwise(F.col("text"))
+    return found.select(*(text.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

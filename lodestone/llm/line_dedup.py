@@ -107,28 +107,30 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs with the text less its deleted lines, and the columns __lines (lines before) and __gone (lines deleted).
+    """(row, text, n_lines, n_removed) of every row of docs: the row itself, its text less the deleted lines, its lines before, and how many were deleted.
 
     Documents are ordered by doc_id, nulls last, then by a hash of the text. Rows alike in both are one document: they
     lose the same lines. Null texts stay null; empty and blank lines pair nothing and go only inside a deleted block.
     """
-    gone = cut(removals(docs, id_column, text_column, least_chars), "gone")
-    joined = keyed(docs, id_column, text_column).join(gone, list(KEY), "left")
-    lines = F.split(F.col(text_column), "\n", -1)
+    own = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    gone = cut(removals(own, "doc_id", "text", least_chars), "gone")
+    joined = keyed(own).join(gone, list(KEY), "left")
+    lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     return joined.select(
-        *(F.when(F.col("gone").isNull(), F.col(c)).otherwise(rest).alias(c) if c == text_column else F.col(c) for c in docs.columns),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__gone"),
+        "row",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
-def deduplicated(docs: DataFrame, **more) -> DataFrame:
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **more) -> DataFrame:
     """docs with deduplicated texts, in their own columns, without the documents of which only white space was left by a deletion."""
-    out = dedup(docs, **more)
-    return out.where("__gone = 0 OR trim(text) <> ''").select(*docs.columns)
+    out = dedup(docs, id_column, text_column, **more).where("n_removed = 0 OR trim(text) <> ''")
+    return out.select(*(F.col("text").alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"))
+    return out.select("row.doc_id", "text", "n_lines", "n_removed")

@@ -166,10 +166,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of docs for each component, in their own columns: that with the least doc_id (nulls last), of those the one with the least hash of its text."""
-    own = keyed(docs, id_column, text_column)
-    marked = cut(fingerprints(own.select(*KEY, F.col(text_column).alias("text")), list(KEY)), "fingerprints")
+    own = keyed(docs.select(F.struct("*").alias("row"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
+    marked = cut(fingerprints(own.select(*KEY, "text"), list(KEY)), "fingerprints")
     chosen = components(marked, F.min(F.struct(*KEY))).select("component.*").distinct()
-    return own.join(chosen, list(KEY), "left_semi").dropDuplicates(list(KEY)).select(*docs.columns)
+    return own.join(chosen, list(KEY), "left_semi").dropDuplicates(list(KEY)).select("row.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
