@@ -221,13 +221,18 @@ def text_digest(texts: Column) -> Column:
     return F.upper(F.sha2(F.array_join(F.transform(texts, lambda t: F.concat(t, F.lit("\0"))), ""), 256))
 
 
+def caseless(text: Column) -> Column:
+    """Lower case of upper case, which folds what lower case alone keeps apart. The empty suffix keeps the optimizer from leaving upper case out."""
+    return F.lower(F.concat(F.upper(text), F.lit("")))
+
+
 def match_normal(typographic: Column) -> Column:
     """What quotes are compared by: punctuation as spaces, single spaces, caseless. Takes typographic_normal's result."""
-    return F.lower(F.upper(F.trim(F.regexp_replace(F.regexp_replace(typographic, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))))
+    return caseless(F.trim(F.regexp_replace(F.regexp_replace(typographic, r"(?U)[^\w\s]", " "), r"(?U)\s+", " ")))
 
 
 def strict_normal(text: Column) -> Column:
-    return F.lower(F.upper(normalize_space(text)))
+    return caseless(normalize_space(text))
 
 
 def contains_elision(text: Column) -> Column:
