@@ -19,6 +19,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: what is read several times is computed once, plans stay small, and no lost executor costs a rerun of all."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(df.sparkSession)}/lodestone-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"  # one folder an application, to delete when it ends
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
