@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: cuts the lineage, and survives the loss of any executor."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"  # one folder an application, to delete when it ends
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
