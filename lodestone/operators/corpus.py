@@ -158,10 +158,10 @@ def build(blocks: DataFrame, version: str = "2022-12") -> tuple[DataFrame, DataF
 
 def ancestors(children: DataFrame) -> DataFrame:
     """(parent_id, sequence, governing): the texts of the latest earlier children at each proper prefix of the marker path."""
-    deep = children.where(F.size("marker_path") > 1).select("parent_id", "sequence", F.explode(F.sequence(F.lit(1), F.size("marker_path") - 1)).alias("depth"), "marker_path")
-    deep = deep.select("parent_id", "sequence", "depth", F.slice("marker_path", F.lit(1), F.col("depth")).alias("prefix"))
-    above = children.select("parent_id", F.col("sequence").alias("s"), F.col("marker_path").alias("prefix"), "text")
-    latest = deep.join(above, ["parent_id", "prefix"]).where("s < sequence").groupBy("parent_id", "sequence", "depth").agg(F.max_by("text", "s").alias("t"))
+    each = children.select("parent_id", "sequence", "marker_path", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.size("marker_path"), F.lit(1)))).alias("depth")).where("depth <= size(marker_path)")
+    before = Window.partitionBy("parent_id", F.slice("marker_path", F.lit(1), F.col("depth"))).orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.when(F.size("marker_path") == F.col("depth"), F.col("text"))
+    latest = each.withColumn("t", F.last(here, ignorenulls=True).over(before)).where("depth < size(marker_path) AND t IS NOT NULL")
     listed = latest.groupBy("parent_id", "sequence").agg(F.array_sort(F.collect_list(F.struct("depth", "t"))).alias("l"))
     return listed.select("parent_id", "sequence", F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("governing"))
 

@@ -62,40 +62,48 @@ def unit_vector(v: Column) -> Column:
 def cosine_top_k(queries: DataFrame, docs: DataFrame, limit: int, query_id: str = "q", doc_id: str = "id", vector: str = "embedding", exclude_self: bool = False, block: int = 4096) -> DataFrame:
     """(q, id, score, rank): the limit documents nearest each query by cosine, ties by id.
 
-    Queries are a stated, bounded set: they are packed in blocks of at most block rows, each document meets each block
-    once, and the block's scores are one matrix product; the best limit of each task leave it.
+    Queries are a stated set: they are taken in blocks of at most block rows, each document meets each block once, and a
+    block's scores are one matrix product; the best limit of each task leave it.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
     import numpy as np
 
     kinds = queries.schema[query_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
-    rows = queries.select(F.col(query_id).alias("q"), unit_vector(F.col(vector)).alias("v")).limit(block + 1).collect()
-    if len(rows) > block:
-        raise ValueError(f"more than {block} queries; call once for each block")
-    names = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], float)
-
-    def best(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            v = batch.column(1).values.to_numpy().reshape(len(ids), -1)
-            scores = np.round(matrix @ v.T, 8)
-            order = np.argsort(ids, kind="stable")
-            out = []
-            for i, name in enumerate(names):
-                own = order[ids[order] != name] if exclude_self else order
-                first = own[np.argsort(-scores[i, own], kind="stable")[:limit]]
-                out += [(name, ids[j], scores[i, j]) for j in first]
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(np.array(cols[1]), batch.column(0).type), pa.array(cols[2], pa.float64())], ["q", "id", "score"])
-
-    near = docs.select(F.col(doc_id).alias("id"), unit_vector(F.col(vector)).alias("v")).mapInArrow(best, f"q {kinds[0]}, id {kinds[1]}, score double")
-    return top_k(near, ["q"], [F.desc("score"), F.asc("id")], limit)
+    own = docs.select(F.col(doc_id).alias("id"), unit_vector(F.col(vector)).alias("v"))
+
+    def near(names: list, matrix: np.ndarray) -> DataFrame:
+        def best(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                v = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
+                scores = np.round(matrix @ v.T, 8)
+                order = np.argsort(ids, kind="stable")
+                out = []
+                for i, name in enumerate(names):
+                    rest = order[ids[order] != name] if exclude_self else order
+                    first = rest[np.argsort(-scores[i, rest], kind="stable")[:limit]]
+                    out += [(name, ids[j], scores[i, j]) for j in first]
+                if out:
+                    cols = list(zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(np.array(cols[1]), batch.column(0).type), pa.array(cols[2], pa.float64())], ["q", "id", "score"])
+
+        return own.mapInArrow(best, f"q {kinds[0]}, id {kinds[1]}, score double")
+
+    held, found = [], own.limit(0).select(F.lit(None).cast(kinds[0]).alias("q"), "id", F.lit(0.0).alias("score"))
+    asked = queries.select(F.col(query_id).alias("q"), unit_vector(F.col(vector)).alias("v")).toLocalIterator()  # one partition at a time
+    for row in asked:
+        held.append(row)
+        if len(held) == block:
+            found = found.union(near([r[0] for r in held], np.array([r[1] for r in held], float)))
+            held = []
+    if held:
+        found = found.union(near([r[0] for r in held], np.array([r[1] for r in held], float)))
+    return top_k(found, ["q"], [F.desc("score"), F.asc("id")], limit)
 
 
 def reciprocal_rank_fusion(rankings: DataFrame, constant: float = 60, limit: int | None = None) -> DataFrame:

@@ -35,9 +35,9 @@ def r01_bm25_top20(t):
     return _bm25(t).select("qa_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT q, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS q, d.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 8) AS score FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id < 20)) WHERE rank <= 10")
+@query("SELECT q, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS q, d.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 8) AS score FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 10")
 def r02_r03_dense_top10(t):
-    out = retrieval.cosine_top_k(t.embeddings.where("vec_id < 20"), t.embeddings, 10, "vec_id", "vec_id", exclude_self=True)
+    out = retrieval.cosine_top_k(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, 10, "vec_id", "vec_id", exclude_self=True)
     return out.select("q", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -94,7 +94,7 @@ _CT = "[x for x in regexp_extract_all(lower({0}), '[a-z0-9]+') if NOT list_conta
 def _candidate_sql():
     from lodestone.functions.text import STOP_WORDS
 
-    return f"""WITH {LINES_CTE}, qa AS (SELECT item_id AS qa_id, item_id % 50 AS parent_id, text AS question FROM benchmark), k AS (SELECT doc_id, sequence, CAST(doc_id AS STRING) || '__C' || lpad(CAST(sequence AS STRING), 4, '0') AS child_id, line FROM lines),
+    return f"""WITH {LINES_CTE}, qa AS (SELECT i.item_id AS qa_id, min(d.doc_id) AS parent_id, min(i.text) AS question FROM benchmark i LEFT JOIN documents d ON contains({_NORMAL.format('d.text')}, {_NORMAL.format('i.text')}) GROUP BY 1), k AS (SELECT doc_id, sequence, CAST(doc_id AS STRING) || '__C' || lpad(CAST(sequence AS STRING), 4, '0') AS child_id, line FROM lines),
 qt AS (SELECT qa_id, parent_id, term, count(*) AS f FROM (SELECT qa_id, parent_id, unnest({_CT.format('question', STOP_WORDS)}) AS term FROM qa) GROUP BY ALL), et AS (SELECT child_id, term, count(*) AS f FROM (SELECT child_id, unnest({_CT.format('line', STOP_WORDS)}) AS term FROM k) GROUP BY ALL),
 qn AS (SELECT qa_id, sum(f) AS n, sqrt(CAST(sum(f * f) AS DOUBLE)) AS norm FROM qt GROUP BY 1), en AS (SELECT child_id, sum(f) AS n, sqrt(CAST(sum(f * f) AS DOUBLE)) AS norm FROM et GROUP BY 1),
 ov AS (SELECT qa_id, child_id, sum(least(qt.f, et.f)) AS both_, CAST(sum(qt.f * et.f) AS DOUBLE) AS dot FROM qt JOIN k ON k.doc_id = qt.parent_id JOIN et USING (child_id, term) GROUP BY ALL),
@@ -103,7 +103,10 @@ ra AS (SELECT *, round(0.45 * recall + 0.2 * f1 + 0.2 * cosine + 0.15 * citation
 
 
 def _qa(t):
-    return t.benchmark.select(F.col("item_id").alias("qa_id"), (F.col("item_id") % 50).alias("parent_id"), F.col("text").alias("question"), F.lit("").alias("answer"), F.lit("Article 3").alias("citation"))
+    """Benchmark items as questions; the parent is the first document that holds the item."""
+    first = _gold(t).groupBy("qa_id").agg(F.min("doc_id").alias("parent_id"))
+    items = t.benchmark.select(F.col("item_id").alias("qa_id"), F.col("text").alias("question"), F.lit("").alias("answer"), F.lit("Article 3").alias("citation"))
+    return materialized(items.join(first, "qa_id", "left"), "questions")
 
 
 @query(f"{_candidate_sql()} SELECT qa_id, rank, child_id, score, citation_score, round(recall, 6) AS recall, round(f1, 6) AS f1, round(cosine, 6) AS cosine FROM rk WHERE rank <= 5")
@@ -113,7 +116,8 @@ def r06_child_candidates(t):
 
 @query(f"{_candidate_sql()} SELECT qa.qa_id, margin, CASE WHEN rk.qa_id IS NULL THEN 'blocking' WHEN citation_score = 1 AND round(recall, 6) >= 0.45 THEN 'low' WHEN round(recall, 6) >= 0.55 AND margin >= 0.08 THEN 'medium' ELSE 'high' END AS priority FROM qa LEFT JOIN (SELECT *, round(score - coalesce(lead(score) OVER (PARTITION BY qa_id ORDER BY rank), 0), 6) AS margin FROM rk) rk ON rk.qa_id = qa.qa_id AND rank = 1")
 def r07_priority(t):
-    return mapping.review_priority(_qa(t), mapping.child_candidates(_qa(t), children(t)))
+    qa = _qa(t)
+    return mapping.review_priority(qa, mapping.child_candidates(qa, children(t)))
 
 
 @query()

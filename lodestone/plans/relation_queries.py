@@ -117,17 +117,16 @@ def j14_lineage_hit(t):
     return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("hit"))
 
 
-@query(f"WITH {LINES_CTE} SELECT a.doc_id AS doc_id, a.sequence AS anchor, n.sequence AS neighbour FROM lines a JOIN lines n ON a.doc_id = n.doc_id AND abs(n.sequence - a.sequence) <= 1 WHERE a.sequence % 10 = 3")
+@query(f"WITH {LINES_CTE} SELECT a.doc_id AS doc_id, a.sequence AS anchor, n.sequence AS neighbour FROM lines a JOIN lines n ON a.doc_id = n.doc_id AND abs(n.sequence - a.sequence) <= 1")
 def j15_neighbours(t):
     kids = lines(t).select("doc_id", F.col("sequence").cast("long").alias("sequence")).select(F.col("doc_id").alias("parent_id"), "sequence", F.struct("doc_id", "sequence").alias("child_id"))
-    found = relational.siblings(kids.where("sequence % 10 = 3"), kids, 1)
+    found = relational.siblings(kids, kids, 1)
     return found.select("anchor_id.doc_id", F.col("anchor_id.sequence").alias("anchor"), F.col("child_id.sequence").alias("neighbour"))
 
 
-@query("SELECT o_orderkey, l_linenumber, c_mktsegment, s_name FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45")
+@query("SELECT o_orderkey, l_linenumber, c_mktsegment, s_name FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey")
 def j17_four_way(t):
-    big = t.lineitem.where("l_quantity > 45")
-    return big.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select("o_orderkey", "l_linenumber", "c_mktsegment", "s_name")
+    return t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select("o_orderkey", "l_linenumber", "c_mktsegment", "s_name")
 
 
 @query("SELECT q.doc_id AS q, rank, exemplar FROM documents q JOIN (SELECT q2.doc_id AS q, e.doc_id AS exemplar, row_number() OVER (PARTITION BY q2.doc_id ORDER BY sha256('s:' || CAST(e.doc_id AS STRING)), e.doc_id) AS rank FROM documents q2 JOIN (SELECT doc_id FROM documents ORDER BY sha256('s:' || CAST(doc_id AS STRING)), doc_id LIMIT 4) e ON q2.doc_id <> e.doc_id) x ON x.q = q.doc_id WHERE rank <= 3")
@@ -259,9 +258,9 @@ def w12_header_choice(t):
     return t.orders.groupBy("o_custkey").agg(F.coalesce(F.min(F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey"))), F.min("o_orderkey")).alias("header"))
 
 
-@query(f"WITH {LINES_CTE}, c AS (SELECT doc_id AS p, sequence, CASE sequence % 3 WHEN 0 THEN ['x', 'y', 'z'] WHEN 1 THEN ['x'] ELSE ['x', 'y'] END AS path, sequence AS label FROM lines WHERE sequence <= 12) SELECT p AS parent_id, sequence, string_agg(label, ' ' ORDER BY depth) AS governing FROM (SELECT a.p, a.sequence, d.depth, CAST(max(b.sequence) AS STRING) AS label FROM c a JOIN (VALUES (1), (2)) d(depth) ON d.depth < len(a.path) JOIN c b ON a.p = b.p AND b.path = a.path[1:d.depth] AND b.sequence < a.sequence GROUP BY ALL) GROUP BY p, sequence")
+@query(f"WITH {LINES_CTE}, c AS (SELECT doc_id AS p, sequence, CASE sequence % 3 WHEN 0 THEN ['x', 'y', 'z'] WHEN 1 THEN ['x'] ELSE ['x', 'y'] END AS path, sequence AS label FROM lines) SELECT p AS parent_id, sequence, string_agg(label, ' ' ORDER BY depth) AS governing FROM (SELECT a.p, a.sequence, d.depth, CAST(max(b.sequence) AS STRING) AS label FROM c a JOIN (VALUES (1), (2)) d(depth) ON d.depth < len(a.path) JOIN c b ON a.p = b.p AND b.path = a.path[1:d.depth] AND b.sequence < a.sequence GROUP BY ALL) GROUP BY p, sequence")
 def w14_ancestors(t):
-    own = lines(t).where("sequence <= 12").select(F.col("doc_id").alias("parent_id"), "sequence", F.expr("CASE sequence % 3 WHEN 0 THEN array('x', 'y', 'z') WHEN 1 THEN array('x') ELSE array('x', 'y') END").alias("marker_path"), F.col("sequence").cast("string").alias("text"))
+    own = lines(t).select(F.col("doc_id").alias("parent_id"), "sequence", F.expr("CASE sequence % 3 WHEN 0 THEN array('x', 'y', 'z') WHEN 1 THEN array('x') ELSE array('x', 'y') END").alias("marker_path"), F.col("sequence").cast("string").alias("text"))
     return corpus.ancestors(own).select("parent_id", F.col("sequence").cast("long").alias("sequence"), "governing")
 
 
