@@ -60,6 +60,7 @@ def test_op1_leaves_noise_out():
         "<div class=\"share-buttons\">s</div><form>f</form><ul><li>a<li>b</ul><pre>p  q</pre><section class='comments'><article>hey</article></section></article><aside>rel</aside></main><footer>f</footer><p class"
     )
     assert html_text.split_page(page)[0] == "T & t\nOnetwo three x\nNext\na\nb\np q"
+    assert html_text.split_page("<div><a href=x>Home</a> <a href=y>About</a></div><div>text with <a>a link</a> in it</div>")[1] == ["text with a link in it"]
 
 
 def plain_fingerprint(text):
