@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lodestone.operators import answers, baselines, calibration, context, mapping, retrieval, review
+from lodestone.operators import answers, baselines, calibration, citations, context, corpus, mapping, retrieval, review
+from lodestone.plans import flows
 from lodestone.plans.registry import query
 from lodestone.plans.views import CITED, LINES_CTE, TOK, children, lines, questions
-from lodestone.sources.shared import materialized
+from lodestone.sources import wordml
+from lodestone.sources.shared import materialized, shared_dir
 
 _BM25 = f"""d AS (SELECT doc_id, {TOK.format('text')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
 tf AS (SELECT doc_id, len, term, count(*) AS f FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d) GROUP BY ALL),
@@ -234,3 +238,58 @@ def s11_s14_response_cache(t):
     requests = t.documents.select(F.col("doc_id").cast("string").alias("key"), F.col("lang").alias("request"))
     cache = t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("key"), F.lit("old").alias("response"))
     return baselines.through_cache(requests, cache, lambda texts: [x.upper() for x in texts])
+
+
+@query("SELECT term, count(*) AS df, CAST(sum(f) AS BIGINT) AS total, round(avg(len), 6) AS mean_len FROM (SELECT doc_id, len, term, count(*) AS f FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)) GROUP BY ALL) GROUP BY term")
+def a01_a03_term_statistics(t):
+    tf = retrieval.term_frequencies(t.documents, "doc_id", "text")
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("f").alias("total"), F.round(F.avg("len"), 6).alias("mean_len"))
+
+
+@query("SELECT item_id AS qa_id, item_id % 4 <> 2 AS usable, CASE WHEN item_id % 4 <> 2 THEN item_id % 4 <> 1 END AS grounded, item_id % 4 = 1 AS elided FROM benchmark")
+def t09_t12_j16_grounding(t):
+    return answers.grounded_supports(*_answers(t)).select("qa_id", "usable", "grounded", "elided")
+
+
+@query("SELECT doc_id AS id, CAST(len(list_distinct(['2' || CAST(doc_id % 9 AS STRING), '1' || CAST(doc_id % 5 AS STRING), '14'])) AS BIGINT) AS cited, CAST(4 AS BIGINT) AS most FROM documents")
+def j18_citation_candidates(t):
+    cited = citations.citations(t.documents.select(F.col("doc_id").alias("id"), F.expr(CITED).alias("text"))).drop("text")
+    parents = t.spark.range(0, 9).select(F.explode(F.array(*(F.concat(F.lit(f"{p}_ART_"), "id") for p in citations.REGULATIONS.values()))).alias("parent_id"))
+    found = citations.candidates(cited, parents)
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("cited"), F.max(F.size("parent_ids")).cast("long").alias("most"))
+
+
+def _word_document(t):
+    """Documents as one Word file: a known heading, an article for each document, its lines as paragraphs and a two-row table; returns its folder."""
+    safe = F.regexp_replace("text", "[&<>]", "")
+    p = lambda text, style: F.concat(F.lit(f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t xml:space="preserve">'), text, F.lit("</w:t></w:r></w:p>"))
+    body = F.array_join(F.transform(F.split(safe, "\n"), lambda x: p(x, "ListLevel1")), "")
+    cell = lambda text, style: F.concat(F.lit("<w:tc>"), p(text, style), F.lit("</w:tc>"))
+    rows = F.concat(F.lit("<w:tbl><w:tr>"), cell(F.lit("Lang"), "TableHead"), cell(F.lit("Source"), "TableHead"), F.lit("</w:tr><w:tr>"), cell(F.col("lang"), ""), cell(F.col("source"), ""), F.lit("</w:tr></w:tbl>"))
+    article = F.concat(p(F.concat(F.lit("Article "), F.col("doc_id").cast("string"), F.lit(" Title")), "Heading3CR"), body, rows)
+    start = F.concat(F.lit('<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'), p(F.lit("Regulation (EU) No 376/2014"), "Heading1"), p(F.lit("Terms"), "Heading2"))
+    at = f"{shared_dir(t.spark)}/word-{uuid.uuid4().hex}"
+    whole = t.documents.select("doc_id", article.alias("a")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "a"))).alias("l"))
+    whole.select(F.concat(start, F.array_join(F.transform("l", lambda x: x["a"]), ""), F.lit("</w:body></w:document>")).alias("value")).write.text(at)
+    return f"{at}/*.txt"
+
+
+@query("SELECT (SELECT CAST(sum(len([x for x in string_split(regexp_replace(text, '[&<>]', '', 'g'), chr(10)) if trim(regexp_replace(x, '\\s+', ' ', 'g')) <> ''])) AS BIGINT) + count(*) + 2 FROM documents) AS paragraphs, (SELECT 2 * count(*) FROM documents) AS table_rows, (SELECT count(*) FROM documents) AS headers")
+def s01_s05_word_blocks(t):
+    blocks = wordml.read_blocks(t.spark, _word_document(t))
+    return blocks.agg(F.count_if(F.col("kind") == "p").alias("paragraphs"), F.count_if(F.col("kind") == "tr").alias("table_rows"), F.count_if("is_header").alias("headers"))
+
+
+@query("SELECT 'EU_376_2014_ART_' || CAST(doc_id AS STRING) AS parent_id, 'Article ' || CAST(doc_id AS STRING) AS canonical_citation, CAST(len([x for x in string_split(regexp_replace(text, '[&<>]', '', 'g'), chr(10)) if trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '']) + 2 AS BIGINT) AS children FROM documents")
+def n05_corpus_build(t):
+    parents, _, _ = corpus.build(wordml.read_blocks(t.spark, _word_document(t)))
+    return parents.select("parent_id", "canonical_citation", F.size("child_ids").cast("long").alias("children"))
+
+
+@query()
+def n06_freeze(t):
+    candidates = t.benchmark.select(F.col("item_id").cast("string").alias("qa_id"), F.lit("q").alias("question"), F.lit("a").alias("reference_answer"), F.lit("Article 1").alias("acceptable_citation"), F.concat(F.lit("P"), F.col("item_id") % 15).alias("parent_id"), F.array(F.concat(F.lit("C"), F.col("item_id") % 15)).alias("gold_child_ids"), F.lit("provisional").alias("audit_decision"))
+    empty = ("alternative_acceptable_child_ids", "alternative_evidence_sets_json", *review.CORRECTED, "review_notes")
+    rows = t.benchmark.select(F.col("item_id").cast("string").alias("qa_id"), F.when(F.col("item_id") % 9 == 0, "exclude").otherwise("accept").alias("reviewer_decision"), *(F.lit("yes").alias(c) for c in review.CHECKS), *(F.lit("").alias(c) for c in empty), F.lit("r").alias("reviewer_name_or_role"), F.lit("2026-01-01").alias("review_date"))
+    kids = t.benchmark.select(F.concat(F.lit("C"), F.col("item_id") % 15).alias("child_id"), F.concat(F.lit("P"), F.col("item_id") % 15).alias("parent_id")).distinct()
+    return flows.freeze(candidates, rows, kids).select("qa_id", "parent_id", "split")
