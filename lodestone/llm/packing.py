@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import binary_list, slices, table, tokenizer_path
+from lodestone.llm.token_counts import PLAIN, PRE
 
 BLOCK = 1024
 #: Segments that a sequence may have.
 SEGMENTS = 256
 MEMO = 1_000_000
+#: Pieces that are encoded as one text.
+JOINED = 512
 
 
 def place(demand: np.ndarray, limits: np.ndarray, cut: bool = False) -> list[list[tuple[int, int, int]]]:
@@ -76,6 +79,9 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # ids that end a pre-token
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.last[number] = token.endswith("</w>")
         self.ends = {c.encode(): array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ",."}
 
     def __call__(self, text: bytes) -> bytes:
@@ -90,11 +96,28 @@ class Ids:
             out.append(b"".join(map(self.memo.__getitem__, words)))
         return b"".join(out)
 
+    def joined(self, block: list[tuple[bytes, str]]) -> list[tuple[bytes, str]]:
+        """Encodes pieces as one text, cut after each piece's pre-tokens; pieces for which the cuts do not add up are given back."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in block)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        stops = np.cumsum([len(PRE.findall(t.lower())) for _, t in block]) - 1
+        if stops[-1] != len(ends) - 1 or len(ids) != ends[-1]:
+            return block
+        raw, start = ids.tobytes(), 0
+        for (word, _), stop in zip(block, (4 * ends[stops]).tolist()):
+            self.memo[word], start = raw[start:stop], stop
+        return []
+
     def learn(self, new: set[bytes]) -> None:
         """Encodes new pieces; a comma or full stop after an ASCII letter is a pre-token of its own, so it shares the ids of the piece before it."""
         ended = {w: w[:-1] for w in new if w[-1:] in (b",", b".") and w[-2:-1].isalpha()}
-        fresh = list((new.difference(ended) | {*ended.values()}).difference(self.memo))
-        for word, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
+        odd, plain = [], []
+        for word in (new.difference(ended) | {*ended.values()}).difference(self.memo):
+            text = word.decode()
+            plain.append((word, text)) if PLAIN.fullmatch(text) and "<|" not in text else odd.append((word, text))
+        for at in range(0, len(plain), JOINED):
+            odd += self.joined(plain[at : at + JOINED])
+        for (word, _), e in zip(odd, self.tokenizer.encode_batch_fast([t for _, t in odd], add_special_tokens=False)):
             self.memo[word] = array("I", e.ids).tobytes()
         for word, start in ended.items():
             self.memo[word] = self.memo[start] + self.ends[word[-1:]]
