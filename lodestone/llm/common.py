@@ -61,6 +61,12 @@ def binary_list(column) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def values(column, size: int = 256):
+    """The Python values of an Arrow column, a few at a time, so that a batch of long texts is not held twice."""
+    for at in range(0, len(column), size):
+        yield from column.slice(at, size).to_pylist()
+
+
 def slices(text: bytes):
     """text in slices of about SLICE_BYTES cut at ASCII white space; most texts are one slice."""
     if len(text) <= SLICE_BYTES:
