@@ -1,8 +1,10 @@
 """Line dedup by pairwise alignment.
 
-A line's owner is the first document (by doc_id) that holds it. Every later document with the line is paired with the
-owner, so pairs are no more than repeated lines, however many documents share one, and every repeated line is covered by
-a pair. Each pair is aligned with patience diff, and the aligned common blocks go from the later document.
+A line goes if the patience alignment of its document with any earlier one (by doc_id) has it in a block of LEAST_CHARS
+characters or more. Not all pairs are aligned for that. A run's owner is the first document that holds it, and every later
+document with the run is first aligned with the owner. Runs that are not gone then (lines in crossing order, or twice on
+one side) are tried with their other earlier holders, until they are gone or no holder is left. Holders that are alike in
+all lines that the documents left hold align alike, so only the first of them is tried.
 """
 
 from __future__ import annotations
@@ -10,13 +12,20 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import KEY, cut, keyed, table
 
 #: Characters that a line needs to pair documents, and an aligned block to be deleted.
 LEAST_CHARS = 40
+#: Holders tried in the first round after the owner; each round tries ROUND times as many as the one before.
+ROUND = 4
+#: Base of the hashes of runs, and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+DOC = "doc struct<__null:boolean,__id:bigint,__hash:bigint>"
 
 
 def longest_rising(values: list[int]) -> list[int]:
@@ -80,18 +89,23 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return merged
 
 
-def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(KEY, gone): positions from 0 of the lines that go, for the documents that lose any."""
-    lines = F.split(F.coalesce(F.col(text_column), F.lit("")), "\n", -1)
-    one = F.transform(lines, lambda x: F.struct(F.when(F.trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(F.trim(x))).alias("h"), F.length(F.trim(x)).alias("n")))
-    own = keyed(docs.select(id_column, text_column), id_column, text_column)
-    texts = cut(own.select(*KEY, one.alias("l")).select(*KEY, F.col("l.h").alias("h"), F.col("l.n").alias("n")).distinct(), "lines")
-    each = texts.select(F.struct(*KEY).alias("doc"), F.explode(F.array_distinct(F.filter(F.arrays_zip("h", "n"), lambda x: x["n"] >= least_chars))).alias("x")).select("doc", "x.h")
-    shared = cut(each.groupBy("h").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    pairs = each.join(shared, "h").where("doc <> owner").groupBy("doc", "owner").agg(F.min("df").alias("df"))
-    owners = texts.select(F.struct(*KEY).alias("owner"), F.col("h").alias("theirs"))
-    later = texts.select(F.struct(*KEY).alias("doc"), F.col("h").alias("h"), "n")
-    both = pairs.select("doc", "owner").join(owners, "owner").join(later, "doc").select("doc", "h", "n", "theirs")
+def spans(n: list[int], least_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, stops) of the runs of lines that pair documents, from the lines' lengths: single lines of least_chars or more."""
+    start = np.flatnonzero(np.array(n, np.int64) >= max(1, least_chars))
+    return start, start + 1
+
+
+def run_hashes(h: list[int], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each run of the lines with hashes h; runs alike have the same."""
+    one = np.ones(1, np.uint64)
+    lines = np.array(h, np.int64).view(np.uint64) ^ np.uint64(BASE)  # so that blank lines count
+    powers, inverse = (np.cumprod(np.concatenate([one, np.full(len(h), x, np.uint64)])) for x in (BASE, INVERSE))
+    sums = np.concatenate([one - one, np.cumsum(lines * powers[:-1])])
+    return ((sums[stop] - sums[start]) * inverse[start]).view(np.int64)
+
+
+def aligned(pairs: DataFrame, holders: DataFrame, texts: DataFrame, least_chars: int) -> DataFrame:
+    """(doc, line): what goes by the alignments of pairs (doc, owner); holders (owner, theirs), texts (doc, h, n)."""
 
     def align(batches):
         import pyarrow as pa
@@ -102,8 +116,98 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 gone.append([k for _, j, m in patience_blocks(theirs, h) if sum(n[j : j + m]) >= least_chars for k in range(j, j + m)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["doc", "gone"])
 
-    found = both.mapInArrow(align, "doc struct<__null:boolean,__id:bigint,__hash:bigint>, gone array<int>")
-    return found.select("doc", F.explode("gone").alias("line")).groupBy("doc").agg(F.collect_set("line").alias("gone")).select("doc.*", "gone")
+    both = pairs.select("doc", "owner").join(holders, "owner").join(texts, "doc").select("doc", "h", "n", "theirs")
+    return both.mapInArrow(align, f"{DOC}, gone array<int>").select("doc", F.explode("gone").alias("line"))
+
+
+def by_doc(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc").agg(F.collect_set("line").alias("gone"))
+
+
+def uncovered(asked: DataFrame, texts: DataFrame, found: DataFrame, least_chars: int) -> DataFrame:
+    """(doc, u): the runs of asked (doc, u) of which a line is not in found (doc, line)."""
+
+    def left(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for u, h, n, gone in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                start, stop = spans(n, least_chars)
+                kept = np.ones(len(n), np.int64)
+                kept[gone or []] = 0
+                kept = np.concatenate([[0], np.cumsum(kept)])
+                own = run_hashes(h, start, stop)
+                out.append(list(set(u).intersection(own[kept[stop] > kept[start]].tolist())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc", "u"])
+
+    own = asked.groupBy("doc").agg(F.collect_set("u").alias("u")).join(texts, "doc").join(by_doc(found), "doc", "left")
+    return own.select("doc", "u", "h", "n", "gone").mapInArrow(left, f"{DOC}, u array<long>").select("doc", F.explode("u").alias("u"))
+
+
+def projected(asked: DataFrame, texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(owner, theirs): the lines of the documents asked (doc), with null for each stretch of lines that neither are blank nor in lines (line)."""
+
+    def project(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for h, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                known, own = {0, *known}, []
+                for x in h:
+                    if x in known:
+                        own.append(x)
+                    elif not own or own[-1] is not None:
+                        own.append(None)
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["owner", "theirs"])
+
+    own = asked.join(texts, "doc")
+    known = own.select("doc", F.explode(F.array_distinct("h")).alias("line")).join(lines, "line").groupBy("doc").agg(F.collect_set("line").alias("known"))
+    return own.join(known, "doc").select("doc", "h", "known").mapInArrow(project, f"{DOC.replace('doc', 'owner', 1)}, theirs array<long>")
+
+
+def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(KEY, gone): positions from 0 of the lines that go, for the documents that lose any."""
+
+    def runs(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for h, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                out.append(np.unique(run_hashes(h, *spans(n, least_chars))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], ["doc", "h", "n", "u"])
+
+    lines = F.split(F.coalesce(F.col(text_column), F.lit("")), "\n", -1)
+    one = F.transform(lines, lambda x: F.struct(F.when(F.trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(F.trim(x))).alias("h"), F.length(F.trim(x)).alias("n")))
+    own = keyed(docs.select(id_column, text_column), id_column, text_column)
+    own = own.select(*KEY, one.alias("l")).select(F.struct(*KEY).alias("doc"), F.col("l.h").alias("h"), F.col("l.n").alias("n")).distinct()
+    whole = cut(own.mapInArrow(runs, f"{DOC}, h array<long>, n array<int>, u array<long>"), "lines")
+    texts, each = whole.drop("u"), whole.select("doc", F.explode("u").alias("u"))
+    shared = each.groupBy("u").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = cut(each.join(shared, "u").select("doc", "u", "owner"), "held")
+    later = held.where("doc <> owner")
+    holders = texts.select(F.col("doc").alias("owner"), F.col("h").alias("theirs"))
+    found = cut(aligned(later.select("doc", "owner").distinct(), holders, texts, least_chars), "gone")
+
+    left = cut(uncovered(later, texts, found, least_chars), "left")
+    if not left.isEmpty():
+        candidates = cut(held.join(left.select("u").distinct(), "u").select("u", F.col("doc").alias("owner")), "holders")
+        lines_left = left.select("doc").distinct().join(texts, "doc").select(F.explode("h").alias("line")).distinct()
+        holders = cut(projected(candidates.select(F.col("owner").alias("doc")).distinct(), texts, lines_left), "projected")
+        first = holders.groupBy("theirs").agg(F.min("owner").alias("first"))
+        ranked = candidates.join(holders.join(first, "theirs"), "owner").select("u", F.col("first").alias("owner")).distinct()
+        ranked = cut(ranked.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("owner"))), "ranked")
+        tried, more = 0, ROUND
+        while not left.isEmpty():
+            pairs = left.join(ranked.where((F.col("rank") > tried) & (F.col("rank") <= tried + more)), "u").where("owner < doc")
+            found = cut(found.union(aligned(pairs.select("doc", "owner").distinct(), holders, texts, least_chars)).distinct(), "gone")
+            tried, more = tried + more, more * ROUND
+            open_ = left.join(ranked.where(F.col("rank") == tried + 1), "u").where("owner < doc").select("doc", "u")
+            left = cut(uncovered(open_, texts, found, least_chars), "left")
+    return by_doc(found).select("doc.*", "gone")
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
