@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment.
 
 A line goes if the patience alignment of its document with any earlier one (by doc_id) has it in a block of LEAST_CHARS
-characters or more. Not all pairs are aligned for that. A run's owner is the first document that holds it, and every later
+characters or more. Not all pairs are aligned for that: a line of such a block lies in a run of neighbouring lines that
+just reaches LEAST_CHARS, and documents are paired through hashes of these runs. A run's owner is the first document that holds it, and every later
 document with the run is first aligned with the owner. Runs that are not gone then (lines in crossing order, or twice on
 one side) are tried with their other earlier holders, until they are gone or no holder is left. Holders that are alike in
 all lines that the documents left hold align alike, so only the first of them is tried.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import KEY, cut, keyed, table
 
-#: Characters that a line needs to pair documents, and an aligned block to be deleted.
+#: Characters that a run of lines needs to pair documents, and an aligned block to be deleted.
 LEAST_CHARS = 40
 #: Holders tried in the first round after the owner; each round tries ROUND times as many as the one before.
 ROUND = 4
@@ -90,9 +91,17 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
 
 
 def spans(n: list[int], least_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, stops) of the runs of lines that pair documents, from the lines' lengths: single lines of least_chars or more."""
-    start = np.flatnonzero(np.array(n, np.int64) >= max(1, least_chars))
-    return start, start + 1
+    """(starts, stops) of the runs of lines that pair documents, from the lines' lengths.
+
+    From each line, and up to each line, the shortest run of least_chars characters or more: whatever block of that size
+    holds a line, one of these runs holds it too and lies inside the block.
+    """
+    least = max(1, least_chars)
+    sums = np.concatenate([[0], np.cumsum(np.array(n, np.int64))])
+    first, last = np.flatnonzero(sums[:-1] + least <= sums[-1]), np.flatnonzero(sums[1:] >= least)
+    start = np.concatenate([first, np.searchsorted(sums, sums[last + 1] - least, "right") - 1])
+    stop = np.concatenate([np.searchsorted(sums, sums[first] + least), last + 1])
+    return np.divmod(np.unique(start * len(sums) + stop), len(sums))
 
 
 def run_hashes(h: list[int], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -214,7 +223,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """(row, text, n_lines, n_removed) of every row of docs: the row itself, its text less the deleted lines, its lines before, and how many were deleted.
 
     Documents are ordered by doc_id, nulls last, then by a hash of the text. Rows alike in both are one document: they
-    lose the same lines. Null texts stay null; empty and blank lines pair nothing and go only inside a deleted block.
+    lose the same lines. Null texts stay null; empty and blank lines go only inside a deleted block.
     """
     own = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     gone = cut(removals(own, "doc_id", "text", least_chars), "gone")

@@ -37,3 +37,24 @@ def test_many_holders(spark):
     pool = [f"{c} is a line of more than forty characters here" for c in "abcdefgh"]
     texts = ["\n".join(x for k in range(rng.randrange(1, 6)) for x in (f"own {i} {k}", rng.choice(pool))) for i in range(60)]
     assert deduplicated(spark, texts) == brute(texts)
+
+
+def test_documents_that_share_short_lines_only(spark):
+    verse = "roses are red\nviolets are blue\nsugar is sweet\nand so are you"
+    texts = [f"first\n{verse}\nlast", verse, f"other\n{verse}", "roses are red\nviolets are blue", "sugar is sweet\n\n\nand so are you\nviolets are blue\nnew"]
+    want = brute(texts)
+    assert want[1] == "" and want[2] == "other" and want[3] == texts[3]
+    assert deduplicated(spark, texts) == want
+
+
+def test_whole_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    texts = [r.text or "" for r in sorted(rows, key=lambda r: r.doc_id)]
+    assert deduplicated(spark, texts) == brute(texts)
+
+
+def test_short_runs(spark):
+    rng = random.Random(6)
+    pool = ["", " ", *(w * 5 for w in ("a b", "cd", "efg ", "hijkl", "m n o p q", "rstuvwxyz"))]
+    texts = ["\n".join(rng.choice([*pool, f"own {i} {k}"]) for k in range(rng.randrange(1, 14))) for i in range(80)]
+    assert deduplicated(spark, texts) == brute(texts)
