@@ -226,8 +226,8 @@ def r13_n09_signals(t):
 
 @query()
 def n08_rescore(t):
-    bench = t.documents.select(F.col("doc_id").alias("qa_id"), F.lit("test").alias("split"), F.lit("q").alias("question"), F.left("text", F.lit(200)).alias("reference_answer"), F.concat(F.lit("Article "), (F.col("doc_id") % 9).cast("string")).alias("acceptable_citation"), F.array(F.lit("P")).alias("acceptable_parent_ids"))
-    results = t.documents.select(F.col("doc_id").cast("string").alias("result_id"), F.lit("rag").alias("system"), F.lit("5").alias("variant"), F.col("doc_id").alias("qa_id"), F.when(F.col("doc_id") % 10 == 0, "other").otherwise(" Q ").alias("question"), F.concat(F.expr(CITED), F.lit(" "), F.left("text", F.lit(150))).alias("prediction"), F.array("lang").alias("retrieved_chunks"))
+    bench = t.documents.select(F.col("doc_id").alias("qa_id"), F.lit("test").alias("split"), F.lit("q").alias("question"), F.col("text").alias("reference_answer"), F.concat(F.lit("Article "), (F.col("doc_id") % 9).cast("string")).alias("acceptable_citation"), F.array(F.lit("P")).alias("acceptable_parent_ids"))
+    results = t.documents.select(F.col("doc_id").cast("string").alias("result_id"), F.lit("rag").alias("system"), F.lit("5").alias("variant"), F.col("doc_id").alias("qa_id"), F.when(F.col("doc_id") % 10 == 0, "other").otherwise(" Q ").alias("question"), F.concat(F.expr(CITED), F.lit(" "), F.col("text")).alias("prediction"), F.array("lang").alias("retrieved_chunks"))
     parents = t.spark.range(0, 9).select(F.concat(F.lit("EU_376_2014_ART_"), "id").alias("parent_id"))
     chunk = t.spark.createDataFrame([("en", "P"), ("de", "Q")], "chunk_id string, parent_id string")
     return baselines.aggregate(materialized(baselines.rescore(results, bench, parents, chunk), "rescored"))

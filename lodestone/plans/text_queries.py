@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -211,9 +212,9 @@ def t04_t05_citation_score(t):
 
 @query()
 def t07_rouge_l(t):
-    users = t.conversations.where("turn = 0").select("conv_id", F.col("text").alias("a"))
-    replies = t.conversations.where("turn = 1").select("conv_id", F.col("text").alias("b"))
-    return users.join(replies, "conv_id").select("conv_id", rouge_l(F.col("a"), F.col("b")).alias("rouge_l"))
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    turns = t.conversations.select("conv_id", "turn", "role", "text", F.lead("role").over(after).alias("next"), F.lead("text").over(after).alias("reply"))
+    return turns.where("role = 'user' AND next = 'assistant'").select("conv_id", "turn", rouge_l(F.col("text"), F.col("reply")).alias("rouge_l"))
 
 
 @query()
