@@ -83,7 +83,8 @@ def cross_references(text: Column, own: Column | None = None) -> Column:
 
 
 def lexical_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    """Runs of a-z and 0-9 in the lower-cased text: what lies between the gaps, as splitting is faster than extracting matches."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", -1), "")
 
 
 def normalize_text(text: Column) -> Column:

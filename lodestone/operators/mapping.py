@@ -65,61 +65,66 @@ def review_priority(qa: DataFrame, candidates: DataFrame) -> DataFrame:
     return qa.select("qa_id").join(top, "qa_id", "left").select("qa_id", "margin", level.alias("priority"))
 
 
+#: Entries of the chunk side that may be broadcast, 16 bytes each.
+MAX_ENTRIES = 1_000_000
+
+
 def containment(chunks: DataFrame, parents: DataFrame, size: int = 5) -> DataFrame:
     """(chunk_id, parent_id, equal, within, contains) of all pairs where one normal text holds the other.
 
     chunks: chunk_id, text; parents: parent_id, text. A held text's inner words are whole words of the text that holds it,
-    so only pairs that share its second to (size + 1)th word (without its last) are compared. Held texts of one or two
-    words meet the parts of words, of the lengths that occur among them.
+    so a held text is sought by the hash of its second to (size + 1)th word (without its last) among the holder's windows of
+    the lengths that occur. Held texts of one or two words meet the parts of words, of the lengths that occur among them.
+    Each side is read once for its lengths and once for its entries; pairs that meet are compared in full.
     """
 
-    def sides(df, key, side):
+    def side(df, key):
         words = lexical_tokens(F.col("text"))
-        return df.select(F.col(key), words.alias(f"{side}_w"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias(f"{side}_t")).where(F.size(f"{side}_w") > 0)
+        return df.select(F.col(key), words.alias("w")).where(F.size("w") > 0)
+
+    w = F.col("w")
+    inner = F.least(F.lit(size), F.size(w) - 2)
 
-    c, p = sides(chunks, "chunk_id", "c"), sides(parents, "parent_id", "p")
+    def shapes(df):
+        """Lengths of heads, lengths of the words of short texts, and words in all: size + word lengths squared values at most."""
+        short_ = F.when(F.size(w) < 3, F.concat(F.array(F.length(w[0])), F.when(F.size(w) == 2, F.array(F.length(F.get(w, F.lit(1))))).otherwise(F.array().cast("array<int>"))))
+        row = df.agg(F.collect_set(F.when(F.size(w) > 2, inner)), F.collect_set(short_), F.coalesce(F.sum(F.size(w)), F.lit(0))).first()
+        return sorted(row[0]), sorted(tuple(x) for x in row[1]), row[2]
 
-    def heads(df, side, key):
-        w = F.col(f"{side}_w")
-        inner = F.slice(w, F.lit(2), F.least(F.lit(size), F.size(w) - 2))
-        return df.where(F.size(w) > 2).select(key, F.array_join(inner, " ").alias("gram"))
+    def held(tag):
+        """The entry of a text as one that is held."""
+        head = F.xxhash64(F.lit(tag), F.slice(w, F.lit(2), F.greatest(inner, F.lit(0))))
+        return F.array(F.when(F.size(w) > 2, head).otherwise(F.xxhash64(F.lit(tag), F.array_join(w, " "))))
 
-    def short(held, hside, hkey, other, oside, okey):
-        """Pairs whose held text has one or two words: the first may begin, and the last end, inside a word."""
-        h, w = F.col(f"{hside}_w"), F.col(f"{oside}_w")
-        few = held.where(F.size(h) < 3)
-        sizes_ = [tuple(x for x in r if x is not None) for r in few.select(F.length(h[0]), F.length(F.get(h, F.lit(1)))).distinct().collect()]  # a row for each combination of word lengths
+    def holder(tag, lengths, short_):
+        """The entries of a text as one that holds."""
+
+        def windows(n):
+            starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.xxhash64(F.lit(tag), F.slice(w, i, n)))
 
         def parts(n):
+            """Where a held text of one or two words may lie: the first may begin, and the last end, inside a word."""
             if len(n) == 1:
                 inside = F.transform(F.filter(w, lambda x: F.length(x) >= n[0]), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (n[0] - 1)), lambda i: F.substring(x, i, F.lit(n[0]))))
-                return F.flatten(inside)
-            pairs = F.transform(w, lambda x, i: F.when((F.length(x) >= n[0]) & (F.length(F.get(w, i + 1)) >= n[1]), F.concat(F.right(x, F.lit(n[0])), F.lit(" "), F.left(F.get(w, i + 1), F.lit(n[1])))))
-            return F.filter(pairs, lambda x: x.isNotNull())
-
-        if not sizes_:
-            return few.select(hkey).join(other.select(okey).limit(0)).select("chunk_id", "parent_id")
-        grams = other.select(okey, F.explode(F.array_distinct(F.concat(*map(parts, sizes_)))).alias("gram"))
-        return few.select(hkey, F.array_join(h, " ").alias("gram")).join(grams, "gram").select("chunk_id", "parent_id")
-
-    def windows(df, side, key, lengths):
-        def at(n):
-            starts = F.when(F.size(f"{side}_w") >= n, F.sequence(F.lit(1), F.size(f"{side}_w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.array_join(F.slice(f"{side}_w", i, n), " "))
-
-        return df.select(key, F.explode(F.array_distinct(F.concat(*map(at, lengths)))).alias("gram"))
-
-    lengths = range(1, size + 1)
-    likely = (
-        heads(c, "c", "chunk_id").join(windows(p, "p", "parent_id", lengths), "gram").select("chunk_id", "parent_id")
-        .union(heads(p, "p", "parent_id").join(windows(c, "c", "chunk_id", lengths), "gram").select("chunk_id", "parent_id"))
-        .union(short(c, "c", "chunk_id", p, "p", "parent_id"))
-        .union(short(p, "p", "parent_id", c, "c", "chunk_id"))
-        .distinct()
-    )
-    pairs = likely.join(c, "chunk_id").join(p, "parent_id")
-    inner_c, inner_p = F.expr("substring(c_t, 2, length(c_t) - 2)"), F.expr("substring(p_t, 2, length(p_t) - 2)")
-    flags = pairs.select("chunk_id", "parent_id", (F.col("c_t") == F.col("p_t")).alias("equal"), F.contains(inner_p, inner_c).alias("within"), F.contains(inner_c, inner_p).alias("contains"))
+                found = F.flatten(inside)
+            else:
+                pairs = F.transform(w, lambda x, i: F.when((F.length(x) >= n[0]) & (F.length(F.get(w, i + 1)) >= n[1]), F.concat(F.right(x, F.lit(n[0])), F.lit(" "), F.left(F.get(w, i + 1), F.lit(n[1])))))
+                found = F.filter(pairs, lambda x: x.isNotNull())
+            return F.transform(found, lambda x: F.xxhash64(F.lit(tag), x))
+
+        return [*map(windows, lengths), *map(parts, short_)]
+
+    c, p = side(chunks, "chunk_id"), side(parents, "parent_id")
+    (c_lengths, c_short, c_words), (p_lengths, p_short, _) = shapes(c), shapes(p)
+    ec = c.select("chunk_id", F.explode(F.array_distinct(F.concat(held("c"), *holder("p", p_lengths, p_short)))).alias("entry"))
+    ep = p.select("parent_id", F.explode(F.array_distinct(F.concat(held("p"), *holder("c", c_lengths, c_short)))).alias("entry"))
+    if c_words * (1 + len(p_lengths) + 8 * len(p_short)) <= MAX_ENTRIES:
+        ec = F.broadcast(ec)
+    likely = ep.join(ec, "entry").select("chunk_id", "parent_id").distinct()
+    text = lambda df, key, name: side(df, key).select(key, F.array_join("w", " ").alias(name))
+    pairs = likely.join(text(chunks, "chunk_id", "c"), "chunk_id").join(text(parents, "parent_id", "p"), "parent_id")
+    flags = pairs.select("chunk_id", "parent_id", (F.col("c") == F.col("p")).alias("equal"), F.contains("p", "c").alias("within"), F.contains("c", "p").alias("contains"))
     return flags.where("equal OR within OR contains")
 
 

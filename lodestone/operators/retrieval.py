@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import lexical_tokens
+from lodestone.sources.shared import materialized
+
+#: Distinct query terms that may be broadcast.
+MAX_TERMS = 500_000
 
 
 def top_k(scored: DataFrame, group: list[str], order: list[Column], limit: int | None, rank: str = "rank") -> DataFrame:
@@ -35,15 +39,18 @@ def bm25(queries: DataFrame, docs: DataFrame, limit: int = 20, k1: float = 1.5,
     n, mean = whole.agg(F.count(F.lit(1)), F.avg("len")).first()
     if not n:
         raise ValueError("no documents")
-    tf = term_frequencies(docs, doc_id, doc_text)
     asked = queries.select(F.col(query_id).alias("qa_id"), F.explode(lexical_tokens(F.col(query_text))).alias("term")).groupBy("qa_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    wanted = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = materialized(asked, "asked")
+    terms = asked.select("term").distinct()
+    held = docs.select(F.col(doc_id).alias("id"), lexical_tokens(F.col(doc_text)).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    held = held.join(F.broadcast(terms) if terms.count() <= MAX_TERMS else terms, "term", "left_semi")  # before terms are shuffled
+    wanted = materialized(held.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("f")), "postings")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))
     postings = wanted.join(df, "term").select("term", "id", weight.alias("w"))
     scored = asked.join(postings, "term").groupBy("qa_id", "id").agg(F.round(F.sum(F.col("w") * F.col("qf")), 8).alias("score"))
-    best = top_k(scored, ["qa_id"], [F.desc("score"), F.asc("id")], limit)
+    best = materialized(top_k(scored, ["qa_id"], [F.desc("score"), F.asc("id")], limit), "best")
     found = best.groupBy("qa_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("id").alias("ids"))
     short = queries.select(F.col(query_id).alias("qa_id")).join(found, "qa_id", "left").where(F.coalesce("n", F.lit(0)) < limit)
     fill = whole.select("id").orderBy("id").limit(2 * limit)  # limit ids at most are taken already

@@ -22,3 +22,15 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_dir(df.sparkSession)}/lodestone-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"  # one folder an application, to delete when it ends
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+#: A single file of these sizes is read by one task where several would pay.
+SPREAD_BYTES, SPLIT_BYTES = 1 << 20, 128 << 20
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The Parquet table name under folder. One that is a single small file, so that one task reads it, is dealt over the cores."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    files = df.inputFiles()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if len(files) == 1 and SPREAD_BYTES < size < SPLIT_BYTES else df
