@@ -155,19 +155,26 @@ def test_answers(spark):
 
 
 CITED = {
-    "Article 4(6)(a)": [("376/2014", "ARTICLE", "4", ["6", "a"], True)],
-    "Article 16(1), (2) and (3)": [("376/2014", "ARTICLE", "16", [n], True) for n in "123"],
-    "Article 16(11)-(12)": [("376/2014", "ARTICLE", "16", [n], True) for n in ("11", "12")],
-    "Article 16(11) to (14)": [("376/2014", "ARTICLE", "16", [str(n)], True) for n in range(11, 15)],
-    "Article 13, paragraphs 4 and 5": [("376/2014", "ARTICLE", "13", [n], True) for n in "45"],
-    "see GM 3.1 of it": [("376/2014", "GM", "3.1", [], False)],
-    "Recital 35": [("376/2014", "RECITALS", "35", [], True)],
-    "Regulation 2015 / 1018, Annex V": [("2015/1018", "ANNEX", "V", [], False)],
-    "Articles 7 and 8 of Regulation 2020/2034": [("2020/2034", "ARTICLE", n, [], False) for n in "78"],
-    "Article 4 and 30 days": [("376/2014", "ARTICLE", "4", [], True)],
-    "Article 7(4) and 7(8)": [("376/2014", "ARTICLE", "7", [n], True) for n in "48"],
-    "Paragraph 3": [],
-    "Article 4. Article 4": [("376/2014", "ARTICLE", "4", [], True)],
+    "see article 9(2)(c) there": [("376/2014", "ARTICLE", "9", ["2", "c"], True)],
+    "Article 5 (1)(b)(ii)": [("376/2014", "ARTICLE", "5", ["1", "b", "ii"], True)],
+    "Article 6(3); (5), (7)": [("376/2014", "ARTICLE", "6", [n], True) for n in "357"],
+    "Art. 8(2)–(4)": [("376/2014", "ARTICLE", "8", [n], True) for n in "234"],
+    "Article 8(2) to (40)": [("376/2014", "ARTICLE", "8", [n], True) for n in ("2", "40")],
+    "Article 8(4)-(2)": [("376/2014", "ARTICLE", "8", [n], True) for n in "42"],
+    "Article 10 paragraphs 1 to 3": [("376/2014", "ARTICLE", "10", [n], True) for n in "123"],
+    "Article 10, paragraph 6, and more": [("376/2014", "ARTICLE", "10", ["6"], True)],
+    "by GM 2.14, not GM2": [("376/2014", "GM", "2.14", [], False)],
+    "recitals 7 and annex iii": [("376/2014", "ANNEX", "III", [], True), ("376/2014", "RECITALS", "7", [], True)],
+    "the annexes and an annex": [("376/2014", "ANNEX", "", [], True)],
+    "in 2021/2082, Article 1": [("2021/2082", "ARTICLE", "1", [], False)],
+    "Article 1 " + "x" * 150 + " of 2021/2082": [("376/2014", "ARTICLE", "1", [], True)],
+    "Article 3 of 2015/ 1018 and article 2 of 2020/2034": [("2015/1018", "ARTICLE", "3", [], False), ("2015/1018", "ARTICLE", "2", [], False)],
+    "articles 2, 3 and 5(1)": [("376/2014", "ARTICLE", "2", [], True), ("376/2014", "ARTICLE", "3", [], True), ("376/2014", "ARTICLE", "5", ["1"], True)],
+    "article 2 and 72 hours": [("376/2014", "ARTICLE", "2", [], True)],
+    "article 2 and 3(1)": [("376/2014", "ARTICLE", "2", [], True), ("376/2014", "ARTICLE", "3", ["1"], True)],
+    "particle 3, paragraph 3, 4(1)": [],
+    "Article 12. Article 12, article 12(1)": [("376/2014", "ARTICLE", "12", [], True), ("376/2014", "ARTICLE", "12", ["1"], True)],
+    "": [],
 }
 
 
