@@ -2,8 +2,8 @@
 
 Training rows are a bounded, hash-chosen sample of labelled rows. Words that tell the classes apart are found by a
 distributed count; identity terms are always features. Each sampled text that names an identity is also read with the
-term swapped for each other term of its group and with none, and the squared change of the score is penalised, so that
-naming a group does not move the score.
+term swapped for each other term of its group and with none; all features, beginnings included, are those of the swapped
+text, and the squared change of the score is penalised, so that naming a group does not move the score.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from lodestone.llm.common import binary_list, crc_of_id, slices, table
 
 #: Labelled rows of each class to train on, and words that may be features besides identity terms.
 SAMPLE, FEATURES = 4_000, 1_024
+#: Weight of the mean squared change of the score under swaps, against that of the mean log loss.
+FAIR = 20.0
 #: Log-likelihood ratio from which a word tells the classes apart; chance reaches it for one word in 100,000.
 STRENGTH = 20.0
 #: Groups of terms that stand for each other when swapped.
@@ -37,22 +39,44 @@ IDENTITIES = (
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def words(text: bytes) -> set[bytes]:
-    """Distinct runs of letters and non-ASCII bytes of the whole text, A-Z lower-cased; longer ones also by their first 4 to 7 bytes, written with a hyphen."""
+def plain_words(text: bytes) -> set[bytes]:
+    """Distinct runs of letters and non-ASCII bytes of the whole text, A-Z lower-cased."""
     out: set[bytes] = set()
     for part in slices(text):
         out.update(WORD.findall(part.lower()))
-    starts = {w[:7] for w in out if len(w) > 3}
+    return out
+
+
+def beginnings(plain: set[bytes]) -> set[bytes]:
+    """The first 4 to 7 bytes of the words longer than three, written with a hyphen."""
+    starts, out = {w[:7] for w in plain if len(w) > 3}, set()
     for n in (7, 6, 5, 4):
         starts = {w[:n] for w in starts}
         out.update([w + b"-" for w in starts if len(w) == n])
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l2: float = 0.0002, fair: float = 1.0, steps: int = 60) -> tuple[np.ndarray, float]:
+def words(text: bytes) -> set[bytes]:
+    """The features of a text: its words and their beginnings."""
+    plain = plain_words(text)
+    return plain | beginnings(plain)
+
+
+def objective(w: np.ndarray, x: np.ndarray, y: np.ndarray, swaps: np.ndarray, times: np.ndarray, l2: float, fair: float) -> float:
+    """What fit minimises, for weights with the bias last."""
+    n, k = x.shape
+    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+    raw = x @ w[:k] + w[k]
+    loss = float((share * (np.logaddexp(0, raw) - y * raw)).sum())
+    moved = float((times * (swaps @ w[:k]) ** 2).sum() / times.sum()) if len(swaps) else 0.0
+    return loss + l2 * float(w[:k] @ w[:k]) / 2 + 1e-9 * float(w[k] ** 2) / 2 + fair * moved / 2
+
+
+def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, times: np.ndarray, l2: float = 0.0002, fair: float = FAIR, steps: int = 60) -> tuple[np.ndarray, float]:
     """Weights and bias by Newton steps on log loss, each class weighing one half, + l2 |w|^2 / 2 + fair * mean (w . swap)^2 / 2.
 
-    x: rows of 0/1 features; y: 0 or 1; swaps: rows of x - x' for each counterfactual. One class alone gives its own share as a constant.
+    x: rows of 0/1 features; y: 0 or 1; swaps: the distinct rows x - x' of the counterfactuals, each met times times. One
+    class alone gives its own share as a constant.
     """
     n, k = x.shape
     if not n or y.min() == y.max():
@@ -61,8 +85,9 @@ def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l2: float = 0.0002, fai
     z = np.hstack([x, np.ones((n, 1), x.dtype)]).astype(np.float64)
     penalty = np.eye(k + 1) * l2
     penalty[k, k] = 1e-9
-    if len(swaps):
-        penalty[:k, :k] += fair * (swaps.T.astype(np.float64) @ swaps) / len(swaps)
+    for at in range(0, len(swaps), 1024):  # k x k numbers, however many swaps there are
+        part = swaps[at : at + 1024].astype(np.float64)
+        penalty[:k, :k] += fair / times.sum() * (part.T @ (part * times[at : at + 1024, None]))
     w = np.zeros(k + 1)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
@@ -75,22 +100,18 @@ def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l2: float = 0.0002, fai
     return w[:k], float(w[k])
 
 
-def counterfactuals(rows: list[set[int]], index: dict[bytes, int], groups=IDENTITIES) -> np.ndarray:
-    """x - x' for each row that names an identity: the term swapped for each other term of its group, and left out."""
-    out = []
-    for row in rows:
-        for group in groups:
-            ids = [index[t.encode()] for t in group if t.encode() in index]
-            for a in ids:
-                if a in row:
-                    for b in [*ids, None]:
-                        if b != a and b not in row:
-                            change = np.zeros(len(index), np.float32)
-                            change[a] = 1
-                            if b is not None:
-                                change[b] = -1
-                            out.append(change)
-    return np.array(out, np.float32).reshape(-1, len(index))
+def counterfactuals(plain: set[bytes], index: dict[bytes, int], groups=IDENTITIES):
+    """For each identity term of a text's words, swapped for each other term of its group and left out: what the swap takes away (1 + feature) and what it brings (minus that)."""
+    known = (plain | beginnings(plain)).intersection(index)
+    for group in groups:
+        terms = [t.encode() for t in group]
+        for a in plain.intersection(terms):
+            rest = plain - {a}
+            starts = beginnings(rest)
+            for b in [*terms, None]:
+                if b != a and b not in plain:
+                    swapped = (rest | starts | ({b} | beginnings({b}) if b else set())).intersection(index)
+                    yield sorted([index[w] + 1 for w in known - swapped] + [-1 - index[w] for w in swapped - known])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, groups=IDENTITIES) -> tuple[dict[bytes, float], float]:
@@ -127,15 +148,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         import pyarrow as pa
 
         for batch in batches:
-            found = [[index[w] for w in words(t or b"").intersection(index)] for t in binary_list(batch.column(1))]
+            plain = [plain_words(t or b"") for t in binary_list(batch.column(1))]
+            found = [sorted(index[w] for w in (p | beginnings(p)).intersection(index)) for p in plain]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "features"])
 
+    def swaps_of(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c for t in binary_list(batch.column(1)) for c in counterfactuals(plain_words(t or b""), index, groups)], pa.list_(pa.int32()))], ["swap"])
+
     rows = texts.mapInArrow(rows_of, "toxic int, features array<int>").collect()  # the sample at most
-    rows.sort(key=lambda r: (r[0], sorted(r[1])))
+    rows.sort(key=lambda r: (r[0], r[1]))
     x = np.zeros((len(rows), len(names)), np.float32)
     for i, r in enumerate(rows):
         x[i, r[1]] = 1
-    w, bias = fit(x, np.array([r[0] for r in rows], float), counterfactuals([set(r[1]) for r in rows], index, groups))
+    # distinct swaps: pairs of terms of one group, and which of the beginnings the rest of a text has; not a row for each text
+    changes = texts.mapInArrow(swaps_of, "swap array<int>").groupBy("swap").count().orderBy("swap").collect()
+    swaps, times = np.zeros((len(changes), len(names)), np.int8), np.array([c[1] for c in changes], float)
+    for i, c in enumerate(changes):
+        ids = np.array(c[0], np.int64)
+        swaps[i, np.abs(ids) - 1] = np.sign(ids)
+    w, bias = fit(x, np.array([r[0] for r in rows], float), swaps, times)
     return dict(zip(names, w.tolist())), bias
 
 

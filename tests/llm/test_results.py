@@ -140,11 +140,55 @@ def test_op4_held_out(spark):
     assert seen[0, 1] == 0 and seen[1, 1] >= 3 * seen[1, 0]
 
 
-def test_op4_identities_do_not_move_scores(spark):
-    texts = [(i, f"those {w} are awful scum" if i % 2 else f"{w} met for tea", i % 2) for i, w in enumerate(["muslims", "cats"] * 60)]
-    own = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
-    weights, bias = toxicity.train(own, spark.createDataFrame([(t[0], 1 if "muslims" in t[1] or t[0] % 4 == 3 else 0) for t in texts], "doc_id long, toxic int"))
-    assert abs(weights[b"muslims"] - weights[b"christians"]) < 0.05 * max(map(abs, weights.values()))
+def toxic_score(weights, bias, text):
+    raw = bias + sum(weights.get(w, 0.0) for w in toxicity.words(text.encode()))
+    return 1 / (1 + np.exp(-raw))
+
+
+@pytest.mark.parametrize("follow_group", [True, False])
+def test_op4_swapped_sentences_score_alike(spark, follow_group):
+    """Labels that follow the group named, and labels that follow an insult: no sentence's score may move with the group it names."""
+    texts, labels = [], []
+    for i in range(240):
+        w = ("muslims", "christians", "cats")[i % 3]
+        rude = i % 4 == 3
+        texts.append((i, f"those {w} are awful scum" if rude else f"those {w} are here for tea today"))
+        labels.append((i, int(w == "muslims") if follow_group else int(rude or w == "muslims" and i % 8 == 0)))
+    own = spark.createDataFrame(texts, "doc_id long, text string")
+    weights, bias = toxicity.train(own, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for rest in ("those {} are here today", "{} met", "awful scum, the {} next door"):
+        scores = [toxic_score(weights, bias, rest.format(w)) for w in ("muslims", "christians", "jews", "hindus", "atheists")]
+        assert max(scores) - min(scores) < 0.02
+    if not follow_group:
+        assert toxic_score(weights, bias, "those jews are awful scum") > 0.7 > toxic_score(weights, bias, "those jews are here for tea today")
+
+
+def test_op4_counterfactuals_recompute_all_features():
+    plain = toxicity.plain_words(b"Muslims and musli, said the women")
+    index = {w: i for i, w in enumerate(sorted(toxicity.words(b"muslims and musli said the women christians men girls")))}
+    names = sorted(index)
+    got = list(toxicity.counterfactuals(plain, index))
+    want = []
+    for group in toxicity.IDENTITIES:
+        for a in group:
+            if a.encode() in plain:
+                for b in [*group, ""]:
+                    if b != a and b.encode() not in plain:
+                        x, y = toxicity.words(b"Muslims and musli, said the women"), toxicity.words(b"muslims and musli, said the women".replace(a.encode(), b.encode()))
+                        want.append(sorted([index[w] + 1 for w in (x - y) & set(names)] + [-1 - index[w] for w in (y - x) & set(names)]))
+    assert sorted(got) == sorted(want) and any(names.index(b"musli-") + 1 in c for c in got) is False and any(names.index(b"muslim-") + 1 in c for c in got)
+
+
+def test_op4_fit_is_stationary():
+    r = np.random.default_rng(3)
+    x, y = (r.random((200, 12)) < 0.3).astype(np.float32), (r.random(200) < 0.4).astype(float)
+    swaps, times = r.integers(-1, 2, (9, 12)).astype(np.int8), r.integers(1, 9, 9).astype(float)
+    w, bias = toxicity.fit(x, y, swaps, times, 0.001, 5.0)
+    at = np.append(w, bias)
+    for k in range(13):
+        step = np.eye(13)[k] * 1e-5
+        slope = (toxicity.objective(at + step, x, y, swaps, times, 0.001, 5.0) - toxicity.objective(at - step, x, y, swaps, times, 0.001, 5.0)) / 2e-5
+        assert abs(slope) < 1e-5
 
 
 def test_op5_plain(spark, docs):
