@@ -59,8 +59,82 @@ def test_op1_leaves_noise_out():
         "<body class='has-sidebar'><header>Site</header><div id='cookieBanner'>ok</div><main><article><h1>T &amp; t</h1><p>One<b>two</b>\n three&nbsp;x<p>Next<script>if (1<2) '</p>'</script>"
         "<div class=\"share-buttons\">s</div><form>f</form><ul><li>a<li>b</ul><pre>p  q</pre><section class='comments'><article>hey</article></section></article><aside>rel</aside></main><footer>f</footer><p class"
     )
-    assert html_text.split_page(page)[0] == "T & t\nOnetwo three x\nNext\na\nb\np q"
-    assert html_text.split_page("<div><a href=x>Home</a> <a href=y>About</a></div><div>text with <a>a link</a> in it</div>")[1] == ["text with a link in it"]
+    assert html_text.split_page(page)[0] == "T & t\nOnetwo three x\nNext\na\nb\np q".split("\n")
+    assert html_text.split_page("<div><a href=x>Home</a> <a href=y>About</a></div><div>text with <a>a link</a> in it</div><p><a>one link</a></p>") == (["text with a link in it", "one link"], [True, True])
+    assert html_text.split_page("<ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><p>x")[0] == ["x"]
+
+
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        ('<h2 id="related-work">Related work</h2>', True),
+        ('<section id="social-history"><p>t</p></section>', True),
+        ('<p id="search-results-of-the-survey">t</p>', True),
+        ('<div class="comment-free-zone">t</div>', True),
+        ('<div class="elementor-widget">t</div>', True),
+        ('<span id="menu">t</span>', True),
+        ('<div class="related-posts">t</div>', False),
+        ('<div class="post-comments">t</div>', False),
+        ('<div id="adSlot">t</div>', False),
+        ('<ul class="x share_buttons">t</ul>', False),
+        ('<div role="note">t</div>', True),
+    ],
+)
+def test_op1_names_are_evidence_only_if_they_say_nothing_else(inner, kept):
+    texts, undecided = html_text.split_page(f"<article><p>start</p>{inner}<p>end</p></article>")
+    assert texts[0] == "start" and texts[-1] == "end" and (len(texts) == 3) == kept and not any(undecided)
+
+
+def test_op1_articles_long_and_short():
+    page = "<main><h1>Page</h1><article><p>" + "long " * 400 + "</p></article><article>short but own</article><article><a href=x>Teaser of another page</a> more</article></main>"
+    texts, undecided = html_text.split_page(page)
+    assert texts == ["Page", ("long " * 400).strip(), "short but own"] and undecided == [True, False, False]
+    assert html_text.split_page("<article><a>all</a></article>")[0] == ["all"]
+
+
+def test_op1_noise_without_telling_names(spark):
+    """Noise in plain div elements, in three short blocks with decided noise between them: only the suffix array can tell."""
+    bar = [" ".join(f"b{k}{i}" for i in range(6)) for k in range(4)]
+    noise = f"<div>{bar[0]}</div><nav>n</nav><div>{bar[1]}</div><div class=ad>a</div><div>{bar[2]}</div><div>{bar[3]}</div>"
+    own = [(i, f"http://a.example/{i}", f"<div>{' '.join(f'w{i}x{k}' for k in range(40))}</div>{noise}") for i in range(3)]
+    copied = "<div>" + " ".join(f"c{k}" for k in range(50)) + "</div>"
+    own += [(10 + i, f"http://c.example/?p={i}", copied + f"<nav>{i}</nav>") for i in range(5)]  # copies of one page of a host
+    own += [(20 + i, "http://d.example/", f"<main><article><p>art {i}</p></article><div>{' '.join(bar)}</div><div>{i} own</div></main>") for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(own, "page_id long, url string, html string")).collect()}
+    for i in range(3):
+        assert got[i] == " ".join(f"w{i}x{k}" for k in range(40))
+        assert got[10 + i] == " ".join(f"c{k}" for k in range(50))
+        assert got[20 + i] == f"art {i}\n{i} own"
+
+
+def brute_force_uncovered(pages, depth=16, least=3):
+    """For each (host, undecided blocks): tokens not in any window of depth tokens that stands on least different pages of the host."""
+    holders = collections.defaultdict(set)
+    for host, blocks in pages:
+        w = " ".join(blocks).split()
+        for i in range(len(w) - depth + 1):
+            holders[host, tuple(w[i : i + depth])].add(tuple(blocks))
+    out = []
+    for host, blocks in pages:
+        w = " ".join(blocks).split()
+        gone = {j for i in range(len(w) - depth + 1) if len(holders[host, tuple(w[i : i + depth])]) >= least for j in range(i, i + depth)}
+        at, texts = 0, []
+        for b in blocks:
+            n = len(b.split())
+            texts.append(" ".join(w[j] for j in range(at, at + n) if j not in gone))
+            at += n
+        out.append("\n".join(t for t in texts if t))
+    return out
+
+
+def test_op1_suffix_array_brute_force(spark):
+    r = np.random.default_rng(8)
+    parts = [" ".join(f"p{k}t{i}" for i in range(int(r.integers(3, 30)))) for k in range(12)]
+    pages = [(f"h{r.integers(2)}.example", [parts[k] for k in r.choice(12, int(r.integers(1, 5)))] + [f"u{j}"] * int(r.integers(0, 3))) for j in range(60)]
+    pages += pages[:7]
+    own = [(i, f"http://{h}/{i}", "".join(f"<div>{b}</div>" for b in blocks)) for i, (h, blocks) in enumerate(pages)]
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(own, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[i] for i in range(len(pages))] == brute_force_uncovered(pages)
 
 
 def plain_fingerprint(text):
@@ -268,13 +342,34 @@ def check_packing(got, ids):
             at += r.length
         assert at <= 2048
         padding += 0 if at & (at - 1) == 0 else 2048 - at
-    assert padding <= 0.01 * sum(map(len, ids.values()))
+    assert padding <= 0.01 * sum(map(len, ids.values())) and len(by_seq) > 0
 
 
 def test_op8_pieces(spark, docs, tokenizer):
     check_packing(rows(spark, "op8_packing"), {k: tokenizer.encode(v, add_special_tokens=False).ids + [1] for k, v in docs.items()})
 
 
+@pytest.mark.parametrize("segments,n", [(256, 5000), (7, 300), (100_000, 5000)])
+def test_op8_short_documents(tokenizer, segments, n):
+    """Documents of three tokens: hardly any padding, and the limit on segments holds in every sequence, the last ones too."""
+    own, ids = packing.Sequences(5 << 40, 2048, segments), {k: [10 + k % 50, 11, 1] for k in range(n)}
+    ids[n] = list(range(3000))
+    rows = [r for k, v in ids.items() for r in own.add(k, np.array(v, "<u4").tobytes())] + list(own.pack(True))
+    names = collections.namedtuple("Piece", "doc_id start length ids_crc32 doc_tokens sequence_id offset")
+    rows = [names(*r) for r in rows]
+    check_packing(rows, ids)
+    assert max(collections.Counter(r.sequence_id for r in rows).values()) <= segments
+
+
+def test_op7_op8_long_pieces(tokenizer):
+    counter, ids = token_counts.TokenCounter(tokenizer_path("word_bpe_49k.json")), packing.Ids(tokenizer_path("word_bpe_49k.json"))
+    for text in ("ab12cd-ef," * 4000, "x" * 5000, "don't" * 900 + ".", "é1" * 700, "日本" * 600 + " a", "q" * 65 + ",", "a" * 64 + "."):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert counter.count_batch([text.encode()]) == [len(want)], text[:20]
+        assert np.frombuffer(ids(text.encode()), "<u4").tolist() == want, text[:20]
+    assert max(map(len, [*ids.memo, *counter.pieces, *counter.merged])) <= 64
+
+
 def test_op8_examples_keep_all_limits(spark):
     rng = np.random.default_rng(3)
     own = [(i, int(n), int(n * rng.random())) for i, n in enumerate(rng.integers(1, 900, 500))]
