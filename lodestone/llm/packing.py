@@ -3,7 +3,8 @@
 An example demands tokens, one segment, and loss-bearing tokens; a sequence has a limit for each. The open sequence takes,
 of the examples that fit, the one whose demand has the largest dot product with what is left of the sequence (both as
 shares of the limits, weighted by mean demand). Each partition packs its own rows in blocks, so no shuffle is needed, a
-rerun of a task gives the same sequences, and memory is bounded by one block.
+rerun of a task gives the same sequences, and memory is bounded by one block. Documents may be cut: a sequence that has
+all the segments it may have, but not all the tokens, is cut at a power of two, which needs no padding.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ BLOCK = 1024
 #: Segments that a sequence may have.
 SEGMENTS = 256
 MEMO = 1_000_000
+#: Bytes of the longest piece that is kept in the memo.
+LONG_PIECE = 64
 #: Pieces that are encoded as one text.
 JOINED = 512
 
@@ -94,6 +97,10 @@ class Ids:
                     new = set(words)
                 self.learn(new)
             out.append(b"".join(map(self.memo.__getitem__, words)))
+            for w in new:
+                if len(w) > LONG_PIECE:  # the memo is bounded in bytes, not in pieces alone
+                    self.memo.pop(w, None)
+                    self.memo.pop(w[:-1], None)
         return b"".join(out)
 
     def joined(self, block: list[tuple[bytes, str]]) -> list[tuple[bytes, str]]:
@@ -114,7 +121,17 @@ class Ids:
         odd, plain = [], []
         for word in (new.difference(ended) | {*ended.values()}).difference(self.memo):
             text = word.decode()
-            plain.append((word, text)) if PLAIN.fullmatch(text) and "<|" not in text else odd.append((word, text))
+            if not PLAIN.fullmatch(text) or "<|" in text:
+                odd.append((word, text))
+            elif len(word) <= LONG_PIECE:
+                plain.append((word, text))
+            else:  # by its pre-tokens, of which a long piece repeats many
+                parts = [t.encode() for t in PRE.findall(text.lower())]
+                if len(parts) == 1:
+                    odd.append((word, text))
+                    continue
+                self.learn(set(parts).difference(self.memo))
+                self.memo[word] = b"".join(map(self.memo.__getitem__, parts))
         for at in range(0, len(plain), JOINED):
             odd += self.joined(plain[at : at + JOINED])
         for (word, _), e in zip(odd, self.tokenizer.encode_batch_fast([t for _, t in odd], add_special_tokens=False)):
@@ -134,6 +151,7 @@ class Sequences:
     def __init__(self, base: int, size: int, segments: int):
         self.next, self.size, self.limits = base, size, np.array([size, segments, size])
         self.waiting: list[tuple[object, int, bytes, int]] = []  # doc, start, ids, tokens of the document
+        self.due = BLOCK
 
     def row(self, doc, start, ids, doc_tokens, offset):
         return doc, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, self.next, offset
@@ -146,47 +164,47 @@ class Sequences:
             self.next += 1
         if tail := ids[full * step :]:
             self.waiting.append((doc, full * self.size, tail, total))
-        if len(self.waiting) >= BLOCK:
+        if len(self.waiting) >= self.due:
             yield from self.pack(False)
+            self.due = len(self.waiting) + BLOCK
+
+    def emit(self, pieces: list, tokens: int):
+        """The rows of a sequence with the first tokens of the pieces; returns what is left of them."""
+        offset, left = 0, []
+        for doc, start, ids, total in pieces:
+            n = min(tokens - offset, len(ids) // 4)
+            if n:
+                yield self.row(doc, start, ids[: 4 * n], total, offset)
+                offset += n
+            if 4 * n < len(ids):
+                left.append((doc, start + n, ids[4 * n :], total))
+        self.next += 1
+        return left
 
     def pack(self, last: bool):
-        """Packs what waits. Sequences that are not full wait for the next block; at the last, they are cut at powers of two, which need no padding."""
+        """Packs what waits. Sequences that are neither full nor have all their segments wait for the next block; at the last, they are cut at powers of two."""
         demand = np.array([[len(w[2]) // 4, 1, len(w[2]) // 4] for w in self.waiting]).reshape(-1, 3)
         kept = []
         for chosen in place(demand, self.limits, cut=True):
             used = sum(c[2] for c in chosen)
             pieces = [(self.waiting[i][0], self.waiting[i][1] + at, self.waiting[i][2][4 * at : 4 * (at + n)], self.waiting[i][3]) for i, at, n in chosen]
-            if used == self.size or (len(chosen) >= self.limits[1] and not last):
-                offset = 0
-                for doc, start, ids, total in pieces:
-                    yield self.row(doc, start, ids, total, offset)
-                    offset += len(ids) // 4
-                self.next += 1
-            else:
-                kept += pieces
+            if used == self.size or len(chosen) >= self.limits[1]:
+                pieces = yield from self.emit(pieces, used if used == self.size else 1 << used.bit_length() - 1)
+            kept += pieces
         self.waiting = kept
-        if last:
-            yield from self.powers()
-
-    def powers(self):
-        left = sum(len(w[2]) // 4 for w in self.waiting)
-        room = offset = 0
-        for doc, start, ids, total in self.waiting:
-            while ids:
-                if not room:
-                    room, offset = min(self.size, 1 << (left.bit_length() - 1)), 0
-                n = min(room, len(ids) // 4)
-                yield self.row(doc, start, ids[: 4 * n], total, offset)
-                ids, start, offset, room, left = ids[4 * n :], start + n, offset + n, room - n, left - n
-                self.next += not room
-        self.waiting = []
+        while last and self.waiting:
+            few, rest = self.waiting[: int(self.limits[1])], self.waiting[int(self.limits[1]) :]
+            tokens = sum(len(w[2]) // 4 for w in few)
+            left = yield from self.emit(few, min(self.size, 1 << tokens.bit_length() - 1))
+            self.waiting = left + rest
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, segments: int = SEGMENTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every document's ids and end_id.
 
     A document without text (null or empty) is its end id alone. Repeated rows are packed as documents of their own. All
-    ids of a document bear loss. Sequence ids hold the partition's number, so they are distinct without a shuffle.
+    ids of a document bear loss, so its loss-bearing tokens never limit a sequence before its tokens do (pack_examples has
+    examples for which they do). Sequence ids hold the partition's number, so they are distinct without a shuffle.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()

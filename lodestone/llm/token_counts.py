@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import binary_list, slices, table, tokenizer_path
 
 MEMO = 1_000_000
+#: Bytes of the longest piece or pre-token that is kept in the memo.
+LONG_PIECE = 64
 #: Characters that are stable under NFC, lower-case one to one, and whose letters are exactly the class in PRE.
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -50,6 +52,9 @@ class TokenCounter:
         self.merged.update(zip(rest, self.lengths(rest)))
         for piece, parts in split.items():
             self.pieces[piece] = sum(1 if t in self.whole else self.merged[t] for t in parts)
+        for t in rest:
+            if len(t) > LONG_PIECE:
+                del self.merged[t]
         self.pieces.update(zip(odd, self.lengths([p.decode() for p in odd])))
 
     def count_batch(self, texts: list[bytes]) -> list[int]:
@@ -64,6 +69,9 @@ class TokenCounter:
                         new = set(words)
                     self.learn(list(new))
                 total += sum(map(self.pieces.__getitem__, words))
+                for w in new:
+                    if len(w) > LONG_PIECE:  # the memo is bounded in bytes, not in pieces alone
+                        del self.pieces[w]
             out.append(total)
         return out
 
