@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a trie of n-grams over them."""
+"""Elias-Fano sequences and a trie of n-grams over them, queried where they lie."""
 
 from __future__ import annotations
 
@@ -7,89 +7,134 @@ import tempfile
 
 import numpy as np
 
-WORD_BITS = 15
+#: Bits of an n-gram key that stand for its last two words, and for the word before them.
+PAIR_BITS, BEFORE_BITS = 42, 22
+#: 64-bit words between two entries of the directory of a sequence's unary part.
+STEP = 8
+CODES = 65_535
+#: The place of the r-th set bit of each byte.
+PLACE = np.array([[([k for k in range(8) if b >> k & 1] + [8] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of the values, one after the other."""
     if not bits or not len(values):
         return np.zeros(8, np.uint8)
-    out = np.packbits((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1) != 0, bitorder="little")
-    return np.concatenate([out, np.zeros(8, np.uint8)])  # so that 8 bytes can be read anywhere
+    parts = []
+    for at in range(0, len(values), 1 << 16):  # 64 Ki values fill whole bytes, whatever the bits
+        part = values[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        parts.append(np.packbits(np.unpackbits(part, axis=1, bitorder="little")[:, :bits], bitorder="little"))
+    return np.concatenate([*parts, np.zeros(8, np.uint8)])  # so that 8 bytes can be read anywhere
 
 
 def encode(values: np.ndarray, universe: int) -> bytes:
-    """The bytes of a sequence of values that never fall, all below universe: low bits packed, high parts in unary."""
+    """The bytes of a sequence of values that never fall, all below universe: low bits packed, high parts in unary, and a sampled directory of the unary part."""
     values = values.astype(np.uint64)
     n = len(values)
     low = max(0, (universe // max(1, n)).bit_length() - 1)
     lows = _pack(values & np.uint64((1 << low) - 1), low)
-    high = np.zeros(n + (universe >> low) + 1, np.uint8)
+    lows = np.concatenate([lows, np.zeros(-len(lows) % 8, np.uint8)])
+    size = n + (universe >> low) + 2
+    high = np.zeros(-(-size // (64 * STEP)) * 64 * STEP, np.uint8)
     high[(values >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
     highs = np.packbits(high, bitorder="little")
-    return struct.pack("<qqqq", n, low, len(lows), len(highs)) + lows.tobytes() + highs.tobytes()
+    ones = np.bitwise_count(highs.view("<u8")).reshape(-1, STEP).sum(1, dtype=np.int64)
+    directory = np.concatenate([[0], np.cumsum(ones)]).astype("<i8")
+    return struct.pack("<qqqqq", n, low, len(lows), len(highs), len(directory) * 8) + lows.tobytes() + highs.tobytes() + directory.tobytes()
 
 
 class Sequence:
-    """Random access to an encoded sequence at an offset of a byte array, which may be a memory map."""
+    """Random access and successor search in an encoded sequence at an offset of a byte array, which may be a memory map; nothing is decoded but what is asked."""
 
-    def __init__(self, data: np.ndarray, at: int = 0):
-        self.n, self.low, lows, highs = struct.unpack("<qqqq", data[at : at + 32].tobytes())
-        self.lows = data[at + 32 : at + 32 + lows]
-        bits = data[at + 32 + lows : at + 32 + lows + highs]
-        self.select = np.flatnonzero(np.unpackbits(bits, bitorder="little")).astype(np.int64)  # the directory of set bits
-        self.end = at + 32 + lows + highs
-        self.held: np.ndarray | None = None
+    HEAD = 40
 
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        high = (self.select[i] - i) << self.low
+    def __init__(self, data: np.ndarray, at: int = 0):
+        self.n, self.low, lows, highs, directory = struct.unpack("<qqqqq", data[at : at + self.HEAD].tobytes())
+        at += self.HEAD
+        self.lows = data[at : at + lows]
+        self.words = data[at + lows : at + lows + highs].view("<u8")
+        self.ones = data[at + lows + highs : at + lows + highs + directory].view("<i8")
+        self.end = at + lows + highs + directory
+
+    def _place(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """The place in the unary part of the k-th (from 0) one or zero."""
+        before = self.ones if ones else np.arange(len(self.ones)) * (64 * STEP) - self.ones
+        block = np.searchsorted(before, k, "right") - 1
+        rest = k - before[block]
+        words = self.words[block[:, None] * STEP + np.arange(STEP)]
+        if not ones:
+            words = ~words
+        word, rest = _step(np.bitwise_count(words), rest)
+        eight = np.ascontiguousarray(words[np.arange(len(k)), word]).view(np.uint8).reshape(-1, 8)
+        byte, rest = _step(np.bitwise_count(eight), rest)
+        return block * (64 * STEP) + word * 64 + byte * 8 + PLACE[eight[np.arange(len(k)), byte], rest]
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
-            return high
+            return np.zeros(len(i), np.int64)
         bit = i * self.low
         eight = np.ascontiguousarray(self.lows[(bit >> 3)[:, None] + np.arange(8)]).view("<u8").ravel()
-        return high | ((eight >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)).astype(np.int64)
+        return ((eight >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)).astype(np.int64)
 
-    def values(self) -> np.ndarray:
-        """All values in order: 8 bytes each, held while the level is asked."""
-        if self.held is None:
-            self.held = self[np.arange(self.n)]
-        return self.held
-
-    def successor(self, first: np.ndarray, stop: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """For each query the least index in [first, stop) whose value is at least the query's, or stop. Queries that come in order are met in order."""
-        return np.clip(np.searchsorted(self.values(), values), first, stop)
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return (self._place(i, True) - i) << self.low | self._low(i)
+
+    def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[first, stop) of the values whose high part is the one asked: what lies between two zeros."""
+        first = np.where(high > 0, self._place(np.maximum(high - 1, 0), False) + 1 - high, 0)
+        return first, self._place(high, False) - high
+
+    def find(self, first: np.ndarray | int, stop: np.ndarray | int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, whether it holds the value) of the successor of each value in [first, stop): the least index there whose value is at least the one asked, or stop.
+
+        Only the bucket of the value's high part inside [first, stop) is searched, by halving, in the packed low bits.
+        """
+        a, b = self.bucket(values >> self.low)
+        a, b = np.minimum(np.maximum(a, first), stop), np.maximum(np.minimum(b, stop), first)
+        end, sought = b.copy(), values & ((1 << self.low) - 1)
+        while len(rows := np.flatnonzero(a < b)):
+            middle = (a[rows] + b[rows]) >> 1
+            less = self._low(middle) < sought[rows]
+            a[rows[less]] = middle[less] + 1
+            b[rows[~less]] = middle[~less]
+        found = np.flatnonzero(a < end)
+        held = np.zeros(len(values), bool)
+        held[found] = self._low(a[found]) == sought[found]
+        return a, held
+
+
+def _step(counts: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In rows of counts: the column in which each running total passes rest, and what is left of rest there."""
+    sums = np.cumsum(counts, 1, dtype=np.int16)
+    column = np.minimum((sums <= rest[:, None]).sum(1), counts.shape[1] - 1)
+    rows = np.arange(len(rest))
+    return column, rest - (sums[rows, column] - counts[rows, column])
 
 
 def _codebook(weights: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Weights as 8-bit codes on an even scale between their least and greatest."""
+    """Weights as 16-bit codes on an even scale between their least and greatest."""
     least, most = (float(weights.min()), float(weights.max())) if len(weights) else (0.0, 0.0)
-    step = (most - least) / 255 or 1.0
-    return struct.pack("<dd", least, step), np.rint((weights - least) / step).astype(np.uint8)
+    step = (most - least) / CODES or 1.0
+    return struct.pack("<dd", least, step), np.rint((weights - least) / step).astype("<u2")
 
 
 class Trie:
-    """Three levels of word ids, each a sequence relative to its context: a node's value is its parent's index times 2^15 plus its id.
+    """Two levels over n-gram keys: the last two words, and under each the words before them, relative to their parent.
 
-    Pointers (monotone) give each node's children; weights of the second and third level are quantised to 8 bits.
+    A node of the lower level has the value parent << BEFORE_BITS | word; monotone pointers give each parent's children.
+    Weights of both levels are quantised to 16 bits.
     """
 
     @staticmethod
     def build(keys: np.ndarray, second: np.ndarray, third: np.ndarray) -> bytes:
-        """keys: rising (a << 30 | b << 15 | c); second: a weight for each distinct (a, b); third: one for each key."""
-        pair, start2 = np.unique(keys >> WORD_BITS, return_index=True)
-        top, start1 = np.unique(pair >> WORD_BITS, return_index=True)
-        mask = (1 << WORD_BITS) - 1
-        parent2 = np.repeat(np.arange(len(top)), np.diff(np.append(start1, len(pair))))
-        parent3 = np.repeat(np.arange(len(pair)), np.diff(np.append(start2, len(keys))))
-        parts = [
-            encode(top, 1 << WORD_BITS),
-            encode(np.append(start1, len(pair)), len(pair) + 1),
-            encode((parent2 << WORD_BITS) | (pair & mask), max(1, len(top)) << WORD_BITS),
-            encode(np.append(start2, len(keys)), len(keys) + 1),
-            encode((parent3 << WORD_BITS) | (keys & mask), max(1, len(pair)) << WORD_BITS),
-        ]
+        """keys: rising (pair << BEFORE_BITS | word before), unsigned; second: a weight for each distinct pair; third: one for each key."""
+        pair, start = np.unique(keys >> np.uint64(BEFORE_BITS), return_index=True)
+        parent = np.repeat(np.arange(len(pair), dtype=np.uint64), np.diff(np.append(start, len(keys))))
+        below = parent << np.uint64(BEFORE_BITS) | keys & np.uint64((1 << BEFORE_BITS) - 1)
+        parts = [encode(pair, 1 << PAIR_BITS), encode(np.append(start, len(keys)), len(keys) + 1), encode(below, max(1, len(pair)) << BEFORE_BITS)]
         for weights in (second, third):
             scale, codes = _codebook(weights)
-            parts.append(scale + codes.tobytes())
+            parts.append(scale + codes.tobytes() + bytes(-len(codes) * 2 % 8))
         return b"".join(parts)
 
     def __init__(self, data: bytes):
@@ -97,35 +142,32 @@ class Trie:
         self.file.write(data)
         self.file.flush()
         mapped = np.memmap(self.file, np.uint8, "r")
-        at, parts = 0, []
-        for _ in range(5):
-            parts.append(Sequence(mapped, at))
-            at = parts[-1].end
-        self.top, self.pointers1, self.middle, self.pointers2, self.bottom = parts
-        self.scales, self.codes = [], []
-        for n in (self.middle.n, self.bottom.n):
+        self.pairs = Sequence(mapped)
+        self.pointers = Sequence(mapped, self.pairs.end)
+        self.below = Sequence(mapped, self.pointers.end)
+        at, self.scales, self.codes = self.below.end, [], []
+        for n in (self.pairs.n, self.below.n):
             self.scales.append(struct.unpack("<dd", mapped[at : at + 16].tobytes()))
-            self.codes.append(mapped[at + 16 : at + 16 + n])
-            at += 16 + n
+            self.codes.append(mapped[at + 16 : at + 16 + 2 * n].view("<u2"))
+            at += 16 + -(-2 * n // 8) * 8
 
     def weights(self, keys: np.ndarray) -> np.ndarray:
-        """For each key the weight of its (a, b) plus that of (a, b, c), zero for what the trie lacks."""
+        """For each key (rising, unsigned) the weight of its pair plus its own, zero for what the trie lacks."""
         out = np.zeros(len(keys))
-        if not self.top.n:
+        if not self.pairs.n or not len(keys):
             return out
-        a, b, c = keys >> (2 * WORD_BITS), (keys >> WORD_BITS) & ((1 << WORD_BITS) - 1), keys & ((1 << WORD_BITS) - 1)
-        rows = np.arange(len(keys))
-        zero = np.zeros(len(keys), np.int64)
-        rows, node = self._step(self.top, rows, zero, zero + self.top.n, a)
-        for level, (pointers, sequence, ids) in enumerate(((self.pointers1, self.middle, b), (self.pointers2, self.bottom, c))):
-            rows, node = self._step(sequence, rows, pointers.values()[node], pointers.values()[node + 1], (node << WORD_BITS) | ids[rows])
-            least, step = self.scales[level]
-            out[rows] += least + step * self.codes[level][node]
+        pair, first, spread = np.unique(keys >> np.uint64(BEFORE_BITS), return_index=True, return_inverse=True)
+        node, held = self.pairs.find(0, self.pairs.n, pair.astype(np.int64))
+        out += np.where(held, self._weight(0, np.where(held, node, 0)), 0.0)[spread]
+        rows = np.flatnonzero(held[spread])
+        own = node[spread[rows]]
+        parents, inverse = np.unique(own, return_inverse=True)
+        start, stop = self.pointers[parents][inverse], self.pointers[parents + 1][inverse]
+        before = (keys[rows] & np.uint64((1 << BEFORE_BITS) - 1)).astype(np.int64)
+        node, held = self.below.find(start, stop, own << BEFORE_BITS | before)
+        out[rows[held]] += self._weight(1, node[held])
         return out
 
-    @staticmethod
-    def _step(sequence: Sequence, rows: np.ndarray, first: np.ndarray, stop: np.ndarray, values: np.ndarray):
-        at = sequence.successor(first, stop, values)
-        inside = at < stop
-        inside[inside] = sequence.values()[at[inside]] == values[inside]
-        return rows[inside], at[inside]
+    def _weight(self, level: int, node: np.ndarray) -> np.ndarray:
+        least, step = self.scales[level]
+        return least + step * self.codes[level][node]

@@ -1,19 +1,26 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie.
 
-The model is a trigram model over the commonest words (all others are one class, within which a word has its smoothed
-unigram share), with the hierarchical Dirichlet smoothing of MacKay and Peto:
+A trigram model over all words, with hierarchical Dirichlet smoothing (MacKay and Peto) in which the strength of the
+bigram prior follows the count of the word before:
 
-    P(w | u v) = (c(u v w) + B P(w | v)) / (c(u v) + B),  P(w | v) = (c(v w) + A P(w)) / (c(v) + A)
+    P(w) = (c(w) + 1) / (N + V + 1),  P(w | v) = (c(v w) + A P(w)) / (c(v) + A),
+    P(w | u v) = (c(u v w) + B(v) P(w | v)) / (c(u v) + B(v)),  B(v) = (c(v) + A) / K
 
 Its logarithm is a sum over n-grams that occur: log P(w) + back(v) + W(v w) + back(u v) + W(u v w), with
-W(v w) = log(1 + c(v w) / (A P(w))), W(u v w) = log(1 + c(u v w) / (B P(w | v))) and back(x) = log(A or B / (c(x) + A or B)).
-So each shard of the trie, which holds the trigrams of its (v, w), adds up its own part of every document's score, and no
-task needs the whole trie. Documents reach the shards as blocks: the distinct n-grams of about a million tokens with the
-documents that hold them.
+W(v w) = log(1 + c(v w) / (A P(w))), W(u v w) = log(1 + K c(u v w) / (c(v w) + A P(w))), back(v) = log(A / (c(v) + A)) and
+back(u v) = log(B(v) / (c(u v) + B(v))). What an n-gram (.. v w) needs is counts of itself, of (v w) and of w, so each shard
+of the trie, which holds the trigrams of its (v, w), adds up its own part of every document's score. Documents reach the
+shards as blocks: the distinct n-grams of about a million tokens with the documents that hold them. Shards are as many
+as the training tokens need, so that neither a shard nor what is asked of it grows with the corpus. A and K are those
+that give the training texts, each token left out in turn, the greatest likelihood.
+
+The commonest words have small ids, and their counts reach every task; all other words are met by hashes of their bytes,
+and their counts by joins. That is for speed alone: all words are in the model, and all n-grams in the trie.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -21,16 +28,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import binary_list, crc_of_id, cut, shuffle_partitions, slices, table
-from lodestone.llm.elias_fano import WORD_BITS, Trie
+from lodestone.llm.elias_fano import BEFORE_BITS, Trie
 
-#: Words that have ids of their own; the ids must fit WORD_BITS.
-VOCABULARY = 32_000
+#: Words with ids of their own, whose counts are broadcast; ids have WORD_BITS bits.
+COMMON, WORD_BITS = 130_000, 17
+#: Bits of a pair's first word if that is rare and the last is not.
+V_BITS = 40 - WORD_BITS
 UNKNOWN, START, END, FIRST = range(4)
-#: Strength of the unigram and of the bigram prior, in tokens.
-A, B = 2_000.0, 200.0
+#: Values of A and K that are tried.
+STRENGTHS, TRUSTS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0), (0.1, 0.4, 1.6, 6.4, 25.6, 102.4, 409.6, 1638.4)
+#: Training tokens of a shard: at most, and at least where shards are only as many as shuffle partitions.
+SHARD_TOKENS, LEAST_TOKENS = 4_000_000, 250_000
 BLOCK = 1 << 20
 MEMO = 1_000_000
-MASK = (1 << WORD_BITS) - 1
+#: Bytes of the longest word that is kept in the memo.
+LONG_WORD = 64
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -83,33 +95,38 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class Vocabulary:
-    """What every task needs: hashes of the words with ids, by id, and counts. Its size is bounded by VOCABULARY."""
+def by_shard(shards: np.ndarray, count: int):
+    """(shard, slice) of runs, for rows ordered by shard."""
+    edges = np.searchsorted(shards, np.arange(count + 1))
+    for s in range(count):
+        if edges[s] < edges[s + 1]:
+            yield s, slice(edges[s], edges[s + 1])
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, types: int, texts: int, rare: tuple[int, int]):
+
+class Words:
+    """What every task needs of the training words: hashes and counts of the common ones, by id, and totals."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, types: int, texts: int):
         self.hashes, self.tokens, self.types, self.texts = hashes, tokens, types, texts
-        self.rare_tokens, self.rare_types = rare
-        self.counts = np.concatenate([[self.rare_tokens, texts, texts], counts]).astype(np.float64)
-        own = self.counts + 1
-        own[START] = 0
-        self.log_p = np.log10(np.maximum(own, 1e-300) / own.sum())
-        self.back = np.log10(A / (self.counts + A))
-        known = np.concatenate([[0, 0, texts], counts])
-        self.base = np.log10((known + 1.0) / (tokens + types + 1))
-        self.known = known > 0
-
-    @property
-    def p(self) -> np.ndarray:
-        return 10**self.log_p
-
-    @property
-    def first(self) -> float:
-        """What the context of two starts adds to a text's first token."""
-        return float(np.log10(B / (self.texts + B)))
-
-
-def vocabulary(words: DataFrame, texts: int, size: int = VOCABULARY) -> tuple[Vocabulary, int]:
-    """The vocabulary of the word counts, and the least count of its words. Words of one count class are in or out together."""
+        self.counts = np.concatenate([[0, texts, texts], counts]).astype(np.float64)
+        self.strength, self.trust = 1.0, 1.0
+
+    def p(self, counts):
+        """The unigram probability of a word with this count."""
+        return (counts + 1.0) / (self.tokens + self.types + 1)
+
+    def back(self, counts):
+        """log10 of what the bigram level leaves to the unigrams after a word with this count."""
+        return np.log10(self.strength / (counts + self.strength))
+
+    def back2(self, pair_counts, counts):
+        """log10 of what the trigram level leaves to the bigrams after a pair, the last word of which has this count."""
+        b = (counts + self.strength) / self.trust
+        return np.log10(b / (pair_counts + b))
+
+
+def common_words(words: DataFrame, texts: int, size: int = COMMON) -> tuple[Words, int]:
+    """The words that get ids, and the least count of them. Words of one count class are in or out together."""
     row = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     bucket = F.floor(F.log2("c") * 16)
     sizes = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).orderBy(F.desc("b")).collect()  # 1,024 rows at most
@@ -120,19 +137,17 @@ def vocabulary(words: DataFrame, texts: int, size: int = VOCABULARY) -> tuple[Vo
         n, least = n + r.n, r.least
     own = words.where(F.col("c") >= least).orderBy(F.desc("c"), "h").collect()  # size rows at most
     hashes, counts = np.array([r.h for r in own], np.int64), np.array([r.c for r in own], np.int64)
-    kept = int(counts.sum())
-    return Vocabulary(hashes, counts, int(row[0]) + texts, int(row[1]) + bool(texts), texts, (int(row[0]) - kept, int(row[1]) - len(own))), least
+    return Words(hashes, counts, int(row[0]) + texts, int(row[1]) + bool(texts), texts), least
 
 
 class Reader:
-    """Texts as word ids; rare words also as hashes. The memo holds a word's id, or its hash if it is rare."""
+    """Texts as codes of words: ids of the common ones, hashes of the others."""
 
-    def __init__(self, known: Vocabulary):
+    def __init__(self, known: Words):
         self.by_hash = {h: i for i, h in enumerate(known.hashes.tolist(), FIRST)}
         self.memo: dict[bytes, int] = {}
 
-    def ids(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, hashes of the rare ones in order)."""
+    def codes(self, text: bytes) -> np.ndarray:
         found, memo, by_hash = [], self.memo, self.by_hash
         for part in slices(text):
             words = part.lower().split()
@@ -144,32 +159,103 @@ class Reader:
                 h = word_hash(w)
                 memo[w] = by_hash.get(h, h)
             found.append(np.array(list(map(memo.__getitem__, words)), np.int64))
-        codes = np.concatenate(found) if found else np.zeros(0, np.int64)
-        rare = codes >> WORD_BITS != 0
-        return np.where(rare, UNKNOWN, codes), codes[rare]
+            for w in new:
+                if len(w) > LONG_WORD:
+                    del memo[w]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def trigrams(ids: np.ndarray) -> np.ndarray:
-    """Keys (v, w, u) of every word and the end of a text."""
-    padded = np.concatenate([[START, START], ids, [END]]).astype(np.int64)
-    return ((padded[1:-1] << WORD_BITS | padded[2:]) << WORD_BITS) | padded[:-2]
+def rare(codes: np.ndarray) -> np.ndarray:
+    """Which codes are hashes."""
+    return codes >> WORD_BITS != 0
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of (v, w) of trigram keys."""
-    return (((keys >> WORD_BITS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
+def mixed(codes: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
+    x = codes.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(32)) + np.asarray(more, np.int64).view(np.uint64)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
 
 
-def by_shard(shards: np.ndarray, count: int):
-    """(shard, slice) of runs, for rows ordered by shard."""
-    edges = np.searchsorted(shards, np.arange(count + 1))
-    for s in range(count):
-        if edges[s] < edges[s + 1]:
-            yield s, slice(edges[s], edges[s + 1])
+def top(x: np.ndarray, bits: int) -> np.ndarray:
+    return x >> np.uint64(64 - bits)
+
+
+def gram_keys(texts: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, shards, texts' numbers) of the trigram (u, v, w) that ends at each word, and at the end, of the texts.
+
+    A key is the pair (v, w), PAIR_BITS, then u, BEFORE_BITS. Common words have their ids in it, others as many bits of their
+    hashes as there is room for, so that few n-grams of rare words share a key. A pair with a rare w lies in the shard of w.
+    """
+    start, end = np.array([START, START], np.int64), np.array([END], np.int64)
+    line = np.concatenate([x for t in texts for x in (start, t, end)])
+    sizes = np.array([len(t) + 3 for t in texts])
+    number = np.repeat(np.arange(len(texts)), sizes)[2:]
+    inside = number == np.repeat(np.arange(len(texts)), sizes)[:-2]
+    seldom, hashed = rare(line), mixed(line)
+    u, v, w = slice(0, -2), slice(1, -1), slice(2, None)
+    plain = line.view(np.uint64)
+    before = np.where(seldom, np.uint64(1 << BEFORE_BITS - 1) | top(hashed, BEFORE_BITS - 1), plain)[u]
+    w_rare, v_rare = seldom[w], seldom[v]
+    pair = plain[v] << np.uint64(WORD_BITS) | plain[w]
+    pair = np.where(v_rare, np.uint64(1 << 40) | plain[w] << np.uint64(V_BITS) | top(hashed, V_BITS)[v], pair)
+    pair = np.where(w_rare, np.uint64(2 << 40) | top(hashed, 24)[w] << np.uint64(16) | top(hashed, 16)[v], pair)
+    shard = np.where(w_rare, line[w] % shards, (top(mixed(line[v], line[w]), 32) % np.uint64(shards)).astype(np.int64))
+    return (pair << np.uint64(BEFORE_BITS) | before)[inside], shard[inside], number[inside]
+
+
+def word_counts_of(pairs: np.ndarray, counts: np.ndarray, known: Words) -> np.ndarray:
+    """The count of the last word of each pair (rising): a common word's is known, and all the trigrams of a rare one are in its shard."""
+    kind = (pairs >> np.uint64(40)).astype(np.int64)
+    ids = np.where(kind == 0, pairs & np.uint64((1 << WORD_BITS) - 1), (pairs >> np.uint64(V_BITS)) & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
+    out = known.counts[np.where(kind == 2, 0, ids)]
+    first = int(np.searchsorted(kind, 2))
+    if first < len(pairs):
+        _, which = np.unique(pairs[first:] >> np.uint64(16), return_inverse=True)
+        out[first:] = np.bincount(which, counts[first:])[which]
+    return out
+
+
+def ends(pairs: np.ndarray) -> np.ndarray:
+    """Which pairs end a text."""
+    kind = pairs >> np.uint64(40)
+    mask = np.uint64((1 << WORD_BITS) - 1)
+    return (kind == 0) & (pairs & mask == END) | (kind == 1) & ((pairs >> np.uint64(V_BITS)) & mask == END)
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """A stable order of unsigned keys. Sorting numbers is far faster than sorting their places, so halves of the keys are sorted with the places below them."""
+    if len(keys) >> 24:
+        return np.argsort(keys, kind="stable")
+    place, low = np.arange(len(keys), dtype=np.uint64), np.uint64((1 << 24) - 1)
+    order = (np.sort((keys & np.uint64(0xFFFFFFFF)) << np.uint64(24) | place) & low).astype(np.int64)
+    return order[(np.sort((keys[order] >> np.uint64(32)) << np.uint64(24) | place) & low).astype(np.int64)]
+
 
+def shards_of(tokens: int, partitions: int) -> int:
+    return max(1, -(-tokens // SHARD_TOKENS), min(partitions, -(-tokens // LEAST_TOKENS)))
 
-def build_trie(texts: DataFrame, known, shards: int) -> DataFrame:
-    """(s, trie): the trie of the trigrams of the column text in shards."""
+
+def labels_of(spark: SparkSession, shards: int) -> list[int]:
+    """Numbers for the shards that hashing deals evenly over the shuffle partitions."""
+    parts = shuffle_partitions(spark)
+    want = [-(-(shards - k) // parts) for k in range(parts)]
+    out: list[list[int]] = [[] for _ in range(parts)]
+    hashes = spark.range(0, 4 * shards + 16 * parts, 1, 1).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)))
+    for i, (part,) in enumerate(hashes.collect()):  # a few small rows for each shard and partition
+        if len(out[part]) < want[part]:
+            out[part].append(i)
+    if [len(x) for x in out] != want:
+        return list(range(shards))
+    return [out[s % parts][s // parts] for s in range(shards)]
+
+
+GRAMS = "s int, keys binary, counts binary"
+
+
+def gram_counts(texts: DataFrame, known, labels: list[int]) -> DataFrame:
+    """(s, keys, counts): a row for each shard with the trigrams of the column text, rising, and how often they occur."""
+    shards = len(labels)
 
     def count(batches):
         import pyarrow as pa
@@ -177,17 +263,21 @@ def build_trie(texts: DataFrame, known, shards: int) -> DataFrame:
         reader, held, n = Reader(known.value), [], 0
 
         def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            own = shard_of(keys, shards)
+            keys, own, _ = gram_keys(held, shards)
+            order = order_of(keys)
+            keys, own = keys[order], own[order]
+            starts = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint64(1)))
+            counts = np.diff(np.append(starts, len(keys)))
+            keys, own = keys[starts], own[starts].astype(np.uint16 if shards < 1 << 16 else np.int64)
             order = np.argsort(own, kind="stable")
             keys, counts, own = keys[order], counts[order], own[order]
-            rows = [(s, packed(np.diff(keys[x], prepend=0)), packed(counts[x].astype(np.int32))) for s, x in by_shard(own, shards)]
+            rows = [(labels[s], packed(np.diff(keys[x], prepend=np.uint64(0))), packed(counts[x].astype(np.uint32))) for s, x in by_shard(own, shards)]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["s", "keys", "counts"])
 
         for batch in batches:
             for text in binary_list(batch.column(0)):
-                held.append(trigrams(reader.ids(text or b"")[0]))
-                n += len(held[-1])
+                held.append(reader.codes(text or b""))
+                n += len(held[-1]) + 1
                 if n > 2 * BLOCK:
                     yield flush()
                     held.clear()
@@ -195,32 +285,76 @@ def build_trie(texts: DataFrame, known, shards: int) -> DataFrame:
         if held:
             yield flush()
 
-    def build(group):
+    def merge(group):
         import pyarrow as pa
 
-        parts = [(np.cumsum(unpacked(k, np.int64)), unpacked(c, np.int32)) for k, c in zip(group.column(1).to_pylist(), group.column(2).to_pylist())]
+        parts = [(np.cumsum(unpacked(k, np.uint64)), unpacked(c, np.uint32)) for k, c in zip(group.column(1).to_pylist(), group.column(2).to_pylist())]
         keys, counts = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(keys, kind="stable")
+        order = order_of(keys)
         keys, counts = keys[order], counts[order].astype(np.int64)
-        starts = np.flatnonzero(np.diff(keys, prepend=-1))
-        keys, c3 = keys[starts], np.add.reduceat(counts, starts)
-        pair, first = np.unique(keys >> WORD_BITS, return_index=True)
-        c2 = np.add.reduceat(c3, first)
-        v, w, own = pair >> WORD_BITS, pair & MASK, known.value
-        p1 = own.p[w]
-        p2 = (c2 + A * p1) / (own.counts[v] + A)
-        second = np.log10(1 + c2 / (A * p1)) + np.where(w == END, 0.0, np.log10(B / (c2 + B)))
-        third = np.log10(1 + c3 / (B * np.repeat(p2, np.diff(np.append(first, len(keys))))))
-        return pa.table({"s": pa.array([group.column(0)[0].as_py()], pa.int32()), "trie": pa.array([Trie.build(keys, second, third)], pa.binary())})
+        starts = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint64(1)))
+        keys, counts = keys[starts], np.add.reduceat(counts, starts)
+        row = [group.column(0)[0].as_py()], [packed(np.diff(keys, prepend=np.uint64(0)))], [packed(counts)]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("s", "keys", "counts"), row, (pa.int32(), pa.binary(), pa.binary()))})
+
+    return texts.mapInArrow(count, GRAMS).groupBy("s").applyInArrow(merge, GRAMS)
 
-    return texts.mapInArrow(count, "s int, keys binary, counts binary").groupBy("s").applyInArrow(build, "s int, trie binary")
 
+class Grams:
+    """The counts of a shard: trigram keys and their counts, pairs with theirs and those of their last words."""
 
-def requests(docs: DataFrame, known, shards: int) -> DataFrame:
+    def __init__(self, keys: bytes, counts: bytes, known: Words):
+        self.keys, self.c3 = np.cumsum(unpacked(keys, np.uint64)), unpacked(counts, np.int64)
+        self.pairs, first = np.unique(self.keys >> np.uint64(BEFORE_BITS), return_index=True)
+        self.c2 = np.add.reduceat(self.c3, first)
+        self.c1 = word_counts_of(self.pairs, self.c2, known)
+        self.p1 = known.p(self.c1)
+        self.sizes = np.diff(np.append(first, len(self.keys)))
+
+    def trie(self, known: Words) -> Trie:
+        second = np.log10(1 + self.c2 / (known.strength * self.p1)) + np.where(ends(self.pairs), 0.0, known.back2(self.c2, self.c1))
+        third = np.log10(1 + known.trust * self.c3 / np.repeat(self.c2 + known.strength * self.p1, self.sizes))
+        return Trie(Trie.build(self.keys, second, third))
+
+    def strength_terms(self) -> list[float]:
+        """For each strength, the sum over bigram tokens, each left out, of the logarithm of what its probability divides by c(v) - 1 + A."""
+        return [float((self.c2 * np.log(self.c2 - 1 + a * self.p1)).sum()) for a in STRENGTHS]
+
+    def trust_terms(self, a: float) -> list[float]:
+        """For each trust, the sum over trigram tokens, each left out, of the logarithm of its probability (less the texts' first tokens' common divisor)."""
+        rest, c1, c2 = np.repeat(self.c2 - 1 + a * self.p1, self.sizes), self.c1[~ends(self.pairs)], self.c2[~ends(self.pairs)]
+        return [float((self.c3 * np.log(k * (self.c3 - 1) + rest)).sum() - (c2 * np.log(k * (c2 - 1) + c1 - 1 + a)).sum()) for k in TRUSTS]
+
+
+def fitted(grams: DataFrame, words: DataFrame, known, texts: int) -> tuple[float, float]:
+    """(A, K) of the greatest left-one-out likelihood of all training texts: sums over shards, and over words for A."""
+    spark = grams.sparkSession
+
+    def sums(terms, size):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for k, c in zip(batch.column(1), batch.column(2)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in terms(Grams(k.as_py(), c.as_py(), known.value))], [f"t{i}" for i in range(size)])
+
+        names = [f"t{i}" for i in range(size)]
+        return list(grams.mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*(F.coalesce(F.sum(n), F.lit(0.0)) for n in names)).first())
+
+    below = words.agg(*(F.coalesce(F.sum(F.col("c") * F.log(F.col("c") - 1 + a)), F.lit(0.0)) for a in STRENGTHS)).first()
+    bigrams = sums(lambda g: g.strength_terms(), len(STRENGTHS))
+    a = STRENGTHS[int(np.argmax([x - y - texts * math.log(texts - 1 + s) for x, y, s in zip(bigrams, below, STRENGTHS)]))]
+    trigrams = sums(lambda g: g.trust_terms(a), len(TRUSTS))
+    k = TRUSTS[int(np.argmax([x - texts * math.log(t * (texts - 1) + texts - 1 + a) for x, t in zip(trigrams, TRUSTS)]))]
+    return a, k
+
+
+def requests(docs: DataFrame, known, labels: list[int]) -> DataFrame:
     """(p, s, kind, a, b, c): of each block p a row for each shard with its n-grams (kind 0) and rare words (1), and one with the documents themselves (2).
 
     A request holds its distinct keys, how many documents hold each, and those documents with the occurrences in each.
     """
+    shards = len(labels)
 
     def run(batches):
         import pyarrow as pa
@@ -229,50 +363,46 @@ def requests(docs: DataFrame, known, shards: int) -> DataFrame:
         own, reader = known.value, Reader(known.value)
         number, held = TaskContext.get().partitionId() << 32, []
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        log_p, back, seen = np.log10(own.p(own.counts)), own.back(own.counts), own.counts > 0
 
-        def grouped(keys, doc, shard):
-            """Rows of the (key, document) pairs, in shards."""
-            if keys[0] >= 0 and int(keys.max()) >> 3 * WORD_BITS == 0:  # trigram keys leave room for the document's number
-                both = np.sort(keys << 16 | doc)
-                keys, doc = both >> 16, both & 0xFFFF
-            else:
-                order = np.argsort(keys, kind="stable")  # documents come in order already
-                keys, doc = keys[order], doc[order]
-            new_key = np.diff(keys, prepend=keys[0] ^ 1) != 0
+        def grouped(keys, shard, doc):
+            """Rows of the (key, document) pairs, in shards; documents come in order."""
+            order = order_of(keys)
+            keys, doc, shard = keys[order], doc[order], shard[order]
+            new_key = np.diff(keys, prepend=keys[0] ^ np.uint64(1)) != 0
             starts = np.flatnonzero(new_key | (np.diff(doc, prepend=-1) != 0))
             times = np.diff(np.append(starts, len(keys))).astype(np.uint32)
             keys, doc = keys[starts], doc[starts].astype(np.uint16)
             first = np.flatnonzero(new_key[starts])
             holders = np.diff(np.append(first, len(keys)))
             distinct = keys[first]
-            where = shard(distinct).astype(np.uint16 if shards < 1 << 16 else np.int64)
+            where = shard[starts][first].astype(np.uint16 if shards < 1 << 16 else np.int64)
             order = np.argsort(where, kind="stable")
             for s, x in by_shard(where[order], shards):
                 mine = order[x]
                 n = holders[mine]
                 spread = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                yield s, packed(np.diff(distinct[mine], prepend=0)), packed(n.astype(np.uint32)), pack_parts([packed(doc[spread]), packed(times[spread])])
+                yield labels[s], packed(np.diff(distinct[mine], prepend=np.uint64(0))), packed(n.astype(np.uint32)), pack_parts([packed(doc[spread]), packed(times[spread])])
 
         def flush():
             nonlocal number
-            ids, texts = [h[0] for h in held], [(h[1], h[2]) for h in held]
-            doc = np.arange(len(held))
-            sizes = np.array([len(t) + 1 for t, _ in texts])
-            rows = []
-            for s, *x in grouped(np.concatenate([trigrams(t) for t, _ in texts]), np.repeat(doc, sizes), lambda k: shard_of(k, shards)):
-                rows.append((number, s, 0, *x))
-            rare = np.concatenate([r for _, r in texts])
-            if len(rare):
-                for s, *x in grouped(rare, np.repeat(doc, [len(r) for _, r in texts]), lambda h: h % shards):
-                    rows.append((number, s, 1, *x))
-            local = np.zeros((len(held), 4))
-            for i, (t, r) in enumerate(texts):
-                every = np.append(t, END)
-                before = np.append(START, t)
-                plain = every[every != UNKNOWN]
-                local[i] = len(every), own.known[plain].sum(), own.base[plain].sum(), own.log_p[every].sum() + own.back[before].sum() + own.first
+            ids, texts = [h[0] for h in held], [h[1] for h in held]
+            rows = [(number, s, 0, *x) for s, *x in grouped(*gram_keys(texts, shards))]
+            line = np.concatenate(texts)
+            doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            seldom = rare(line)
+            if seldom.any():
+                hashes = line[seldom]
+                rows += [(number, s, 1, *x) for s, *x in grouped(hashes.view(np.uint64), hashes % shards, doc[seldom])]
+            plain, doc, n = line[~seldom], doc[~seldom], len(held)
+            add = lambda values, first: first + np.bincount(doc, values, n)
+            local = np.zeros((n, 4))
+            local[:, 0] = [len(t) + 1 for t in texts]
+            local[:, 1] = add(seen[plain], float(seen[END]))
+            local[:, 2] = add(log_p[plain], log_p[END])
+            local[:, 3] = add(back[plain], back[START] + own.back2(own.texts, own.texts))  # the first token's context is two starts
+            rows.append((number, labels[number % shards], 2, pa_bytes(pa.array(ids, kind_of_id)), local.tobytes(), None))
             number += 1
-            rows.append((number - 1, (number - 1) % shards, 2, pa_bytes(pa.array(ids, kind_of_id)), local.tobytes(), None))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["p", "s", "kind", "a", "b", "c"])
 
@@ -280,7 +410,7 @@ def requests(docs: DataFrame, known, shards: int) -> DataFrame:
         for batch in batches:
             kind_of_id = batch.column(0).type
             for i, text in zip(batch.column(0).to_pylist(), binary_list(batch.column(1))):
-                held.append((i, *reader.ids(text or b"")))
+                held.append((i, reader.codes(text or b"")))
                 n += len(held[-1][1]) + 1
                 if n > BLOCK or len(held) >= 60_000:
                     yield flush()
@@ -301,30 +431,32 @@ def pa_bytes(array) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def answered(requested: DataFrame, trie: DataFrame, words: DataFrame, known, shards: int) -> DataFrame:
+def answered(requested: DataFrame, grams: DataFrame, words: DataFrame, known, labels: list[int]) -> DataFrame:
     """(p, a, b): for each request the sums for its documents: their indices, scores, and of rare words base scores and known tokens; the documents' own rows as they are."""
-    model = trie.select("s", "trie", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("c")).union(
-        words.select(F.pmod("h", F.lit(shards)).cast("int").alias("s"), F.lit(None).cast("binary").alias("trie"), "h", "c")
-    )
+    spark, shards = requested.sparkSession, len(labels)
+    named = F.broadcast(spark.createDataFrame(list(enumerate(labels)), "n int, s int"))  # a row for each shard
+    none = lambda kind: F.lit(None).cast(kind)
+    of_words = words.withColumn("n", F.pmod("h", F.lit(shards)).cast("int")).join(named, "n").select("s", none("binary").alias("keys"), none("binary").alias("counts"), "h", "c")
+    model = grams.select("s", "keys", "counts", none("long").alias("h"), none("long").alias("c")).union(of_words)
 
     def score(asked, held):
         import pyarrow as pa
 
         own = known.value
-        tries = [t for t in held.column("trie").to_pylist() if t]
-        tree = Trie(tries[0]) if tries else None
+        found = [Grams(k, c, own) for k, c in zip(held.column("keys").to_pylist(), held.column("counts").to_pylist()) if k]
+        tree = found.pop().trie(own) if found else None
         h = held.column("h").combine_chunks().drop_null().to_numpy()
         c = held.column("c").combine_chunks().drop_null().to_numpy()
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        emission = np.log10(1.0 / (own.rare_tokens + own.rare_types + 1)), np.log10(1.0 / (own.tokens + own.types + 1))
+        order = np.argsort(h.view(np.uint64))
+        h, c = h.view(np.uint64)[order], c[order]
         out = []
-        for p, kind, a, b, x in zip(*(asked.column(n).to_pylist() for n in ("p", "kind", "a", "b", "c"))):
+        for p, kind, a, b, x in zip(*(asked.column(n) for n in ("p", "kind", "a", "b", "c"))):
+            p, kind, a, b = p.as_py(), kind.as_py(), a.as_py(), b.as_py()
             if kind == 2:
                 out.append((p, a, b))
                 continue
-            keys, holders = np.cumsum(unpacked(a, np.int64)), unpacked(b, np.uint32).astype(np.int64)
-            docs, times = (unpacked(d, k).astype(np.int64) for d, k in zip(parts_of(x), (np.uint16, np.uint32)))
+            keys, holders = np.cumsum(unpacked(a, np.uint64)), unpacked(b, np.uint32).astype(np.int64)
+            docs, times = (unpacked(d, k).astype(np.int64) for d, k in zip(parts_of(x.as_py()), (np.uint16, np.uint32)))
             index = np.repeat(np.arange(len(keys)), holders)
             n = int(docs.max()) + 1
             if kind == 0:
@@ -333,8 +465,7 @@ def answered(requested: DataFrame, trie: DataFrame, words: DataFrame, known, sha
             else:
                 at = np.minimum(np.searchsorted(h, keys), max(0, len(h) - 1))
                 count = np.where(h[at] == keys, c[at], 0) if len(h) else np.zeros(len(keys), np.int64)
-                log = np.log10(count + 1.0)
-                sums = [np.bincount(docs, (log + emission[0])[index] * times, n), np.bincount(docs, (log + emission[1])[index] * times, n), np.bincount(docs, (count > 0)[index] * times, n)]
+                sums = [np.bincount(docs, x[index] * times, n) for x in (own.back(count), np.log10(own.p(count)), count > 0)]
             seen = np.flatnonzero(np.bincount(docs, minlength=n))
             columns = [packed(np.diff(seen, prepend=0).astype(np.uint16)), sums[0][seen].astype(np.float32).tobytes()]
             if kind:
@@ -374,27 +505,32 @@ def summed(answers: DataFrame, id_type: str) -> DataFrame:
                 if len(parts) > 2:
                     local[at, 2] += np.frombuffer(parts[2])
                     local[at, 1] += unpacked(parts[3], np.int32)
+        local[:, 3] += local[:, 2]
         whole = local[:, :2].astype(np.int64)
         return pa.table({"doc_id": ids, "n_tokens": whole[:, 0], "n_known": whole[:, 1], "base_score": local[:, 2], "score": local[:, 3]})
 
     return answers.groupBy("p").applyInArrow(add, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_texts(docs: DataFrame, learn, size: int = VOCABULARY) -> DataFrame:
+def score_texts(docs: DataFrame, learn, size: int = COMMON, shards: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text), learning from the rows where learn holds.
 
     Null texts are empty: one end token. Repeated rows stay, and count as often as they occur. With no row to learn from,
-    every word is unknown and the scores are those of the smoothing alone.
+    every word is unknown and the scores are those of the smoothing alone. size: words with broadcast counts, which
+    changes no result but for n-grams of other words that share a key (about 1 % of those words in a full shard); shards: as many as the tokens need, if None.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     train = docs.where(learn)
-    shards = shuffle_partitions(spark)
     words = cut(word_counts(train.select("text")), "words")
-    own, least = vocabulary(words, train.count(), size)
+    own, least = common_words(words, train.count(), size)
+    labels = labels_of(spark, shards or shards_of(own.tokens, shuffle_partitions(spark)))
     known = spark.sparkContext.broadcast(own)
-    trie = cut(build_trie(train.select("text"), known, shards), "trie")
-    answers = answered(requests(docs, known, shards), trie, words.where(F.col("c") < least), known, shards)
+    grams = cut(gram_counts(train.select("text"), known, labels), "grams")
+    if own.texts:
+        own.strength, own.trust = fitted(grams, words, known, own.texts)
+        known = spark.sparkContext.broadcast(own)
+    answers = answered(requests(docs, known, labels), grams, words.where(F.col("c") < least), known, labels)
     scored = summed(answers, docs.schema["doc_id"].dataType.simpleString())
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(own.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
