@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import binary_list, crc_of_id, cut, shuffle_partitions, slices, table
 from lodestone.llm.elias_fano import BEFORE_BITS, Trie
+from lodestone.llm.packed import pa_bytes, pack_parts, packed, parts_of, unpacked
 
 #: Words with ids of their own, whose counts are broadcast; ids have WORD_BITS bits.
 COMMON, WORD_BITS = 130_000, 17
@@ -45,23 +46,6 @@ MEMO = 1_000_000
 LONG_WORD = 64
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Integers as bytes: planes of equal bytes together, compressed."""
-    import pyarrow as pa
-
-    values = np.ascontiguousarray(values)
-    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes, kind) -> np.ndarray:
-    import pyarrow as pa
-
-    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
-
-
 def word_hash(word: bytes) -> int:
     """A signed 64-bit hash that never is a number that word ids use."""
     from xxhash import xxh64_intdigest
@@ -421,16 +405,6 @@ def requests(docs: DataFrame, known, labels: list[int]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "p long, s int, kind int, a binary, b binary, c binary")
 
 
-def pa_bytes(array) -> bytes:
-    import pyarrow as pa
-
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([array], ["x"])
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
 def answered(requested: DataFrame, grams: DataFrame, words: DataFrame, known, labels: list[int]) -> DataFrame:
     """(p, a, b): for each request the sums for its documents: their indices, scores, and of rare words base scores and known tokens; the documents' own rows as they are."""
     spark, shards = requested.sparkSession, len(labels)
@@ -476,19 +450,6 @@ def answered(requested: DataFrame, grams: DataFrame, words: DataFrame, known, la
     return requested.groupBy("s").cogroup(model.groupBy("s")).applyInArrow(score, "p long, a binary, b binary")
 
 
-def pack_parts(parts: list[bytes]) -> bytes:
-    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
-
-
-def parts_of(data: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 4], "little")
-        out.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return out
-
-
 def summed(answers: DataFrame, id_type: str) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) from the answers for each block."""
 

@@ -295,13 +295,50 @@ def test_op6_separates(spark):
     assert seen[1, False] <= 0.01 * seen[1, True] and seen[0, False] >= 0.9 * (seen[0, False] + seen[0, True])
 
 
-def test_op6_probabilities(spark):
-    counts = {quality.grams("abcabdabc abc", quality.symbol_table("abcd "))[i]: 1 for i in range(3)}
-    keys = quality.grams("abcabdabc abc" * 9, quality.symbol_table("abcd "))
-    counts = collections.Counter(keys.tolist())
-    model = quality.dense_model(spark.createDataFrame(list(counts.items()), "key long, c long"))
-    sums = (10 ** model.astype(float).reshape(-1, 64)).sum(1)
-    assert np.allclose(sums, 1, atol=0.02)
+def plain_kneser_ney(texts):
+    """P(byte | three bytes before) as a function, by interpolated modified Kneser-Ney from plain counts."""
+    lines = [b"\0\0\0" + quality.prepared(t).encode() + b"\0" for t in texts]
+    counts = collections.Counter(x[i : i + 4] for x in lines for i in range(len(x) - 3))
+    levels = {}
+    for order in (4, 3, 2, 1):
+        n = collections.Counter(min(c, 5) for c in counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+        d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.0 for k in (1, 2, 3)]
+        d = [x if 0 < x < k else quality.DISCOUNT for k, x in enumerate(d, 1)]
+        total, freed = collections.Counter(), collections.Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += d[min(c, 3) - 1]
+        levels[order] = counts, d, total, freed
+        counts = collections.Counter(g[1:] for g in counts)
+
+    def p(gram, order=4):
+        if not order:
+            return 1 / 256
+        counts, d, total, freed = levels[order]
+        g = gram[4 - order :]
+        if not total[g[:-1]]:
+            return p(gram, order - 1)
+        return (max(0, counts[g] - d[min(counts[g], 3) - 1]) if counts[g] else 0) / total[g[:-1]] + freed[g[:-1]] / total[g[:-1]] * p(gram, order - 1)
+
+    return p
+
+
+def test_op6_plain_kneser_ney(spark, monkeypatch):
+    """Perplexities in two scripts, over several blocks, shards and rounds, equal those of plain code; probabilities add up to one."""
+    good = ["the cat sat on the mat and the dog", "das ist das Haus vom Nikolaus", "кошка сидела на окне и смотрела", "собака сидела на окне окне окне", "", "a dog on a mat"]
+    asked = [*good, "zzz qqq \U0001f600", None, "the the the the", "кошка на мат", "x" * 50]
+    for name, value in (("BLOCK", 300), ("TOGETHER", 2), ("SHARD", 40), ("CHUNK", 64)):
+        monkeypatch.setattr(quality, name, value)
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "ru") for i, t in enumerate(asked)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(len(good))], "doc_id long, quality int")
+    p = plain_kneser_ney(good)
+    logs = [[math.log10(p(x[i : i + 4])) for i in range(len(x) - 3)] for x in (b"\0\0\0" + quality.prepared(t or "").encode() + b"\0" for t in asked)]
+    typical = sum(map(sum, logs[: len(good)])) / sum(map(len, logs[: len(good)]))
+    got = {r.doc_id: r.perplexity for r in quality.classify(docs, labels).collect()}
+    for i, x in enumerate(logs):
+        assert math.isclose(got[i], 10 ** (-(sum(x) + quality.PRIOR * typical) / (len(x) + quality.PRIOR)), rel_tol=1e-6)
+    assert math.isclose(sum(p(b"the" + bytes([c])) for c in range(256)), 1) and math.isclose(sum(p("ко".encode()[:3] + bytes([c])) for c in range(256)), 1)
 
 
 def test_op7_counts(spark, docs, tokenizer):
