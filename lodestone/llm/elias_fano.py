@@ -9,8 +9,6 @@ import numpy as np
 
 #: Bits of an n-gram key that stand for its last two words, and for the word before them.
 PAIR_BITS, BEFORE_BITS = 42, 22
-#: 64-bit words between two entries of the directory of a sequence's unary part.
-STEP = 8
 CODES = 65_535
 #: The place of the r-th set bit of each byte.
 PLACE = np.array([[([k for k in range(8) if b >> k & 1] + [8] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
@@ -20,26 +18,25 @@ def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     """The low bits of the values, one after the other."""
     if not bits or not len(values):
         return np.zeros(8, np.uint8)
-    parts = []
+    parts, size = [], -(-bits // 8)
     for at in range(0, len(values), 1 << 16):  # 64 Ki values fill whole bytes, whatever the bits
-        part = values[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        parts.append(np.packbits(np.unpackbits(part, axis=1, bitorder="little")[:, :bits], bitorder="little"))
+        part = values[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
+        parts.append(np.packbits(np.unpackbits(np.ascontiguousarray(part), axis=1, bitorder="little")[:, :bits], bitorder="little"))
     return np.concatenate([*parts, np.zeros(8, np.uint8)])  # so that 8 bytes can be read anywhere
 
 
 def encode(values: np.ndarray, universe: int) -> bytes:
-    """The bytes of a sequence of values that never fall, all below universe: low bits packed, high parts in unary, and a sampled directory of the unary part."""
+    """The bytes of a sequence of values that never fall, all below universe: low bits packed, high parts in unary, and the ones before each 64-bit word of these."""
     values = values.astype(np.uint64)
     n = len(values)
     low = max(0, (universe // max(1, n)).bit_length() - 1)
     lows = _pack(values & np.uint64((1 << low) - 1), low)
     lows = np.concatenate([lows, np.zeros(-len(lows) % 8, np.uint8)])
     size = n + (universe >> low) + 2
-    high = np.zeros(-(-size // (64 * STEP)) * 64 * STEP, np.uint8)
+    high = np.zeros(-(-size // 64) * 64 + 64, np.uint8)
     high[(values >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
     highs = np.packbits(high, bitorder="little")
-    ones = np.bitwise_count(highs.view("<u8")).reshape(-1, STEP).sum(1, dtype=np.int64)
-    directory = np.concatenate([[0], np.cumsum(ones)]).astype("<i8")
+    directory = np.concatenate([[0], np.cumsum(np.bitwise_count(highs.view("<u8")), dtype=np.int64)]).astype("<i8")
     return struct.pack("<qqqqq", n, low, len(lows), len(highs), len(directory) * 8) + lows.tobytes() + highs.tobytes() + directory.tobytes()
 
 
@@ -52,22 +49,27 @@ class Sequence:
         self.n, self.low, lows, highs, directory = struct.unpack("<qqqqq", data[at : at + self.HEAD].tobytes())
         at += self.HEAD
         self.lows = data[at : at + lows]
-        self.words = data[at + lows : at + lows + highs].view("<u8")
+        self.unary = data[at + lows : at + lows + highs]
+        self.words = self.unary.view("<u8")
         self.ones = data[at + lows + highs : at + lows + highs + directory].view("<i8")
+        self.zeros = np.arange(len(self.ones)) * 64 - self.ones
         self.end = at + lows + highs + directory
 
     def _place(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """The place in the unary part of the k-th (from 0) one or zero."""
-        before = self.ones if ones else np.arange(len(self.ones)) * (64 * STEP) - self.ones
-        block = np.searchsorted(before, k, "right") - 1
-        rest = k - before[block]
-        words = self.words[block[:, None] * STEP + np.arange(STEP)]
+        """The place in the unary part of the k-th (from 0) one or zero: its word by the directory, then its byte by halving."""
+        before = self.ones if ones else self.zeros
+        at = np.searchsorted(before, k, "right") - 1
+        rest, x, place = k - before[at], self.words[at], at << 6
         if not ones:
-            words = ~words
-        word, rest = _step(np.bitwise_count(words), rest)
-        eight = np.ascontiguousarray(words[np.arange(len(k)), word]).view(np.uint8).reshape(-1, 8)
-        byte, rest = _step(np.bitwise_count(eight), rest)
-        return block * (64 * STEP) + word * 64 + byte * 8 + PLACE[eight[np.arange(len(k)), byte], rest]
+            x = ~x
+        for width in (32, 16, 8):
+            low = x & np.uint64((1 << width) - 1)
+            n = np.bitwise_count(low)
+            above = rest >= n
+            rest = rest - n * above
+            x = np.where(above, x >> np.uint64(width), low)
+            place += above * width
+        return place + PLACE[x.astype(np.int64), rest]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -80,9 +82,16 @@ class Sequence:
         return (self._place(i, True) - i) << self.low | self._low(i)
 
     def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[first, stop) of the values whose high part is the one asked: what lies between two zeros."""
-        first = np.where(high > 0, self._place(np.maximum(high - 1, 0), False) + 1 - high, 0)
-        return first, self._place(high, False) - high
+        """[first, stop) of the values whose high part is the one asked: the ones between two zeros."""
+        place = np.where(high > 0, self._place(np.maximum(high - 1, 0), False) + 1, 0)
+        eight = np.ascontiguousarray(self.unary[(place >> 3)[:, None] + np.arange(8)]).view("<u8").ravel() >> (place & 7).astype(np.uint64)
+        zeros = ~eight
+        n = np.bitwise_count((zeros & (~zeros + np.uint64(1))) - np.uint64(1)).astype(np.int64)  # ones up to the first zero
+        first = place - high
+        stop = first + n
+        if len(long := np.flatnonzero(n > 56)):  # beyond what was read
+            stop[long] = self._place(high[long], False) - high[long]
+        return first, stop
 
     def find(self, first: np.ndarray | int, stop: np.ndarray | int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, whether it holds the value) of the successor of each value in [first, stop): the least index there whose value is at least the one asked, or stop.
@@ -103,14 +112,6 @@ class Sequence:
         return a, held
 
 
-def _step(counts: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In rows of counts: the column in which each running total passes rest, and what is left of rest there."""
-    sums = np.cumsum(counts, 1, dtype=np.int16)
-    column = np.minimum((sums <= rest[:, None]).sum(1), counts.shape[1] - 1)
-    rows = np.arange(len(rest))
-    return column, rest - (sums[rows, column] - counts[rows, column])
-
-
 def _codebook(weights: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Weights as 16-bit codes on an even scale between their least and greatest."""
     least, most = (float(weights.min()), float(weights.max())) if len(weights) else (0.0, 0.0)
@@ -118,6 +119,13 @@ def _codebook(weights: np.ndarray) -> tuple[bytes, np.ndarray]:
     return struct.pack("<dd", least, step), np.rint((weights - least) / step).astype("<u2")
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of values that never fall, and the number of each one's."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new], np.cumsum(new) - 1
+
+
 class Trie:
     """Two levels over n-gram keys: the last two words, and under each the words before them, relative to their parent.
 
@@ -156,13 +164,13 @@ class Trie:
         out = np.zeros(len(keys))
         if not self.pairs.n or not len(keys):
             return out
-        pair, first, spread = np.unique(keys >> np.uint64(BEFORE_BITS), return_index=True, return_inverse=True)
+        pair, spread = _distinct(keys >> np.uint64(BEFORE_BITS))
         node, held = self.pairs.find(0, self.pairs.n, pair.astype(np.int64))
         out += np.where(held, self._weight(0, np.where(held, node, 0)), 0.0)[spread]
         rows = np.flatnonzero(held[spread])
         own = node[spread[rows]]
-        parents, inverse = np.unique(own, return_inverse=True)
-        start, stop = self.pointers[parents][inverse], self.pointers[parents + 1][inverse]
+        parents, spread = _distinct(own)
+        start, stop = self.pointers[parents][spread], self.pointers[parents + 1][spread]
         before = (keys[rows] & np.uint64((1 << BEFORE_BITS) - 1)).astype(np.int64)
         node, held = self.below.find(start, stop, own << BEFORE_BITS | before)
         out[rows[held]] += self._weight(1, node[held])

@@ -132,21 +132,28 @@ class Reader:
         self.memo: dict[bytes, int] = {}
 
     def codes(self, text: bytes) -> np.ndarray:
-        found, memo, by_hash = [], self.memo, self.by_hash
+        found = []
         for part in slices(text):
             words = part.lower().split()
-            new = set(words).difference(memo)
-            if new and len(memo) > MEMO:
-                memo.clear()
-                new = set(words)
-            for w in new:
-                h = word_hash(w)
-                memo[w] = by_hash.get(h, h)
-            found.append(np.array(list(map(memo.__getitem__, words)), np.int64))
-            for w in new:
-                if len(w) > LONG_WORD:
-                    del memo[w]
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+            try:
+                found.append(np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)))
+            except KeyError:
+                found.append(self.learned(words))
+        return found[0] if len(found) == 1 else np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def learned(self, words: list[bytes]) -> np.ndarray:
+        """The codes of words of which some are not in the memo."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new = set(words).difference(self.memo)
+        for w in new:
+            h = word_hash(w)
+            self.memo[w] = self.by_hash.get(h, h)
+        out = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.memo[w]
+        return out
 
 
 def rare(codes: np.ndarray) -> np.ndarray:
@@ -405,6 +412,13 @@ def requests(docs: DataFrame, known, labels: list[int]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "p long, s int, kind int, a binary, b binary, c binary")
 
 
+def distinct_keys(differences) -> np.ndarray:
+    """The distinct ones, rising, of keys given as arrays of their differences."""
+    held = [np.cumsum(d) for d in differences]
+    keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+    return keys[np.diff(keys, prepend=keys[0] ^ np.uint64(1)) != 0] if len(keys) else keys
+
+
 def answered(requested: DataFrame, grams: DataFrame, words: DataFrame, known, labels: list[int]) -> DataFrame:
     """(p, a, b): for each request the sums for its documents: their indices, scores, and of rare words base scores and known tokens; the documents' own rows as they are."""
     spark, shards = requested.sparkSession, len(labels)
@@ -423,6 +437,8 @@ def answered(requested: DataFrame, grams: DataFrame, words: DataFrame, known, la
         c = held.column("c").combine_chunks().drop_null().to_numpy()
         order = np.argsort(h.view(np.uint64))
         h, c = h.view(np.uint64)[order], c[order]
+        every = distinct_keys(unpacked(a.as_py(), np.uint64) for kind, a in zip(asked.column("kind"), asked.column("a")) if not kind.as_py())
+        weight = tree.weights(every) if tree else np.zeros(len(every))  # each n-gram is sought once, however many blocks ask for it
         out = []
         for p, kind, a, b, x in zip(*(asked.column(n) for n in ("p", "kind", "a", "b", "c"))):
             p, kind, a, b = p.as_py(), kind.as_py(), a.as_py(), b.as_py()
@@ -434,7 +450,7 @@ def answered(requested: DataFrame, grams: DataFrame, words: DataFrame, known, la
             index = np.repeat(np.arange(len(keys)), holders)
             n = int(docs.max()) + 1
             if kind == 0:
-                weights = tree.weights(keys) if tree else np.zeros(len(keys))
+                weights = weight[np.searchsorted(every, keys)]
                 sums = [np.bincount(docs, weights[index] * times, n), None, None]
             else:
                 at = np.minimum(np.searchsorted(h, keys), max(0, len(h) - 1))
