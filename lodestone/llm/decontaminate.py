@@ -1,9 +1,10 @@
 """Benchmark decontamination with a broadcast hash set of normalised test n-grams; DataFrame functions only.
 
 The windows of the benchmark (10 words, or the whole of a shorter item) are few: their number and bytes are checked, and
-within the bound they reach every task as a scalar subquery. A document is scanned window by window only if it holds the
-longest two neighbouring words of some window, which every occurrence needs. Hash hits are verified word by word. A benchmark beyond the
-bound is joined by window hash instead.
+within the bound they reach every task as a scalar subquery, an array of hash buckets. A document is scanned window by
+window only if it holds the longest two neighbouring words of some window, which every occurrence needs; a look-up meets
+one bucket, so the work follows the document, not the benchmark. Hash hits are verified word by word. A benchmark beyond
+the bound is joined by window hash instead.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import cut, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,32 +50,16 @@ def windows(benchmark: DataFrame, size: int = 10, id_column: str = "item_id", te
     return own.select("item", "length", F.xxhash64("window").alias("h"), "window").distinct()
 
 
-def _found(w: Column, sets: dict[int, tuple[Column, Column]]) -> Column:
-    """struct(hits: distinct word positions, items) of a document's words, from the broadcast windows of each length."""
+def bucketed(entries: DataFrame, hash_column: str, value: Column, buckets: int) -> Column:
+    """A scalar: an array of buckets, each the values of the entries whose hash falls into it, so that a look-up meets the entries of one bucket."""
+    spark, at = entries.sparkSession, F.pmod(F.col(hash_column), F.lit(buckets))
+    own = entries.groupBy(at.alias("id")).agg(F.collect_set(value).alias("held"))
+    whole = spark.range(buckets).join(own, "id", "left").select("id", F.coalesce("held", F.array().cast(own.schema["held"].dataType)).alias("held"))
+    return whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "held"))), lambda b: b["held"])).scalar()
 
-    def of_length(length, hashes_of_bench, bench):
-        def verified(both):
-            near = F.filter(bench, lambda b: F.array_contains(both["matched"], b["h"]))
 
-            def at(found):
-                def one(i):
-                    return F.struct(i.alias("at"), F.transform(F.filter(found["near"], lambda b: b["window"] == F.slice(w, i, length)), lambda b: b["item"]).alias("items"))
-
-                likely = F.filter(positions(w, length), lambda i: F.array_contains(both["matched"], F.get(both["hashes"], i - 1)))
-                return F.filter(F.transform(likely, one), lambda p: F.size(p["items"]) > 0)
-
-            return F.when(F.size(both["matched"]) > 0, let(F.struct(near.alias("near")), at))
-
-        hashes = F.transform(positions(w, length), lambda i: F.xxhash64(F.slice(w, i, length)))
-        occurring = let(let(hashes, lambda h: F.struct(h.alias("hashes"), F.array_intersect(h, hashes_of_bench).alias("matched"))), verified)
-        none = F.array().cast("array<struct<at:int,items:array<string>>>")
-        return F.transform(F.coalesce(occurring, none), lambda p: F.struct(F.sequence(p["at"], p["at"] + (length - 1)).alias("hits"), p["items"].alias("items")))
-
-    every = F.concat(*(of_length(n, *x) for n, x in sets.items()))
-    return let(every, lambda e: F.struct(F.array_distinct(F.flatten(F.transform(e, lambda p: p["hits"]))).alias("hits"), F.array_distinct(F.flatten(F.transform(e, lambda p: p["items"]))).alias("items")))
-
-
-EMPTY = "struct<hits:array<int>,items:array<string>>"
+def bucket(buckets: Column, h: Column, n: int) -> Column:
+    return F.get(buckets, F.pmod(h, F.lit(n)).cast("int"))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -88,37 +73,57 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_column
     lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # size values at most
     if n > max_windows or 4 * weight > MAX_BYTES:
         return _joined(docs, grams, lengths)
+    buckets = 1 << int(n).bit_length()
     sized = F.transform(pairs(F.col("window")), lambda h, i: F.struct((F.length(F.get("window", i)) + F.length(F.get("window", i + 1))).alias("n"), h.alias("h")))
     longest = F.array_max(F.filter(sized, lambda x: x["n"].isNotNull()))["h"]
-    held = {"__pairs": grams.agg(F.collect_set(longest)).scalar(), "__single": grams.where("length = 1").agg(F.collect_set(F.get("window", F.lit(0)))).scalar()}  # columns, as higher-order functions take no subquery
+    keys = grams.select(F.when(F.col("length") > 1, longest).otherwise(F.xxhash64(F.get("window", F.lit(0)))).alias("k"), (F.col("length") > 1).alias("two"))
+    held = {"__pairs": bucketed(keys.where("two"), "k", F.col("k"), buckets)}  # columns, as higher-order functions take no subquery
+    if lengths[0] == 1:
+        held["__single"] = bucketed(keys.where("NOT two"), "k", F.col("k"), buckets)
     for k in lengths:
-        own_k = grams.where(F.col("length") == k)
-        held |= {f"__hashes_{k}": own_k.agg(F.collect_set("h")).scalar(), f"__windows_{k}": own_k.agg(F.collect_list(F.struct("h", "window", "item"))).scalar()}
-    sets = {k: (F.col(f"__hashes_{k}"), F.col(f"__windows_{k}")) for k in lengths}
+        held[f"__windows_{k}"] = bucketed(grams.where(F.col("length") == k), "h", F.struct("h", "window", "item"), buckets)
 
     def likely(w):
         """Whether w has the longest pair of neighbours of some window, or a window of one word."""
-        one = F.arrays_overlap(w, "__single") if lengths[0] == 1 else F.lit(False)
-        return F.coalesce(F.arrays_overlap(pairs(w), "__pairs"), F.lit(False)) | F.coalesce(one, F.lit(False))
+        two = F.exists(pairs(w), lambda h: F.array_contains(bucket(F.col("__pairs"), h, buckets), h))
+        return two if lengths[0] > 1 else two | F.exists(w, lambda x: F.array_contains(bucket(F.col("__single"), F.xxhash64(x), buckets), F.xxhash64(x)))
+
+    def of_length(w, k):
+        """Where windows of k words occur, with their items: those of the bucket of each position's hash that are the same word by word."""
+
+        def one(i):
+            window = F.slice(w, i, k)
+            near = let(F.xxhash64(window), lambda h: F.filter(bucket(F.col(f"__windows_{k}"), h, buckets), lambda b: b["h"] == h))
+            same = F.filter(near, lambda b: b["window"] == window)
+            return F.struct(F.sequence(i, i + (k - 1)).alias("hits"), F.transform(same, lambda b: b["item"]).alias("items"))
+
+        return F.filter(F.transform(positions(w, k), one), lambda p: F.size(p["items"]) > 0)
+
+    def found(w):
+        every = F.concat(*(of_length(w, k) for k in lengths))
+        return let(every, lambda e: F.struct(F.array_distinct(F.flatten(F.transform(e, lambda p: p["hits"]))).alias("hits"), F.array_distinct(F.flatten(F.transform(e, lambda p: p["items"]))).alias("items")))
 
     def scanned(w):
-        return F.struct(F.size(w).alias("n_words"), F.when(likely(w), _found(w, sets)).alias("f"))
+        return F.struct(F.size(w).alias("n_words"), F.when(likely(w), found(w)).alias("f"))
 
-    found = docs.withColumns(held).withColumn("found", let(own, scanned)).drop(*held)
-    return found.withColumn("found", F.struct(F.col("found.n_words"), F.coalesce("found.f.hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("found.f.items", F.array().cast("array<string>")).alias("items")))
+    out = docs.withColumns(held).withColumn("found", let(own, scanned)).drop(*held)
+    return out.withColumn("found", F.struct(F.col("found.n_words"), F.coalesce("found.f.hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("found.f.items", F.array().cast("array<string>")).alias("items")))
 
 
 def _joined(docs: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same for a benchmark beyond the bound: windows of all texts joined with its windows by hash."""
-    texts = docs.select(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("__key"), words(F.col("text")).alias("w"))
+    """The same for a benchmark beyond the bound: hashes of all texts' windows joined with those of its windows; texts that meet one are compared word by word."""
+    key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    texts = docs.select(key.alias("__key"), words(F.col("text")).alias("w"))
 
     def of_length(k):
-        return F.transform(positions(F.col("w"), k), lambda i: F.struct(F.lit(k).alias("length"), i.alias("at"), F.slice("w", i, k).alias("window")))
-
-    each = texts.select("__key", F.explode(F.concat(*map(of_length, lengths))).alias("p")).select("__key", "p.*").withColumn("h", F.xxhash64("window"))
-    hits = each.join(grams, ["length", "h", "window"]).select("__key", "item", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("hit"))
-    by_text = hits.groupBy("__key").agg(F.collect_set("hit").alias("hits"), F.collect_set("item").alias("items"))
-    out = docs.withColumn("__key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(by_text, "__key", "left")
+        return F.transform(positions(F.col("w"), k), lambda i: F.struct(F.lit(k).alias("length"), i.alias("at"), F.xxhash64(F.slice("w", i, k)).alias("h")))
+
+    each = texts.select("__key", F.explode(F.concat(*map(of_length, lengths))).alias("p")).select("__key", "p.*")
+    met = cut(each.join(grams, ["length", "h"]).distinct(), "met")
+    own = cut(texts.join(met.select("__key").distinct(), "__key", "left_semi").groupBy("__key").agg(F.first("w").alias("w")), "own")
+    hits = met.join(own, "__key").where(F.slice("w", F.col("at"), F.col("length")) == F.col("window")).select("__key", "item", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("hit"))
+    by_text = cut(hits.groupBy("__key").agg(F.collect_set("hit").alias("hits"), F.collect_set("item").alias("items")), "by-text")  # a table, so that the join can be split at texts with many copies
+    out = docs.withColumn("__key", key).join(by_text, "__key", "left")
     found = F.struct(F.size(words(F.col("text"))).alias("n_words"), F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.select("row", "text", found.alias("found"))
 
@@ -146,7 +151,8 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, whole: bool = True, size
     kept = F.regexp_extract_all("text", F.lit(both_cases), F.lit(0))
     gaps = F.split("text", both_cases, -1)
     pieces = F.zip_with(kept, F.slice(gaps, 2, F.greatest(F.size(kept), F.lit(1))), lambda a, b: F.concat(a, b))
-    rest = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains("found.hits", i + 1)), ""))
+    left = F.array_except(F.sequence(F.lit(1), F.size(kept)), "found.hits")
+    rest = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(left, lambda i: F.get(pieces, i - 1)), ""))
     text = F.when(F.size("found.hits") > 0, rest).otherwise(F.col("text"))
     return found.select(*(text.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns))
 
