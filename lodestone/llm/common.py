@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 #: Texts longer than this are worked on in slices cut at white space, so that one huge text needs no huge word list.
 SLICE_BYTES = 1 << 20
@@ -40,9 +41,11 @@ KEY = ("__null", "__id", "__hash")
 
 
 def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with the columns KEY."""
-    values = F.col(id_column).isNull(), F.coalesce(F.col(id_column), F.lit(0)).cast("long"), F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
-    return docs.withColumns(dict(zip(KEY, values)))
+    """docs with the columns KEY. Numbers and strings keep their type; ids of other types are compared as strings."""
+    kind = docs.schema[id_column].dataType
+    own = F.col(id_column) if isinstance(kind, (NumericType, StringType)) else F.col(id_column).cast("string")
+    none = F.lit(0).cast(kind) if isinstance(kind, NumericType) else F.lit("")
+    return docs.withColumns(dict(zip(KEY, (F.col(id_column).isNull(), F.coalesce(own, none), F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))))))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

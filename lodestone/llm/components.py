@@ -15,12 +15,12 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")), "least")  # a table, so that both sides of the join have a plain exchange, which Spark can split at the centre of a star
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
@@ -30,7 +30,8 @@ def stars(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = cut(_small(_large(edges).where("a <> b").distinct()).where("a <> b").distinct(), "edges")
+        large = cut(_large(edges).where("a <> b").distinct(), "edges")
+        edges = cut(_small(large).where("a <> b").distinct(), "edges")
         if (now := _mark(edges)) == mark:
             break
         mark = now

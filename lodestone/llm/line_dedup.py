@@ -26,7 +26,11 @@ ROUND = 4
 #: Base of the hashes of runs, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-DOC = "doc struct<__null:boolean,__id:bigint,__hash:bigint>"
+
+
+def doc_type(df: DataFrame, name: str = "doc") -> str:
+    """name with the type of df's column doc, as a schema."""
+    return f"{name} {df.schema['doc'].dataType.simpleString()}"
 
 
 def longest_rising(values: list[int]) -> list[int]:
@@ -126,7 +130,7 @@ def aligned(pairs: DataFrame, holders: DataFrame, texts: DataFrame, least_chars:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["doc", "gone"])
 
     both = pairs.select("doc", "owner").join(holders, "owner").join(texts, "doc").select("doc", "h", "n", "theirs")
-    return both.mapInArrow(align, f"{DOC}, gone array<int>").select("doc", F.explode("gone").alias("line"))
+    return both.mapInArrow(align, f"{doc_type(pairs)}, gone array<int>").select("doc", F.explode("gone").alias("line"))
 
 
 def by_doc(found: DataFrame) -> DataFrame:
@@ -151,7 +155,7 @@ def uncovered(asked: DataFrame, texts: DataFrame, found: DataFrame, least_chars:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc", "u"])
 
     own = asked.groupBy("doc").agg(F.collect_set("u").alias("u")).join(texts, "doc").join(by_doc(found), "doc", "left")
-    return own.select("doc", "u", "h", "n", "gone").mapInArrow(left, f"{DOC}, u array<long>").select("doc", F.explode("u").alias("u"))
+    return own.select("doc", "u", "h", "n", "gone").mapInArrow(left, f"{doc_type(asked)}, u array<long>").select("doc", F.explode("u").alias("u"))
 
 
 def projected(asked: DataFrame, texts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -174,7 +178,7 @@ def projected(asked: DataFrame, texts: DataFrame, lines: DataFrame) -> DataFrame
 
     own = asked.join(texts, "doc")
     known = own.select("doc", F.explode(F.array_distinct("h")).alias("line")).join(lines, "line").groupBy("doc").agg(F.collect_set("line").alias("known"))
-    return own.join(known, "doc").select("doc", "h", "known").mapInArrow(project, f"{DOC.replace('doc', 'owner', 1)}, theirs array<long>")
+    return own.join(known, "doc").select("doc", "h", "known").mapInArrow(project, f"{doc_type(asked, 'owner')}, theirs array<long>")
 
 
 def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -193,7 +197,7 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     one = F.transform(lines, lambda x: F.struct(F.when(F.trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(F.trim(x))).alias("h"), F.length(F.trim(x)).alias("n")))
     own = keyed(docs.select(id_column, text_column), id_column, text_column)
     own = own.select(*KEY, one.alias("l")).select(F.struct(*KEY).alias("doc"), F.col("l.h").alias("h"), F.col("l.n").alias("n")).distinct()
-    whole = cut(own.mapInArrow(runs, f"{DOC}, h array<long>, n array<int>, u array<long>"), "lines")
+    whole = cut(own.mapInArrow(runs, f"{doc_type(own)}, h array<long>, n array<int>, u array<long>"), "lines")
     texts, each = whole.drop("u"), whole.select("doc", F.explode("u").alias("u"))
     shared = each.groupBy("u").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("df")).where("df > 1")
     held = cut(each.join(shared, "u").select("doc", "u", "owner"), "held")
@@ -229,7 +233,8 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     gone = cut(removals(own, "doc_id", "text", least_chars), "gone")
     joined = keyed(own).join(gone, list(KEY), "left")
     lines = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")  # linear, however many lines go
+    rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     return joined.select(
         "row",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text"),

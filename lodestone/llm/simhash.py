@@ -148,7 +148,7 @@ def components(marked: DataFrame, least: Column) -> DataFrame:
     nodes = cut(marked.groupBy("fp").agg(least.alias("least")), "nodes")
     star = stars(near_links(nodes.select("fp")))
     linked = star.union(star.select("b", "b").distinct())
-    whole = linked.join(nodes, linked.a == nodes.fp).groupBy("b").agg(F.min("least").alias("component"))
+    whole = cut(linked.join(nodes, linked.a == nodes.fp).groupBy("b").agg(F.min("least").alias("component")), "wholes")
     of_linked = linked.join(whole, "b").select(F.col("a").alias("fp"), "component")
     return cut(nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "components")
 

@@ -94,3 +94,33 @@ def test_pipeline(spark, folders, kind):
     assert bool(rows) == (kind == "odd")
     one = simhash.one_of_each(docs)
     assert one.columns == docs.columns and (kind == "empty" or {r.doc_id for r in one.collect()} == {1, 4, 5, 6, 7, None})
+
+
+@pytest.mark.parametrize("kind, ids", [("string", ["b", "a10", "a9", "c", None]), ("decimal(10,2)", ["1.50", "1.25", "1.75", "3", None]), ("date", ["2024-01-02", "2024-01-01", "2023-01-01", "2025-01-01", None])])
+def test_ids_of_any_type(spark, kind, ids):
+    """The least id stays or is the first holder; ids that only differ behind the point are different documents."""
+    texts = [f"{LINE}\nx", f"{LINE}\ny", "one two three four five", "one two three four five", f"{LINE}\nz"]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "i string, text string").select(F.col("i").cast(kind).alias("doc_id"), "text")
+    least = {"string": "a10", "decimal(10,2)": "1.25", "date": "2024-01-01"}[kind]
+    left = {str(r.doc_id): r.text for r in line_dedup.deduplicated(docs).collect()}
+    assert left[least].endswith("\ny") and left[str(None)] == "z" and sum(LINE in t for t in left.values()) == 1
+    kept = {str(r.doc_id) for r in simhash.one_of_each(docs).collect()}
+    second = {"string": "a9", "decimal(10,2)": "1.75", "date": "2023-01-01"}[kind]
+    assert second in kept and len(kept) == 4
+
+
+def test_many_lines_and_hits_are_deleted_in_linear_time(spark):
+    lines = "\n".join(f"line {i} of a very long document with many lines" for i in range(60_000))
+    docs = spark.createDataFrame([(1, lines), (2, lines + "\nand one more line that nobody else holds in it")], "doc_id long, text string")
+    got = {r.row.doc_id: r for r in line_dedup.dedup(docs).collect()}
+    assert got[2].n_removed == 60_000 and got[2].text.startswith("and one")
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(3000)))], "item_id long, text string")
+    spans = spark.createDataFrame([(1, "kept, " + " ".join(f"w{i % 3000}" for i in range(90_000)) + " end.")], "doc_id long, text string")
+    assert [r.text for r in decontaminate.without_hits(spans, bench, whole=False).collect()] == ["kept, end."]
+
+
+def test_decontamination_beyond_the_broadcast_bound(spark, folders):
+    at = folders["odd"]
+    docs, bench = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/benchmark.parquet")
+    plain, joined = (sorted(map(repr, decontaminate.contamination(docs, bench, **more).collect())) for more in ({}, {"max_windows": 1}))
+    assert plain == joined
