@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,15 @@ def lower_percentile(values: Column, share: float) -> Column:
     """The element at int((n - 1) * share) of the sorted values."""
     ordered = F.array_sort(values)
     return F.get(ordered, F.floor((F.size(ordered) - 1) * share).cast("int"))
+
+
+def distribution(rows: DataFrame, group: list[str], value: str, share: float = 0.95) -> DataFrame:
+    """(group, n, mean, median, p95, most) of value: p95 is the element at int((n - 1) * share) of the sorted values. Values are counted first, so what is sorted is the distinct ones."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    own = Window.partitionBy(*group)
+    upto = F.sum("__c").over(own.orderBy("__v"))
+    placed = counted.withColumns({"__upto": upto, "__n": F.sum("__c").over(own)})
+    at = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__v")))
+    below, above = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    out = placed.groupBy(*group).agg(F.max("__n").alias("n"), (F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).alias("mean"), ((at(below) + at(above)) / 2).alias("median"), at(F.floor((F.col("__n") - 1) * share)).alias("p95"), F.max("__v").alias("most"))
+    return out

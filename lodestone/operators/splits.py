@@ -5,35 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import materialized
+
 
 def grouped_split(records: DataFrame, group: str = "parent_id", fraction: float = 0.4, seed: str = "lodestone-v1") -> DataFrame:
     """records (qa_id, group) with split, development or test, the same for all records of a group.
 
     Groups are taken by falling size, then by SHA-256 of seed:group; one goes to development if that brings it no
-    further from its share; the last makes up an empty test side. The fold runs over one row a group, in one array: the
-    groups of a question set. ValueError for fewer than two groups or an empty side.
+    further from its share; the last makes up an empty test side. Each choice depends on those before it, so one task reads
+    the groups' sizes in order, a row at a time, and keeps two sums. ValueError for fewer than two groups or an empty side.
     """
     if not 0 < fraction < 1:
         raise ValueError("fraction must be between 0 and 1")
-    sizes = records.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.sha2(F.concat(F.lit(f"{seed}:"), F.col("g").cast("string")), 256).alias("h"), F.col("g").cast("string").alias("g"))))
-    whole = sizes.agg(order.alias("groups"), F.sum("n").alias("total"))
-    state = "struct<dev:bigint,test:bigint,left:int,out:array<struct<g:string,split:string>>>"
-    target = F.bround(F.col("total") * fraction, 0)
-    start = F.struct(F.lit(0).alias("dev"), F.lit(0).alias("test"), F.size("groups").alias("left"), F.array().alias("out")).cast(state)
-
-    def step(s, x):
-        n = -x["m"]
-        dev = F.when(s["left"] == 1, s["test"] != 0).otherwise(F.abs(target - (s["dev"] + n)) <= F.abs(target - s["dev"]))
-        side = F.when(dev, "development").otherwise("test")
-        return F.struct((s["dev"] + F.when(dev, n).otherwise(0)).alias("dev"), (s["test"] + F.when(dev, 0).otherwise(n)).alias("test"), (s["left"] - 1).alias("left"), F.concat(s["out"], F.array(F.struct(x["g"].alias("g"), side.alias("split")))).alias("out")).cast(state)
-
-    folded = whole.select(F.aggregate("groups", start, step)["out"].alias("out"))
-    sides = folded.select(F.explode("out").alias("o")).select("o.g", "o.split")
-    found = {r[0] for r in sides.select("split").distinct().collect()}
-    if found != {"development", "test"}:
-        raise ValueError("at least two groups are required, and both sides must hold one")
-    return records.join(sides, records[group].cast("string") == sides["g"]).drop("g")
+    named = records.withColumn("__g", F.col(group).cast("string"))
+    sizes = materialized(named.groupBy(F.col("__g").alias("g")).agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), "g"), 256)), "sizes")
+    groups, total, target = sizes.agg(F.count(F.lit(1)), F.sum("n"), F.bround(F.sum("n") * fraction, 0)).first()
+    if groups < 2:
+        raise ValueError("at least two groups are required")
+
+    def fold(batches):
+        import pyarrow as pa
+
+        dev = test = seen = 0
+        for batch in batches:
+            sides = []
+            for n in batch.column(1).to_pylist():
+                seen += 1
+                take = test > 0 if seen == groups else abs(target - (dev + n)) <= abs(target - dev)
+                dev, test = (dev + n, test) if take else (dev, test + n)
+                sides.append("development" if take else "test")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sides, pa.string())], ["g", "split"])
+
+    ordered = sizes.repartition(1).sortWithinPartitions(F.desc("n"), "h", "g").select("g", "n")
+    sides = materialized(ordered.mapInArrow(fold, "g string, split string"), "sides")
+    if sides.select("split").distinct().count() != 2:
+        raise ValueError("both sides must hold a group")
+    return named.join(sides, F.col("__g").eqNullSafe(F.col("g"))).drop("__g", "g")
 
 
 def inherited_split(records: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -55,12 +62,17 @@ def stratified_sample(records: DataFrame, strata: list[str], n: int, seed: str,
 
 
 def exemplars(queries: DataFrame, pool: DataFrame, k: int, seed: str, key: str = "qa_id") -> DataFrame:
-    """(q, rank, exemplar): k records of the pool for each query, never itself, by the hash of seed, query and record.
+    """(q, rank, exemplar): k records of the pool for each query, its own sample, never itself.
 
-    The pool is cut to the k + 1 records with the least hash of seed and record first, so no query meets the whole pool;
-    all queries so share their exemplars but for themselves.
+    The pool stands in the order of SHA-256 of seed:key, as in a circle; a query starts at the place that SHA-256 of
+    seed:q:key says, and takes the k records from there that are not itself (all others if the pool has no more).
     """
-    few = pool.select(F.col(key).alias("exemplar")).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key).limit(k + 1)
-    pairs = queries.select(F.col(key).alias("q")).join(F.broadcast(few), F.col("q") != F.col("exemplar"))
-    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("exemplar").cast("string")), 256)
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(order, "exemplar"))).where(F.col("rank") <= k).select("q", "rank", "exemplar")
+    digest = lambda column, more="": F.sha2(F.concat(F.lit(f"{seed}:{more}"), F.col(column).cast("string")), 256)
+    placed = materialized(pool.select(F.col(key).alias("exemplar")).distinct().withColumn("place", F.row_number().over(Window.orderBy(digest("exemplar"), "exemplar")).cast("long") - 1), "pool")
+    n = placed.count()
+    if not n:
+        return queries.select(F.col(key).alias("q"), F.lit(0).alias("rank"), F.col(key).alias("exemplar")).limit(0)
+    start = F.conv(F.left(digest(key, "q:"), F.lit(12)), 16, 10).cast("long") % n
+    steps = queries.select(F.col(key).alias("q"), start.alias("start")).distinct().select("q", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(min(k, n - 1))), lambda i: (F.col("start") + i) % n)).alias("step", "place"))
+    found = steps.join(placed, "place").where("q != exemplar")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("step"))).where(F.col("rank") <= k).select("q", "rank", "exemplar")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import answers, baselines, calibration, citations, context, corpus, mapping, retrieval, review
 from lodestone.plans import flows
 from lodestone.plans.registry import query
+from lodestone.plans.relation_queries import split_sql
 from lodestone.plans.views import CITED, LINES_CTE, TOK, children, lines, questions
 from lodestone.sources import wordml
 from lodestone.sources.shared import materialized, shared_dir
@@ -132,15 +133,33 @@ def r09_proposed_evidence(t):
 def _contexts(t, **config):
     ranked = materialized(mapping.child_candidates(_qa(t), children(t), 12), "ranked")
     kids = lines(t).select(F.concat(F.col("doc_id").cast("string"), F.lit("__C"), F.lpad(F.col("sequence").cast("string"), 4, "0")).alias("child_id"), F.col("doc_id").alias("parent_id"), "sequence", F.size(F.split(F.trim("line"), r"\s+")).alias("word_count"))
-    return context.context_bundles(ranked, kids, **config)
-
-
-@query()
+    out = context.context_bundles(ranked, kids, **config)
+    return out.withColumns({c: F.array_join(c, ";") for c in ("source_ids", "skipped")})
+
+
+def _context_sql(top: int, words: int, radius: int) -> str:
+    """The folds over anchors and neighbours as recursive SQL."""
+    return f"""{_candidate_sql().replace("WITH ", "WITH RECURSIVE ", 1)}, wc AS (SELECT child_id, doc_id, sequence, len(regexp_split_to_array(trim(line), '\\s+')) AS words FROM k),
+item AS (SELECT rk.qa_id, rk.rank, wc.child_id, wc.doc_id, wc.sequence, wc.words FROM rk JOIN wc USING (child_id) WHERE rank <= 12),
+an AS (SELECT DISTINCT qa_id, CAST(0 AS BIGINT) AS rank, CAST([] AS STRING[]) AS taken, CAST([] AS BIGINT[]) AS ranks, CAST(0 AS BIGINT) AS words, CAST([] AS STRING[]) AS skipped FROM item
+UNION ALL SELECT qa_id, rank, CASE WHEN f OR o THEN taken ELSE taken || [child_id] END, CASE WHEN f OR o THEN ranks ELSE ranks || [rank] END, CASE WHEN f OR o THEN words ELSE words + w END, CASE WHEN NOT f AND o THEN skipped || [child_id] ELSE skipped END
+FROM (SELECT an.qa_id, taken, ranks, an.words, skipped, item.rank, item.child_id, item.words AS w, len(taken) >= {top} AS f, len(taken) > 0 AND an.words + item.words > {words} AS o FROM an JOIN item ON item.qa_id = an.qa_id AND item.rank = an.rank + 1)),
+done AS (SELECT an.* FROM an JOIN (SELECT qa_id, max(rank) AS rank FROM item GROUP BY 1) USING (qa_id, rank)),
+near AS (SELECT qa_id, row_number() OVER (PARTITION BY qa_id ORDER BY i.rank, wc.sequence) AS n, i.rank AS r, wc.child_id, wc.doc_id, wc.sequence, wc.words FROM done JOIN item i USING (qa_id) JOIN wc ON wc.doc_id = i.doc_id AND abs(wc.sequence - i.sequence) <= {radius} WHERE list_contains(done.taken, i.child_id) AND {radius} > 0),
+ne AS (SELECT qa_id, CAST(0 AS BIGINT) AS n, taken, ranks, len(taken) AS anchors, words, skipped FROM done
+UNION ALL SELECT qa_id, n, CASE WHEN h OR o THEN taken ELSE taken || [child_id] END, CASE WHEN h OR o THEN ranks ELSE ranks || [r] END, anchors, CASE WHEN h OR o THEN words ELSE words + w END, CASE WHEN NOT h AND o THEN skipped || [child_id] ELSE skipped END
+FROM (SELECT ne.qa_id, near.n, taken, ranks, anchors, ne.words, skipped, near.r, near.child_id, near.words AS w, list_contains(taken, near.child_id) AS h, ne.words + near.words > {words} AS o FROM ne JOIN near ON near.qa_id = ne.qa_id AND near.n = ne.n + 1)),
+fin AS (SELECT ne.* FROM ne JOIN (SELECT qa_id, max(n) AS n FROM ne GROUP BY 1) USING (qa_id, n)),
+flat AS (SELECT qa_id, unnest(taken) AS child_id, unnest(ranks) AS r FROM fin)
+SELECT qa_id, (SELECT string_agg(flat.child_id, ';' ORDER BY flat.r, CAST(wc.doc_id AS STRING), wc.sequence, flat.child_id) FROM flat JOIN wc USING (child_id) WHERE flat.qa_id = fin.qa_id) AS source_ids, CAST(anchors AS INT) AS anchor_count, CAST(len(taken) - anchors AS INT) AS neighbor_count, CAST(words AS INT) AS evidence_words, array_to_string(skipped, ';') AS skipped FROM fin"""
+
+
+@query(_context_sql(5, 1200, 0))
 def r10_w15_context(t):
     return _contexts(t)
 
 
-@query()
+@query(_context_sql(5, 300, 1))
 def w16_context_neighbours(t):
     return _contexts(t, radius=1, max_words=300)
 
@@ -260,7 +279,7 @@ def j18_citation_candidates(t):
 
 
 def _word_document(t):
-    """Documents as one Word file: a known heading, an article for each document, its lines as paragraphs and a two-row table; returns its folder."""
+    """Documents as Word files of 1,000 ids each: a known heading, an article for each document, its lines as paragraphs and a two-row table; returns their folder."""
     safe = F.regexp_replace("text", "[&<>]", "")
     p = lambda text, style: F.concat(F.lit(f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t xml:space="preserve">'), text, F.lit("</w:t></w:r></w:p>"))
     body = F.array_join(F.transform(F.split(safe, "\n"), lambda x: p(x, "ListLevel1")), "")
@@ -269,12 +288,13 @@ def _word_document(t):
     article = F.concat(p(F.concat(F.lit("Article "), F.col("doc_id").cast("string"), F.lit(" Title")), "Heading3CR"), body, rows)
     start = F.concat(F.lit('<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'), p(F.lit("Regulation (EU) No 376/2014"), "Heading1"), p(F.lit("Terms"), "Heading2"))
     at = f"{shared_dir(t.spark)}/word-{uuid.uuid4().hex}"
-    whole = t.documents.select("doc_id", article.alias("a")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "a"))).alias("l"))
-    whole.select(F.concat(start, F.array_join(F.transform("l", lambda x: x["a"]), ""), F.lit("</w:body></w:document>")).alias("value")).write.text(at)
-    return f"{at}/*.txt"
+    listed = t.documents.groupBy(F.floor(F.col("doc_id") / 1000).alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", article.alias("a")))).alias("l"))
+    whole = listed.select("block", F.concat(start, F.array_join(F.transform("l", lambda x: x["a"]), ""), F.lit("</w:body></w:document>")).alias("value"))
+    whole.repartition("block").write.partitionBy("block").text(at)  # a file for each block
+    return f"{at}/*/*.txt"
 
 
-@query("SELECT (SELECT CAST(sum(len([x for x in string_split(regexp_replace(text, '[&<>]', '', 'g'), chr(10)) if trim(regexp_replace(x, '\\s+', ' ', 'g')) <> ''])) AS BIGINT) + count(*) + 2 FROM documents) AS paragraphs, (SELECT 2 * count(*) FROM documents) AS table_rows, (SELECT count(*) FROM documents) AS headers")
+@query("SELECT (SELECT CAST(sum(len([x for x in string_split(regexp_replace(text, '[&<>]', '', 'g'), chr(10)) if trim(regexp_replace(x, '\\s+', ' ', 'g')) <> ''])) AS BIGINT) + count(*) + 2 * count(DISTINCT doc_id // 1000) FROM documents) AS paragraphs, (SELECT 2 * count(*) FROM documents) AS table_rows, (SELECT count(*) FROM documents) AS headers")
 def s01_s05_word_blocks(t):
     blocks = wordml.read_blocks(t.spark, _word_document(t))
     return blocks.agg(F.count_if(F.col("kind") == "p").alias("paragraphs"), F.count_if(F.col("kind") == "tr").alias("table_rows"), F.count_if("is_header").alias("headers"))
@@ -286,7 +306,7 @@ def n05_corpus_build(t):
     return parents.select("parent_id", "canonical_citation", F.size("child_ids").cast("long").alias("children"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {split_sql("SELECT 'P' || CAST(item_id % 15 AS STRING) AS g, count(*) AS n FROM benchmark WHERE item_id % 9 <> 0 GROUP BY 1")} SELECT CAST(item_id AS STRING) AS qa_id, st.g AS parent_id, split FROM benchmark JOIN st ON st.g = 'P' || CAST(item_id % 15 AS STRING) WHERE item_id % 9 <> 0""")
 def n06_freeze(t):
     candidates = t.benchmark.select(F.col("item_id").cast("string").alias("qa_id"), F.lit("q").alias("question"), F.lit("a").alias("reference_answer"), F.lit("Article 1").alias("acceptable_citation"), F.concat(F.lit("P"), F.col("item_id") % 15).alias("parent_id"), F.array(F.concat(F.lit("C"), F.col("item_id") % 15)).alias("gold_child_ids"), F.lit("provisional").alias("audit_decision"))
     empty = ("alternative_acceptable_child_ids", "alternative_evidence_sets_json", *review.CORRECTED, "review_notes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.stats import kappa_label, lower_percentile, required_sample
+from lodestone.functions.stats import distribution, kappa_label, required_sample
 from lodestone.operators import baselines, calibration, corpus, relational, review, splits
 from lodestone.operators.retrieval import top_k
 from lodestone.plans.registry import query
@@ -129,7 +129,7 @@ def j17_four_way(t):
     return t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select("o_orderkey", "l_linenumber", "c_mktsegment", "s_name")
 
 
-@query("SELECT q.doc_id AS q, rank, exemplar FROM documents q JOIN (SELECT q2.doc_id AS q, e.doc_id AS exemplar, row_number() OVER (PARTITION BY q2.doc_id ORDER BY sha256('s:' || CAST(e.doc_id AS STRING)), e.doc_id) AS rank FROM documents q2 JOIN (SELECT doc_id FROM documents ORDER BY sha256('s:' || CAST(doc_id AS STRING)), doc_id LIMIT 4) e ON q2.doc_id <> e.doc_id) x ON x.q = q.doc_id WHERE rank <= 3")
+@query("WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('s:' || CAST(doc_id AS STRING)), doc_id) - 1 AS place, count(*) OVER () AS n FROM documents), q AS (SELECT doc_id AS q, n, CAST('0x' || left(sha256('s:q:' || CAST(doc_id AS STRING)), 12) AS BIGINT) % n AS start FROM p), x AS (SELECT q, i, doc_id AS exemplar FROM q, generate_series(0, 3) s(i), p WHERE p.place = (start + i) % q.n AND doc_id <> q) SELECT q, rank, exemplar FROM (SELECT q, exemplar, row_number() OVER (PARTITION BY q ORDER BY i) AS rank FROM x) WHERE rank <= 3")
 def j19_w20_exemplars(t):
     return splits.exemplars(t.documents, t.documents, 3, "s", "doc_id").select("q", F.col("rank").cast("long").alias("rank"), "exemplar")
 
@@ -149,7 +149,7 @@ def a07_a08_split_means(t):
 
 @query("SELECT lang, round(avg(n_chars), 6) AS mean, median(n_chars) AS median, list_sort(list(n_chars))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95, max(n_chars) AS most FROM documents GROUP BY lang")
 def a09_distribution(t):
-    return t.documents.groupBy("lang").agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.median("n_chars").alias("median"), lower_percentile(F.collect_list("n_chars"), 0.95).alias("p95"), F.max("n_chars").alias("most"))
+    return distribution(t.documents, ["lang"], "n_chars").select("lang", F.round("mean", 6).alias("mean"), "median", "p95", "most")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (quality = 1) AS structural, count(*) FILTER (toxic = 0) AS quote, count(*) FILTER (quality = 1 AND toxic = 0) AS \"both\" FROM labels")
@@ -270,7 +270,15 @@ def w17_w22_ordered_list(t):
     return own.select("o_custkey", F.array_join(F.transform("l", lambda x: x["o_orderkey"].cast("string")), ",").alias("ids"))
 
 
-@query()
+def split_sql(groups: str, fraction: float = 0.4, seed: str = "lodestone-v1") -> str:
+    """The fold over groups (g, n) as recursive SQL: sides (g, split)."""
+    near = f"abs((SELECT round_even(sum(n) * {fraction}, 0) FROM sizes) - (dev + o.n)) <= abs((SELECT round_even(sum(n) * {fraction}, 0) FROM sizes) - dev)"
+    take = f"CASE WHEN o.k = (SELECT count(*) FROM sizes) THEN test > 0 ELSE {near} END"
+    return f"""sizes AS ({groups}), o AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, sha256('{seed}:' || g), g) AS k FROM sizes),
+st AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS dev, CAST(0 AS BIGINT) AS test, '' AS g, '' AS split UNION ALL SELECT o.k, CAST(dev + CASE WHEN {take} THEN o.n ELSE 0 END AS BIGINT), CAST(test + CASE WHEN {take} THEN 0 ELSE o.n END AS BIGINT), o.g, CASE WHEN {take} THEN 'development' ELSE 'test' END FROM st JOIN o ON o.k = st.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {split_sql('SELECT lang || source AS g, count(*) AS n FROM documents GROUP BY 1')} SELECT doc_id AS qa_id, lang || source AS parent_id, split FROM documents JOIN st ON st.g = lang || source")
 def w18_grouped_split(t):
     return splits.grouped_split(t.documents.select(F.col("doc_id").alias("qa_id"), F.concat("lang", "source").alias("parent_id")))
 

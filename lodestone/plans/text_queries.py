@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.python_text import rouge_l, typographic_normal
 from lodestone.operators import baselines, citations, corpus, review
+from lodestone.operators.retrieval import top_k
 from lodestone.plans.registry import query
 from lodestone.plans.views import CHOICE, CITED, KIND, LINES_CTE, MARKED, SECTION, TITLE, TOK, children, lines
 from lodestone.sources import files
@@ -77,8 +78,9 @@ def s24_split_limit(t):
 
 @query("SELECT source AS style, n, first_id FROM (SELECT source, doc_id AS first_id, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 3")
 def s25_style_profile(t):
-    listed = t.documents.groupBy(F.col("source").alias("style")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids"))
-    return listed.select("style", "n", F.explode("ids").alias("first_id"))
+    styled = t.documents.select(F.col("source").alias("style"), "doc_id")
+    firsts = top_k(styled, ["style"], [F.asc("doc_id")], 3).select("style", F.col("doc_id").alias("first_id"))
+    return styled.groupBy("style").agg(F.count(F.lit(1)).alias("n")).join(firsts, "style")
 
 
 @query("SELECT doc_id, r.a AS first, r.b AS last FROM documents JOIN (VALUES (3, 9), (20, 24)) r(a, b) ON doc_id BETWEEN r.a AND r.b")
@@ -234,14 +236,15 @@ def t16_legacy_match(t):
     return t.documents.select("doc_id", T.legacy_citation_match(F.expr(CITED), gold).alias("score"))
 
 
-@query()
+@query("SELECT doc_id, CAST(i - 1 AS INT) AS position, '376/2014' AS regulation, 'ARTICLE' AS kind, x.number AS number, array_to_string(x.subs, ';') AS subs, true AS defaulted FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, [{'number': CAST(doc_id % 9 AS STRING), 'subs': ['2', 'b']}, {'number': CAST(doc_id % 5 AS STRING), 'subs': CAST([] AS STRING[])}] || CASE WHEN doc_id % 5 <> 4 THEN [{'number': '4', 'subs': CAST([] AS STRING[])}] ELSE [] END AS l FROM documents))")
 def t17_citations(t):
-    return citations.citations(t.documents.select("doc_id", F.expr(CITED).alias("text"))).drop("text")
+    return citations.citations(t.documents.select("doc_id", F.expr(CITED).alias("text"))).drop("text").withColumn("subs", F.array_join("subs", ";"))
 
 
-@query()
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 3 = 0 THEN true ELSE doc_id % 11 IN (doc_id % 5, 4) END AS exact, CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 11 > 8 THEN NULL ELSE doc_id % 11 IN (doc_id % 9, doc_id % 5, 4) END AS parent FROM documents")
 def t19_citation_matches(t):
-    pairs = t.documents.select(F.col("doc_id").alias("id"), F.expr(CITED).alias("prediction"), F.concat(F.lit("Article "), (F.col("doc_id") % 9).cast("string"), F.lit("(2)(b)")).alias("gold"))
+    gold = F.expr("CASE WHEN doc_id % 7 = 3 THEN 'paragraph 3' WHEN doc_id % 3 = 0 THEN 'Article ' || CAST(doc_id % 9 AS STRING) || '(2)(b)' ELSE 'Article ' || CAST(doc_id % 11 AS STRING) END")
+    pairs = t.documents.select(F.col("doc_id").alias("id"), F.expr(CITED).alias("prediction"), gold.alias("gold"))
     parents = t.spark.range(0, 9).select(F.concat(F.lit("EU_376_2014_ART_"), "id").alias("parent_id"))
     return citations.matches(pairs, parents)
 
@@ -286,8 +289,13 @@ def a24_parent_text(t):
     return own.select("doc_id", F.lit(True).alias("ok"), F.size("l").cast("long").alias("n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("whole"))
 
 
-@query()
+_LINE_MARKS = "CASE sequence % 4 WHEN 0 THEN '2.1' WHEN 1 THEN '3' WHEN 2 THEN 'b' END", "CASE sequence % 4 WHEN 0 THEN 'decimal' WHEN 1 THEN 'parenthesized_number' WHEN 2 THEN 'letter' END", "CASE sequence % 3 WHEN 0 THEN 'ListLevel0' WHEN 1 THEN 'ListLevel1' ELSE '' END", "CASE doc_id % 3 WHEN 0 THEN 'ARTICLE' WHEN 1 THEN 'ANNEX' ELSE 'GM' END"
+
+
+@query(f"""WITH RECURSIVE {LINES_CTE}, items AS (SELECT doc_id, sequence, {_LINE_MARKS[0]} AS value, {_LINE_MARKS[1]} AS kind, {_LINE_MARKS[2]} AS style, {_LINE_MARKS[3]} AS type FROM lines),
+st AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS sequence, CAST([] AS STRING[]) AS path FROM items UNION ALL SELECT x.doc_id, x.sequence, CASE WHEN value IS NULL THEN path WHEN type = 'ARTICLE' AND style = 'ListLevel0' AND kind IN ('decimal', 'parenthesized_number') THEN string_split(value, '.')[1:1] WHEN type = 'ANNEX' AND kind = 'decimal' THEN string_split(value, '.') WHEN type IN ('ARTICLE', 'ANNEX') AND style = 'ListLevel1' THEN path[1:1] || [value] WHEN kind = 'decimal' THEN string_split(value, '.') ELSE path || [value] END FROM st JOIN items x ON x.doc_id = st.doc_id AND x.sequence = st.sequence + 1)
+SELECT doc_id, sequence, array_to_string(path, '.') AS path FROM st WHERE sequence > 0""")
 def w13_marker_paths(t):
-    item = F.struct((F.col("doc_id")).alias("sequence"), T.marker_value(F.expr(MARKED)).alias("value"), T.marker_kind(F.expr(MARKED)).alias("kind"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'ListLevel0' WHEN 1 THEN 'ListLevel1' ELSE '' END").alias("style"), F.lit("ARTICLE").alias("document_type"))
-    folded = t.documents.groupBy("source").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return folded.select("source", F.posexplode(corpus.marker_paths(F.col("items"))).alias("i", "path"))
+    own = lines(t).select("doc_id", "sequence", *(F.expr(e).alias(n) for e, n in zip(_LINE_MARKS, ("value", "kind", "style", "document_type"))))
+    folded = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "value", "kind", "style", "document_type"))).alias("items"))
+    return folded.select("doc_id", F.posexplode(corpus.marker_paths(F.col("items"))).alias("i", "path")).select("doc_id", (F.col("i") + 1).cast("long").alias("sequence"), F.array_join("path", ".").alias("path"))

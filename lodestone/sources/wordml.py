@@ -10,7 +10,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -116,9 +116,10 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def style_profile(blocks_: DataFrame, samples: int = 3) -> DataFrame:
     """(style, n, samples): paragraphs of each style and the first texts, 220 characters each."""
-    own = blocks_.where("kind = 'p'")
-    firsts = F.slice(F.array_sort(F.collect_list(F.struct("doc_path", "block_index", F.left("text", F.lit(220)).alias("t")))), 1, samples)
-    return own.groupBy("style").agg(F.count(F.lit(1)).alias("n"), firsts.alias("f")).select("style", "n", F.transform("f", lambda x: x["t"]).alias("samples"))
+    own = blocks_.where("kind = 'p'").select("style", "doc_path", "block_index", F.left("text", F.lit(220)).alias("t"))
+    ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("style").orderBy("doc_path", "block_index"))).where(F.col("k") <= samples)
+    firsts = ranked.groupBy("style").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("f"))  # samples rows a style
+    return own.groupBy("style").agg(F.count(F.lit(1)).alias("n")).join(firsts, "style", "left").select("style", "n", F.transform("f", lambda x: x["t"]).alias("samples"))
 
 
 # What opens a line that may be a legal unit's heading.
