@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import binary_list, crc_of_id, cut, shuffle_partitions, slices, table
+from lodestone.llm.common import binary_list, crc_of_id, cut, release, shuffle_partitions, slices, table
 from lodestone.llm.elias_fano import BEFORE_BITS, Trie
 from lodestone.llm.packed import pa_bytes, pack_parts, packed, parts_of, unpacked
 
@@ -41,7 +41,7 @@ STRENGTHS, TRUSTS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0), (0.1, 0.4, 1.
 #: Training tokens of a shard: at most, and at least where shards are only as many as shuffle partitions.
 SHARD_TOKENS, LEAST_TOKENS = 4_000_000, 250_000
 BLOCK = 1 << 20
-MEMO = 1_000_000
+MEMO = 500_000
 #: Bytes of the longest word that is kept in the memo.
 LONG_WORD = 64
 
@@ -71,7 +71,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for text in binary_list(batch.column(0)):
                 for part in slices(text or b""):
                     total.update(part.lower().split())
-                if len(total) > MEMO // 2:
+                if len(total) > MEMO:
                     yield flush()
         if total:
             yield flush()
@@ -269,7 +269,7 @@ def gram_counts(texts: DataFrame, known, labels: list[int]) -> DataFrame:
             for text in binary_list(batch.column(0)):
                 held.append(reader.codes(text or b""))
                 n += len(held[-1]) + 1
-                if n > 2 * BLOCK:
+                if n > 3 * BLOCK // 2:
                     yield flush()
                     held.clear()
                     n = 0
@@ -504,6 +504,7 @@ def score_texts(docs: DataFrame, learn, size: int = COMMON, shards: int | None =
     labels = labels_of(spark, shards or shards_of(own.tokens, shuffle_partitions(spark)))
     known = spark.sparkContext.broadcast(own)
     grams = cut(gram_counts(train.select("text"), known, labels), "grams")
+    release(spark)
     if own.texts:
         own.strength, own.trust = fitted(grams, words, known, own.texts)
         known = spark.sparkContext.broadcast(own)
