@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import answers, baselines, calibration, context, corpus, mapping, retrieval, review, splits
+from lodestone.operators import answers, baselines, calibration, context, corpus, mapping, providers, retrieval, review, splits
 from lodestone.plans import flows
 from lodestone.sources import files, wordml
 from lodestone.sources.shared import materialized
@@ -73,12 +73,47 @@ def _freeze(spark, a):
     return flows.freeze(*tables[:3], inherit=tables[3] if len(tables) > 3 else None, fraction=a.fraction, seed=a.seed)
 
 
+def _embed(spark, a):
+    return providers.cached_vectors(_read(spark, a.inputs[0]), f"{a.output}.cache", f"hashed-{a.size}", providers.hashed_vectors(a.size))[0].drop("cached")
+
+
+def _ladder(spark, a):
+    found = flows.ladder(*(_read(spark, x) for x in a.inputs[:4]), a.limit, a.constant, providers.lexical_scores, a.output)
+    if len(a.inputs) > 5:
+        ranked = {n: x for n, x in found.items() if n != "contexts"}
+        _write(flows.metrics(_read(spark, a.inputs[4]), ranked, _read(spark, a.inputs[5]), a.k), f"{a.output}/metrics.csv")
+    return 0
+
+
+def _generate(spark, a):
+    cache = _read(spark, a.inputs[2]) if len(a.inputs) > 2 else spark.createDataFrame([], "key string, response string")
+    out = flows.generate(_read(spark, a.inputs[0]), _read(spark, a.inputs[1]), providers.extracted_answers, cache)
+    for name, rows in out.items():
+        _write(rows if name != "reports" else rows.drop("claims"), f"{a.output}/{name}.jsonl")
+    return 0
+
+
+def _environment(spark, a):
+    """Versions, settings and the manifests found under a folder."""
+    import platform
+
+    facts = [("python", platform.python_version()), ("spark", spark.version), ("platform", platform.platform()), ("cores", str(spark.sparkContext.defaultParallelism))]
+    facts += [(f"setting {k}", v) for k, v in spark.sparkContext.getConf().getAll() if k.startswith("spark.sql.")]
+    digests = files.file_digests(spark, a.inputs[0])
+    return spark.createDataFrame(sorted(facts), "name string, value string").union(digests.select(*(F.col(c).cast("string") for c in digests.columns[:2])))
+
+
 COMMANDS = {
     "corpus": ("documents' folder", 1, _corpus),
     "profile": ("documents' folder", 1, lambda s, a: wordml.style_profile(wordml.read_blocks(s, a.inputs[0]))),
     "ranges": ("documents' folder", 1, lambda s, a: wordml.paragraph_ranges(wordml.read_blocks(s, a.inputs[0]), [tuple(map(int, r.split(":"))) for r in a.range])),
     "bm25": ("questions, children", 2, lambda s, a: retrieval.bm25(_read(s, a.inputs[0]), _read(s, a.inputs[1]), a.limit, a.k1, a.b)),
     "dense": ("query vectors, child vectors", 2, lambda s, a: retrieval.cosine_top_k(_read(s, a.inputs[0]), _read(s, a.inputs[1]), a.limit, "qa_id", "id")),
+    "embed": ("rows with id and text", 1, _embed),
+    "scores": ("pairs with qa_id, id, question and text", 1, lambda s, a: providers.scored_pairs(_read(s, a.inputs[0]), providers.lexical_scores).select("qa_id", "id", "score")),
+    "ladder": ("questions, children, query vectors, child vectors, and perhaps questions with evidence and parents", 4, _ladder),
+    "generate": ("questions, sources, and perhaps a cache", 2, _generate),
+    "environment": ("files", 1, _environment),
     "fuse": ("rankings", 2, _fuse),
     "rerank": ("ranking, scores", 2, _rerank),
     "evaluate": ("questions with evidence, ranking, parents", 3, lambda s, a: retrieval.evaluate(*(_read(s, x) for x in a.inputs), a.k)),
@@ -102,7 +137,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("command", choices=COMMANDS, help="; ".join(f"{k}: {v[0]}" for k, v in COMMANDS.items()))
     parser.add_argument("inputs", nargs="+")
     parser.add_argument("output")
-    for name, kind, value in (("limit", int, 20), ("k1", float, 1.5), ("b", float, 0.75), ("constant", float, 60.0), ("top-k", int, 5), ("max-words", int, 1200), ("radius", int, 0), ("fraction", float, 0.4), ("seed", str, "lodestone-v1"), ("group", str, "parent_id"), ("min-reviewers", int, 2), ("version", str, "2022-12"), ("name", str, "name")):
+    for name, kind, value in (("limit", int, 20), ("k1", float, 1.5), ("b", float, 0.75), ("constant", float, 60.0), ("size", int, 64), ("top-k", int, 5), ("max-words", int, 1200), ("radius", int, 0), ("fraction", float, 0.4), ("seed", str, "lodestone-v1"), ("group", str, "parent_id"), ("min-reviewers", int, 2), ("version", str, "2022-12"), ("name", str, "name")):
         parser.add_argument(f"--{name}", type=kind, default=value)
     parser.add_argument("--unanimous", action="store_true")
     parser.add_argument("--k", type=int, nargs="*", default=[1, 3, 5, 10, 20])

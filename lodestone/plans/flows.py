@@ -1,26 +1,67 @@
-"""Whole flows over operators: the retrieval ladder and the freezing of a reviewed benchmark."""
+"""Whole flows over operators: the retrieval ladder, the generation of answers, and the freezing of a reviewed benchmark."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import retrieval, review, splits
+from lodestone.operators import answers, baselines, context, providers, retrieval, review, splits
 from lodestone.operators.relational import require_empty
 from lodestone.sources.shared import materialized
 
 
-def ladder(questions: DataFrame, children: DataFrame, query_vectors: DataFrame, child_vectors: DataFrame, limit: int = 20, constant: float = 60) -> dict[str, DataFrame]:
-    """Rankings (qa_id, id, score, rank) by name: bm25, dense, and hybrid, their fusion. Each is computed once and kept in the shared folder.
+def stage(spark, folder: str | None, name: str, build) -> DataFrame:
+    """The table name under folder if it was finished before, else build(), written there; without a folder, in the shared one."""
+    if folder is None:
+        return materialized(build(), name)
+    at = f"{folder}/{name}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
 
-    questions: qa_id, question; children: id, text; vectors: qa_id or id, embedding.
+
+def ladder(
+    questions: DataFrame, children: DataFrame, query_vectors: DataFrame, child_vectors: DataFrame, limit: int = 20, constant: float = 60, scores: providers.Scores | None = None, folder: str | None = None, **contexts
+) -> dict[str, DataFrame]:
+    """Rankings (qa_id, id, score, rank) by name: bm25, dense, hybrid, their fusion, and with scores also reranked; and if children have parent_id, sequence and word_count, contexts of the last of them.
+
+    questions: qa_id, question; children: id, text; vectors: qa_id or id, embedding; scores: a provider of pair scores;
+    contexts: options of context_bundles. With folder, each stage is kept there, and one that is there is not run again.
+    """
+    spark, out = questions.sparkSession, {}
+    out["bm25"] = stage(spark, folder, "bm25", lambda: retrieval.bm25(questions, children, limit))
+    near = lambda: retrieval.cosine_top_k(query_vectors, child_vectors, limit, "qa_id", "id").withColumnRenamed("q", "qa_id").select("qa_id", "id", "score", "rank")
+    out["dense"] = stage(spark, folder, "dense", near)
+    both = out["bm25"].select(F.lit("bm25").alias("ranker"), F.lit(1.0).alias("weight"), "qa_id", "id", "rank").union(out["dense"].select(F.lit("dense"), F.lit(1.0), "qa_id", "id", "rank"))
+    last = out["hybrid"] = stage(spark, folder, "hybrid", lambda: retrieval.reciprocal_rank_fusion(both, constant, limit))
+    if scores is not None:
+        pairs = last.select("qa_id", "id", F.col("rank").alias("original_rank")).join(questions.select("qa_id", "question"), "qa_id").join(children.select("id", "text"), "id")
+        scored = lambda: providers.scored_pairs(pairs, scores).select("qa_id", "id", "original_rank", F.round("score", 6).alias("score"))
+        last = out["reranked"] = stage(spark, folder, "reranked", lambda: retrieval.rerank(scored(), limit))
+    if {"parent_id", "sequence", "word_count"} <= set(children.columns):
+        kids = children.select(F.col("id").alias("child_id"), "parent_id", "sequence", "word_count")
+        out["contexts"] = stage(spark, folder, "contexts", lambda: context.context_bundles(last.select("qa_id", "rank", F.col("id").alias("child_id")), kids, **contexts))
+    return out
+
+
+def generate(questions: DataFrame, sources: DataFrame, provider, cache: DataFrame, model: str = "extract", system: str = "", schema: str = "") -> dict[str, DataFrame]:
+    """answers (qa_id, key, payload text, cached), reports of their verification, citations of the accepted ones, and a summary row.
+
+    questions: qa_id, question; sources: qa_id, position, source_id, text and what answers.verify needs of evidence;
+    cache: key, response; provider: requests (JSON with question and sources) to payloads. A question without sources is asked without any.
     """
-    lexical = materialized(retrieval.bm25(questions, children, limit), "bm25")
-    near = retrieval.cosine_top_k(query_vectors, child_vectors, limit, "qa_id", "id").withColumnRenamed("q", "qa_id")
-    dense = materialized(near.select("qa_id", "id", "score", "rank"), "dense")
-    both = lexical.select(F.lit("bm25").alias("ranker"), F.lit(1.0).alias("weight"), "qa_id", "id", "rank").union(dense.select(F.lit("dense"), F.lit(1.0), "qa_id", "id", "rank"))
-    hybrid = materialized(retrieval.reciprocal_rank_fusion(both, constant, limit), "hybrid")
-    return {"bm25": lexical, "dense": dense, "hybrid": hybrid}
+    given = sources.groupBy("qa_id").agg(F.array_sort(F.collect_list(F.struct("position", "source_id", "text"))).alias("l"))
+    listed = F.coalesce(F.transform("l", lambda x: F.struct(x["source_id"].alias("source_id"), x["text"].alias("text"))), F.array().cast("array<struct<source_id:string,text:string>>"))
+    request = F.to_json(F.struct(F.col("question").alias("question"), listed.alias("sources")))
+    asked = materialized(questions.join(given, "qa_id", "left").select("qa_id", request.alias("request")).withColumn("key", baselines.cache_key(model, F.lit(system), F.col("request"), schema)), "requests")
+    said = baselines.through_cache(asked.select("key", "request").distinct(), cache, provider)
+    made = materialized(asked.select("qa_id", "key").join(said, "key").select("qa_id", "key", F.col("response").alias("payload"), "cached"), "answers")
+    parsed = made.select("qa_id", F.try_parse_json("payload").alias("payload"))
+    reports = materialized(answers.verify(parsed, sources), "reports")
+    accepted = reports.where("decision = 'accept_structurally'").select("qa_id")
+    cited = answers.resolve_citations(parsed.join(accepted, "qa_id", "left_semi"), sources)
+    return {"answers": made, "reports": reports, "citations": cited, "summary": answers.generation_summary(reports)}
 
 
 def metrics(qa: DataFrame, rankings: dict[str, DataFrame], parents: DataFrame, ks: list[int]) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import answers, baselines, calibration, citations, context, corpus, mapping, retrieval, review
+from lodestone.operators import answers, baselines, calibration, citations, context, corpus, mapping, providers, retrieval, review
 from lodestone.plans import flows
 from lodestone.plans.registry import query
 from lodestone.plans.relation_queries import split_sql
@@ -259,6 +259,36 @@ def s11_s14_response_cache(t):
     return baselines.through_cache(requests, cache, lambda texts: [x.upper() for x in texts])
 
 
+@query(f"SELECT doc_id, doc_id % 3 = 0 AS cached, CAST(64 AS BIGINT) AS size, CASE WHEN len({TOK.format('text')}) > 0 THEN 1.0 ELSE 0.0 END AS norm, true AS matched FROM documents")
+def s11_s12_vector_cache(t):
+    """Vectors of all documents from a cache that has every third one's, which then matches as it is. Another text's vector is asked for."""
+    at = f"{shared_dir(t.spark)}/vectors-{uuid.uuid4().hex}"
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.concat(F.col("text"), F.repeat(F.lit(" "), F.col("doc_id").cast("int"))).alias("text"))  # no two alike
+    providers.cached_vectors(rows.where("id % 3 = 0"), at, "hashed", providers.hashed_vectors())
+    got, before = providers.cached_vectors(rows, at, "hashed", providers.hashed_vectors())
+    _, after = providers.cached_vectors(rows, at, "hashed", providers.hashed_vectors())
+    norm = F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6)
+    return got.select(F.col("id").alias("doc_id"), "cached", F.size("embedding").cast("long").alias("size"), norm.alias("norm"), F.lit(after and not before).alias("matched"))
+
+
+@query(f"SELECT item_id AS qa_id, doc_id AS id, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS score FROM (SELECT item_id, doc_id, {TOK.format('i.text')} AS a, {TOK.format('d.text')} AS b FROM benchmark i JOIN documents d ON d.doc_id % 40 = i.item_id)")
+def s13_pair_scores(t):
+    pairs = t.documents.select(F.col("doc_id").alias("id"), "text").join(questions(t), F.col("id") % 40 == F.col("qa_id"))
+    return providers.scored_pairs(pairs, providers.lexical_scores).select("qa_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT item_id AS qa_id, item_id % 4 = 0 AS cached, CASE WHEN item_id % 4 = 3 THEN 'abstain' ELSE 'accept_structurally' END AS decision, item_id % 4 <> 3 AS cited FROM benchmark")
+def s15_generated_answers(t):
+    """Answers of the offline provider to benchmark items, whose source is the item itself or, for every fourth, a text without a common word."""
+    _, evidence = _answers(t)
+    given = evidence.withColumn("position", F.lit(1)).withColumn("text", F.when(F.col("qa_id") % 4 == 3, F.lit("§ §")).otherwise(F.regexp_replace("text", r"[^\p{L}\p{N} ]", "")))
+    asked = t.benchmark.select(F.col("item_id").alias("qa_id"), F.concat(F.lit("7q "), F.col("text")).alias("question"))
+    first = flows.generate(asked.where("qa_id % 4 = 0"), given, providers.extracted_answers, t.spark.createDataFrame([], "key string, response string"))
+    out = flows.generate(asked, given, providers.extracted_answers, first["answers"].select("key", F.col("payload").alias("response")))
+    cited = out["citations"].select("qa_id", F.lit(True).alias("cited")).distinct()
+    return out["answers"].select("qa_id", "cached").join(out["reports"].select("qa_id", "decision"), "qa_id").join(cited, "qa_id", "left").select("qa_id", "cached", "decision", F.coalesce("cited", F.lit(False)).alias("cited"))
+
+
 @query("SELECT term, count(*) AS df, CAST(sum(f) AS BIGINT) AS total, round(avg(len), 6) AS mean_len FROM (SELECT doc_id, len, term, count(*) AS f FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)) GROUP BY ALL) GROUP BY term")
 def a01_a03_term_statistics(t):
     tf = retrieval.term_frequencies(t.documents, "doc_id", "text")

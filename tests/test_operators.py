@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import stats
 from lodestone.functions import text as T
 from lodestone.functions.python_text import rouge_l, typographic_normal
-from lodestone.operators import answers, baselines, calibration, citations, context, mapping, relational, retrieval, review, splits
+from lodestone.operators import answers, baselines, calibration, citations, context, mapping, providers, relational, retrieval, review, splits
 from lodestone.plans import commands, flows
 from lodestone.sources import files
 from lodestone.streaming import votes as stream
@@ -301,6 +301,75 @@ def test_commands(spark, tmp_path):
         commands.main(args, spark)
 
 
+def test_vector_cache(spark, tmp_path):
+    asked = []
+
+    def embed(texts):
+        asked.append(len(texts))
+        return [(i, [float(len(texts[i])), 1.0]) for i in reversed(range(len(texts)))]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bb"), (3, None), (4, "bb")], "id long, text string")
+    first, matched = providers.cached_vectors(rows, str(tmp_path / "v"), "m", embed)
+    assert not matched and {r.id: r.embedding[0] for r in first.collect()} == {1: 1.0, 2: 2.0, 3: 0.0, 4: 2.0}
+    again, matched = providers.cached_vectors(rows, str(tmp_path / "v"), "m", None)
+    assert matched and again.count() == 4
+    more = spark.createDataFrame([(1, "a"), (5, "ccc")], "id long, text string")
+    got = {r.id: (r.embedding[0], r.cached) for r in providers.cached_vectors(more, str(tmp_path / "v"), "m", embed)[0].collect()}
+    assert got == {1: (1.0, True), 5: (3.0, False)}
+    other = providers.cached_vectors(more, str(tmp_path / "v"), "n", embed)[0]
+    assert {r.cached for r in other.collect()} == {False}
+    with pytest.raises(Exception, match="answer every text once"):
+        providers.embedded(rows.coalesce(1), lambda texts: [(0, [1.0])]).collect()
+    with pytest.raises(Exception, match="score every pair"):
+        providers.scored_pairs(spark.createDataFrame([("a", "b")], "question string, text string"), lambda pairs: []).collect()
+
+
+def test_ladder_resumes_and_reranks(spark, tmp_path):
+    questions = spark.createDataFrame([("q", "pilots report accidents")], "qa_id string, question string")
+    kids = spark.createDataFrame([("a", "pilots report accidents", "P1", 1, 3), ("b", "pilots fly", "P1", 2, 2), ("c", "weather", "P2", 1, 1)], "id string, text string, parent_id string, sequence int, word_count int")
+    vectors = providers.embedded(kids.select("id", "text"), providers.hashed_vectors()).drop("text")
+    asked = providers.embedded(questions, providers.hashed_vectors(), "question").drop("question")
+    found = flows.ladder(questions, kids, asked, vectors, 3, scores=providers.lexical_scores, folder=str(tmp_path / "l"), top_k=2)
+    assert {n: [r.id for r in found[n].orderBy("rank").collect()][0] for n in ("bm25", "dense", "hybrid", "reranked")} == dict.fromkeys(("bm25", "dense", "hybrid", "reranked"), "a")
+    assert found["contexts"].first().source_ids == ["a", "b"]
+
+    def broken(pairs):
+        raise AssertionError("a finished stage must not run again")
+
+    assert flows.ladder(questions, kids, asked, vectors, 3, scores=broken, folder=str(tmp_path / "l"), top_k=2)["reranked"].count() == 3
+
+
+def test_commands_of_flows(spark, tmp_path):
+    def put(name, *rows):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, rows)))
+        return str(tmp_path / name)
+
+    questions = put("q.jsonl", {"qa_id": "q", "question": "who reports accidents"}, {"qa_id": "r", "question": "zzz"})
+    kids = put("c.jsonl", {"id": "a", "text": "Pilots report accidents."}, {"id": "b", "text": "Weather."})
+    for name, source in (("kv", kids), ("qv", put("qt.jsonl", {"id": "q", "text": "who reports accidents"}, {"id": "r", "text": "zzz"}))):
+        assert commands.main(["embed", source, str(tmp_path / f"{name}.jsonl")], spark) == 0
+    asked = put("qv2.jsonl", *({"qa_id": r.id, "embedding": r.embedding} for r in spark.read.json(str(tmp_path / "qv.jsonl")).collect()))
+    assert commands.main(["ladder", questions, kids, asked, str(tmp_path / "kv.jsonl"), str(tmp_path / "ladder")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "ladder" / "reranked")).where("qa_id = 'q' AND rank = 1").first().id == "a"
+    sources = put("s.jsonl", *({"qa_id": q, "position": 1, "source_id": "S1", "text": "Pilots report accidents.", "canonical_citation": "Article 4", "document_id": "D", "parent_id": "P"} for q in "qr"))
+    assert commands.main(["generate", questions, sources, str(tmp_path / "made")], spark) == 0
+    reports = {r.qa_id: r.decision for r in spark.read.json(str(tmp_path / "made" / "reports.jsonl")).collect()}
+    assert reports == {"q": "accept_structurally", "r": "abstain"}
+    assert [r.qa_id for r in spark.read.json(str(tmp_path / "made" / "citations.jsonl")).collect()] == ["q"]
+    assert commands.main(["environment", questions, str(tmp_path / "env.jsonl")], spark) == 0
+    assert {"python", "spark"} <= {r.name for r in spark.read.json(str(tmp_path / "env.jsonl")).collect()}
+
+
+def test_exemplars_are_each_questions_own(spark):
+    rows = spark.range(30).select(F.col("id").alias("qa_id"))
+    got = {}
+    for r in splits.exemplars(rows, rows, 3, "s").collect():
+        got.setdefault(r.q, []).append(r.exemplar)
+    assert len(got) == 30 and all(len(set(x)) == 3 and q not in x for q, x in got.items()) and len({tuple(sorted(x)) for x in got.values()}) > 10
+    two = spark.range(2).select(F.col("id").alias("qa_id"))
+    assert sorted((r.q, r.exemplar) for r in splits.exemplars(two, two, 5, "s").collect()) == [(0, 1), (1, 0)]
+
+
 def test_calibration(spark):
     rows = spark.createDataFrame([(3, 0.2, 1, 1, 1, 1, 0, 0), (0, 2.0, 3, 2, 1, 1, 0, 1), (2, 1.2, 2, 2, 0, 0, 0, 1)], "top1_rank_shift int, rerank_margin double, distinct_sources_cited int, claim_count int, quote_pass int, quote_pass_strict int, model_abstained int, evidence_correct int")
     got = {r.rule: r for r in calibration.rule_statistics(rows).collect()}
