@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import binary_list, table
 
 ROW = 192  # bytes of a row of 64 RGB samples
-NETPBM = re.compile(rb"(P[1-6])")
 GAP = rb"(?:\s|#[^\n]*\n)+"
 
 
@@ -34,10 +33,13 @@ def write_bmp(samples: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """The 8-bit samples of a Netpbm (P1 to P6, 8 bits a sample) or uncompressed BMP (1, 4, 8, 24 or 32 bits) image. ValueError for other bytes."""
+    """The 8-bit samples of a Netpbm (P1 to P6, 8 bits a sample) or uncompressed BMP (1, 4, 8, 24 or 32 bits, byte-wide masks) image.
+
+    ValueError for other bytes, empty images, missing samples, and samples above the maximum or outside the palette.
+    """
     if data[:2] == b"BM":
         return _bmp(data)
-    if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
+    if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
         return _netpbm(data)
     raise ValueError("neither Netpbm nor BMP")
 
@@ -45,50 +47,85 @@ def decode(data: bytes) -> np.ndarray:
 def _netpbm(data: bytes) -> np.ndarray:
     kind = data[1] - 48
     fields = 2 if kind in (1, 4) else 3
-    head = re.match(rb"P[1-6]" + (GAP + rb"(\d+)") * fields, data)
+    head = re.match(rb"P[1-6]" + (GAP + rb"(\d{1,9})") * fields + rb"(?=\s)", data)
     if not head:
         raise ValueError("no Netpbm header")
     w, h = int(head[1]), int(head[2])
     top = int(head[3]) if fields == 3 else 1
+    if not w or not h:
+        raise ValueError("an image without samples")
     if not 0 < top < 256:
         raise ValueError("more than 8 bits a sample")
     deep = 3 if kind in (3, 6) else 1
-    n = w * h * deep
+    n, at = w * h * deep, head.end() + 1
     if kind == 1:
-        out = 255 * (1 - np.frombuffer(re.sub(rb"#[^\n]*\n|\s", b"", data[head.end() :])[:n], np.uint8) + 48)
+        out = np.frombuffer(re.sub(rb"#[^\n]*(?:\n|\Z)|\s", b"", data[at - 1 :])[:n], np.uint8) - 48  # below 48 wraps round, above what is allowed
     elif kind in (2, 3):
-        out = np.array(re.sub(rb"#[^\n]*\n", b" ", data[head.end() :]).split()[:n], np.int64)
-    elif kind == 4:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, (w + 7) // 8 * h, head.end() + 1)).reshape(h, -1)[:, :w]
-        out = 255 * (1 - bits.ravel())
+        own = re.sub(rb"#[^\n]*(?:\n|\Z)", b" ", data[at - 1 :]).split(maxsplit=n)[:n]
+        if not all(x.isdigit() and len(x) < 10 for x in own):
+            raise ValueError("samples that are no numbers")
+        out = np.array(own, np.int64)
     else:
-        out = np.frombuffer(data, np.uint8, n, head.end() + 1)
+        row = (w + 7) // 8 if kind == 4 else w * deep
+        if len(data) - at < row * h:
+            raise ValueError("samples are missing")
+        out = np.frombuffer(data, np.uint8, row * h, at)
+        if kind == 4:
+            out = np.unpackbits(out).reshape(h, -1)[:, :w].ravel()
     if out.size != n:
         raise ValueError("samples are missing")
-    if kind not in (1, 4) and top != 255:
+    if int(out.max()) > top:
+        raise ValueError("a sample above the maximum")
+    if kind in (1, 4):
+        out = 255 * (1 - out)
+    elif top != 255:
         out = (out.astype(np.int64) * 255 + top // 2) // top
     return out.astype(np.uint8).reshape((h, w, 3) if deep == 3 else (h, w))
 
 
 def _bmp(data: bytes) -> np.ndarray:
-    if len(data) < 54:
+    if len(data) < 26:
         raise ValueError("no BMP header")
-    at, size, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    colours = struct.unpack_from("<I", data, 46)[0] or (1 << bits if bits <= 8 else 0)
-    if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or w <= 0 or h == 0:
+    at, size = struct.unpack_from("<II", data, 10)
+    if size == 12:  # the oldest header
+        w, h, planes, bits = struct.unpack_from("<HHHH", data, 18)
+        packed, colours, entry = 0, 1 << bits if bits <= 8 else 0, 3
+    elif size >= 40 and len(data) >= 54:
+        w, h, planes, bits, packed = struct.unpack_from("<iiHHI", data, 18)
+        colours, entry = struct.unpack_from("<I", data, 46)[0] or (1 << bits if bits <= 8 else 0), 4
+    else:
+        raise ValueError("no BMP header")
+    if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or packed == 3 and bits != 32:
         raise ValueError("BMP of another kind")
-    step = (w * bits + 31) // 32 * 4
-    rows = np.frombuffer(data, np.uint8, step * abs(h), at).reshape(abs(h), step)
+    if w <= 0 or not h or planes != 1 or bits <= 8 and colours > 1 << bits:
+        raise ValueError("a BMP header that says nothing true")
+    step, high = (w * bits + 31) // 32 * 4, abs(h)
+    if at < 14 + size or len(data) - at < step * high:
+        raise ValueError("samples are missing")
+    rows = np.frombuffer(data, np.uint8, step * high, at).reshape(high, step)
     if h > 0:
         rows = rows[::-1]
     if bits >= 24:
-        return np.ascontiguousarray(rows[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1])
-    palette = np.frombuffer(data, np.uint8, 4 * colours, 14 + size).reshape(-1, 4)[:, 2::-1]
+        order = [2, 1, 0]
+        if packed == 3:
+            if len(data) < 66:
+                raise ValueError("no masks")
+            places = {0xFF: 0, 0xFF00: 1, 0xFF0000: 2, 0xFF000000: 3}
+            order = [places.get(m, -1) for m in struct.unpack_from("<III", data, 54)]
+            if -1 in order:
+                raise ValueError("masks that are no bytes")
+        return np.ascontiguousarray(rows[:, : w * bits // 8].reshape(high, w, bits // 8)[:, :, order])
+    if len(data) < 14 + size + entry * colours:
+        raise ValueError("the palette is missing")
+    palette = np.frombuffer(data, np.uint8, entry * colours, 14 + size).reshape(-1, entry)[:, 2::-1]
     if bits == 4:
-        rows = np.stack([rows >> 4, rows & 15], 2).reshape(abs(h), -1)
+        rows = np.stack([rows >> 4, rows & 15], 2).reshape(high, -1)
     elif bits == 1:
         rows = np.unpackbits(rows, axis=1)
-    return np.ascontiguousarray(palette[rows[:, :w]])
+    rows = rows[:, :w]
+    if int(rows.max()) >= colours:
+        raise ValueError("a sample outside the palette")
+    return np.ascontiguousarray(palette[rows])
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:

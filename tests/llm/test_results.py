@@ -477,6 +477,47 @@ def test_op9_formats(spark):
     assert [r.error is None for r in got] == [True, False, False]
 
 
+def bmp(bits, w, h, rows, palette=b"", size=40, packed=0, colours=0, masks=b""):
+    import struct
+
+    head = struct.pack("<HHHH", w, h, 1, bits) if size == 12 else struct.pack("<iiHHIIiiII", w, h, 1, bits, packed, 0, 0, 0, colours, 0) + masks
+    return b"BM" + struct.pack("<IHHI", 0, 0, 0, 18 + len(head) + len(palette)) + struct.pack("<I", size) + head + palette + rows
+
+
+def test_op9_bmp_kinds():
+    four = bytes([1, 2, 3, 0, 4, 5, 6, 0, 7, 8, 9, 0])
+    assert media.decode(bmp(8, 2, 1, bytes([2, 0, 0, 0]), four, colours=3)).tolist() == [[[9, 8, 7], [3, 2, 1]]]
+    assert media.decode(bmp(1, 2, 1, bytes([0b01000000, 0, 0, 0]), bytes([1, 2, 3, 4, 5, 6]), size=12)).tolist() == [[[3, 2, 1], [6, 5, 4]]]
+    assert media.decode(bmp(32, 1, 1, bytes([1, 2, 3, 4]))).tolist() == [[[3, 2, 1]]]
+    masks = (0xFF).to_bytes(4, "little") + (0xFF00).to_bytes(4, "little") + (0xFF0000).to_bytes(4, "little")
+    assert media.decode(bmp(32, 1, 1, bytes([1, 2, 3, 4]), packed=3, masks=masks)).tolist() == [[[1, 2, 3]]]
+    assert media.decode(bmp(24, 1, -2, bytes([1, 2, 3, 0, 4, 5, 6, 0]))).tolist() == [[[3, 2, 1]], [[6, 5, 4]]]
+
+
+def test_op9_bad_images_are_errors(spark):
+    four = bytes([1, 2, 3, 0, 4, 5, 6, 0])
+    good = media.write_ppm(np.zeros((2, 3, 3), np.uint8)), media.write_bmp(np.zeros((2, 3, 3), np.uint8))
+    bad = [b"", b"P", b"BM", b"P5 0 0 255\n", b"P5 0 1 255\n", b"P2 2 1 10 99 10", b"P2 2 1 10 -1 10", b"P2 2 1 10 x 1", b"P2 2 1 10 1", b"P5 2 1 9\n\x0a\x01", b"P1 2 1\n0 7", b"P5 2 1 300\n\0\0\0\0"]
+    bad += [b"P6 99999 99999 255\n\0", b"P4 9 9\n\0", b"P7 1 1 1\n", bmp(8, 1, 1, bytes([9, 0, 0, 0]), four, colours=2), bmp(8, 1, 1, bytes(4), four, colours=300), bmp(16, 1, 1, bytes(4)), bmp(24, 0, 1, b""), bmp(24, 1, 9, bytes(4))]
+    bad += [bmp(32, 1, 1, bytes(4), packed=3, masks=bytes(12)), bmp(24, 1, 1, bytes(4), packed=1), bmp(24, 1 << 30, 1 << 30, bytes(4)), bmp(24, 1, -(1 << 31), bytes(4))]
+    bad += [g[:-1] for g in good] + [good[1][:k] for k in range(2, 54, 5)]
+    for data in bad:
+        with pytest.raises(ValueError):
+            media.decode(data)
+    r = np.random.default_rng(2)
+    for g in (*good, bmp(8, 3, 2, bytes(8), four, colours=2), b"P3 1 1 7 1 2 3"):
+        for _ in range(300):
+            broken = bytearray(g)
+            for at in r.integers(0, len(g), 3):
+                broken[at] = r.integers(256)
+            try:
+                assert media.decode(bytes(broken)).size
+            except ValueError:
+                pass
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate([*bad, *good])], "media_id long, data binary")
+    assert [r.error is None for r in media.tiles(rows).orderBy("media_id").collect()] == [False] * len(bad) + [True] * 2
+
+
 def plain_scores(texts, train, strength, trust):
     """(tokens, known, base, score) of each text under the model of the module's docstring, from plain counts of all words."""
     words = {k: ["<s>", "<s>", *t.encode().lower().split(), None] for k, t in texts.items()}
