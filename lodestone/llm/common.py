@@ -1,42 +1,22 @@
-"""What the operators of this subpackage share: reading, cutting lineage, words and hashes."""
+"""What the operators of this subpackage share: reading, cutting lineage by tables in the shared folder, words and hashes."""
 
 from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from lodestone.sources.shared import materialized as cut  # noqa: F401  (the operators take both from here)
+from lodestone.sources.shared import read_table as table  # noqa: F401
+
 #: Texts longer than this are worked on in slices cut at white space, so that one huge text needs no huge word list.
 SLICE_BYTES = 1 << 20
 WHITE = b" \t\n\r\x0b\x0c"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where that is unset (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: cuts the lineage, and survives the loss of any executor."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"  # one folder an application, to delete when it ends
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of plans that nothing refers to any more, as those of tables that are written: Spark drops them when the driver's JVM collects its garbage, which may come late."""
     gc.collect()
