@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import citation_score, content_tokens, lexical_tokens, normalize_text, sentences
 from lodestone.operators.retrieval import top_k
+from lodestone.sources.shared import materialized
 
 
 def counts(tokens: Column) -> Column:
@@ -128,6 +129,47 @@ def containment(chunks: DataFrame, parents: DataFrame, size: int = 5) -> DataFra
     return flags.where("equal OR within OR contains")
 
 
+#: What a chunk's commonest words may add to a score at most, so that parents which share only these are left out at first.
+COMMON_SHARE = 0.5
+
+
+def similar(chunks: DataFrame, parents: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """(chunk_id, parent_id, cosine, coverage, score) of the least most alike parents of every chunk, of all pairs wanted (chunk_id, parent_id), and of some more.
+
+    A parent that shares only the commonest words of a chunk cannot score more than these words do in a text that has
+    nothing else. So parents are first sought by a chunk's other words. A chunk with least parents above that bound is
+    done; only the others meet every parent that shares a word.
+    """
+
+    def tf(df, key):
+        own = df.select(F.col(key), F.explode(lexical_tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("f"))
+        return materialized(own, "terms")
+
+    ct, pt = tf(chunks, "chunk_id"), tf(parents, "parent_id")
+    cn, pn = (x.groupBy(k).agg(F.sum("f").alias(f"{k[0]}n"), F.sqrt(F.sum(F.col("f") * F.col("f")).cast("double")).alias(f"{k[0]}norm")) for x, k in ((ct, "chunk_id"), (pt, "parent_id")))
+    asked = materialized(pt.join(ct.select("term").distinct(), "term", "left_semi"), "postings")
+    df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    upto = Window.partitionBy("chunk_id").orderBy(F.desc("df"), "term")
+    weighed = ct.join(df, "term").join(cn, "chunk_id").withColumn("bound", 0.3 * F.sqrt(F.sum(F.col("f") * F.col("f")).over(upto).cast("double")) / F.col("cnorm") + 0.7 * F.sum("f").over(upto) / F.col("cn"))
+    weighed = materialized(weighed, "weighed")
+    bound = weighed.groupBy("chunk_id").agg(F.coalesce(F.max(F.when(F.col("bound") <= COMMON_SHARE, F.col("bound"))), F.lit(0.0)).alias("bound"))
+
+    def scored(pairs):
+        """pairs (chunk_id, parent_id) with their scores."""
+        shared = pairs.join(ct.select("chunk_id", "term", F.col("f").alias("cf")), "chunk_id").join(asked.select("parent_id", "term", F.col("f").alias("pf")), ["parent_id", "term"])
+        sums = shared.groupBy("chunk_id", "parent_id").agg(F.sum(F.least("cf", "pf")).alias("both"), F.sum(F.col("cf") * F.col("pf")).cast("double").alias("dot")).join(cn, "chunk_id").join(pn, "parent_id")
+        alike = sums.select("chunk_id", "parent_id", (F.col("dot") / (F.col("cnorm") * F.col("pnorm"))).alias("cosine"), (F.col("both") / F.col("cn")).alias("coverage"))
+        return alike.withColumn("score", F.round(0.3 * F.col("cosine") + 0.7 * F.col("coverage"), 8))
+
+    def sharing(terms):
+        return terms.join(asked.select("parent_id", "term"), "term").select("chunk_id", "parent_id").distinct()
+
+    first = materialized(scored(sharing(weighed.where(F.col("bound") > COMMON_SHARE)).union(wanted).distinct()), "alike")
+    above = first.join(bound, "chunk_id").where(F.col("score") > F.col("bound") + 1e-6).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    rest = weighed.join(above, "chunk_id", "left_anti")
+    return first.join(above, "chunk_id", "left_semi").union(scored(sharing(rest).union(wanted.join(above, "chunk_id", "left_anti")).distinct()))
+
+
 def lineage(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     """(chunk_id, status, method, parent_id, match_score, cosine, coverage, margin, candidates) of every chunk.
 
@@ -139,18 +181,9 @@ def lineage(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     one = hits.groupBy("chunk_id").agg(*(F.count_if(c).alias(f"n_{c}") for c, _ in names), *(F.min(F.when(F.col(c), F.col("parent_id"))).alias(c) for c, _ in names))
     taken = F.coalesce(*(F.when(F.col(f"n_{c}") == 1, F.col(c)) for c, _ in names))
     method = F.coalesce(*(F.when(F.col(f"n_{c}") == 1, F.lit(m)) for c, m in names))
-    chosen = one.select("chunk_id", taken.alias("taken"), method.alias("method")).where("taken IS NOT NULL")
+    chosen = materialized(one.select("chunk_id", taken.alias("taken"), method.alias("method")).where("taken IS NOT NULL"), "taken")
 
-    def tf(df, key):
-        own = df.select(F.col(key), F.explode(lexical_tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("f"))
-        return own, own.groupBy(key).agg(F.sum("f").alias("n"), F.sqrt(F.sum(F.col("f") * F.col("f")).cast("double")).alias("norm"))
-
-    (ct, cn), (pt, pn) = tf(chunks, "chunk_id"), tf(parents, "parent_id")
-    shared = ct.select("chunk_id", "term", F.col("f").alias("cf")).join(pt.select("parent_id", "term", F.col("f").alias("pf")), "term")
-    sums = shared.groupBy("chunk_id", "parent_id").agg(F.sum(F.least("cf", "pf")).alias("both"), F.sum(F.col("cf") * F.col("pf")).cast("double").alias("dot"))
-    sums = sums.join(cn.withColumnsRenamed({"n": "cn", "norm": "cnorm"}), "chunk_id").join(pn.withColumnsRenamed({"n": "pn", "norm": "pnorm"}), "parent_id")
-    alike = sums.select("chunk_id", "parent_id", (F.col("dot") / (F.col("cnorm") * F.col("pnorm"))).alias("cosine"), (F.col("both") / F.col("cn")).alias("coverage"))
-    alike = alike.withColumn("score", F.round(0.3 * F.col("cosine") + 0.7 * F.col("coverage"), 8))
+    alike = similar(chunks, parents, chosen.select("chunk_id", F.col("taken").alias("parent_id")), 5)
     ranked = top_k(alike, ["chunk_id"], [F.desc("score"), F.desc("cosine"), F.desc("coverage"), F.desc("parent_id")], None)
     best = ranked.where("rank <= 5").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("rank", "parent_id", "score", "cosine", "coverage"))).alias("best"))
     own = ranked.join(chosen, "chunk_id").where("parent_id = taken").select("chunk_id", F.struct("score", "cosine", "coverage").alias("own"))

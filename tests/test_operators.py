@@ -1,6 +1,9 @@
 """Operators on small fixed tables."""
 
+import collections
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -301,6 +304,30 @@ def test_commands(spark, tmp_path):
         commands.main(args, spark)
 
 
+def test_similar_brute_force(spark):
+    """The most alike parents, whether or not a chunk's rarer words lead to enough of them."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(60) for _ in range(60 // (k + 1))]
+    parents = {i: [rng.choice(words) for _ in range(rng.randrange(1, 90))] for i in range(50)}
+    chunks = {f"c{i}": [rng.choice(words) for _ in range(rng.randrange(1, 25))] for i in range(30)} | {"none": ["zzz"], "rare": ["w59", "w58"], "common": ["w0", "w1", "w0"]}
+
+    def score(a, b):
+        x, y = collections.Counter(a), collections.Counter(b)
+        cosine = sum(x[t] * y[t] for t in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return round(0.3 * cosine + 0.7 * sum(min(x[t], y[t]) for t in x) / len(a), 6)
+
+    frame = lambda d, key: spark.createDataFrame([(k, " ".join(v)) for k, v in d.items()], f"{key} {'string' if key == 'chunk_id' else 'long'}, text string")
+    wanted = spark.createDataFrame([("c3", 7)], "chunk_id string, parent_id long")
+    got = collections.defaultdict(dict)
+    for r in mapping.similar(frame(chunks, "chunk_id"), frame(parents, "parent_id"), wanted, 5).collect():
+        got[r.chunk_id][r.parent_id] = round(r.score, 6)
+    for c, words_ in chunks.items():
+        want = sorted((score(words_, p) for p in parents.values()), reverse=True)
+        assert sorted(got[c].values(), reverse=True)[:5] == pytest.approx([x for x in want[:5] if x > 0], abs=2e-6)
+        assert all(abs(got[c][p] - score(words_, parents[p])) < 2e-6 for p in got[c])
+    assert set(parents[7]).isdisjoint(chunks["c3"]) or 7 in got["c3"]
+
+
 def test_vector_cache(spark, tmp_path):
     asked = []
 
