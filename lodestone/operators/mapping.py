@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import citation_score, content_tokens, lexical_tokens, normalize_text, sentences
+from lodestone.functions.text import citation_score, content_tokens, lexical_tokens, sentences
 from lodestone.operators.retrieval import top_k
 from lodestone.sources.shared import materialized
 

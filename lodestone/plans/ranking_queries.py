@@ -125,9 +125,25 @@ def r07_priority(t):
     return mapping.review_priority(qa, mapping.child_candidates(qa, children(t)))
 
 
-@query()
+def _evidence_sql():
+    """Every child's score for the whole answer (i = -1) and for each of its sentences, and the first mentions of the chosen ones."""
+    from lodestone.functions.text import STOP_WORDS
+
+    split = "string_split(regexp_replace(question, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    return f"""{_candidate_sql().partition("qt AS (")[0]} src AS (SELECT qa_id, -1 AS i, parent_id, question || ' ' || question AS t FROM qa UNION ALL SELECT qa_id, unnest(generate_series(0, len(l) - 1)), parent_id, unnest(l) FROM (SELECT qa_id, parent_id, [x for x in {split} if trim(x) <> ''] AS l FROM qa)),
+qt AS (SELECT qa_id, i, parent_id, term, count(*) AS f FROM (SELECT qa_id, i, parent_id, unnest({_CT.format('t', STOP_WORDS)}) AS term FROM src) GROUP BY ALL), et AS (SELECT child_id, term, count(*) AS f FROM (SELECT child_id, unnest({_CT.format('line', STOP_WORDS)}) AS term FROM k) GROUP BY ALL),
+qn AS (SELECT qa_id, i, sum(f) AS n, sqrt(CAST(sum(f * f) AS DOUBLE)) AS norm FROM qt GROUP BY ALL), en AS (SELECT child_id, sum(f) AS n, sqrt(CAST(sum(f * f) AS DOUBLE)) AS norm FROM et GROUP BY 1),
+ov AS (SELECT qa_id, i, child_id, sum(least(qt.f, et.f)) AS both_, CAST(sum(qt.f * et.f) AS DOUBLE) AS dot FROM qt JOIN k ON k.doc_id = qt.parent_id JOIN et USING (child_id, term) GROUP BY ALL),
+sc AS (SELECT src.qa_id, src.i, k.child_id, k.sequence, coalesce(both_ / qn.n, 0) AS recall, coalesce(2.0 * both_ / (qn.n + en.n), 0) AS f1, coalesce(dot / (qn.norm * en.norm), 0) AS cosine, CASE WHEN k.sequence % 7 = 3 THEN 1.0 ELSE 0.0 END AS cited FROM src JOIN k ON k.doc_id = src.parent_id LEFT JOIN ov ON ov.qa_id = src.qa_id AND ov.i = src.i AND ov.child_id = k.child_id LEFT JOIN qn ON qn.qa_id = src.qa_id AND qn.i = src.i LEFT JOIN en ON en.child_id = k.child_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qa_id, i ORDER BY score DESC, sequence, child_id) AS rank FROM (SELECT *, round(0.45 * recall + 0.2 * f1 + 0.2 * cosine + 0.15 * cited, 6) AS score FROM sc)),
+ch AS (SELECT qa_id, child_id, 0 AS o, 0 AS p FROM rk WHERE i = -1 AND rank = 1 UNION ALL SELECT qa_id, child_id, 1, i FROM rk WHERE i >= 0 AND rank = 1 AND score >= 0.12 UNION ALL SELECT qa_id, child_id, 2, rank FROM rk WHERE i = -1 AND cited = 1),
+fm AS (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY place, child_id) AS n FROM (SELECT qa_id, child_id, min(o * 100000 + p) AS place FROM ch GROUP BY ALL))
+SELECT qa_id, string_agg(child_id, ';' ORDER BY n) AS child_ids FROM fm WHERE n <= 6 GROUP BY qa_id"""
+
+
+@query(_evidence_sql())
 def r09_proposed_evidence(t):
-    return mapping.proposed_evidence(_qa(t).withColumn("answer", F.col("question")), children(t))
+    return mapping.proposed_evidence(_qa(t).withColumn("answer", F.col("question")), children(t)).withColumn("child_ids", F.array_join("child_ids", ";"))
 
 
 def _contexts(t, **config):

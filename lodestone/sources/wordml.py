@@ -6,7 +6,6 @@ Files are read as bytes by Spark and parsed on the executors, one document at a
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from xml.etree import ElementTree
 
