@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from lodestone.sources.shared import materialized as cut  # noqa: F401  (the operators take both from here)
-from lodestone.sources.shared import read_table as table  # noqa: F401
+from lodestone.sources.shared import materialized as cut  # noqa: F401  (the operators take it from here)
+from lodestone.sources.shared import read_table
 
 #: Texts longer than this are worked on in slices cut at white space, so that one huge text needs no huge word list.
 SLICE_BYTES = 1 << 20
 WHITE = b" \t\n\r\x0b\x0c"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_table(spark, sf_dir, name, fixed=True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of plans that nothing refers to any more, as those of tables that are written: Spark drops them when the driver's JVM collects its garbage, which may come late."""
     gc.collect()
