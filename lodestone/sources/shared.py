@@ -35,9 +35,12 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 SPREAD_BYTES, SPLIT_BYTES = 1 << 20, 128 << 20
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table name under folder. One that is a single small file, so that one task reads it, is dealt over the cores."""
+def read_table(spark: SparkSession, folder: str, name: str, fixed: bool = False) -> DataFrame:
+    """The Parquet table name under folder. One that is a single small file, so that one task reads it, is dealt over the cores; fixed: as a written table, so that it comes out alike whenever it is read."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     files = df.inputFiles()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if len(files) == 1 and SPREAD_BYTES < size < SPLIT_BYTES else df
+    if len(files) != 1 or not SPREAD_BYTES < size < SPLIT_BYTES:
+        return df
+    dealt = df.repartition(spark.sparkContext.defaultParallelism)
+    return materialized(dealt, name) if fixed else dealt
