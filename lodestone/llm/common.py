@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name, fixed=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of plans that nothing refers to any more, as those of tables that are written: Spark drops them when the driver's JVM collects its garbage, which may come late."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 #: What tells documents apart and orders them: doc_id (nulls last), then a hash of the text. Rows alike in both are one document.
 KEY = ("__null", "__id", "__hash")
 
