@@ -24,11 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Has Spark drop a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: what is read several times is computed once, plans stay small, and no lost executor costs a rerun of all."""
-    at = f"{shared_dir(df.sparkSession)}/lodestone-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"  # one folder an application, to delete when it ends
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """df as a written table: what is read several times is computed once, plans stay small, and no lost executor costs a rerun of all.
+
+    The shuffle files of its plan go once the table is written; else they would stay until the driver collects garbage.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"  # one folder an application, to delete when it ends
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 #: A single file of these sizes is read by one task where several would pay.
