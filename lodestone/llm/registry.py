@@ -7,6 +7,7 @@ from lodestone.llm.language_model import op10_lm_scoring
 from lodestone.llm.line_dedup import op5_line_dedup
 from lodestone.llm.media import op9_media_columns
 from lodestone.llm.packing import op8_packing
+from lodestone.llm.periodic_runs import op12_periodic_runs
 from lodestone.llm.quality import op6_quality_classifier
 from lodestone.llm.simhash import op2_simhash_near_dedup
 from lodestone.llm.token_counts import op7_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
         op8_packing,
         op9_media_columns,
         op10_lm_scoring,
+        op12_periodic_runs,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.ORACLE}
