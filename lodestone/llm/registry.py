@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from lodestone.llm import decontaminate
+from lodestone.llm import decontaminate, quality_rules
 from lodestone.llm.decontaminate import op3_benchmark_decontamination
 from lodestone.llm.html_text import op1_html_extraction
 from lodestone.llm.language_model import op10_lm_scoring
@@ -9,6 +9,7 @@ from lodestone.llm.media import op9_media_columns
 from lodestone.llm.packing import op8_packing
 from lodestone.llm.periodic_runs import op12_periodic_runs
 from lodestone.llm.quality import op6_quality_classifier
+from lodestone.llm.quality_rules import op11_quality_rules, quality_rule_ablations
 from lodestone.llm.simhash import op2_simhash_near_dedup
 from lodestone.llm.token_counts import op7_token_counts
 from lodestone.llm.toxicity import op4_toxicity
@@ -26,7 +27,9 @@ QUERIES = {
         op8_packing,
         op9_media_columns,
         op10_lm_scoring,
+        op11_quality_rules,
+        quality_rule_ablations,
         op12_periodic_runs,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.ORACLE} | quality_rules.ORACLE

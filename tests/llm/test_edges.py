@@ -40,7 +40,7 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if n.startswith("op")))
 def test_every_query_keeps_every_row(spark, folders, name):
     rows = registry.QUERIES[name](spark, folders["odd"]).collect()
     key = "page_id" if name.startswith("op1_") else "doc_id"
