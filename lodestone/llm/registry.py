@@ -11,6 +11,7 @@ from lodestone.llm.periodic_runs import op12_periodic_runs
 from lodestone.llm.quality import op6_quality_classifier
 from lodestone.llm.quality_rules import op11_quality_rules, quality_rule_ablations
 from lodestone.llm.simhash import op2_simhash_near_dedup
+from lodestone.llm.token_alignment import op13_token_alignment
 from lodestone.llm.token_counts import op7_token_counts
 from lodestone.llm.toxicity import op4_toxicity
 
@@ -30,6 +31,7 @@ QUERIES = {
         op11_quality_rules,
         quality_rule_ablations,
         op12_periodic_runs,
+        op13_token_alignment,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.ORACLE} | quality_rules.ORACLE
