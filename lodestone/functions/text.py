@@ -96,6 +96,21 @@ def content_tokens(text: Column) -> Column:
     return F.filter(lexical_tokens(text), lambda t: ~F.array_contains(stop, t))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def token_runs(tokens: Column) -> Column:
+    """The distinct tokens in their order with their counts, array<struct<term,f>>: one sort, then the borders of equal neighbours."""
+
+    def counted(t):
+        first = F.filter(F.transform(t, lambda _, i: i), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return let(first, lambda at: F.transform(at, lambda p, j: F.struct(F.get(t, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(t)) - p).alias("f"))))
+
+    return let(F.array_sort(tokens), counted)
+
+
 def normalize_citation(text: Column) -> Column:
     return F.regexp_replace(normalize_text(text), r"^section\b", "gm")
 

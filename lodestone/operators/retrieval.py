@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import lexical_tokens
+from lodestone.functions.text import lexical_tokens, token_runs
+from lodestone.operators import cells
 from lodestone.sources.shared import materialized
 
 #: Distinct query terms that may be broadcast.
@@ -27,29 +28,56 @@ def term_frequencies(docs: DataFrame, id_column: str, text_column: str) -> DataF
     return own.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("f"))
 
 
+def index(docs: DataFrame, doc_id: str = "id", doc_text: str = "text") -> DataFrame:
+    """A written table (id, len, runs) of documents: their tokens, counted once. It serves any questions and parameters of bm25."""
+    own = docs.select(F.col(doc_id).alias("id"), lexical_tokens(F.coalesce(F.col(doc_text), F.lit(""))).alias("t"))
+    return materialized(own.select("id", F.size("t").alias("len"), token_runs(F.col("t")).alias("runs")), "index")
+
+
+def postings(asked: DataFrame, whole: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(id, *more, term, f) of an index for the terms of asked, as a written table, and (term, number, df) of these terms, to join."""
+    terms = asked.select("term").distinct()
+    few = terms.count() <= MAX_TERMS
+    held = whole.select("id", *more, F.inline("runs")).join(F.broadcast(terms) if few else terms, "term", "left_semi")  # before anything is shuffled
+    held = materialized(held, "postings")
+    counted = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.monotonically_increasing_id().alias("number"), "df")
+    counted = materialized(counted, "terms")
+    return held, F.broadcast(counted) if few else counted
+
+
+def least_scores(questions: DataFrame, documents: DataFrame, gain: Column, by: str, limit: int) -> DataFrame:
+    """questions with bar, below the limit-th best score of each question: that of the sums over the limit best documents of every term alone; null where these are fewer. Rows joined: limit for each term of a question."""
+    best = top_k(documents, ["term"], [F.desc(by), F.asc("id")], limit).drop("rank")  # limited before the shuffle too
+    sums = questions.join(best, "term").groupBy("q", "id").agg(F.sum(gain).alias("least"))
+    bars = top_k(sums, ["q"], [F.desc("least")], limit).groupBy("q").agg(F.min("least").alias("bar"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+    return questions.join(bars.select("q", "bar"), "q", "left")
+
+
+def bm25_cells(asked: DataFrame, whole: DataFrame, limit: int, k1: float, b: float) -> DataFrame:
+    """(q, id, score, weight, entries) of the limit best documents of each question of asked (qa_id, term, qf) in each cell of an index, without those that other cells surely beat."""
+    n, mean = whole.agg(F.count(F.lit(1)), F.avg("len")).first()
+    held, terms = postings(asked, whole, "len")
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    questions = asked.join(terms, "term").select(F.col("qa_id").alias("q"), F.col("number").alias("term"), (idf * F.col("qf")).alias("weight"))
+    part = F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))
+    documents = held.join(terms, "term").select("id", F.col("number").alias("term"), part.alias("part"))
+    questions = materialized(least_scores(questions, documents, F.col("weight") * F.col("part"), "part", limit), "questions")
+    return cells.top_by_terms(questions, documents, held.count(), lambda w, v: w * v, [1.0], limit, ["weight"])
+
+
 def bm25(queries: DataFrame, docs: DataFrame, limit: int = 20, k1: float = 1.5, b: float = 0.75, query_id: str = "qa_id", query_text: str = "question", doc_id: str = "id", doc_text: str = "text") -> DataFrame:
     """(qa_id, id, score, rank) of the limit best documents of each query; score is rounded to 8 digits, ties go by id.
 
-    Documents that share no term with a query score 0 and fill the ranking up, by id. ValueError for parameters or an
-    empty corpus that define no score.
+    docs: documents, or their index. Documents that share no term with a query score 0 and fill the ranking up, by id.
+    ValueError for parameters or an empty corpus that define no score.
     """
     if limit < 1 or k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("limit and k1 must be positive, b between 0 and 1")
-    whole = docs.select(F.col(doc_id).alias("id"), F.size(lexical_tokens(F.col(doc_text))).alias("len"))
-    n, mean = whole.agg(F.count(F.lit(1)), F.avg("len")).first()
-    if not n:
+    whole = docs if {"id", "len", "runs"} <= {*docs.columns} else index(docs, doc_id, doc_text)
+    if whole.isEmpty():
         raise ValueError("no documents")
     asked = queries.select(F.col(query_id).alias("qa_id"), F.explode(lexical_tokens(F.col(query_text))).alias("term")).groupBy("qa_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    asked = materialized(asked, "asked")
-    terms = asked.select("term").distinct()
-    held = docs.select(F.col(doc_id).alias("id"), lexical_tokens(F.col(doc_text)).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    held = held.join(F.broadcast(terms) if terms.count() <= MAX_TERMS else terms, "term", "left_semi")  # before terms are shuffled
-    wanted = materialized(held.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("f")), "postings")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))
-    postings = wanted.join(df, "term").select("term", "id", weight.alias("w"))
-    scored = asked.join(postings, "term").groupBy("qa_id", "id").agg(F.round(F.sum(F.col("w") * F.col("qf")), 8).alias("score"))
+    scored = bm25_cells(materialized(asked, "asked"), whole, limit, k1, b).select(F.col("q").alias("qa_id"), "id", F.round("score", 8).alias("score"))
     best = materialized(top_k(scored, ["qa_id"], [F.desc("score"), F.asc("id")], limit), "best")
     found = best.groupBy("qa_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("id").alias("ids"))
     short = queries.select(F.col(query_id).alias("qa_id")).join(found, "qa_id", "left").where(F.coalesce("n", F.lit(0)) < limit)
@@ -66,51 +94,17 @@ def unit_vector(v: Column) -> Column:
     return F.transform(d, lambda x: x / F.when(norm > 0, norm).otherwise(F.raise_error(F.lit("zero vector")).cast("double")))
 
 
-def cosine_top_k(queries: DataFrame, docs: DataFrame, limit: int, query_id: str = "q", doc_id: str = "id", vector: str = "embedding", exclude_self: bool = False, block: int = 4096) -> DataFrame:
+def cosine_top_k(queries: DataFrame, docs: DataFrame, limit: int, query_id: str = "q", doc_id: str = "id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """(q, id, score, rank): the limit documents nearest each query by cosine, ties by id.
 
-    Queries are a stated set: they are taken in blocks of at most block rows, each document meets each block once, and a
-    block's scores are one matrix product; the best limit of each task leave it.
+    Blocks of queries meet blocks of documents, each pair once, in a matrix product that lets out the best limit of each
+    query; both tables are read once for any number of queries.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
-    import numpy as np
-
-    kinds = queries.schema[query_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
+    asked = queries.select(F.col(query_id).alias("q"), unit_vector(F.col(vector)).alias("v"))
     own = docs.select(F.col(doc_id).alias("id"), unit_vector(F.col(vector)).alias("v"))
-
-    def near(names: list, matrix: np.ndarray) -> DataFrame:
-        def best(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                v = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
-                scores = np.round(matrix @ v.T, 8)
-                order = np.argsort(ids, kind="stable")
-                out = []
-                for i, name in enumerate(names):
-                    rest = order[ids[order] != name] if exclude_self else order
-                    first = rest[np.argsort(-scores[i, rest], kind="stable")[:limit]]
-                    out += [(name, ids[j], scores[i, j]) for j in first]
-                if out:
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(np.array(cols[1]), batch.column(0).type), pa.array(cols[2], pa.float64())], ["q", "id", "score"])
-
-        return own.mapInArrow(best, f"q {kinds[0]}, id {kinds[1]}, score double")
-
-    held, found = [], own.limit(0).select(F.lit(None).cast(kinds[0]).alias("q"), "id", F.lit(0.0).alias("score"))
-    asked = queries.select(F.col(query_id).alias("q"), unit_vector(F.col(vector)).alias("v")).toLocalIterator()  # one partition at a time
-    for row in asked:
-        held.append(row)
-        if len(held) == block:
-            found = found.union(near([r[0] for r in held], np.array([r[1] for r in held], float)))
-            held = []
-    if held:
-        found = found.union(near([r[0] for r in held], np.array([r[1] for r in held], float)))
-    return top_k(found, ["q"], [F.desc("score"), F.asc("id")], limit)
+    return top_k(cells.top_by_vectors(asked, own, limit, exclude_self), ["q"], [F.desc("score"), F.asc("id")], limit)
 
 
 def reciprocal_rank_fusion(rankings: DataFrame, constant: float = 60, limit: int | None = None) -> DataFrame:
