@@ -76,7 +76,7 @@ class Postings:
                 hit = place < len(docs)
                 hit[hit] = docs[place[hit]] == alive[hit]
                 docs, values = alive[hit], values[:, place[hit]]
-                read += len(alive)
+                read += len(docs)
             else:
                 met[docs] = True
                 read += len(docs)
@@ -91,9 +91,9 @@ class Postings:
         seen = np.flatnonzero(met) if alive is None else alive
         scores = np.round(mix @ parts[:, seen], 8)
         seen, scores = seen[scores >= bar - SLACK], scores[scores >= bar - SLACK]
-        keys = ((-seen if down else seen), *(-parts[i, seen] for i in range(len(mix) - 1, -1, -1) if len(mix) > 1), -scores)
-        first = np.lexsort(keys)[:limit]
-        return seen[first], scores[first], parts[:, seen[first]], read
+        own = np.round(parts[:, seen], 10)  # so that the order of sums does not part ties
+        first = np.lexsort((-seen if down else seen, *-own[::-1], -scores) if len(mix) > 1 else (-seen if down else seen, -scores))[:limit]
+        return seen[first], scores[first], own[:, first], read
 
 
 def top_by_terms(questions: DataFrame, documents: DataFrame, n_entries: int, gain: Callable, mix: list[float], limit: int, parts: list[str], down: bool = False) -> DataFrame:

@@ -2,43 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import citation_score, content_tokens, lexical_tokens, sentences
-from lodestone.operators.retrieval import top_k
+from lodestone.functions.text import citation_score, content_tokens, let, lexical_tokens, sentences, token_runs
+from lodestone.operators import cells
+from lodestone.operators.retrieval import index, postings, top_k, with_bars
 from lodestone.sources.shared import materialized
 
 
-def counts(tokens: Column) -> Column:
-    """Token counts as a map."""
-    return F.map_from_entries(F.transform(F.array_distinct(tokens), lambda t: F.struct(t, F.size(F.filter(tokens, lambda x: x == t)))))
+def overlap(pairs: DataFrame, query: Column, evidence: Column) -> DataFrame:
+    """pairs with recall, f1 and cosine of the token arrays query and evidence, zero where either is empty.
 
+    Both are sorted runs of tokens; put together and sorted by token, shared tokens are neighbours.
+    """
 
-def overlap(pairs: DataFrame, query: Column, evidence: Column) -> DataFrame:
-    """pairs with recall, f1 and cosine of the token arrays query and evidence, zero where either is empty."""
-    own = pairs.withColumn("__q", counts(query)).withColumn("__e", counts(evidence))
-    both = F.filter(F.map_keys("__q"), lambda t: F.map_contains_key("__e", t))
+    def merged(q, e):
+        both = F.array_sort(F.concat(F.transform(q, lambda x: F.struct(x["term"].alias("term"), F.lit(0).alias("side"), x["f"].alias("f"))), F.transform(e, lambda x: F.struct(x["term"].alias("term"), F.lit(1).alias("side"), x["f"].alias("f")))))
+        return let(both, lambda b: F.filter(F.transform(b, lambda x, i: F.when(x["term"] == F.get(b, i + 1)["term"], F.struct(x["f"].alias("a"), F.get(b, i + 1)["f"].alias("b")))), lambda x: x.isNotNull()))
 
-    def total(f):
-        return F.aggregate(both, F.lit(0).cast("double"), lambda a, t: a + f(F.element_at("__q", t), F.element_at("__e", t)))
+    def total(items, f):
+        return F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
 
-    def norm(m):
-        return F.sqrt(F.aggregate(F.map_values(m), F.lit(0).cast("double"), lambda a, n: a + n * n))
+    def norm(runs):
+        return F.sqrt(total(runs, lambda x: x["f"].cast("double") * x["f"]))
 
-    own = own.withColumns({"__shared": total(lambda a, b: F.least(a, b)), "__dot": total(lambda a, b: a * b), "__nq": F.size(query), "__ne": F.size(evidence)})
+    own = pairs.withColumns({"__q": token_runs(query), "__e": token_runs(evidence), "__nq": F.size(query), "__ne": F.size(evidence)})
+    own = own.withColumn("__m", merged(F.col("__q"), F.col("__e")))
+    own = own.withColumns({"__shared": total(F.col("__m"), lambda x: F.least(x["a"], x["b"])), "__dot": total(F.col("__m"), lambda x: x["a"].cast("double") * x["b"])})
     some = (F.col("__nq") > 0) & (F.col("__ne") > 0)
     own = own.withColumns(
         {
             "recall": F.when(some, F.col("__shared") / F.col("__nq")).otherwise(0.0),
             "f1": F.when(some & (F.col("__shared") > 0), 2 * F.col("__shared") / (F.col("__nq") + F.col("__ne"))).otherwise(0.0),
-            "cosine": F.when(some, F.col("__dot") / (norm("__q") * norm("__e"))).otherwise(0.0),
+            "cosine": F.when(some, F.col("__dot") / (norm(F.col("__q")) * norm(F.col("__e")))).otherwise(0.0),
         }
     )
-    return own.drop("__q", "__e", "__shared", "__dot", "__nq", "__ne")
+    return own.drop("__q", "__e", "__m", "__shared", "__dot", "__nq", "__ne")
 
 
-def child_candidates(qa: DataFrame, children: DataFrame, limit: int = 5) -> DataFrame:
+def child_candidates(qa: DataFrame, children: DataFrame, limit: int | None = 5) -> DataFrame:
     """(qa_id, rank, child_id, score, citation_score, recall, f1, cosine) of the best children of each record's parent.
 
     qa: qa_id, parent_id, question, answer, citation; children: child_id, parent_id, sequence, text, canonical_citation.
@@ -129,45 +133,45 @@ def containment(chunks: DataFrame, parents: DataFrame, size: int = 5) -> DataFra
     return flags.where("equal OR within OR contains")
 
 
-#: What a chunk's commonest words may add to a score at most, so that parents which share only these are left out at first.
-COMMON_SHARE = 0.5
+#: How cosine and coverage make a score.
+COSINE, COVERAGE = 0.3, 0.7
 
 
 def similar(chunks: DataFrame, parents: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """(chunk_id, parent_id, cosine, coverage, score) of the least most alike parents of every chunk, of all pairs wanted (chunk_id, parent_id), and of some more.
+    """(chunk_id, parent_id, cosine, coverage, score) of the least most alike parents of every chunk, and of all pairs wanted (chunk_id, parent_id); parents without shared tokens are left out.
 
-    A parent that shares only the commonest words of a chunk cannot score more than these words do in a text that has
-    nothing else. So parents are first sought by a chunk's other words. A chunk with least parents above that bound is
-    done; only the others meet every parent that shares a word.
+    Both parts of a score are sums over shared tokens that grow with the counts, so a chunk's tokens are read from the one
+    that can add most, and parents that have only the others are left out as soon as these together stay below the
+    least-th score found.
     """
-
-    def tf(df, key):
-        own = df.select(F.col(key), F.explode(lexical_tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("f"))
-        return materialized(own, "terms")
-
-    ct, pt = tf(chunks, "chunk_id"), tf(parents, "parent_id")
-    cn, pn = (x.groupBy(k).agg(F.sum("f").alias(f"{k[0]}n"), F.sqrt(F.sum(F.col("f") * F.col("f")).cast("double")).alias(f"{k[0]}norm")) for x, k in ((ct, "chunk_id"), (pt, "parent_id")))
-    asked = materialized(pt.join(ct.select("term").distinct(), "term", "left_semi"), "postings")
-    df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    upto = Window.partitionBy("chunk_id").orderBy(F.desc("df"), "term")
-    weighed = ct.join(df, "term").join(cn, "chunk_id").withColumn("bound", 0.3 * F.sqrt(F.sum(F.col("f") * F.col("f")).over(upto).cast("double")) / F.col("cnorm") + 0.7 * F.sum("f").over(upto) / F.col("cn"))
-    weighed = materialized(weighed, "weighed")
-    bound = weighed.groupBy("chunk_id").agg(F.coalesce(F.max(F.when(F.col("bound") <= COMMON_SHARE, F.col("bound"))), F.lit(0.0)).alias("bound"))
-
-    def scored(pairs):
-        """pairs (chunk_id, parent_id) with their scores."""
-        shared = pairs.join(ct.select("chunk_id", "term", F.col("f").alias("cf")), "chunk_id").join(asked.select("parent_id", "term", F.col("f").alias("pf")), ["parent_id", "term"])
-        sums = shared.groupBy("chunk_id", "parent_id").agg(F.sum(F.least("cf", "pf")).alias("both"), F.sum(F.col("cf") * F.col("pf")).cast("double").alias("dot")).join(cn, "chunk_id").join(pn, "parent_id")
-        alike = sums.select("chunk_id", "parent_id", (F.col("dot") / (F.col("cnorm") * F.col("pnorm"))).alias("cosine"), (F.col("both") / F.col("cn")).alias("coverage"))
-        return alike.withColumn("score", F.round(0.3 * F.col("cosine") + 0.7 * F.col("coverage"), 8))
-
-    def sharing(terms):
-        return terms.join(asked.select("parent_id", "term"), "term").select("chunk_id", "parent_id").distinct()
-
-    first = materialized(scored(sharing(weighed.where(F.col("bound") > COMMON_SHARE)).union(wanted).distinct()), "alike")
-    above = first.join(bound, "chunk_id").where(F.col("score") > F.col("bound") + 1e-6).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    rest = weighed.join(above, "chunk_id", "left_anti")
-    return first.join(above, "chunk_id", "left_semi").union(scored(sharing(rest).union(wanted.join(above, "chunk_id", "left_anti")).distinct()))
+    own = chunks.select("chunk_id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("t")).select("chunk_id", F.size("t").alias("n"), token_runs(F.col("t")).alias("runs"))
+    norm = F.sqrt(F.aggregate("runs", F.lit(0.0), lambda a, x: a + x["f"].cast("double") * x["f"]))
+    asked = materialized(own.select("chunk_id", "n", norm.alias("norm"), F.inline("runs")), "asked")
+    whole = index(parents, "parent_id").withColumn("norm", norm)
+    held, terms = postings(asked, whole, "norm")
+    numbered = lambda df, *names: df.join(terms, "term").select(*names, F.col("number").alias("term"), "df", (F.col("f") / F.col("norm")).alias("unit"), F.col("f").cast("double").alias("f"))
+    questions = materialized(numbered(asked, F.col("chunk_id").alias("q"), "n").select("q", "term", F.col("unit").alias("own_unit"), F.col("f").alias("own_f"), "n", "df"), "questions")
+    documents = numbered(held, "id").select("id", "term", "unit", "f")
+    parts = {"cosine": F.col("own_unit") * F.col("unit"), "coverage": F.least("own_f", "f") / F.col("n")}
+    score = F.round(COSINE * F.col("cosine") + COVERAGE * F.col("coverage"), 8)
+
+    def gain(w, v):
+        return np.stack([w[0] * v[0], np.minimum(w[1], v[1]) / w[2]])
+
+    barred = materialized(with_bars(questions, documents, COSINE * parts["cosine"] + COVERAGE * parts["coverage"], "unit", least), "barred")
+    found = cells.top_by_terms(barred, documents, held.count(), gain, [COSINE, COVERAGE], least, list(parts), down=True)
+    best = found.select(F.col("q").alias("chunk_id"), F.col("id").alias("parent_id"), *parts, score.alias("score"))
+    best = top_k(best, ["chunk_id"], alike_order(), least).drop("rank")
+    pairs = wanted.select(F.col("chunk_id").alias("q"), F.col("parent_id").alias("id")).distinct()
+    named = documents.join(pairs, "id").join(questions, ["q", "term"]).groupBy("q", "id").agg(*(F.round(F.sum(x), 10).alias(c) for c, x in parts.items()))
+    named = named.select(F.col("q").alias("chunk_id"), F.col("id").alias("parent_id"), *parts, score.alias("score"))
+    best = materialized(best, "alike")
+    return best.unionByName(named.join(best, ["chunk_id", "parent_id"], "left_anti"))
+
+
+def alike_order() -> list[Column]:
+    """The order of the parents of a chunk."""
+    return [F.desc(c) for c in ("score", "cosine", "coverage", "parent_id")]
 
 
 def lineage(chunks: DataFrame, parents: DataFrame) -> DataFrame:
@@ -184,7 +188,7 @@ def lineage(chunks: DataFrame, parents: DataFrame) -> DataFrame:
     chosen = materialized(one.select("chunk_id", taken.alias("taken"), method.alias("method")).where("taken IS NOT NULL"), "taken")
 
     alike = similar(chunks, parents, chosen.select("chunk_id", F.col("taken").alias("parent_id")), 5)
-    ranked = top_k(alike, ["chunk_id"], [F.desc("score"), F.desc("cosine"), F.desc("coverage"), F.desc("parent_id")], None)
+    ranked = top_k(alike, ["chunk_id"], alike_order(), None)
     best = ranked.where("rank <= 5").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("rank", "parent_id", "score", "cosine", "coverage"))).alias("best"))
     own = ranked.join(chosen, "chunk_id").where("parent_id = taken").select("chunk_id", F.struct("score", "cosine", "coverage").alias("own"))
     out = chunks.select("chunk_id").join(best, "chunk_id", "left").join(chosen, "chunk_id", "left").join(own, "chunk_id", "left")
@@ -204,7 +208,7 @@ def lineage(chunks: DataFrame, parents: DataFrame) -> DataFrame:
 
 def proposed_evidence(qa: DataFrame, children: DataFrame, least: float = 0.12, limit: int = 6) -> DataFrame:
     """(qa_id, child_ids): the best child for the whole answer, for each of its sentences (score at least least), and every child of the very citation; first mentions, limit at most."""
-    whole = child_candidates(qa, children, 10_000)
+    whole = child_candidates(qa, children, None)
     first = whole.where("rank = 1").select("qa_id", F.lit(0).alias("o"), F.lit(0).alias("i"), "child_id")
     parts = qa.select("qa_id", "parent_id", "citation", F.posexplode(sentences(F.col("answer"))).alias("i", "answer"))
     parts = parts.select(F.struct("qa_id", "i").alias("qa_id"), "parent_id", "citation", "answer", F.lit("").alias("question"))

@@ -45,12 +45,23 @@ def postings(asked: DataFrame, whole: DataFrame, *more: str) -> tuple[DataFrame,
     return held, F.broadcast(counted) if few else counted
 
 
-def least_scores(questions: DataFrame, documents: DataFrame, gain: Column, by: str, limit: int) -> DataFrame:
-    """questions with bar, below the limit-th best score of each question: that of the sums over the limit best documents of every term alone; null where these are fewer. Rows joined: limit for each term of a question."""
-    best = top_k(documents, ["term"], [F.desc(by), F.asc("id")], limit).drop("rank")  # limited before the shuffle too
-    sums = questions.join(best, "term").groupBy("q", "id").agg(F.sum(gain).alias("least"))
-    bars = top_k(sums, ["q"], [F.desc("least")], limit).groupBy("q").agg(F.min("least").alias("bar"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
-    return questions.join(bars.select("q", "bar"), "q", "left")
+def with_bars(questions: DataFrame, documents: DataFrame, gain: Column, by: str, limit: int) -> DataFrame:
+    """questions (q, term, df, ...) without df, with bar: a score that the limit-th best document of each question reaches; null where that is not known.
+
+    A question's rarest terms, as far as they have 5 limit documents together, name documents (of a commoner one only the
+    5 limit best); twice limit of these, those with the best sums, are scored in full. So a question joins no more than
+    10 limit rows to find them.
+    """
+    reach = 5 * limit
+    upto = Window.partitionBy("q").orderBy("df", "term")
+    rare = questions.withColumn("before", F.sum(F.least("df", F.lit(reach))).over(upto) - F.least("df", F.lit(reach))).where(F.col("before") < reach).drop("before")
+    few = documents.join(rare.select("term").distinct(), "term", "left_semi")
+    best = top_k(few, ["term"], [F.desc(by), F.asc("id")], reach).drop("rank")  # limited before the shuffle too
+    sums = rare.join(best, "term").groupBy("q", "id").agg(F.sum(gain).alias("least"))
+    seeds = top_k(sums, ["q"], [F.desc("least"), F.asc("id")], 2 * limit).select("q", "id")
+    scored = documents.join(seeds, "id").join(questions, ["q", "term"]).groupBy("q", "id").agg(F.sum(gain).alias("score"))
+    bars = top_k(scored, ["q"], [F.desc("score"), F.asc("id")], limit).groupBy("q").agg(F.min("score").alias("bar"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+    return questions.drop("df").join(bars.select("q", "bar"), "q", "left")
 
 
 def bm25_cells(asked: DataFrame, whole: DataFrame, limit: int, k1: float, b: float) -> DataFrame:
@@ -58,10 +69,11 @@ def bm25_cells(asked: DataFrame, whole: DataFrame, limit: int, k1: float, b: flo
     n, mean = whole.agg(F.count(F.lit(1)), F.avg("len")).first()
     held, terms = postings(asked, whole, "len")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    questions = asked.join(terms, "term").select(F.col("qa_id").alias("q"), F.col("number").alias("term"), (idf * F.col("qf")).alias("weight"))
+    questions = asked.join(terms, "term").select(F.col("qa_id").alias("q"), F.col("number").alias("term"), (idf * F.col("qf")).alias("weight"), "df")
     part = F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))
     documents = held.join(terms, "term").select("id", F.col("number").alias("term"), part.alias("part"))
-    questions = materialized(least_scores(questions, documents, F.col("weight") * F.col("part"), "part", limit), "questions")
+    questions = materialized(questions, "asked")
+    questions = materialized(with_bars(questions, documents, F.col("weight") * F.col("part"), "part", limit), "questions")
     return cells.top_by_terms(questions, documents, held.count(), lambda w, v: w * v, [1.0], limit, ["weight"])
 
 

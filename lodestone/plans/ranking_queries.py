@@ -82,11 +82,12 @@ def r12_retrieval_hit(t):
 ct AS (SELECT item_id, term, count(*) AS f FROM (SELECT item_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY ALL), pt AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY ALL),
 s AS (SELECT item_id, doc_id, sum(least(ct.f, pt.f)) AS both_, CAST(sum(ct.f * pt.f) AS DOUBLE) AS dot FROM ct JOIN pt USING (term) GROUP BY ALL),
 a AS (SELECT item_id, doc_id, dot / (sqrt(cn) * sqrt(pn)) AS cosine, both_ / cl AS coverage FROM s JOIN (SELECT item_id, CAST(sum(f * f) AS DOUBLE) AS cn, sum(f) AS cl FROM ct GROUP BY 1) USING (item_id) JOIN (SELECT doc_id, CAST(sum(f * f) AS DOUBLE) AS pn FROM pt GROUP BY 1) USING (doc_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(0.3 * cosine + 0.7 * coverage, 8) DESC, cosine DESC, coverage DESC, doc_id DESC) AS k, round(0.3 * cosine + 0.7 * coverage, 8) AS score FROM a)
-SELECT x.item_id AS chunk_id, CASE WHEN n1 = 1 OR n2 = 1 OR n3 = 1 THEN 'auto_mapped' ELSE 'review_required' END AS status, CASE WHEN n1 = 1 THEN 'normalized_equal' WHEN n2 = 1 THEN 'chunk_in_parent' WHEN n3 = 1 THEN 'parent_in_chunk' ELSE 'fuzzy_review' END AS method, CASE WHEN n1 = 1 THEN p1 WHEN n2 = 1 THEN p2 WHEN n3 = 1 THEN p3 ELSE doc_id END AS parent_id FROM x JOIN r ON r.item_id = x.item_id AND k = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(0.3 * cosine + 0.7 * coverage, 8) DESC, round(cosine, 10) DESC, round(coverage, 10) DESC, doc_id DESC) AS k, round(0.3 * cosine + 0.7 * coverage, 8) AS score FROM a)
+, y AS (SELECT x.item_id, CASE WHEN n1 = 1 THEN 'normalized_equal' WHEN n2 = 1 THEN 'chunk_in_parent' WHEN n3 = 1 THEN 'parent_in_chunk' ELSE 'fuzzy_review' END AS method, CASE WHEN n1 = 1 THEN p1 WHEN n2 = 1 THEN p2 WHEN n3 = 1 THEN p3 ELSE doc_id END AS parent_id FROM x LEFT JOIN r ON r.item_id = x.item_id AND k = 1),
+o AS (SELECT item_id, score, cosine, coverage, k, r.doc_id, y.parent_id, method FROM y LEFT JOIN r USING (item_id))
+SELECT item_id AS chunk_id, CASE any_value(method) WHEN 'fuzzy_review' THEN 'review_required' ELSE 'auto_mapped' END AS status, any_value(method) AS method, any_value(parent_id) AS parent_id, round(coalesce(max(score) FILTER (doc_id = parent_id), 0), 6) AS match_score, round(coalesce(max(cosine) FILTER (doc_id = parent_id), 0), 6) AS cosine, round(coalesce(max(coverage) FILTER (doc_id = parent_id), 0), 6) AS coverage, round(coalesce(max(score) FILTER (doc_id = parent_id), 0) - coalesce(max(score) FILTER (doc_id <> parent_id AND k <= 5), 0), 6) AS margin, string_agg(CAST(doc_id AS STRING), ';' ORDER BY k) FILTER (k <= 5) AS candidates FROM o GROUP BY item_id""")
 def r08_lineage_map(t):
-    out = mapping.lineage(t.benchmark.select(F.col("item_id").alias("chunk_id"), "text"), t.documents.select(F.col("doc_id").alias("parent_id"), "text"))
-    return out.select("chunk_id", "status", "method", "parent_id")
+    return mapping.lineage(t.benchmark.select(F.col("item_id").alias("chunk_id"), "text"), t.documents.select(F.col("doc_id").alias("parent_id"), "text"))
 
 
 @query(f"WITH c AS (SELECT item_id, {_NORMAL.format('text')} AS t FROM benchmark), p AS (SELECT doc_id, {_NORMAL.format('text')} AS t FROM documents) SELECT item_id AS chunk_id, doc_id AS parent_id, c.t = p.t AS equal, contains(p.t, c.t) AS within, contains(c.t, p.t) AS contains FROM c, p WHERE c.t <> '' AND p.t <> '' AND (contains(p.t, c.t) OR contains(c.t, p.t))")
