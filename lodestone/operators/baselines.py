@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.python_text import rouge_l
 from lodestone.functions.text import has_citation, legacy_citation_match, normalise_question
 from lodestone.operators import citations
+from lodestone.sources.shared import materialized
 
 #: Content and citation scores from which a prediction counts as right by the older measure.
 CONTENT_FLOOR, CITATION_FLOOR = 0.3, 0.5
@@ -123,6 +124,31 @@ def through_cache(requests: DataFrame, cache: DataFrame, provider: Callable[[lis
     return hits.union(asked)
 
 
+def through_folder(requests: DataFrame, folder: str, provider: Callable[[list[str]], list[str]], commit: int = 10_000, batch: int = 64) -> DataFrame:
+    """(key, response, cached) of every request (key, request), like through_cache, with the answers kept under folder.
+
+    The keys that folder lacks are asked in groups of about commit, and each group's answers are added to the folder
+    before the next is asked. So a run that is lost has lost one group at most, and the next one asks for the rest only.
+    """
+    spark = requests.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    empty = spark.createDataFrame([], "key string, response string")
+
+    def held() -> DataFrame:
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return spark.read.schema(empty.schema).parquet(folder) if there else empty
+
+    before = materialized(held().select("key").distinct(), "answered")
+    lacking = materialized(requests.join(before, "key", "left_anti").groupBy("key").agg(F.min("request").alias("request")), "lacking")
+    n = -(-lacking.count() // commit)
+    for i in range(n):
+        own = lacking.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i)
+        through_cache(own, empty, provider, batch).select("key", "response").write.mode("append").parquet(folder)
+    said = held().groupBy("key").agg(F.min("response").alias("response"))
+    known = before.withColumn("cached", F.lit(True))
+    return requests.select("key").join(said, "key").join(known, "key", "left").select("key", "response", F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
 def first_billed(runs: DataFrame, model: str = "model", digest: str = "digest", order: str = "path") -> DataFrame:
     """runs with billed: whether a run is the first of its model and digest."""
     return runs.withColumn("billed", F.row_number().over(Window.partitionBy(model, digest).orderBy(order)) == 1)

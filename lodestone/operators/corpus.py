@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lodestone.functions.text import child_citation, cross_references, marker_kind, marker_value, parent_identity, retrieval_text, short_digest, table_text, unit_type, word_count
 from lodestone.sources.shared import materialized
@@ -31,31 +32,41 @@ def child_id(parent: Column, number: Column) -> Column:
     return F.concat(parent.cast("string"), F.lit("__C"), F.lpad(number.cast("string"), 4, "0"))
 
 
-def marker_paths(items: Column) -> Column:
-    """Paths after each of an array of structs (value, kind, style, document_type): a fold over one parent's children."""
-    none = F.array().cast("array<string>")
-    state = "struct<path:array<string>,all:array<array<string>>>"
+def path_after(path: list[str], value: str | None, kind: str | None, style: str | None, document_type: str | None) -> list[str]:
+    """The marker path of an item, from that of the item before it."""
+    if value is None:
+        return path
+    statute, dotted = document_type in ("ARTICLE", "ANNEX"), value.split(".")
+    if document_type == "ARTICLE" and style == "ListLevel0" and kind in ("decimal", "parenthesized_number"):
+        return dotted[:1]
+    if document_type == "ANNEX" and kind == "decimal":
+        return dotted
+    if statute and style in ("ListLevel1", "ListLevel2"):
+        return [*path[: int(style[-1])], value]
+    return dotted if kind == "decimal" else [*path, value]
 
-    def after(path, x):
-        value, kind, style, type_ = x["value"], x["kind"], x["style"], x["document_type"]
-        dotted, own = F.split(value, r"\."), F.array(value)
-        level1, level2 = F.concat(F.slice(path, 1, 1), own), F.concat(F.slice(path, 1, 2), own)
-        decimal, numbered = kind == "decimal", kind.isin("decimal", "parenthesized_number")
-        return (
-            F.when(value.isNull(), path)
-            .when((type_ == "ARTICLE") & (style == "ListLevel0") & numbered, F.slice(dotted, 1, 1))
-            .when((type_ == "ANNEX") & decimal, dotted)
-            .when(type_.isin("ARTICLE", "ANNEX") & (style == "ListLevel1"), level1)
-            .when(type_.isin("ARTICLE", "ANNEX") & (style == "ListLevel2"), level2)
-            .when(decimal, dotted)
-            .otherwise(F.concat(path, own))
-        )
 
-    def step(s, x):
-        path = after(s["path"], x)
-        return F.struct(path.alias("path"), F.concat(s["all"], F.array(path)).alias("all")).cast(state)
+def marker_paths(rows: DataFrame, parent: str, order: str) -> DataFrame:
+    """rows (value, kind, style, document_type of each item, and any others) with marker_path, folded over the items of each parent.
 
-    return F.aggregate(items, F.struct(none.alias("path"), F.array().alias("all")).cast(state), step)["all"]
+    Partitions are sorted by parent and order and read once; a task holds one path, however many items a parent has.
+    """
+
+    def fold(batches):
+        import pyarrow as pa
+
+        last, path = object(), []
+        for batch in batches:
+            out = []
+            for own, *item in zip(*(batch.column(c).to_pylist() for c in (parent, "value", "kind", "style", "document_type"))):
+                if own != last:
+                    last, path = own, []
+                path = path_after(path, *item)
+                out.append(path)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], [*batch.schema.names, "marker_path"])
+
+    ordered = rows.repartition(parent).sortWithinPartitions(parent, order)
+    return ordered.mapInArrow(fold, StructType([*rows.schema.fields, StructField("marker_path", ArrayType(StringType()))]))
 
 
 def headed(blocks: DataFrame, version: str = "2022-12") -> DataFrame:
@@ -110,9 +121,8 @@ def build(blocks: DataFrame, version: str = "2022-12") -> tuple[DataFrame, DataF
     content = content.join(heads.select("doc_path", F.col("parent.start").alias("start"), "parent_id", F.col("name.citation").alias("parent_citation")), (content.doc_path == heads.doc_path) & (content["parent.start"] == F.col("start"))).drop(heads.doc_path)
     content = materialized(sequence(content, "parent_id", "block_index"), "content")
     is_p = F.col("kind") == "p"
-    item = F.struct("sequence", F.when(is_p, marker_value(F.col("body"))).alias("value"), marker_kind(F.col("body")).alias("kind"), F.coalesce("style", F.lit("")).alias("style"), F.col("parent.document_type").alias("document_type"))
-    folded = content.groupBy("parent_id").agg(F.array_sort(F.collect_list(item)).alias("items")).select("parent_id", F.posexplode(marker_paths(F.col("items"))).alias("i", "marker_path"))
-    children = content.join(folded.withColumn("sequence", F.col("i") + 1).drop("i"), ["parent_id", "sequence"])
+    items = content.select("parent_id", "sequence", F.when(is_p, marker_value(F.col("body"))).alias("value"), marker_kind(F.col("body")).alias("kind"), F.coalesce("style", F.lit("")).alias("style"), F.col("parent.document_type").alias("document_type"))
+    children = content.join(marker_paths(items, "parent_id", "sequence").select("parent_id", "sequence", "marker_path"), ["parent_id", "sequence"])
     children = materialized(children, "marked")
     governing = ancestors(children.select("parent_id", "sequence", "marker_path", F.col("body").alias("text")))
     children = children.join(governing, ["parent_id", "sequence"], "left")

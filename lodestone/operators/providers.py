@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterable
 
@@ -85,19 +86,47 @@ def vector_metadata(rows: DataFrame, model: str, key: str = "id", text: str = "t
     return {"model": model, "count": n, "ids": ids, "texts": texts}
 
 
+#: Snapshots of a cache that stay: the current one, and one that readers may still read.
+SNAPSHOTS_KEPT = 2
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _published(spark: SparkSession, path: str) -> list[str]:
+    """The names number-snapshot that were published, in their order."""
+    fs, at = _folder(spark, f"{path}/published")
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _publish(spark: SparkSession, path: str, snapshot: str) -> None:
+    """Makes a whole snapshot the current one: the name of an empty file says all, so it is there or not. Older ones go."""
+    before = _published(spark, path)
+    fs, at = _folder(spark, f"{path}/published/{int(before[-1].split('-')[0]) + 1 if before else 1:09d}-{snapshot}")
+    if not fs.createNewFile(at):
+        raise ValueError(f"{at} exists")
+    for name in _published(spark, path)[:-SNAPSHOTS_KEPT]:
+        for old in (f"{path}/published/{name}", f"{path}/snapshots/{name.partition('-')[2]}"):
+            fs, at = _folder(spark, old)
+            fs.delete(at, True)
+
+
 def _read_cache(spark: SparkSession, path: str) -> tuple[dict | None, DataFrame | None]:
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    names = _published(spark, path)
+    if not names:
         return None, None
-    found = spark.read.text(f"{path}/metadata").collect()
-    return (json.loads(found[0][0]), spark.read.parquet(f"{path}/vectors")) if found else (None, None)
+    at = f"{path}/snapshots/{names[-1].partition('-')[2]}"
+    return json.loads(spark.read.text(f"{at}/metadata").first()[0]), spark.read.parquet(f"{at}/vectors")
 
 
 def cached_vectors(rows: DataFrame, path: str, model: str, provider: Vectors, key: str = "id", text: str = "text", batch: int = 64) -> tuple[DataFrame, bool]:
     """((key, embedding, cached), whether the cache at path matched as it was).
 
     A cache with the same metadata is read as it is. Otherwise vectors of the same model and text are taken over, the
-    provider is asked for each other text once, and the cache is written anew.
+    provider is asked for each other text once, and a new snapshot of vectors and metadata is written and then published,
+    so that whoever reads meanwhile, or after a crash, has the old one whole.
     """
     spark, wanted = rows.sparkSession, vector_metadata(rows, model, key, text)
     held, old = _read_cache(spark, path)
@@ -109,12 +138,12 @@ def cached_vectors(rows: DataFrame, path: str, model: str, provider: Vectors, ke
     lacking = own if known is None else own.join(known, "__digest", "left_anti")
     new = embedded(lacking.groupBy("__digest").agg(F.min(text).alias(text)), provider, text, batch).select("__digest", "embedding", F.lit(False).alias("cached"))
     vectors = new if known is None else known.withColumn("cached", F.lit(True)).unionByName(new)
-    from lodestone.sources.shared import materialized
-
-    whole = materialized(own.join(vectors, "__digest").select(key, F.col("__digest").alias("digest"), "embedding", "cached"), "vectors")
-    whole.drop("cached").write.mode("overwrite").parquet(f"{path}/vectors")
-    spark.createDataFrame([(json.dumps(wanted, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
-    return whole.select(key, "embedding", "cached"), False
+    snapshot = uuid.uuid4().hex
+    at = f"{path}/snapshots/{snapshot}"
+    own.join(vectors, "__digest").select(key, F.col("__digest").alias("digest"), "embedding", "cached").write.parquet(f"{at}/vectors")
+    spark.createDataFrame([(json.dumps(wanted, sort_keys=True),)], "value string").coalesce(1).write.text(f"{at}/metadata")
+    _publish(spark, path, snapshot)
+    return spark.read.parquet(f"{at}/vectors").select(key, "embedding", "cached"), False
 
 
 def scored_pairs(pairs: DataFrame, provider: Scores, question: str = "question", passage: str = "text", batch: int = 32) -> DataFrame:

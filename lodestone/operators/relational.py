@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import materialized
+
 
 def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, side): keys that only a or only b has."""
@@ -52,3 +54,13 @@ def filled_down(rows: DataFrame, group: list[str], order: str, value: str, resta
     """rows with value, where null, filled from the last row of its group that restarted."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(value, F.coalesce(F.col(value), F.last(F.when(F.col(restart), F.col(value)), ignorenulls=True).over(w)))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """rows with their place from 1 in a total order, without a window over all of them: ranges are numbered by themselves, and each begins where those before it end."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialized(rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")  # a row for each partition
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__own", own).join(F.broadcast(ranges), "__range").withColumn(name, F.col("__own") + F.col("before")).drop("__range", "__own", "before")

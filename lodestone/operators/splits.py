@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.relational import numbered
 from lodestone.sources.shared import materialized
 
 
@@ -12,8 +13,9 @@ def grouped_split(records: DataFrame, group: str = "parent_id", fraction: float
     """records (qa_id, group) with split, development or test, the same for all records of a group.
 
     Groups are taken by falling size, then by SHA-256 of seed:group; one goes to development if that brings it no
-    further from its share; the last makes up an empty test side. Each choice depends on those before it, so one task reads
-    the groups' sizes in order, a row at a time, and keeps two sums. ValueError for fewer than two groups or an empty side.
+    further from its share; the last makes up an empty test side. Of groups of one size the first go to development, as
+    many as fit. So only the distinct sizes, of which n records have no more than the root of 2n, are read in order, in one
+    task; which groups of a size are first follows from their numbers. ValueError for fewer than two groups.
     """
     if not 0 < fraction < 1:
         raise ValueError("fraction must be between 0 and 1")
@@ -22,24 +24,27 @@ def grouped_split(records: DataFrame, group: str = "parent_id", fraction: float
     groups, total, target = sizes.agg(F.count(F.lit(1)), F.sum("n"), F.bround(F.sum("n") * fraction, 0)).first()
     if groups < 2:
         raise ValueError("at least two groups are required")
+    target = float(target)
 
     def fold(batches):
         import pyarrow as pa
 
-        dev = test = seen = 0
+        dev = before = 0
         for batch in batches:
-            sides = []
-            for n in batch.column(1).to_pylist():
-                seen += 1
-                take = test > 0 if seen == groups else abs(target - (dev + n)) <= abs(target - dev)
-                dev, test = (dev + n, test) if take else (dev, test + n)
-                sides.append("development" if take else "test")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sides, pa.string())], ["g", "split"])
-
-    ordered = sizes.repartition(1).sortWithinPartitions(F.desc("n"), "h", "g").select("g", "n")
-    sides = materialized(ordered.mapInArrow(fold, "g string, split string"), "sides")
-    if sides.select("split").distinct().count() != 2:
-        raise ValueError("both sides must hold a group")
+            rows = []
+            for n, many in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fits = min(many, max(0, int((2 * (target - dev) - n) // (2 * n)) + 1))
+                rows.append((n, before, before + fits))
+                dev, before = dev + fits * n, before + many
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["n", "before", "upto"])
+
+    classes = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("many")).repartition(1).sortWithinPartitions(F.desc("n"))
+    bounds = classes.mapInArrow(fold, "n long, before long, upto long")
+    placed = numbered(sizes, [F.desc("n"), F.asc("h"), F.asc("g")]).join(bounds, "n")
+    sides = materialized(placed.select("g", "number", (F.col("number") <= F.col("upto")).alias("dev")), "sides")
+    others = sides.where(F.col("number") < groups).agg(F.count_if(~F.col("dev")), F.count_if("dev")).first()
+    last = F.lit("development" if others[0] else "test")
+    sides = sides.select("g", F.when(F.col("number") == groups, last).otherwise(F.when(F.col("dev"), "development").otherwise("test")).alias("split"))
     return named.join(sides, F.col("__g").eqNullSafe(F.col("g"))).drop("__g", "g")
 
 

@@ -86,7 +86,7 @@ def _ladder(spark, a):
 
 
 def _generate(spark, a):
-    cache = _read(spark, a.inputs[2]) if len(a.inputs) > 2 else spark.createDataFrame([], "key string, response string")
+    cache = _read(spark, a.inputs[2]) if len(a.inputs) > 2 else f"{a.output}.answers"
     out = flows.generate(_read(spark, a.inputs[0]), _read(spark, a.inputs[1]), providers.extracted_answers, cache)
     for name, rows in out.items():
         _write(rows if name != "reports" else rows.drop("claims"), f"{a.output}/{name}.jsonl")

@@ -45,17 +45,18 @@ def ladder(
     return out
 
 
-def generate(questions: DataFrame, sources: DataFrame, provider, cache: DataFrame, model: str = "extract", system: str = "", schema: str = "") -> dict[str, DataFrame]:
+def generate(questions: DataFrame, sources: DataFrame, provider, cache: DataFrame | str, model: str = "extract", system: str = "", schema: str = "") -> dict[str, DataFrame]:
     """answers (qa_id, key, payload text, cached), reports of their verification, citations of the accepted ones, and a summary row.
 
     questions: qa_id, question; sources: qa_id, position, source_id, text and what answers.verify needs of evidence;
-    cache: key, response; provider: requests (JSON with question and sources) to payloads. A question without sources is asked without any.
+    cache: key, response, or a folder that takes up answers group by group, so that a lost run asks only for the rest; provider: requests (JSON with question and sources) to payloads. A question without sources is asked without any.
     """
     given = sources.groupBy("qa_id").agg(F.array_sort(F.collect_list(F.struct("position", "source_id", "text"))).alias("l"))
     listed = F.coalesce(F.transform("l", lambda x: F.struct(x["source_id"].alias("source_id"), x["text"].alias("text"))), F.array().cast("array<struct<source_id:string,text:string>>"))
     request = F.to_json(F.struct(F.col("question").alias("question"), listed.alias("sources")))
     asked = materialized(questions.join(given, "qa_id", "left").select("qa_id", request.alias("request")).withColumn("key", baselines.cache_key(model, F.lit(system), F.col("request"), schema)), "requests")
-    said = baselines.through_cache(asked.select("key", "request").distinct(), cache, provider)
+    through = baselines.through_folder if isinstance(cache, str) else baselines.through_cache
+    said = through(asked.select("key", "request").distinct(), cache, provider)
     made = materialized(asked.select("qa_id", "key").join(said, "key").select("qa_id", "key", F.col("response").alias("payload"), "cached"), "answers")
     parsed = made.select("qa_id", F.try_parse_json("payload").alias("payload"))
     reports = materialized(answers.verify(parsed, sources), "reports")

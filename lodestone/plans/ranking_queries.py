@@ -289,9 +289,9 @@ def s11_s12_vector_cache(t):
     return got.select(F.col("id").alias("doc_id"), "cached", F.size("embedding").cast("long").alias("size"), norm.alias("norm"), F.lit(after and not before).alias("matched"))
 
 
-@query(f"SELECT item_id AS qa_id, doc_id AS id, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS score FROM (SELECT item_id, doc_id, {TOK.format('i.text')} AS a, {TOK.format('d.text')} AS b FROM benchmark i JOIN documents d ON d.doc_id % 40 = i.item_id)")
+@query(f"SELECT item_id AS qa_id, doc_id AS id, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS score FROM (SELECT item_id, doc_id, {TOK.format('i.text')} AS a, {TOK.format('d.text')} AS b FROM benchmark i JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = i.item_id)")
 def s13_pair_scores(t):
-    pairs = t.documents.select(F.col("doc_id").alias("id"), "text").join(questions(t), F.col("id") % 40 == F.col("qa_id"))
+    pairs = t.documents.select(F.col("doc_id").alias("id"), "text").join(questions(t), F.col("id") % t.benchmark.count() == F.col("qa_id"))
     return providers.scored_pairs(pairs, providers.lexical_scores).select("qa_id", "id", F.round("score", 6).alias("score"))
 
 

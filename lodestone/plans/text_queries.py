@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.python_text import rouge_l, typographic_normal
 from lodestone.operators import baselines, citations, corpus, review
+from lodestone.operators.relational import numbered
 from lodestone.operators.retrieval import top_k
 from lodestone.plans.registry import query
 from lodestone.plans.views import CHOICE, CITED, KIND, LINES_CTE, MARKED, SECTION, TITLE, TOK, children, lines
-from lodestone.sources import files
+from lodestone.sources import files, manifested
 from lodestone.sources.shared import shared_dir
 
 
@@ -36,8 +37,7 @@ def s07_keep_last(t):
 @query("SELECT item_id, length(text) AS n FROM benchmark")
 def s08_json_array_scan(t):
     at = _somewhere(t, "array")
-    whole = t.benchmark.select(F.to_json(F.struct("item_id", "text")).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
-    whole.write.text(at)
+    files.write_json_arrays(t.benchmark.select("item_id", "text"), at)
     return files.read_json_array(t.spark, at, "item_id long, text string").select("item_id", F.length("text").cast("long").alias("n"))
 
 
@@ -83,6 +83,24 @@ def s25_style_profile(t):
     return styled.groupBy("style").agg(F.count(F.lit(1)).alias("n")).join(firsts, "style")
 
 
+@query("SELECT doc_id, lang, n_chars, true AS intact FROM documents")
+def s17_s20_manifest(t):
+    """Documents through the sink that writes its manifest, read back, with whether all parts have the digests and rows that it names."""
+    at = _somewhere(t, "manifested")
+    manifested.write(t.documents.select("doc_id", "lang", "n_chars"), at)
+    whole = manifested.verified(t.spark, at).agg(F.min("intact").alias("intact"))
+    return manifested.read(t.spark, at, "doc_id long, lang string, n_chars long").join(F.broadcast(whole))
+
+
+@query("SELECT '\\begin{tabular}{ll}' AS first, count(*) AS n, '\\end{tabular}' AS last FROM (SELECT DISTINCT lang FROM documents)")
+def s22_latex_table(t):
+    """Documents by language as a LaTeX table: its first and last line, and the number of its rows."""
+    at = _somewhere(t, "table")
+    manifested.write(t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs")).orderBy("lang"), at, "tex")
+    lines_ = t.spark.read.text(f"{at}/part-*", wholetext=True).select(F.split(F.trim(F.rtrim(F.regexp_replace("value", r"\n$", ""))), "\n").alias("l"))
+    return lines_.select(F.get("l", F.lit(0)).alias("first"), (F.size("l") - 6).cast("long").alias("n"), F.element_at("l", -1).alias("last"))
+
+
 @query("SELECT doc_id, r.a AS first, r.b AS last FROM documents JOIN (VALUES (3, 9), (20, 24)) r(a, b) ON doc_id BETWEEN r.a AND r.b")
 def s26_range_scan(t):
     ranges = t.spark.createDataFrame([(3, 9), (20, 24)], "first int, last int")
@@ -91,8 +109,7 @@ def s26_range_scan(t):
 
 @query("SELECT item_id, CAST(floor((row_number() OVER (ORDER BY item_id) - 1) / 6) AS BIGINT) AS block FROM benchmark")
 def s27_form_blocks(t):
-    ranked = t.benchmark.agg(F.array_sort(F.collect_list("item_id")).alias("l")).select(F.posexplode("l").alias("i", "item_id"))
-    return ranked.select("item_id", F.floor(F.col("i") / 6).alias("block"))
+    return numbered(t.benchmark.select("item_id"), [F.asc("item_id")]).select("item_id", F.floor((F.col("number") - 1) / 6).alias("block"))
 
 
 @query(rf"WITH {LINES_CTE} SELECT doc_id, sequence, trim(regexp_replace(line || '  x', '\s+', ' ', 'g')) AS v FROM lines")
@@ -297,5 +314,4 @@ st AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS sequence, CAST([] AS STRING[
 SELECT doc_id, sequence, array_to_string(path, '.') AS path FROM st WHERE sequence > 0""")
 def w13_marker_paths(t):
     own = lines(t).select("doc_id", "sequence", *(F.expr(e).alias(n) for e, n in zip(_LINE_MARKS, ("value", "kind", "style", "document_type"))))
-    folded = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "value", "kind", "style", "document_type"))).alias("items"))
-    return folded.select("doc_id", F.posexplode(corpus.marker_paths(F.col("items"))).alias("i", "path")).select("doc_id", (F.col("i") + 1).cast("long").alias("sequence"), F.array_join("path", ".").alias("path"))
+    return corpus.marker_paths(own, "doc_id", "sequence").select("doc_id", F.col("sequence").cast("long").alias("sequence"), F.array_join("marker_path", ".").alias("path"))

@@ -16,6 +16,18 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_json_arrays(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """rows as files of one JSON array each, one for each partition."""
+
+    def gathered(batches):
+        import pyarrow as pa
+
+        said = [x for b in batches for x in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([f"[{','.join(said)}]"])], ["value"])
+
+    rows.select(F.to_json(F.struct(*rows.columns))).mapInArrow(gathered, "value string").write.mode(mode).text(path)
+
+
 def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")

@@ -1,7 +1,11 @@
 """Word documents and the two-level corpus."""
 
+import collections
+import time
 import zipfile
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import corpus
 from lodestone.sources import wordml
 
@@ -84,3 +88,20 @@ def test_containers():
     except ValueError:
         return
     raise AssertionError
+
+
+def test_marker_paths_of_many_children(spark):
+    """200,000 children of one parent are one scan; its neighbours do not disturb it."""
+    n = 200_000
+    mark = F.when(F.col("id") % 4 == 0, F.lit("7")).when(F.col("id") % 4 == 3, F.lit(None)).otherwise(F.lit("b"))
+    style = F.when(F.col("id") % 4 == 0, F.lit("ListLevel0")).when(F.col("id") % 4 == 1, F.lit("ListLevel1")).otherwise(F.lit("ListLevel2"))
+    rows = spark.range(n).select((F.col("id") * -1).alias("at"), F.when(F.col("id") % 1000 == 999, F.col("id")).otherwise(0).alias("parent"), mark.alias("value"), F.lit("decimal").alias("kind"), style.alias("style"), F.lit("ARTICLE").alias("document_type"))
+    began = time.time()
+    found = {tuple(r.marker_path): r["count"] for r in corpus.marker_paths(rows, "parent", "at").where("parent = 0").groupBy("marker_path").count().collect()}
+    assert time.time() - began < 30 and sum(found.values()) == n - n // 1000
+    path, want = [], collections.Counter()
+    for i in range(n - 1, -1, -1):
+        if i % 1000 != 999:
+            path = corpus.path_after(path, "7" if i % 4 == 0 else None if i % 4 == 3 else "b", "decimal", f"ListLevel{min(i % 4, 2)}", "ARTICLE")
+            want[tuple(path)] += 1
+    assert found == want

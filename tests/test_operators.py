@@ -1,8 +1,10 @@
 """Operators on small fixed tables."""
 
 import collections
+import hashlib
 import json
 import math
+import os
 import random
 
 import pytest
@@ -13,7 +15,7 @@ from lodestone.functions import text as T
 from lodestone.functions.python_text import rouge_l, typographic_normal
 from lodestone.operators import answers, baselines, calibration, citations, context, mapping, providers, relational, retrieval, review, splits
 from lodestone.plans import commands, flows
-from lodestone.sources import files
+from lodestone.sources import files, manifested
 from lodestone.streaming import votes as stream
 
 
@@ -262,7 +264,7 @@ def test_panel(spark):
     assert {r.rater for r in answers_.collect()} == {"ann", "bob", "anonymous"} and answers_.where("qa_id = 'QA_1' AND question = 'Q3'").count() == 2
     got = {r.qa_id: r for r in review.panel(spark.createDataFrame([("QA_1",), ("QA_2",), ("QA_3",)], "qa_id string"), review.votes(answers_)).collect()}
     assert (got["QA_1"].auto_decision, got["QA_1"].n_reviewers) == ("accept", 2)
-    assert got["QA_2"].action_needed == "reviewers disagree" and got["QA_3"].action_needed == "only 0 reviewer(s), need 2"
+    assert got["QA_2"].action_needed == "the reviewers are divided" and got["QA_3"].action_needed == "only 0 reviewer(s), need 2"
 
 
 def test_baselines(spark):
@@ -407,9 +409,113 @@ def test_calibration(spark):
 
 
 def test_vote_stream(spark, tmp_path):
+    """Repeated votes count once, a changed one moves its count, one out of order changes nothing, and one beyond the watermark is dropped."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.STORE)
     (tmp_path / "in").mkdir()
-    lines = [{"qa_id": "Q", "rater": r, "decision": d, "at": "2026-08-01T10:00:00"} for r, d in (("a", "Accepter / Accept"), ("a", "Accepter / Accept"), ("b", "Rejeter / Reject"), ("c", "I skip this record"))]
-    (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, lines)))
-    out = stream.decision_counts(stream.read_votes(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("votes").outputMode("complete").trigger(availableNow=True).start()
-    out.awaitTermination(120)
-    assert {r.decision: r.n for r in spark.table("votes").collect()} == {"accept": 1, "exclude": 1}
+    parts = [
+        [("a", "Accepter / Accept", "01T10"), ("a", "Accepter / Accept", "01T10"), ("b", "Rejeter / Reject", "01T10"), ("c", "I skip this record", "01T10"), ("d", "Accepter / Accept", "01T12")],
+        [("a", "Rejeter / Reject", "01T11"), ("d", "Rejeter / Reject", "01T09")],
+        [("e", "Accepter / Accept", "09T10")],
+        [("f", "Accepter / Accept", "02T10"), ("g", "Accepter / Accept", "09T09")],
+    ]
+    try:
+        for i, votes in enumerate(parts):
+            (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"qa_id": "Q", "rater": r, "decision": d, "at": f"2026-08-{t}:00:00"}) for r, d, t in votes))
+            changes = stream.decision_changes(stream.read_votes(spark, str(tmp_path / "in"), 1), late_hours=24)
+            out = changes.writeStream.foreachBatch(lambda rows, _: rows.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "at")).outputMode("update").trigger(availableNow=True).start()
+            out.awaitTermination(120)
+            got = {r.decision: r.n for r in stream.decision_counts(spark.read.parquet(str(tmp_path / "out"))).collect()}
+            assert got == [{"accept": 2, "exclude": 1}, {"accept": 1, "exclude": 2}, {"accept": 2, "exclude": 2}, {"accept": 3, "exclude": 2}][i]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_snapshots_survive_a_crash(spark, tmp_path, monkeypatch):
+    at, embed = str(tmp_path / "v"), lambda texts: [(i, [float(len(t))]) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame([(1, "a"), (2, "bb")], "id long, text string")
+    providers.cached_vectors(rows, at, "m", embed)
+    publish = providers._publish
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(providers, "_publish", crash)
+    more = rows.union(spark.createDataFrame([(3, "ccc")], rows.schema))
+    with pytest.raises(RuntimeError, match="lost"):
+        providers.cached_vectors(more, at, "m", embed)
+    old, matched = providers.cached_vectors(rows, at, "m", None)
+    assert matched and {r.id: r.embedding for r in old.collect()} == {1: [1.0], 2: [2.0]}
+    monkeypatch.setattr(providers, "_publish", publish)
+    for n in range(3):  # older snapshots go
+        providers.cached_vectors(rows.union(spark.createDataFrame([(9 + n, "x" * n)], rows.schema)), at, "m", embed)
+    for at_ in ("published", "snapshots"):
+        assert len([x for x in os.listdir(tmp_path / "v" / at_) if not x.startswith(".")]) <= providers.SNAPSHOTS_KEPT + 1  # the crashed one was never published
+    got, matched = providers.cached_vectors(more, at, "m", embed)
+    assert not matched and {r.id: r.cached for r in got.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_lost_run_asks_only_for_the_rest(spark, tmp_path):
+    requests = spark.createDataFrame([(f"k{i}", f"r{i}") for i in range(40)] + [("k0", "r0")], "key string, request string").coalesce(1)
+    log, broken = tmp_path / "asked", tmp_path / "broken"
+    broken.touch()
+
+    def provider(texts):
+        with open(log, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+        if os.path.exists(broken) and len(open(log).readlines()) > 20:
+            raise RuntimeError("lost")
+        return [t.upper() for t in texts]
+
+    with pytest.raises(Exception, match="lost"):
+        baselines.through_folder(requests, str(tmp_path / "answers"), provider, commit=5)
+    have = {r.key for r in spark.read.parquet(str(tmp_path / "answers")).collect()}
+    assert 0 < len(have) < 40
+    broken.unlink()
+    log.unlink()
+    got = baselines.through_folder(requests, str(tmp_path / "answers"), provider, commit=5).collect()
+    assert sorted(log.read_text().split()) == sorted(f"r{i}" for i in range(40) if f"k{i}" not in have)
+    assert len(got) == 41 and all(r.response == "R" + r.key[1:] and r.cached == (r.key in have) for r in got)
+
+
+def test_manifest_of_a_sink(spark, tmp_path):
+    at = str(tmp_path / "t")
+    rows = spark.range(10).select("id", F.when(F.col("id") > 2, F.concat(lit("é,_"), F.col("id"))).alias("text")).repartition(3)
+    manifested.write(rows, at)
+    assert manifested.read(spark, at, "id long, text string").count() == 10
+    assert {tuple(r) for r in manifested.read(spark, at, "id long, text string").collect()} == {tuple(r) for r in rows.collect()}
+    with pytest.raises(Exception, match="written already"):
+        manifested.write(rows, at)
+    manifested.write(rows.limit(1), at, overwrite=True)
+    said = json.loads((tmp_path / "t" / "manifest.json").read_text())
+    assert said["rows"] == 1 and len(said["files"]) == 1 and sorted(os.listdir(at)) == ["manifest.json", said["files"][0]["name"]]
+    (tmp_path / "t" / said["files"][0]["name"]).write_text("{}")
+    with pytest.raises(ValueError, match="not what its manifest says"):
+        manifested.read(spark, at, "id long, text string")
+    failing = rows.withColumn("id", F.when(F.col("id") == 7, F.raise_error(lit("boom")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="boom"):
+        manifested.write(failing, str(tmp_path / "u"))
+    assert not os.path.exists(tmp_path / "u" / "manifest.json") and not os.path.exists(tmp_path / "u" / "_parts")
+    manifested.write(rows.where("id < 0"), str(tmp_path / "e"))
+    assert manifested.read(spark, str(tmp_path / "e"), "id long, text string").count() == 0
+    manifested.write(rows.orderBy("id").limit(4), str(tmp_path / "x"), "tex")
+    (name,) = [x for x in os.listdir(tmp_path / "x") if x.startswith("part")]
+    assert (tmp_path / "x" / name).read_text().splitlines()[5:8] == ["1 & -- \\\\", "2 & -- \\\\", "3 & é,\\_3 \\\\"]
+    manifested.write(rows.orderBy("id").coalesce(1), str(tmp_path / "c"), "csv")
+    assert (tmp_path / "c" / "part-00000.csv").read_text().splitlines()[:2] == ["id,text", "0,"]
+
+
+def test_numbers_and_splits_of_many_groups(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
+    assert {r.k: r.number for r in relational.numbered(rows, [F.desc("k")]).collect()} == {k: 1000 - k for k in range(1000)}
+    rng = random.Random(5)
+    for _ in range(3):
+        sizes = {f"g{i}": rng.choice([1, 1, 1, 2, 3, 9]) for i in range(rng.choice([2, 7, 40]))}
+        records = spark.createDataFrame([(f"{g}-{i}", g) for g, n in sizes.items() for i in range(n)], "qa_id string, parent_id string")
+        total = sum(sizes.values())
+        target, dev, test, want = round(total * 0.4), 0, 0, {}
+        order = sorted(sizes, key=lambda g: (-sizes[g], hashlib.sha256(f"lodestone-v1:{g}".encode()).hexdigest()))
+        for i, g in enumerate(order):
+            take = test > 0 if i == len(order) - 1 else abs(target - dev - sizes[g]) <= abs(target - dev)
+            dev, test = dev + take * sizes[g], test + (not take) * sizes[g]
+            want[g] = "development" if take else "test"
+        assert {r.parent_id: r.split for r in splits.grouped_split(records).collect()} == want
