@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import stats
 from lodestone.functions import text as T
 from lodestone.functions.python_text import rouge_l, typographic_normal
-from lodestone.operators import answers, baselines, calibration, citations, context, mapping, providers, relational, retrieval, review, splits
+from lodestone.operators import answers, baselines, calibration, cells, citations, context, mapping, providers, relational, retrieval, review, splits
 from lodestone.plans import commands, flows
 from lodestone.sources import files, manifested
 from lodestone.streaming import votes as stream
@@ -519,3 +519,43 @@ def test_numbers_and_splits_of_many_groups(spark):
             dev, test = dev + take * sizes[g], test + (not take) * sizes[g]
             want[g] = "development" if take else "test"
         assert {r.parent_id: r.split for r in splits.grouped_split(records).collect()} == want
+
+
+def test_cells_brute_force(spark, monkeypatch):
+    """Several blocks of questions and documents: scores, ties and bounds of BM25 against a plain count, and fewer entries read than there are."""
+    monkeypatch.setattr(cells, "CELL_QUESTIONS", 7)
+    monkeypatch.setattr(cells, "CELL_ENTRIES", 500)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(80) for _ in range(160 // (k + 1))]
+    docs = {i: [rng.choice(words) for _ in range(rng.randrange(0, 60))] for i in range(300)}
+    docs |= {300 + i: docs[i % 5] for i in range(20)}  # ties
+    asked = {f"q{i}": [rng.choice(words) for _ in range(rng.randrange(1, 12))] for i in range(20)} | {"rare": ["w79", "w70", "w0"], "none": ["zzz"]}
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    tf = {i: collections.Counter(d) for i, d in docs.items()}
+    df = collections.Counter(t for c in tf.values() for t in c)
+
+    def score(q, i):
+        return sum(f * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[i][t] * 2.5 / (tf[i][t] + 1.5 * (0.25 + 0.75 * len(docs[i]) / mean)) for t, f in collections.Counter(q).items() if tf[i][t])
+
+    frame = lambda d, key, text: spark.createDataFrame([(k, " ".join(v)) for k, v in d.items()], f"{key} {'string' if text == 'question' else 'long'}, {text} string")
+    whole = retrieval.index(frame(docs, "id", "text"))
+    got = collections.defaultdict(list)
+    for r in retrieval.bm25(frame(asked, "qa_id", "question"), whole, 5).orderBy("qa_id", "rank").collect():
+        got[r.qa_id].append((r.id, round(r.score, 6)))
+    for q, terms in asked.items():
+        want = sorted(((round(score(terms, i), 8), -i) for i in docs), reverse=True)[:5]
+        assert got[q] == [(-i, pytest.approx(s, abs=2e-6)) for s, i in want]
+    counted = spark.createDataFrame([(q, t, f) for q, terms in asked.items() for t, f in collections.Counter(terms).items()], "qa_id string, term string, qf long")
+    found = retrieval.bm25_cells(counted, whole, 5, 1.5, 0.75)
+    read, left = found.agg(F.sum("entries"), F.count(lit(1))).first()
+    every = sum(df[t] for terms in asked.values() for t in set(terms))
+    print(f"{read} of {every} entries read, {left} rows left the cells, for {len(asked)} questions")
+    assert read < 0.8 * every
+    vectors = spark.createDataFrame([(i, [float(rng.randrange(-3, 4)) for _ in range(4)] if i % 9 else [1.0, 0.0, 0.0, 0.0]) for i in range(90)], "id long, embedding array<double>").where("aggregate(embedding, 0D, (a, x) -> a + x * x) > 0")
+    rows = {r.id: r.embedding for r in vectors.collect()}
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v in rows.items()}
+    near = collections.defaultdict(list)
+    for r in retrieval.cosine_top_k(vectors, vectors, 3, "id", "id", exclude_self=True).orderBy("q", "rank").collect():
+        near[r.q].append(r.id)
+    for q, v in unit.items():
+        assert near[q] == [i for _, i in sorted((-round(sum(a * b for a, b in zip(v, w)), 8), i) for i, w in unit.items() if i != q)[:3]]
