@@ -59,6 +59,19 @@ def extracted_answers(requests: list[str], claims: int = 2) -> list[str]:
     return out
 
 
+def completed(prompts: list[str]) -> list[str]:
+    """For each prompt that ends with a question, the sentence or example answer before it that is most like the question; the first of equals, and nothing without a shared token."""
+    out = []
+    for prompt in prompts:
+        before, _, question = prompt.rpartition("Question:")
+        question = question.removesuffix("Answer:").strip()
+        said = [x.strip() for x in re.split(r"(?<=[.!?])\s+|\n", before) if x.strip() and not x.startswith("Question:")]
+        scores = lexical_scores([(question, x) for x in said])
+        best = max(range(len(said)), key=lambda i: (scores[i], -i), default=None)
+        out.append(said[best].removeprefix("Answer:").strip() if best is not None and scores[best] else "")
+    return out
+
+
 def embedded(rows: DataFrame, provider: Vectors, text: str = "text", batch: int = 64) -> DataFrame:
     """rows with embedding, the provider's vector of each text (null: empty), whatever the order in which it answers. ValueError for a missing or second answer."""
 
@@ -160,3 +173,22 @@ def scored_pairs(pairs: DataFrame, provider: Scores, question: str = "question",
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "score"])
 
     return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("score", DoubleType())]))
+
+
+def cached_scores(pairs: DataFrame, folder: str, model: str, provider: Scores, question: str = "question", passage: str = "text", commit: int = 10_000, batch: int = 32) -> DataFrame:
+    """pairs with score and cached, like scored_pairs, with the scores kept under folder by model, question and passage: no pair of texts is asked twice, and a lost run asks only for the rest."""
+    from lodestone.operators.baselines import cache_key, through_folder
+
+    key = cache_key(model, F.coalesce(F.col(question), F.lit("")), F.coalesce(F.col(passage), F.lit("")))
+    request = F.to_json(F.struct(F.coalesce(F.col(question), F.lit("")).alias("q"), F.coalesce(F.col(passage), F.lit("")).alias("p")))
+    own = pairs.withColumn("__key", key)
+
+    def ask(requests: list[str]) -> list[str]:
+        found = provider([(x["q"], x["p"]) for x in map(json.loads, requests)])
+        if len(found) != len(requests):
+            raise ValueError("the provider must score every pair")
+        return [repr(float(x)) for x in found]
+
+    asked = own.select(F.col("__key").alias("key"), request.alias("request")).dropDuplicates(["key"])
+    said = through_folder(asked, folder, ask, commit, batch)
+    return own.join(said, own["__key"] == said["key"]).withColumn("score", F.col("response").cast("double")).drop("__key", "key", "response")

@@ -73,7 +73,8 @@ def exemplars(queries: DataFrame, pool: DataFrame, k: int, seed: str, key: str =
     seed:q:key says, and takes the k records from there that are not itself (all others if the pool has no more).
     """
     digest = lambda column, more="": F.sha2(F.concat(F.lit(f"{seed}:{more}"), F.col(column).cast("string")), 256)
-    placed = materialized(pool.select(F.col(key).alias("exemplar")).distinct().withColumn("place", F.row_number().over(Window.orderBy(digest("exemplar"), "exemplar")).cast("long") - 1), "pool")
+    placed = numbered(pool.select(F.col(key).alias("exemplar")).distinct(), [digest("exemplar"), F.col("exemplar")])
+    placed = materialized(placed.select("exemplar", (F.col("number") - 1).cast("long").alias("place")), "pool")
     n = placed.count()
     if not n:
         return queries.select(F.col(key).alias("q"), F.lit(0).alias("rank"), F.col(key).alias("exemplar")).limit(0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import answers, baselines, calibration, context, corpus, mapping, providers, retrieval, review, splits
 from lodestone.plans import flows
-from lodestone.sources import files, wordml
+from lodestone.sources import files, manifested, wordml
 from lodestone.sources.shared import materialized
 
 
@@ -103,6 +103,18 @@ def _environment(spark, a):
     return spark.createDataFrame(sorted(facts), "name string, value string").union(digests.select(*(F.col(c).cast("string") for c in digests.columns[:2])))
 
 
+def _rerun(spark, a):
+    found = flows.rerun(_read(spark, a.inputs[0]), _read(spark, a.inputs[-1]), a.system, a.top_k, providers.completed, f"{a.output}.answers", seed=a.seed)
+    return found.drop("cached")
+
+
+def _report(spark, a):
+    """Each input as a LaTeX table with its manifest, under its own name."""
+    for path in a.inputs:
+        manifested.write(_read(spark, path), f"{a.output}/{path.rstrip('/').rpartition('/')[2].rpartition('.')[0]}", "tex")
+    return 0
+
+
 COMMANDS = {
     "corpus": ("documents' folder", 1, _corpus),
     "profile": ("documents' folder", 1, lambda s, a: wordml.style_profile(wordml.read_blocks(s, a.inputs[0]))),
@@ -113,6 +125,8 @@ COMMANDS = {
     "scores": ("pairs with qa_id, id, question and text", 1, lambda s, a: providers.scored_pairs(_read(s, a.inputs[0]), providers.lexical_scores).select("qa_id", "id", "score")),
     "ladder": ("questions, children, query vectors, child vectors, and perhaps questions with evidence and parents", 4, _ladder),
     "generate": ("questions, sources, and perhaps a cache", 2, _generate),
+    "rerun": ("questions, and examples or chunks", 1, _rerun),
+    "report": ("tables", 1, _report),
     "environment": ("files", 1, _environment),
     "fuse": ("rankings", 2, _fuse),
     "rerank": ("ranking, scores", 2, _rerank),
@@ -140,6 +154,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name, kind, value in (("limit", int, 20), ("k1", float, 1.5), ("b", float, 0.75), ("constant", float, 60.0), ("size", int, 64), ("top-k", int, 5), ("max-words", int, 1200), ("radius", int, 0), ("fraction", float, 0.4), ("seed", str, "lodestone-v1"), ("group", str, "parent_id"), ("min-reviewers", int, 2), ("version", str, "2022-12"), ("name", str, "name")):
         parser.add_argument(f"--{name}", type=kind, default=value)
     parser.add_argument("--unanimous", action="store_true")
+    parser.add_argument("--system", choices=flows.SYSTEMS, default="rag")
     parser.add_argument("--k", type=int, nargs="*", default=[1, 3, 5, 10, 20])
     parser.add_argument("--strata", nargs="*", default=[])
     parser.add_argument("--range", nargs="*", default=[])

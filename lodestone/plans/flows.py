@@ -37,7 +37,8 @@ def ladder(
     last = out["hybrid"] = stage(spark, folder, "hybrid", lambda: retrieval.reciprocal_rank_fusion(both, constant, limit))
     if scores is not None:
         pairs = last.select("qa_id", "id", F.col("rank").alias("original_rank")).join(questions.select("qa_id", "question"), "qa_id").join(children.select("id", "text"), "id")
-        scored = lambda: providers.scored_pairs(pairs, scores).select("qa_id", "id", "original_rank", F.round("score", 6).alias("score"))
+        asked = lambda: providers.scored_pairs(pairs, scores) if folder is None else providers.cached_scores(pairs, f"{folder}/scores", getattr(scores, "__name__", "scores"), scores)
+        scored = lambda: asked().select("qa_id", "id", "original_rank", F.round("score", 6).alias("score"))
         last = out["reranked"] = stage(spark, folder, "reranked", lambda: retrieval.rerank(scored(), limit))
     if {"parent_id", "sequence", "word_count"} <= set(children.columns):
         kids = children.select(F.col("id").alias("child_id"), "parent_id", "sequence", "word_count")
@@ -65,6 +66,39 @@ def generate(questions: DataFrame, sources: DataFrame, provider, cache: DataFram
     return {"answers": made, "reports": reports, "citations": cited, "summary": answers.generation_summary(reports)}
 
 
+#: What a question is asked with, by system.
+TEMPLATE = "Sources:\n{sources}\n\nQuestion: {question}\nAnswer:"
+SYSTEMS = ("fewshot", "rag", "local")
+
+
+def rerun(questions: DataFrame, given: DataFrame, system: str, k: int, provider, folder: str, model: str = "completed", template: str = TEMPLATE, seed: str = "lodestone-v1") -> DataFrame:
+    """Predictions of a baseline, as rescore takes them: result_id, system, variant, qa_id, question, prediction, retrieved_chunks; and cached.
+
+    system: fewshot (given: examples qa_id, question, answer, of which each question gets k of its own, never itself), rag
+    (given: chunks id, citation, text, of which the k best by BM25 are quoted) or local (the question alone; given is not
+    read). provider: prompts to answers. Answers are kept under folder by model and prompt; a lost run asks only for the rest.
+    """
+    if system not in SYSTEMS:
+        raise ValueError(f"system must be one of {SYSTEMS}")
+    own = questions.select("qa_id", "question").dropDuplicates(["qa_id"])
+    chunks = F.lit(None).cast("array<string>")
+    if system == "fewshot":
+        shots = splits.exemplars(own, given, k, seed).join(given.select(F.col("qa_id").alias("exemplar"), "question", "answer"), "exemplar")
+        asked = baselines.few_shot_prompt(shots, own.withColumnRenamed("qa_id", "q")).withColumnRenamed("q", "qa_id").withColumn("retrieved_chunks", chunks)
+    elif system == "rag":
+        ranked = materialized(retrieval.bm25(own, given, k).join(given.select("id", F.coalesce("citation", F.lit("")).alias("citation"), "text"), "id"), "quoted")
+        quoted = baselines.excerpts(ranked.withColumnRenamed("qa_id", "q"))
+        found = ranked.groupBy("qa_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id")))), lambda x: x["id"]).alias("retrieved_chunks"))
+        asked = own.join(quoted, own["qa_id"] == quoted["q"]).join(found, "qa_id").select("qa_id", baselines.user_message(template, F.col("question"), F.col("excerpts")).alias("prompt"), "retrieved_chunks")
+    else:
+        asked = own.select("qa_id", F.concat(F.lit("Question: "), "question", F.lit("\nAnswer:")).alias("prompt"), chunks.alias("retrieved_chunks"))
+    asked = materialized(asked.withColumn("key", baselines.cache_key(model, F.lit(system), F.col("prompt"))), "prompts")
+    said = baselines.through_folder(asked.select("key", F.col("prompt").alias("request")).dropDuplicates(["key"]), folder, provider)
+    made = asked.join(said, "key").join(own, "qa_id")
+    name = F.concat_ws("-", F.lit(system), F.lit(str(k)), F.col("qa_id").cast("string"))
+    return made.select(name.alias("result_id"), F.lit(system).alias("system"), F.lit(str(k)).alias("variant"), "qa_id", "question", F.col("response").alias("prediction"), "retrieved_chunks", "cached")
+
+
 def metrics(qa: DataFrame, rankings: dict[str, DataFrame], parents: DataFrame, ks: list[int]) -> DataFrame:
     """retrieval.evaluate of every ranking, with its name."""
     out = None

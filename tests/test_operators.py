@@ -559,3 +559,43 @@ def test_cells_brute_force(spark, monkeypatch):
         near[r.q].append(r.id)
     for q, v in unit.items():
         assert near[q] == [i for _, i in sorted((-round(sum(a * b for a, b in zip(v, w)), 8), i) for i, w in unit.items() if i != q)[:3]]
+
+
+def test_reruns_of_baselines(spark, tmp_path):
+    """Examples, retrieval, prompts, kept answers and rescoring in one flow; the second run asks nothing."""
+
+    def put(name, *rows):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, rows)))
+        return str(tmp_path / name)
+
+    asked = [("q1", "Who reports accidents?"), ("q2", "What is weather?")]
+    questions = put("q.jsonl", *({"qa_id": i, "question": q} for i, q in asked))
+    chunks = put("c.jsonl", {"id": "a", "citation": "Article 4", "text": "Pilots report accidents. Others do not."}, {"id": "b", "citation": "Article 5", "text": "Weather is what falls."})
+    examples = put("e.jsonl", *({"qa_id": i, "question": q, "answer": f"Answer to {q}"} for i, q in [*asked, ("q3", "Who reports weather?")]))
+    assert commands.main(["rerun", questions, chunks, str(tmp_path / "rag.jsonl"), "--top-k", "1"], spark) == 0
+    rag = {r.qa_id: r for r in spark.read.json(str(tmp_path / "rag.jsonl")).collect()}
+    assert rag["q1"].prediction == "Pilots report accidents." and rag["q1"].retrieved_chunks == ["a"] and rag["q2"].retrieved_chunks == ["b"]
+    assert commands.main(["rerun", questions, examples, str(tmp_path / "shots.jsonl"), "--system", "fewshot", "--top-k", "2"], spark) == 0
+    shots = {r.qa_id: r.prediction for r in spark.read.json(str(tmp_path / "shots.jsonl")).collect()}
+    assert shots["q1"] == "Answer to Who reports weather?" and shots["q2"] in ("Answer to Who reports weather?", "Answer to Who reports accidents?")
+    local = flows.rerun(spark.read.json(questions), spark.read.json(questions), "local", 0, lambda texts: [t.upper() for t in texts], str(tmp_path / "local"))
+    assert {r.qa_id: r.prediction for r in local.collect()}["q1"] == "QUESTION: WHO REPORTS ACCIDENTS?\nANSWER:"
+    again = flows.rerun(spark.read.json(questions), spark.read.json(questions), "local", 0, None, str(tmp_path / "local")).collect()
+    assert len(again) == 2 and all(r.cached for r in again)
+    bench = spark.createDataFrame([(i, "test", q, "Pilots report accidents.", "Article 4", ["P"]) for i, q in asked], "qa_id string, split string, question string, reference_answer string, acceptable_citation string, acceptable_parent_ids array<string>")
+    parents = spark.createDataFrame([("EU_376_2014_ART_4",)], "parent_id string")
+    scored = {r.qa_id: r for r in baselines.rescore(spark.read.json(str(tmp_path / "rag.jsonl")), bench, parents, spark.createDataFrame([("a", "P")], "chunk_id string, parent_id string")).collect()}
+    assert scored["q1"].rouge_l == 1.0 and (scored["q1"].retrieval_parent_hit, scored["q2"].retrieval_parent_hit) == (1, 0)
+    table = put("rules.jsonl", {"rule": "a_b", "rate": 0.5})
+    assert commands.main(["report", table, str(tmp_path / "report")], spark) == 0
+    assert "0.5 & a\\_b" in (tmp_path / "report" / "rules" / "part-00000.tex").read_text()
+    with pytest.raises(ValueError):
+        flows.rerun(spark.read.json(questions), spark.read.json(questions), "odd", 1, None, str(tmp_path / "x"))
+
+
+def test_cached_scores(spark, tmp_path):
+    pairs = spark.createDataFrame([(1, "a b", "b c"), (2, "a b", "b c"), (3, None, "x"), (4, "q", "q")], "id long, question string, text string")
+    got = {r.id: (r.score, r.cached) for r in providers.cached_scores(pairs, str(tmp_path / "s"), "m", providers.lexical_scores, commit=1).collect()}
+    assert got == {1: (1 / 3, False), 2: (1 / 3, False), 3: (0.0, False), 4: (1.0, False)}
+    again = {r.id: (r.score, r.cached) for r in providers.cached_scores(pairs.where("id > 1"), str(tmp_path / "s"), "m", None).collect()}
+    assert again == {2: (1 / 3, True), 3: (0.0, True), 4: (1.0, True)}
