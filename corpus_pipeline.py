@@ -15,7 +15,7 @@ from lodestone.llm.common import cut, table, tokenizer_path
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the Kneser-Ney quality classifier keeps."""
-    return quality.kept(docs, table(spark, sf_dir, "labels"))
+    return quality.kept(docs, table(spark, sf_dir, "labels"), written=True)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
