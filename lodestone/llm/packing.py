@@ -18,11 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import binary_list, slices, table, tokenizer_path
-from lodestone.llm.token_counts import PLAIN, PRE
+from lodestone.llm.token_counts import PLAIN, PRE, count_tokens
 
 BLOCK = 1024
-#: Segments that a sequence may have.
-SEGMENTS = 256
 MEMO = 1_000_000
 #: Bytes of the longest piece that is kept in the memo.
 LONG_PIECE = 64
@@ -199,10 +197,10 @@ class Sequences:
             self.waiting = left + rest
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, segments: int = SEGMENTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, segments: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every document's ids and end_id.
 
-    A document without text (null or empty) is its end id alone. Repeated rows are packed as documents of their own. All
+    segments: how many pieces a sequence may have, as many as it has tokens if None. A document without text (null or empty) is its end id alone. Repeated rows are packed as documents of their own. All
     ids of a document bear loss, so its loss-bearing tokens never limit a sequence before its tokens do (pack_examples has
     examples for which they do). Sequence ids hold the partition's number, so they are distinct without a shuffle.
     """
@@ -214,7 +212,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048
         from pyspark import TaskContext
 
         schema = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        encode, own, key = ids_of(path), Sequences(TaskContext.get().partitionId() << 40, size, segments), None
+        encode, own, key = ids_of(path), Sequences(TaskContext.get().partitionId() << 40, size, segments or size), None
 
         def out(rows):
             cols = list(zip(*rows))
@@ -264,5 +262,17 @@ def pack_examples(examples: DataFrame, limits: tuple[int, int, int] = (2048, 16,
     return examples.select(F.col(id_column), F.col(tokens).cast("long"), F.col(loss).cast("long")).mapInArrow(run, f"example_id {kind}, n_tokens long, n_loss long, sequence_id long, offset long, segment long")
 
 
+def conversations_as_examples(turns: DataFrame, path: str, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """(example_id, n_tokens, n_loss) of each conversation of turns (conv_id, role, text): the tokens of its turns, each with an end; only the turns of the roles learned bear loss. Null ids are one conversation, null texts are empty."""
+    own = turns.select(F.struct("conv_id", "role").alias("of"), "text")
+    counted = count_tokens(own, path, id_column="of").select("doc_id.conv_id", F.coalesce(F.col("doc_id.role").isin(*learned), F.lit(False)).alias("bears"), (F.col("n_tokens") + 1).alias("n"))
+    return counted.groupBy(F.col("conv_id").alias("example_id")).agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("bears"), F.col("n")).otherwise(0)).alias("n_loss"))
+
+
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in sequences of at most 2048 tokens, 16 examples and 1024 loss-bearing tokens."""
+    return pack_examples(conversations_as_examples(table(spark, sf_dir, "conversations"), tokenizer_path("word_bpe_49k.json")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

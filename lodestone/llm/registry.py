@@ -6,7 +6,7 @@ from lodestone.llm.html_text import op1_html_extraction
 from lodestone.llm.language_model import op10_lm_scoring
 from lodestone.llm.line_dedup import op5_line_dedup
 from lodestone.llm.media import op9_media_columns
-from lodestone.llm.packing import op8_packing
+from lodestone.llm.packing import op8_packing, pack_conversations
 from lodestone.llm.periodic_runs import op12_periodic_runs
 from lodestone.llm.quality import op6_quality_classifier
 from lodestone.llm.quality_rules import op11_quality_rules, quality_rule_ablations
@@ -26,6 +26,7 @@ QUERIES = {
         op6_quality_classifier,
         op7_token_counts,
         op8_packing,
+        pack_conversations,
         op9_media_columns,
         op10_lm_scoring,
         op11_quality_rules,
