@@ -124,3 +124,57 @@ def test_decontamination_beyond_the_broadcast_bound(spark, folders):
     docs, bench = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/benchmark.parquet")
     plain, joined = (sorted(map(repr, decontaminate.contamination(docs, bench, **more).collect())) for more in ({}, {"max_windows": 1}))
     assert plain == joined
+
+
+def test_op1_formulas_labels_and_ad_slots():
+    page = "<article><p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and a <label>label</label> here</p><div class='adslot'>Buy now</div><form><label>Mail</label></form></article>"
+    assert html_text.split_page(page)[0] == ["We have x=2 and a label here"]
+
+
+def test_quality_of_a_source_in_changing_order(spark):
+    """A source that gives its rows in another order whenever it is read is written first; what is said to be written and is not gives an error or the same result."""
+    rows = [(i, " ".join(f"word{(i * k) % 97}" for k in range(1, 40)) if i % 5 else "z q x " * 30, "en", int(i % 5 > 0)) for i in range(60)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    labels = plain.select("doc_id", "quality").where("doc_id < 40")
+    shuffled = plain.drop("quality").orderBy(F.rand())
+    keeps = lambda df, **more: {r.doc_id: (r.keep, round(r.perplexity, 4)) for r in quality.classify(df, labels, **more).collect()}
+    want = keeps(plain.drop("quality"))
+    assert keeps(shuffled) == want and {k for k, (keep, _) in want.items() if not keep} <= set(range(0, 60, 5))
+    assert quality.kept(shuffled, labels).count() == sum(keep for keep, _ in want.values())
+
+
+def test_packing_without_a_limit_of_segments(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).coalesce(1)
+    rows = packing.pack_documents(docs, packing.tokenizer_path("word_bpe_49k.json")).collect()
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert sum(used.values()) == 15_000 and sorted(used.values(), reverse=True)[:7] == [2048] * 7
+    few = packing.pack_documents(docs, packing.tokenizer_path("word_bpe_49k.json"), segments=16).groupBy("sequence_id").count().agg(F.max("count")).first()[0]
+    assert few <= 16
+
+
+def test_conversations_as_examples(spark):
+    rows = [(1, "user", "a b"), (1, "assistant", "c d e"), (1, "assistant", None), (2, "user", ""), (None, "assistant", "x"), (None, None, "y"), (3, "assistant", "w " * 3000)]
+    turns = spark.createDataFrame([(i, k, r, t, "n") for k, (i, r, t) in enumerate(rows)], "conv_id long, turn int, role string, text string, n_tokens string")
+    path = packing.tokenizer_path("word_bpe_49k.json")
+    examples = packing.conversations_as_examples(turns, path)
+    assert {tuple(r) for r in examples.collect()} == {(1, 8, 5), (2, 1, 0), (None, 4, 2), (3, 3001, 3001)}
+    assert packing.pack_examples(packing.conversations_as_examples(turns.where(F.lit(False)), path)).count() == 0
+    odd = spark.createDataFrame([(i, n, m) for i, (n, m) in enumerate([(10, 5), (None, None), (3000, 1), (2000, 1024), (48, 0), (5, 2000), (0, 0)] * 20)], "example_id long, n_tokens long, n_loss long").coalesce(1)
+    packed = packing.pack_examples(odd).collect()
+    assert sorted(r.example_id for r in packed) == list(range(140))
+    by = {}
+    for r in packed:
+        by.setdefault(r.sequence_id, []).append(r)
+    for rows_ in by.values():
+        assert len(rows_) == 1 or (sum(r.n_tokens for r in rows_) <= 2048 and sum(r.n_loss for r in rows_) <= 1024 and len(rows_) <= 16)
+        at = 0
+        for r in sorted(rows_, key=lambda r: r.segment):
+            assert r.offset == at
+            at += r.n_tokens
+    found = [sum(r.n_tokens for r in x) for x in by.values()]
+    assert len(found) < 140 * 0.6  # one for each of the 40 that exceed a limit alone, and few for the rest
+    got = packing.pack_conversations(spark, "/root/testdata/sf0.001")
+    want = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id").distinct().count()
+    assert got.select("example_id").distinct().count() == got.count() == want
