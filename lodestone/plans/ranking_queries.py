@@ -251,7 +251,23 @@ def n07_a12_panel(t):
     return review.panel(cast.select("qa_id").distinct(), cast).select("qa_id", "n_reviewers", "votes_accept", "panel_verdict")
 
 
-@query()
+def _signals_sql() -> str:
+    fired = ", ".join(f"{{'rule': '{rule}', 'fired': {condition}}}" for rule, condition in calibration.RULES.items())
+    z, zz = "CAST(1.96 AS DOUBLE)", f"CAST({1.96 * 1.96!r} AS DOUBLE)"
+    low = f"(p + {zz} / (2 * e) - {z} * sqrt(p * (1 - p) / e + {zz} / (4 * e * e))) / (1 + {zz} / e)"
+    high = low.replace(f" - {z} * sqrt", f" + {z} * sqrt")
+    return f"""WITH {_BM25.format(b=0.75)}, {_GOLD}, top AS (SELECT qa_id, id, CAST(id AS STRING) AS c, score, rank FROM rk WHERE rank <= 20),
+sh AS (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY s DESC, c) AS r FROM (SELECT qa_id, c, rank AS o, round(score * (rank % 3 + 1), 6) AS s FROM top)),
+sg AS (SELECT qa_id, round(max(s) FILTER (r = 1) - coalesce(max(s) FILTER (r = 2), 0), 6) AS rerank_margin, abs(max(o) FILTER (r = 1) - 1) AS top1_rank_shift FROM sh GROUP BY qa_id),
+ci AS (SELECT qa_id, list(id) AS cited FROM top WHERE rank <= 3 GROUP BY qa_id),
+si AS (SELECT rerank_margin, top1_rank_shift, len(list_distinct(cited)) AS distinct_sources_cited, len(cited) AS claim_count, CASE WHEN qa_id % 3 > 0 THEN 1 ELSE 0 END AS quote_pass, CASE WHEN qa_id % 2 > 0 THEN 1 ELSE 0 END AS quote_pass_strict, 0 AS model_abstained, len(list_intersect(cited, ids)) = 0 AS error FROM sg JOIN ci USING (qa_id) JOIN gold USING (qa_id)),
+fi AS (SELECT f.rule, f.fired, error FROM (SELECT unnest([{fired}]) AS f, error FROM si)),
+co AS (SELECT rule, count(*) AS n, count(*) FILTER (fired) AS escalated, count(*) FILTER (fired AND error) AS errors_caught, count(*) FILTER (error) AS errors FROM fi GROUP BY rule),
+wi AS (SELECT *, nullif(CAST(escalated AS DOUBLE), 0) AS e, errors_caught / nullif(CAST(escalated AS DOUBLE), 0) AS p FROM co)
+SELECT rule, escalated, round(escalated / n, 4) AS escalation_rate, errors_caught, round(p, 4) AS precision, round({low}, 4) AS ci_low, round({high}, 4) AS ci_high, CASE WHEN errors > 0 THEN round(errors_caught / errors, 4) END AS recall, coalesce({low} > errors / n, false) AS beats_base_rate FROM wi"""
+
+
+@query(_signals_sql())
 def r13_n09_signals(t):
     ranked = materialized(_bm25(t), "ranked").select("qa_id", F.col("id").cast("string").alias("child_id"), (F.col("id") % 10).cast("string").alias("parent_id"), "score", "rank")
     shuffled = retrieval.top_k(ranked.withColumn("original_rank", F.col("rank")).drop("rank").withColumn("score", F.round(F.col("score") * (F.col("original_rank") % 3 + 1), 6)), ["qa_id"], [F.desc("score"), F.asc("child_id")], 20)
