@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import answers, baselines, calibration, context, corpus, mapping, providers, retrieval, review, splits
 from lodestone.plans import flows
 from lodestone.sources import files, manifested, wordml
-from lodestone.sources.shared import materialized
+from lodestone.sources.shared import materialized, scratch
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -163,9 +163,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if len(a.inputs) < least:
         parser.error(f"{a.command} takes {what}")
     spark = spark or SparkSession.builder.appName(f"lodestone {a.command}").getOrCreate()
-    out = run(spark, a)
-    if isinstance(out, int):
-        return out
-    _write(out, a.output)
-    _lineage(spark, a.inputs, a.output)
+    with scratch(spark):
+        out = run(spark, a)
+        if isinstance(out, int):
+            return out
+        _write(out, a.output)
+        _lineage(spark, a.inputs, a.output)
     return 0

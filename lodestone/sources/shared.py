@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: The tables written in each open scratch(), the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are written inside are deleted at the end, so that a session of many queries does not fill the shared folder. What is made of them must be read or written before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: what is read several times is computed once, plans stay small, and no lost executor costs a rerun of all.
 
@@ -35,6 +53,8 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"  # one folder an application, to delete when it ends
+    if _SCOPES:
+        _SCOPES[-1].append(at)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

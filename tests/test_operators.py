@@ -15,7 +15,7 @@ from lodestone.functions import text as T
 from lodestone.functions.python_text import rouge_l, typographic_normal
 from lodestone.operators import answers, baselines, calibration, cells, citations, context, mapping, providers, relational, retrieval, review, splits
 from lodestone.plans import commands, flows
-from lodestone.sources import files, manifested
+from lodestone.sources import files, manifested, shared
 from lodestone.streaming import votes as stream
 
 
@@ -599,3 +599,17 @@ def test_cached_scores(spark, tmp_path):
     assert got == {1: (1 / 3, False), 2: (1 / 3, False), 3: (0.0, False), 4: (1.0, False)}
     again = {r.id: (r.score, r.cached) for r in providers.cached_scores(pairs.where("id > 1"), str(tmp_path / "s"), "m", None).collect()}
     assert again == {2: (1 / 3, True), 3: (0.0, True), 4: (1.0, True)}
+
+
+def test_scratch_tables_go(spark):
+    before = shared.materialized(spark.range(3), "before")
+    with shared.scratch(spark):
+        outer = shared.materialized(spark.range(4), "outer")
+        with pytest.raises(RuntimeError), shared.scratch(spark):
+            inner = shared.materialized(outer, "inner")
+            assert inner.count() == 4
+            raise RuntimeError
+        assert outer.count() == 4 and not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
+        at = os.path.dirname(outer.inputFiles()[0].removeprefix("file://"))
+        assert os.path.isdir(at)
+    assert not os.path.exists(at) and before.count() == 3
