@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     picked = F.broadcast(chosen[0].union(chosen[1]))  # two rows of 12 bytes for each of the sample at most
-    texts = docs.join(picked, "doc_id").select("toxic", "text")
+    texts = cut(docs.join(picked, "doc_id").select("toxic", "text"), "sample")  # read four times below
 
     def word_counts(batches):
         from collections import Counter
