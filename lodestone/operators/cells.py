@@ -15,8 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of documents, and questions, of a cell.
-CELL_ENTRIES, CELL_QUESTIONS = 1 << 20, 4096
+#: Entries of documents, and questions, of a cell; and entries for which a cell more pays while there are fewer cells than tasks.
+CELL_ENTRIES, CELL_QUESTIONS, LEAST_ENTRIES = 1 << 20, 4096, 1 << 15
 #: What is lost to rounding when bounds are compared.
 SLACK = 1e-6
 
@@ -25,7 +25,7 @@ def in_cells(questions: DataFrame, documents: DataFrame, q: str, doc: str, n_que
     """Both tables with a column cell. All rows of a question are in the same cells, and all rows of a document."""
     spark = questions.sparkSession
     across = max(1, ceil(n_questions / CELL_QUESTIONS))
-    down = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(n_entries / CELL_ENTRIES))
+    down = max(1, ceil(n_entries / CELL_ENTRIES), min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(n_entries / LEAST_ENTRIES)))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = documents.withColumn("__d", F.pmod(F.xxhash64(doc), F.lit(down))).withColumn("__q", all_of(across))
     right = questions.withColumn("__q", F.pmod(F.xxhash64(q), F.lit(across))).withColumn("__d", all_of(down))
