@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import binary_list, crc_of_id, slices, table
+from lodestone.llm.common import binary_list, crc_of_id, cut, slices, table
 
 #: Labelled rows of each class to train on, and words that may be features besides identity terms.
 SAMPLE, FEATURES = 4_000, 1_024
