@@ -28,9 +28,12 @@ def hashed_vectors(size: int = 64) -> Vectors:
     def embed(texts: list[str]):
         for i, text in enumerate(texts):
             v = [0.0] * size
-            for token in TOKEN.findall(text.lower()):
-                h = zlib.crc32(token.encode())
+            hashes = [zlib.crc32(token.encode()) for token in TOKEN.findall(text.lower())]
+            for h in hashes:
                 v[h % size] += 1.0 if h >> 31 else -1.0
+            if not any(v):  # tokens that cancel each other out count without signs
+                for h in hashes:
+                    v[h % size] += 1.0
             norm = math.sqrt(math.fsum(x * x for x in v))
             yield i, [x / norm for x in v] if norm else v
 
