@@ -21,8 +21,6 @@ from lodestone.llm.common import cut, table
 from lodestone.llm.packed import packed, unpacked
 
 ORDER, BITS = 4, 8
-#: Trusted rows to fit the model on, those with the least hashes of doc_id.
-SAMPLE = 20_000
 #: Quantile of trusted documents' perplexity, and factor on it, from which a text is rejected.
 QUANTILE, MARGIN = 0.999, 1.05
 #: Trusted documents of a language at which its own quantile and that of all languages weigh the same.
@@ -320,22 +318,22 @@ def pieces(sizes: np.ndarray):
 
 
 class Model:
-    """The tables of every order, and the counts of the sample's grams."""
+    """The tables of every order, and the counts of the trusted texts' grams."""
 
     def __init__(self, levels: list[tuple[DataFrame, DataFrame]], counts: DataFrame):
         self.levels, self.counts = levels, counts
 
     def typical(self, known: DataFrame) -> tuple[int, float]:
-        """The number of grams known (key, p), and the mean logarithm of a unit's probability in the sample, whose grams are among them."""
+        """The number of grams known (key, p), and the mean logarithm of a unit's probability in the trusted texts, whose grams are among them."""
         row = known.join(self.counts, "key", "left").agg(F.count(F.lit(1)), F.sum(F.col("c") * F.log10("p")), F.sum("c")).first()
         return row[0], float(row[1] / row[2]) if row[2] else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model of the sample's whole texts (columns doc_id, text; doc_id, quality); None without trusted rows."""
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of the whole texts of all trusted rows (columns doc_id, text; doc_id, quality); None without any."""
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    picked = F.broadcast(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # sample ids at most
-    counts = cut(gram_counts(docs.select("doc_id", "text").join(picked, "doc_id").select("text")), "grams")
+    own = docs.select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")  # any number of ids: never broadcast
+    counts = cut(gram_counts(own.select("text")), "grams")
     return None if counts.isEmpty() else Model(kneser_ney(counts), counts)
 
 
@@ -360,7 +358,7 @@ def limit(limits: DataFrame, lang):
     return F.coalesce(F.create_map(*(F.lit(x) for kv in own.items() for x in kv))[F.coalesce(lang, F.lit(""))], other) if own else other
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, sample: int = SAMPLE, written: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, written: bool = False) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) of every row of docs (doc_id, text, lang), from labels (doc_id, quality).
 
     Null and empty texts score as the end of a text. Repeated rows stay. Without any trusted row nothing can be told, so
@@ -369,7 +367,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     """
     docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     docs = docs if written else cut(docs, "texts")
-    model = train(docs, labels, sample)
+    model = train(docs, labels)
     if model is None:
         return docs.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
     scored = cut(measured(docs, model, "text", ["doc_id", "lang"]).select("row.doc_id", "row.lang", "perplexity"), "perplexities")

@@ -1,8 +1,10 @@
 """Odd inputs of the third review."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from lodestone import plans
+from lodestone.llm import quality
 from lodestone.operators import providers
 
 
@@ -39,3 +41,11 @@ def test_vector_cache_of_alike_texts(spark, tmp_path):
     rows = [(0, None), (1, None), (3, "a  "), (4, "a"), (6, "a"), (-3, "c"), (-2, "c"), (3 << 31, "d"), ((3 << 31) + 1, "d"), (9, ""), (10, "ß"), (13, cancelling())]
     folder = written(spark, tmp_path / "t", documents=(rows, "doc_id long, text string"))
     like_sql(spark, folder, "s11_s12_vector_cache", ["documents"])
+
+
+def test_quality_model_counts_all_trusted_texts(spark):
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    model = quality.train(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    n = sum(len(f"t{i}") + 1 for i in range(20_500))
+    assert model.counts.agg(F.sum("c")).first()[0] == n
+
