@@ -1,5 +1,7 @@
 """Odd inputs of the third review."""
 
+import math
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -49,3 +51,12 @@ def test_quality_model_counts_all_trusted_texts(spark):
     n = sum(len(f"t{i}") + 1 for i in range(20_500))
     assert model.counts.agg(F.sum("c")).first()[0] == n
 
+
+def test_quality_thresholds_are_exact(spark):
+    rows = spark.range(300_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS lang", "2 + (id * 7919) % 300007 / 1e4D AS perplexity")
+    got = {(r.whole, r.lang): (r.at, r.n) for r in quality.quantiles(rows, 0.999).collect()}
+    values = {i: 2 + (i * 7919) % 300007 / 1e4 for i in range(300_000)}
+    for key, own in {(True, None): values.values(), (False, "a"): [v for i, v in values.items() if i % 3 == 0], (False, "b"): [v for i, v in values.items() if i % 3 == 1]}.items():
+        own = sorted(own)
+        assert got.pop(key) == (own[math.ceil(len(own) * 0.999) - 1], len(own))
+    assert not got
