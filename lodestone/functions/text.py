@@ -108,7 +108,7 @@ def token_runs(tokens: Column) -> Column:
         first = F.filter(F.transform(t, lambda _, i: i), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
         return let(first, lambda at: F.transform(at, lambda p, j: F.struct(F.get(t, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(t)) - p).alias("f"))))
 
-    return let(F.array_sort(tokens), counted)
+    return let(F.sort_array(tokens), counted)
 
 
 def normalize_citation(text: Column) -> Column:
