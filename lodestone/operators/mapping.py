@@ -48,6 +48,7 @@ def child_candidates(qa: DataFrame, children: DataFrame, limit: int | None = 5)
     qa: qa_id, parent_id, question, answer, citation; children: child_id, parent_id, sequence, text, canonical_citation.
     """
     query = content_tokens(F.concat(F.coalesce("answer", F.lit("")), F.lit(" "), F.coalesce("question", F.lit(""))))
+    children = children.join(qa.select("parent_id").distinct(), "parent_id", "left_semi")  # no other parent's children are read
     pairs = qa.select("qa_id", "parent_id", F.coalesce("citation", F.lit("")).alias("gold"), query.alias("q")).join(
         children.select("child_id", "parent_id", "sequence", F.coalesce("canonical_citation", F.lit("")).alias("own"), content_tokens(F.col("text")).alias("e")), "parent_id"
     )
@@ -85,14 +86,14 @@ def containment(chunks: DataFrame, parents: DataFrame, size: int = 5) -> DataFra
 
     def side(df, key):
         words = lexical_tokens(F.col("text"))
-        return df.select(F.col(key), words.alias("w")).where(F.size("w") > 0)
+        return df.select(F.col(key), words.alias("w"))  # a filter here would have Spark tokenise twice
 
     w = F.col("w")
     inner = F.least(F.lit(size), F.size(w) - 2)
 
     def shapes(df):
         """Lengths of heads, lengths of the words of short texts, and words in all: size + word lengths squared values at most."""
-        short_ = F.when(F.size(w) < 3, F.concat(F.array(F.length(w[0])), F.when(F.size(w) == 2, F.array(F.length(F.get(w, F.lit(1))))).otherwise(F.array().cast("array<int>"))))
+        short_ = F.when(F.size(w).between(1, 2), F.concat(F.array(F.length(w[0])), F.when(F.size(w) == 2, F.array(F.length(F.get(w, F.lit(1))))).otherwise(F.array().cast("array<int>"))))
         row = df.agg(F.collect_set(F.when(F.size(w) > 2, inner)), F.collect_set(short_), F.coalesce(F.sum(F.size(w)), F.lit(0))).first()
         return sorted(row[0]), sorted(tuple(x) for x in row[1]), row[2]
 
@@ -122,12 +123,13 @@ def containment(chunks: DataFrame, parents: DataFrame, size: int = 5) -> DataFra
 
     c, p = side(chunks, "chunk_id"), side(parents, "parent_id")
     (c_lengths, c_short, c_words), (p_lengths, p_short, _) = shapes(c), shapes(p)
-    ec = c.select("chunk_id", F.explode(F.array_distinct(F.concat(held("c"), *holder("p", p_lengths, p_short)))).alias("entry"))
-    ep = p.select("parent_id", F.explode(F.array_distinct(F.concat(held("p"), *holder("c", c_lengths, c_short)))).alias("entry"))
+    entries = lambda *lists: F.explode(F.when(F.size(w) > 0, F.array_distinct(F.concat(*lists)))).alias("entry")
+    ec = c.select("chunk_id", entries(held("c"), *holder("p", p_lengths, p_short)))
+    ep = p.select("parent_id", entries(held("p"), *holder("c", c_lengths, c_short)))
     if c_words * (1 + len(p_lengths) + 8 * len(p_short)) <= MAX_ENTRIES:
         ec = F.broadcast(ec)
-    likely = ep.join(ec, "entry").select("chunk_id", "parent_id").distinct()
-    text = lambda df, key, name: side(df, key).select(key, F.array_join("w", " ").alias(name))
+    likely = materialized(ep.join(ec, "entry").select("chunk_id", "parent_id").distinct(), "likely")
+    text = lambda df, key, name: side(df.join(likely.select(key).distinct(), key, "left_semi"), key).select(key, F.array_join("w", " ").alias(name))  # noqa: E731  (no other text is read)
     pairs = likely.join(text(chunks, "chunk_id", "c"), "chunk_id").join(text(parents, "parent_id", "p"), "parent_id")
     flags = pairs.select("chunk_id", "parent_id", (F.col("c") == F.col("p")).alias("equal"), F.contains("p", "c").alias("within"), F.contains("c", "p").alias("contains"))
     return flags.where("equal OR within OR contains")
@@ -208,7 +210,7 @@ def lineage(chunks: DataFrame, parents: DataFrame) -> DataFrame:
 
 def proposed_evidence(qa: DataFrame, children: DataFrame, least: float = 0.12, limit: int = 6) -> DataFrame:
     """(qa_id, child_ids): the best child for the whole answer, for each of its sentences (score at least least), and every child of the very citation; first mentions, limit at most."""
-    whole = child_candidates(qa, children, None)
+    whole = materialized(child_candidates(qa, children, None), "candidates")
     first = whole.where("rank = 1").select("qa_id", F.lit(0).alias("o"), F.lit(0).alias("i"), "child_id")
     parts = qa.select("qa_id", "parent_id", "citation", F.posexplode(sentences(F.col("answer"))).alias("i", "answer"))
     parts = parts.select(F.struct("qa_id", "i").alias("qa_id"), "parent_id", "citation", "answer", F.lit("").alias("question"))

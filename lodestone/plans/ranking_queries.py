@@ -116,15 +116,20 @@ def _qa(t):
     return materialized(items.join(first, "qa_id", "left"), "questions")
 
 
+def _parents(qa):
+    return qa.select(F.col("parent_id").alias("doc_id")).distinct()
+
+
 @query(f"{_candidate_sql()} SELECT qa_id, rank, child_id, score, citation_score, round(recall, 6) AS recall, round(f1, 6) AS f1, round(cosine, 6) AS cosine FROM rk WHERE rank <= 5")
 def r06_child_candidates(t):
-    return mapping.child_candidates(_qa(t), children(t)).withColumn("rank", F.col("rank").cast("long"))
+    qa = _qa(t)
+    return mapping.child_candidates(qa, children(t, _parents(qa))).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"{_candidate_sql()} SELECT qa.qa_id, margin, CASE WHEN rk.qa_id IS NULL THEN 'blocking' WHEN citation_score = 1 AND round(recall, 6) >= 0.45 THEN 'low' WHEN round(recall, 6) >= 0.55 AND margin >= 0.08 THEN 'medium' ELSE 'high' END AS priority FROM qa LEFT JOIN (SELECT *, round(score - coalesce(lead(score) OVER (PARTITION BY qa_id ORDER BY rank), 0), 6) AS margin FROM rk) rk ON rk.qa_id = qa.qa_id AND rank = 1")
 def r07_priority(t):
     qa = _qa(t)
-    return mapping.review_priority(qa, mapping.child_candidates(qa, children(t)))
+    return mapping.review_priority(qa, mapping.child_candidates(qa, children(t, _parents(qa))))
 
 
 def _evidence_sql():
@@ -145,12 +150,14 @@ SELECT qa_id, string_agg(child_id, ';' ORDER BY n) AS child_ids FROM fm WHERE n
 
 @query(_evidence_sql())
 def r09_proposed_evidence(t):
-    return mapping.proposed_evidence(_qa(t).withColumn("answer", F.col("question")), children(t)).withColumn("child_ids", F.array_join("child_ids", ";"))
+    qa = _qa(t).withColumn("answer", F.col("question"))
+    return mapping.proposed_evidence(qa, children(t, _parents(qa))).withColumn("child_ids", F.array_join("child_ids", ";"))
 
 
 def _contexts(t, **config):
-    ranked = materialized(mapping.child_candidates(_qa(t), children(t), 12), "ranked")
-    kids = lines(t).select(F.concat(F.col("doc_id").cast("string"), F.lit("__C"), F.lpad(F.col("sequence").cast("string"), 4, "0")).alias("child_id"), F.col("doc_id").alias("parent_id"), "sequence", F.size(F.split(F.trim("line"), r"\s+")).alias("word_count"))
+    qa = _qa(t)
+    ranked = materialized(mapping.child_candidates(qa, children(t, _parents(qa)), 12), "ranked")
+    kids = lines(t, _parents(qa)).select(F.concat(F.col("doc_id").cast("string"), F.lit("__C"), F.lpad(F.col("sequence").cast("string"), 4, "0")).alias("child_id"), F.col("doc_id").alias("parent_id"), "sequence", F.size(F.split(F.trim("line"), r"\s+")).alias("word_count"))
     out = context.context_bundles(ranked, kids, **config)
     return out.withColumns({c: F.array_join(c, ";") for c in ("source_ids", "skipped")})
 

@@ -23,14 +23,15 @@ LINES_CTE = """lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id O
 TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
 
-def lines(t: Tables) -> DataFrame:
-    """(doc_id, sequence, line): the non-blank lines of documents."""
+def lines(t: Tables, of: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sequence, line): the non-blank lines of documents, or only of those named by of (doc_id)."""
+    documents = t.documents if of is None else t.documents.join(of, "doc_id", "left_semi")
     kept = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
-    return t.documents.select("doc_id", F.posexplode(kept).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("sequence"), "line")
+    return documents.select("doc_id", F.posexplode(kept).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("sequence"), "line")
 
 
-def children(t: Tables) -> DataFrame:
-    own = lines(t)
+def children(t: Tables, of: DataFrame | None = None) -> DataFrame:
+    own = lines(t, of)
     return own.select(child_id(F.col("doc_id"), F.col("sequence")).alias("child_id"), F.col("doc_id").alias("parent_id"), "sequence", F.col("line").alias("text"), F.concat(F.lit("Article "), (F.col("sequence") % 7).cast("string")).alias("canonical_citation"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone import plans
 from lodestone.llm import quality
-from lodestone.operators import providers
+from lodestone.operators import mapping, providers
+from lodestone.plans.registry import Tables
+from lodestone.plans.views import children
 
 
 def written(spark, folder, **tables):
@@ -60,3 +62,19 @@ def test_quality_thresholds_are_exact(spark):
         own = sorted(own)
         assert got.pop(key) == (own[math.ceil(len(own) * 0.999) - 1], len(own))
     assert not got
+
+
+def test_only_the_parents_asked_are_tokenised(spark):
+    """Children whose parent no record names are left out before they are tokenised, and their documents before they are cut into lines."""
+    qa = spark.createDataFrame([(1, 3, "a b", "", "Article 3"), (2, None, "a", "", "")], "qa_id long, parent_id long, question string, answer string, citation string")
+    got = mapping.child_candidates(qa, children(Tables(spark, "/root/testdata/sf0.001")))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and {r.qa_id for r in got.collect()} == {1}
+    plan = plans.QUERIES["r06_child_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Join LeftSemi")
+
+
+def test_containment_of_empty_and_wordless_texts(spark):
+    side = lambda key, *texts: spark.createDataFrame(list(enumerate(texts)), f"{key} long, text string")
+    got = mapping.containment(side("chunk_id", None, "", "!", "A b", "x"), side("parent_id", "", "a, b", None, "§", "xylo"))
+    assert {tuple(r) for r in got.collect()} == {(3, 1, True, True, True), (4, 4, False, True, False)}
