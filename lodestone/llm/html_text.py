@@ -1,12 +1,16 @@
-"""Main text of HTML pages: structure where the page states it, a host suffix array where it does not.
+"""Main text of HTML pages: a host suffix array finds what pages share, and what a page states itself corrects it.
 
-An article (or else main) element holds the main text; elements for navigation, adverts, forms and the like never do,
-by tag, role or class. What is neither is undecided. For it, the token streams of a host's pages are concatenated and
+Every page goes through the suffix array of its host. The token streams of a host's pages are concatenated and
 their suffixes ranked by prefix doubling to the depth of a long substring; equal ranks are the intervals of the suffix
 array that share that many tokens. Tasks send each interval once, with its number of pages, and the intervals of all
 tasks meet by a hash of their tokens, so that a host with a third of all pages is no larger than its distinct substrings.
-Undecided runs covered by substrings of enough distinct pages go; unique runs stay. Pages alike in all that is undecided
-are one page, so that copies of an article do not make it boilerplate.
+Runs covered by substrings of enough distinct pages are boilerplate; unique runs stay. Pages alike in all text that may
+be the main text are one page, so that copies of an article do not make it boilerplate.
+
+The check that follows is structural. An article (or else main) element holds the main text; elements for navigation,
+adverts, forms and the like never do, by tag, role or class, however rare they are. What an article says in paragraphs,
+headings and the like is its own, however often it is repeated, and therefore not asked of the array; what it holds in
+elements that say nothing (div, section) goes if whole blocks of it are boilerplate. What is neither is for the array alone.
 """
 
 from __future__ import annotations
@@ -48,6 +52,10 @@ BLOCKS = set(
 )
 SPACES = {"br", "td", "th", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements that say nothing of what they hold.
+PLAIN = {"div", "section", "center"}
+#: Kinds of blocks: what an article states, what it holds in elements of PLAIN, what only the suffix array decides, and noise by structure.
+STATED, HELD, OPEN, NAMED = range(4)
 #: Elements that a new block of their own kind ends.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 
@@ -67,18 +75,19 @@ def _noisy(tag: str, attributes: str, in_main: bool) -> bool:
     return any(noise.intersection(parts) and not parts - noise - PLACES for parts in ({x.lower() for x in NAME.findall(name)} for name in names))
 
 
-def blocks(page: str) -> list[tuple[int, str, int, int]]:
-    """(part, text, characters in links, links) of the visible blocks of a page in order: part is -1 for noise, 0 for undecided text, n for the n-th article, and minus 2 for text of main outside articles."""
-    out: list[tuple[int, str, int, int]] = []
+def blocks(page: str) -> list[tuple[int, str, int, int, str]]:
+    """(part, text, characters in links, links, element) of the visible blocks of a page in order: part is -1 for noise, 0 for undecided text, n for the n-th article, and minus 2 for text of main outside articles."""
+    out: list[tuple[int, str, int, int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements that matter, with the part of what they hold
     part, articles, run, at = 0, 0, [], 0
     links, linked, begun = 0, 0, 0  # whether a link is open, characters of the run inside links, and its links
+    holder = ""  # the block element that text now stands in
 
     def end():
         nonlocal run, linked, begun
         if run:
             if text := " ".join("".join(run).split()):
-                out.append((part, text, linked, begun))
+                out.append((part, text, linked, begun, holder))
             run, linked, begun = [], 0, links
 
     def leave(depth: int):
@@ -110,6 +119,8 @@ def blocks(page: str) -> list[tuple[int, str, int, int]]:
                 if stack[depth][0] == tag:
                     leave(depth)
                     break
+            if tag in BLOCKS:
+                holder = stack[-1][0] if stack else ""
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW:
@@ -141,6 +152,8 @@ def blocks(page: str) -> list[tuple[int, str, int, int]]:
                 end()
             stack.append((tag, inside))
             part = inside
+        if tag in BLOCKS:
+            holder = tag
     if at < size:
         run.append(html.unescape(page[at:]))
     end()
@@ -161,20 +174,30 @@ def without_menus(found: list[tuple[str, int, int]]) -> list[bool]:
     return kept[:-1]
 
 
-def split_page(page: str | None) -> tuple[list[str], list[bool]]:
-    """(blocks of the main text in order, whether each is undecided). Articles are decided, and main if it has none; else main outside articles, or with neither the whole page, is undecided."""
+def page_blocks(page: str | None) -> tuple[list[str], list[int]]:
+    """(visible blocks in order, the kind of each). Articles are decided, and main if it has none; else main outside articles, or with neither the whole page, is open."""
     found = blocks(page or "")
     sizes: dict[int, list[int]] = {}
-    for part, text, linked, _ in found:
+    for part, text, linked, *_ in found:
         size = sizes.setdefault(part, [0, 0])
         size[0], size[1] = size[0] + len(text), size[1] + linked
     own = {part for part, (n, linked) in sizes.items() if part > 0 and linked < TEASER * n} or {part for part in sizes if part > 0}
     if not own and -2 in sizes:
         own = {-2}
     outside = -2 if own else 0
-    open_ = [x for x in found if x[0] == outside and x[0] not in own]
-    stays = iter(without_menus([x[1:] for x in open_]))
-    kept = [(text, part not in own) for part, text, _, _ in found if part in own or part == outside and next(stays)]
+    stays = iter(without_menus([x[1:4] for x in found if x[0] == outside and x[0] not in own]))
+    kinds = []
+    for part, *_, holder in found:
+        if part in own:
+            kinds.append(HELD if holder in PLAIN else STATED)
+        else:
+            kinds.append(OPEN if part == outside and next(stays) else NAMED)
+    return [x[1] for x in found], kinds
+
+
+def split_page(page: str | None) -> tuple[list[str], list[bool]]:
+    """(blocks of a page without the noise by structure, whether only the suffix array decides each)."""
+    kept = [(t, k == OPEN) for t, k in zip(*page_blocks(page)) if k != NAMED]
     return [t for t, _ in kept], [u for _, u in kept]
 
 
@@ -231,8 +254,14 @@ def intervals(streams: list[np.ndarray], depth: int = DEPTH) -> tuple[np.ndarray
     return keys[once][first], counts
 
 
+def page_stream(texts: list[str], kinds: list[int], host: str, page: int) -> np.ndarray:
+    """The tokens that are asked of the suffix array: those of held and open blocks, a token of the page's own, those of noise."""
+    asked, noise = ([t for t, k in zip(texts, kinds) if k in own] for own in ((HELD, OPEN), (NAMED,)))
+    return np.concatenate([token_hashes(asked, host), np.array([page], np.uint64), token_hashes(noise, host)])
+
+
 def repeated_substrings(streams: DataFrame, pages_least: int = PAGES, depth: int = DEPTH) -> DataFrame:
-    """(key): substrings of depth tokens that occur in pages_least of the streams (host, blocks) of one host at least."""
+    """(key): substrings of depth tokens that occur in pages_least of the streams (tokens), one for each page, at least. Hosts differ in all tokens."""
 
     def run(batches):
         import pyarrow as pa
@@ -246,8 +275,8 @@ def repeated_substrings(streams: DataFrame, pages_least: int = PAGES, depth: int
 
         total = 0
         for batch in batches:
-            for host, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append(token_hashes(texts, host))
+            for tokens in batch.column(0):
+                held.append(tokens.values.to_numpy().view(np.uint64))
                 total += len(held[-1])
                 if total > STREAM:
                     yield flush()
@@ -259,19 +288,48 @@ def repeated_substrings(streams: DataFrame, pages_least: int = PAGES, depth: int
     return found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= pages_least).select("key")
 
 
-def _uncovered(texts: list[str], undecided: list[bool], covered: list[int], depth: int = DEPTH) -> str:
-    """The blocks joined, the undecided ones less the tokens that the windows starting at covered cover."""
-    tokens = [t.split() if u else [] for t, u in zip(texts, undecided)]
-    gone = np.zeros(sum(map(len, tokens)) + depth + 1, np.int64)
+def windows(streams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(row, at, key): the substrings of depth tokens of streams (row, tokens), and where each starts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = [window_keys(t.values.to_numpy().view(np.uint64), depth).view(np.int64) for t in batch.column(1)]
+            sizes = [len(k) for k in keys]
+            rows = np.repeat(batch.column(0).to_numpy(), sizes)
+            at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(at), pa.array(np.concatenate(keys))], ["row", "at", "key"])
+
+    return streams.select("row", "tokens").mapInArrow(run, "row long, at int, key long")
+
+
+def main_text(texts: list[str], kinds: list[int], covered: list[int], depth: int = DEPTH) -> str:
+    """The blocks of a page (noise by structure left out) joined, less what the suffix array found in them: covered are the starts of repeated windows in the page's stream.
+
+    Open blocks lose the tokens that are covered. Held ones go if all of theirs are, unless those are half of the page's text or more: then the pages are copies of one article.
+    """
+    if not covered or not (OPEN in kinds or HELD in kinds):
+        return "\n".join(texts)
+    words = [t.split() if k in (OPEN, HELD) else [] for t, k in zip(texts, kinds)]
+    size = sum(map(len, words))
+    gone = np.zeros(max(size, max(covered)) + depth + 1, np.int64)
     at = np.array(covered, np.int64)
     np.add.at(gone, at, 1)
     np.add.at(gone, at + depth, -1)
-    gone, out, i = np.cumsum(gone) > 0, [], 0
-    for text, words in zip(texts, tokens):
-        left = [w for w, g in zip(words, gone[i : i + len(words)]) if not g] if words else [text]
-        i += len(words)
-        if left:
-            out.append(" ".join(left))
+    gone = np.cumsum(gone) > 0
+    ends = np.cumsum([len(w) for w in words])
+    repeated = [k == HELD and bool(gone[e - len(w) : e].all()) for w, e, k in zip(words, ends, kinds)]
+    if 2 * sum(len(t) for t, r in zip(texts, repeated) if r) >= sum(len(t) for t, k in zip(texts, kinds) if k in (STATED, HELD)):
+        repeated = [False] * len(texts)
+    out = []
+    for text, own, end, kind, r in zip(texts, words, ends, kinds, repeated):
+        if kind == OPEN:
+            text = " ".join(w for w, g in zip(own, gone[end - len(own) : end]) if not g)
+        if text and not r:
+            out.append(text)
     return "\n".join(out)
 
 
@@ -292,37 +350,32 @@ def extract(pages: DataFrame, pages_least: int = PAGES) -> DataFrame:
         for batch in batches:
             rows = []
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                texts, undecided = split_page(page)
-                if not any(undecided):
-                    rows.append(("\n".join(texts), None, None, None, None, None))
-                    continue
-                own, host = [t for t, u in zip(texts, undecided) if u], host_of(url)
-                keys = window_keys(token_hashes(own, host)).view(np.int64)
-                rows.append((None, host, xxh64_intdigest("\n".join(own).encode("utf-8", "replace")) - (1 << 63), texts, undecided, keys))
-            columns = zip(*rows) if rows else [[]] * 6
-            kinds = pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["page_id", "url", "text", "host", "digest", "blocks", "undecided", "keys"])
-
-    parsed = pages.mapInArrow(parse, f"page_id {ids}, url string, text string, host string, digest long, blocks array<string>, undecided array<boolean>, keys array<long>")
-    parsed = cut(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
-    stated = parsed.where("text IS NOT NULL").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    open_ = parsed.where("text IS NULL")
-    if open_.isEmpty():
-        return stated
-    distinct = open_.groupBy("host", "digest").agg(F.min("row").alias("row")).select("row")
-    streams = open_.join(distinct, "row", "left_semi").select("host", F.expr("transform(filter(arrays_zip(blocks, undecided), x -> x.undecided), x -> x.blocks)").alias("blocks"))
-    known = cut(repeated_substrings(streams, pages_least), "repeated")
-    hits = open_.select("row", F.posexplode("keys").alias("at", "key")).join(known, "key").groupBy("row").agg(F.collect_list("at").alias("covered"))
+                texts, kinds = page_blocks(page)
+                host = host_of(url)
+                kept = [(t, k) for t, k in zip(texts, kinds) if k != NAMED]
+                digest = xxh64_intdigest("\n".join([host, *(t for t, _ in kept)]).encode("utf-8", "replace"))
+                rows.append((digest - (1 << 63), [t for t, _ in kept], [k for _, k in kept], page_stream(texts, kinds, host, digest).view(np.int64)))
+            columns = zip(*rows) if rows else [[]] * 4
+            kinds_of = pa.int64(), pa.list_(pa.string()), pa.list_(pa.int8()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(list(c), k) for c, k in zip(columns, kinds_of))], ["page_id", "url", "digest", "blocks", "kinds", "tokens"])
+
+    parsed = pages.mapInArrow(parse, f"page_id {ids}, url string, digest long, blocks array<string>, kinds array<tinyint>, tokens array<long>")
+    parsed = cut(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed", "zstd")
+    distinct = parsed.groupBy("digest").agg(F.min("row").alias("row")).select("row")
+    known = cut(repeated_substrings(parsed.select("row", "tokens").join(distinct, "row", "left_semi").select("tokens"), pages_least), "repeated")
+    asking = F.exists("kinds", lambda k: k.isin(HELD, OPEN))  # the others are evidence only: nothing that is found changes their text
+    hits = windows(parsed.where(asking)).join(known, "key").groupBy("row").agg(F.collect_list("at").alias("covered"))
 
     def rest(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = [_uncovered(b, u, c or []) for b, u, c in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            texts = [main_text(b, k, c or []) for b, k, c in zip(*(batch.column(x).to_pylist() for x in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    left = open_.join(hits, "row", "left").select("page_id", "url", "blocks", "undecided", "covered").mapInArrow(rest, f"page_id {ids}, url string, text string, n_chars long")
-    return stated.union(left)
+    stated = parsed.where(~asking).withColumn("covered", F.lit(None).cast("array<int>"))
+    left = parsed.where(asking).join(hits, "row", "left").unionByName(stated)
+    return left.select("page_id", "url", "blocks", "kinds", "covered").mapInArrow(rest, f"page_id {ids}, url string, text string, n_chars long")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
+def materialized(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a written table: what is read several times is computed once, plans stay small, and no lost executor costs a rerun of all.
 
     The shuffle files of its plan go once the table is written; else they would stay until the driver collects garbage.
@@ -58,7 +58,7 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(at)
+        df.write.option("compression", codec).parquet(at)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(at)

@@ -178,3 +178,20 @@ def test_conversations_as_examples(spark):
     got = packing.pack_conversations(spark, "/root/testdata/sf0.001")
     want = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id").distinct().count()
     assert got.select("example_id").distinct().count() == got.count() == want
+
+
+def test_op1_every_page_goes_through_the_suffix_array(spark):
+    """Articles that differ hold the same notice: in elements that say nothing it goes, as does one outside that is all the undecided text; paragraphs and copies of one article stay."""
+    notice, said = " ".join(f"n{i}" for i in range(20)), " ".join(f"s{i}" for i in range(20))
+    own = [" ".join(f"p{k}w{i}" for i in range(60)) for k in range(3)]
+    pages = [(k, "http://a.example/", f"<article><p>{own[k]}</p><div>{notice}</div><p>{said}</p></article>") for k in range(3)]
+    pages += [(10 + k, "http://b.example/", f"<main><article><p>{own[k]}</p></article><div>{notice}</div></main>") for k in range(3)]
+    pages += [(20 + k, "http://c.example/", f"<article><div>{own[0]}</div><p>version {k}</p></article>") for k in range(3)]
+    pages += [(30, "http://d.example/", f"<article><p>{own[0]}</p><div>{notice}</div></article>")]
+    pages += [(31 + k, "http://d.example/", f"<nav>{notice}</nav><article><p>{own[k]}</p></article>") for k in (1, 2)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(3):
+        assert got[k] == f"{own[k]}\n{said}"
+        assert got[10 + k] == own[k]
+        assert got[20 + k] == f"{own[0]}\nversion {k}"
+    assert got[30] == own[0]  # other pages of the host name the same words as noise
