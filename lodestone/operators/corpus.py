@@ -46,11 +46,8 @@ def path_after(path: list[str], value: str | None, kind: str | None, style: str
     return dotted if kind == "decimal" else [*path, value]
 
 
-def marker_paths(rows: DataFrame, parent: str, order: str) -> DataFrame:
-    """rows (value, kind, style, document_type of each item, and any others) with marker_path, folded over the items of each parent.
-
-    Partitions are sorted by parent and order and read once; a task holds one path, however many items a parent has.
-    """
+def folded(ordered: DataFrame, *parent: str) -> DataFrame:
+    """ordered (value, kind, style, document_type of each item, its sequence, and any others) with marker_path, null without a sequence. The items of a parent follow each other in order in one partition."""
 
     def fold(batches):
         import pyarrow as pa
@@ -58,15 +55,27 @@ def marker_paths(rows: DataFrame, parent: str, order: str) -> DataFrame:
         last, path = object(), []
         for batch in batches:
             out = []
-            for own, *item in zip(*(batch.column(c).to_pylist() for c in (parent, "value", "kind", "style", "document_type"))):
-                if own != last:
-                    last, path = own, []
-                path = path_after(path, *item)
+            for sequence, *item in zip(*(batch.column(c).to_pylist() for c in ("sequence", "value", "kind", "style", "document_type", *parent))):
+                if sequence is None:
+                    out.append(None)
+                    continue
+                if item[4:] != last:
+                    last, path = item[4:], []
+                path = path_after(path, *item[:4])
                 out.append(path)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], [*batch.schema.names, "marker_path"])
 
-    ordered = rows.repartition(parent).sortWithinPartitions(parent, order)
-    return ordered.mapInArrow(fold, StructType([*rows.schema.fields, StructField("marker_path", ArrayType(StringType()))]))
+    return ordered.mapInArrow(fold, StructType([*ordered.schema.fields, StructField("marker_path", ArrayType(StringType()))]))
+
+
+def marker_paths(rows: DataFrame, parent: str, order: str) -> DataFrame:
+    """rows (value, kind, style, document_type of each item, and any others) with marker_path, folded over the items of each parent.
+
+    Partitions are sorted by parent and order and read once; a task holds one path, however many items a parent has.
+    """
+    ordered = rows if "sequence" in rows.columns else rows.withColumn("sequence", F.lit(0))
+    found = folded(ordered.repartition(parent).sortWithinPartitions(parent, order), parent)
+    return found.select(*rows.columns, "marker_path")
 
 
 def headed(blocks: DataFrame, version: str = "2022-12") -> DataFrame:
@@ -106,26 +115,53 @@ def headed(blocks: DataFrame, version: str = "2022-12") -> DataFrame:
     return own.where(is_content).withColumn("parent", made).withColumn("document_version", F.lit(version)).select("doc_path", "block_index", "kind", "text", style.alias("style"), "paragraph_index", "cells", "headers", "is_header", "table_index", "row_index", "paragraph_start", "paragraph_end", "doc", "section_title", "parent", "document_version")
 
 
+def marked(own: DataFrame) -> DataFrame:
+    """headed blocks with body, unit_type, source_location and, for those that are content of a parent, their sequence and marker_path.
+
+    A parent lies in one document, so where the blocks are partitioned by document nothing is shuffled.
+    """
+    is_p = F.col("kind") == "p"
+    text = F.when(is_p, F.col("text")).otherwise(table_text(F.col("cells"), F.col("headers")))
+    own = own.withColumn("body", text)
+    content = F.col("parent").isNotNull() & ((F.col("kind") == "tr") & (F.col("body") != "") | is_p & ~F.col("style").isin(*SKIPPED_STYLES))
+    before = Window.partitionBy("doc_path", "parent.start").orderBy("block_index").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("content", F.coalesce(content, F.lit(False))).withColumn("sequence", F.when(F.col("content"), F.sum(F.col("content").cast("int")).over(before).cast("int")))
+    place = F.struct(F.coalesce("paragraph_index", "paragraph_start").alias("xml_paragraph_start"), F.coalesce("paragraph_index", "paragraph_end").alias("xml_paragraph_end"), "table_index", F.col("row_index").alias("table_row_index"))
+    rows = own.select(
+        "doc_path",
+        "block_index",
+        "doc",
+        "section_title",
+        "parent",
+        "document_version",
+        "sequence",
+        F.when(F.col("content"), F.col("body")).alias("body"),
+        unit_type(F.col("kind"), F.col("style"), F.col("is_header"), F.col("cells")).alias("unit_type"),
+        place.alias("source_location"),
+        F.col("parent.start").alias("start"),
+        F.when(is_p, marker_value(F.col("body"))).alias("value"),
+        marker_kind(F.col("body")).alias("kind"),
+        "style",
+        F.col("parent.document_type").alias("document_type"),
+    )
+    found = folded(rows.sortWithinPartitions("doc_path", "start", "block_index"), "doc_path", "start")
+    return found.drop("start", "value", "kind", "style", "document_type")
+
+
 def build(blocks: DataFrame, version: str = "2022-12") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(parents, children, ignored): ignored is one row with the number of content blocks outside any parent."""
-    own = materialized(headed(blocks, version), "headed")
+    """(parents, children, ignored): ignored is one row with the number of content blocks outside any parent. children are made anew from written tables whenever they are read."""
+    own = materialized(marked(headed(blocks.repartition("doc_path"), version)), "marked", "zstd")
     ignored = own.agg(F.count_if(F.col("parent").isNull()).alias("ignored_blocks"))
-    held = own.where("parent IS NOT NULL")
     named = parent_identity(F.col("doc.document_id"), F.col("parent.document_type"), F.col("parent.title"), F.col("section_title"))
-    heads = held.select("doc_path", "doc", "section_title", "parent", "document_version").distinct().withColumn("name", named)
+    heads = own.where("parent IS NOT NULL").select("doc_path", "doc", "section_title", "parent", "document_version").distinct().withColumn("name", named)
     again = F.row_number().over(Window.partitionBy("name.parent_id").orderBy("doc_path", "parent.start")) > 1
     heads = heads.withColumn("parent_id", F.when(again, F.concat("name.parent_id", F.lit("_"), short_digest(F.concat("parent.named", F.col("parent.at").cast("string"))))).otherwise(F.col("name.parent_id")))
-    heads = materialized(heads, "heads")
-    text = F.when(F.col("kind") == "p", F.col("text")).otherwise(table_text(F.col("cells"), F.col("headers")))
-    content = held.withColumn("body", text).where((F.col("kind") == "tr") & (F.col("body") != "") | (F.col("kind") == "p") & ~F.col("style").isin(*SKIPPED_STYLES))
-    content = content.join(heads.select("doc_path", F.col("parent.start").alias("start"), "parent_id", F.col("name.citation").alias("parent_citation")), (content.doc_path == heads.doc_path) & (content["parent.start"] == F.col("start"))).drop(heads.doc_path)
-    content = materialized(sequence(content, "parent_id", "block_index"), "content")
-    is_p = F.col("kind") == "p"
-    items = content.select("parent_id", "sequence", F.when(is_p, marker_value(F.col("body"))).alias("value"), marker_kind(F.col("body")).alias("kind"), F.coalesce("style", F.lit("")).alias("style"), F.col("parent.document_type").alias("document_type"))
-    children = content.join(marker_paths(items, "parent_id", "sequence").select("parent_id", "sequence", "marker_path"), ["parent_id", "sequence"])
-    children = materialized(children, "marked")
-    governing = ancestors(children.select("parent_id", "sequence", "marker_path", F.col("body").alias("text")))
-    children = children.join(governing, ["parent_id", "sequence"], "left")
+    heads = materialized(heads.withColumn("start", F.col("parent.start")), "heads", "zstd")
+    items = own.where("sequence IS NOT NULL").withColumn("start", F.col("parent.start"))
+    content = items.join(heads.select("doc_path", "start", "parent_id", F.col("name.citation").alias("parent_citation")), ["doc_path", "start"])
+    governing = ancestors(content.select("parent_id", "sequence", "marker_path", F.col("body").alias("text")))
+    deep = content.where("size(marker_path) > 1").join(governing, ["parent_id", "sequence"], "left")  # nothing stands above the others
+    children = deep.unionByName(content.where("size(marker_path) <= 1").withColumn("governing", F.lit(None).cast("string")))
     citation = child_citation(F.col("parent.document_type"), F.col("parent_citation"), F.col("marker_path"))
     path = F.array("parent.formal_title", "section_title", "parent.title")
     listed = children.select(
@@ -133,19 +169,18 @@ def build(blocks: DataFrame, version: str = "2022-12") -> tuple[DataFrame, DataF
         "parent_id",
         "sequence",
         citation.alias("canonical_citation"),
-        unit_type(F.col("kind"), F.col("style"), F.col("is_header"), F.col("cells")).alias("unit_type"),
+        "unit_type",
         F.col("body").alias("text"),
         retrieval_text(F.col("doc.regulation_id"), F.col("parent.document_type"), path, citation, F.col("body"), F.col("governing")).alias("retrieval_text"),
         F.length("body").alias("char_count"),
         word_count(F.col("body")).alias("word_count"),
-        F.struct(F.coalesce("paragraph_index", "paragraph_start").alias("xml_paragraph_start"), F.coalesce("paragraph_index", "paragraph_end").alias("xml_paragraph_end"), "table_index", F.col("row_index").alias("table_row_index")).alias("source_location"),
+        "source_location",
         "marker_path",
     )
-    listed = materialized(listed, "children")
-    gathered = listed.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "child_id", "text", F.col("source_location.xml_paragraph_end").alias("end")))).alias("l"))
+    gathered = items.groupBy("doc_path", "start").agg(F.array_sort(F.collect_list(F.struct("sequence", F.col("body").alias("text"), F.col("source_location.xml_paragraph_end").alias("end")))).alias("l"))
     full = F.array_join(F.transform("l", lambda x: x["text"]), "\n")
     last = F.get(F.filter(F.reverse("l"), lambda x: x["end"].isNotNull()), F.lit(0))["end"]
-    parents = heads.join(gathered, "parent_id").withColumn("text", full).select(
+    parents = heads.join(gathered, ["doc_path", "start"]).withColumn("text", full).select(
         "parent_id",
         "doc.document_id",
         "document_version",
@@ -159,11 +194,11 @@ def build(blocks: DataFrame, version: str = "2022-12") -> tuple[DataFrame, DataF
         "text",
         F.length("text").alias("char_count"),
         word_count(F.col("text")).alias("word_count"),
-        F.transform("l", lambda x: x["child_id"]).alias("child_ids"),
+        F.transform("l", lambda x: child_id(F.col("parent_id"), x["sequence"])).alias("child_ids"),
         F.struct(F.col("parent.at").alias("xml_paragraph_start"), F.coalesce(last, F.col("parent.at")).alias("xml_paragraph_end")).alias("source_location"),
         cross_references(F.col("text"), F.col("name.citation")).alias("cross_references"),
     )
-    return materialized(parents, "parents"), listed, ignored
+    return materialized(parents, "parents", "zstd"), listed, ignored
 
 
 def ancestors(children: DataFrame) -> DataFrame:

@@ -360,9 +360,10 @@ def _word_document(t):
     article = F.concat(p(F.concat(F.lit("Article "), F.col("doc_id").cast("string"), F.lit(" Title")), "Heading3CR"), body, rows)
     start = F.concat(F.lit('<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'), p(F.lit("Regulation (EU) No 376/2014"), "Heading1"), p(F.lit("Terms"), "Heading2"))
     at = f"{shared_dir(t.spark)}/word-{uuid.uuid4().hex}"
-    listed = t.documents.groupBy(F.floor(F.col("doc_id") / 1000).alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", article.alias("a")))).alias("l"))
+    dealt = t.documents.select(F.floor(F.col("doc_id") / 1000).alias("block"), "doc_id", "text", "lang", "source").repartition("block")  # a file for each block; texts are shuffled without their markup
+    listed = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", article.alias("a")))).alias("l"))
     whole = listed.select("block", F.concat(start, F.array_join(F.transform("l", lambda x: x["a"]), ""), F.lit("</w:body></w:document>")).alias("value"))
-    whole.repartition("block").write.partitionBy("block").text(at)  # a file for each block
+    whole.write.partitionBy("block").text(at)
     return f"{at}/*/*.txt"
 
 

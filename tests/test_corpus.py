@@ -105,3 +105,22 @@ def test_marker_paths_of_many_children(spark):
             path = corpus.path_after(path, "7" if i % 4 == 0 else None if i % 4 == 3 else "b", "decimal", f"ListLevel{min(i % 4, 2)}", "ARTICLE")
             want[tuple(path)] += 1
     assert found == want
+
+
+def test_build_writes_texts_twice_and_shuffles_them_by_document_only(spark, monkeypatch):
+    """Sequences and marker paths are made where the blocks of a document lie; only they, the heads and the parents are written."""
+    written, plans = [], []
+
+    def seen(df, name, *more):
+        written.append(name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(corpus, "materialized", seen)
+    columns = "doc_path string, block_index int, kind string, text string, style string, paragraph_index int, cells array<string>, headers array<string>, is_header boolean, table_index int, row_index int, paragraph_start int, paragraph_end int"
+    none = (None,) * 7
+    rows = [("a", i, "p", text, style, i, *none) for i, (text, style) in enumerate([("Regulation (EU) No 376/2014", "Heading1"), ("Article 1 One", "Heading3CR"), ("1. first", "ListLevel0"), ("skip", "AlignRight"), ("(a) second", "ListLevel1"), ("Article 2 Two", "Heading3CR"), ("only", "")])]
+    parents, children, _ = corpus.build(spark.createDataFrame(rows, columns))
+    assert written == ["marked", "heads", "parents"] and plans[0].count("Exchange hashpartitioning") == 1
+    assert {(r.parent_id, tuple(r.child_ids), r.text) for r in parents.collect()} == {("EU_376_2014_ART_1", ("EU_376_2014_ART_1__C0001", "EU_376_2014_ART_1__C0002"), "1. first\n(a) second"), ("EU_376_2014_ART_2", ("EU_376_2014_ART_2__C0001",), "only")}
+    assert sorted((r.child_id, tuple(r.marker_path), "first" in r.retrieval_text) for r in children.collect()) == [("EU_376_2014_ART_1__C0001", ("1",), True), ("EU_376_2014_ART_1__C0002", ("1", "a"), True), ("EU_376_2014_ART_2__C0001", (), False)]
