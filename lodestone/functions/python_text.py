@@ -26,7 +26,13 @@ def typographic_normal(text: Column) -> Column:
 
 
 def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, with one bit for each element of b (Hyyro, 2004)."""
+    """Length of the longest common subsequence, with one bit for each element of b (Hyyro, 2004). What both begin and end with is in it."""
+    least, first, last = min(len(a), len(b)), 0, 0
+    while first < least and a[first] == b[first]:
+        first += 1
+    while last < least - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
     where: dict[str, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
@@ -35,7 +41,7 @@ def _common(a: list[str], b: list[str]) -> int:
     for x in a:
         hit = row & where.get(x, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(b) - row.bit_count()
+    return first + last + len(b) - row.bit_count()
 
 
 def _f1(p: str | None, r: str | None) -> float:

@@ -18,15 +18,17 @@ DEFAULT = "376/2014"
 # Characters before and after a citation in which a regulation counts as named, and the bound of ranges that are expanded.
 REACH, RANGE = 140, 30
 
-#: What a text is made of, for this grammar: words, numbers and signs, each with the place where it stands.
-LEXEME = re.compile(r"(?P<word>[^\W\d_]+)|(?P<digits>\d+)|(?P<space>\s+)|(?P<sign>.)", re.S)
+#: What a text is made of, for this grammar: words, numbers and signs, each with the place where it stands. Other text is one lexeme: it
+#: begins with a word that goes on with no citation (too long for a label), and up to its end has no number, underscore or word that opens one.
+OPENERS = r"(?!(?:articles?|art|gm|recitals?|annex)(?![^\W\d_]))"
+LEXEME = re.compile(rf"(?P<other>(?<!\w)(?!(?:paragraphs?)(?![^\W\d_])){OPENERS}[^\W\d_]{{4,}}+\W++(?:{OPENERS}[^\W\d_]++\W++)*+)|" r"(?P<word>[^\W\d_]+)|(?P<digits>\d+)|(?P<space>\s+)|(?P<sign>.)", re.S)
 DASHES = "-–—"
 ROMAN = ("i", "ii", "iii", "iv", "v")
 
 
 @dataclass(frozen=True)
 class Lexeme:
-    """kind: word, digits, space or sign; start and stop in the text."""
+    """kind: word, digits, space, sign or other; start and stop in the text."""
 
     kind: str
     text: str
@@ -246,8 +248,8 @@ def candidates(cited: DataFrame, parents: DataFrame) -> DataFrame:
 
 def matches(pairs: DataFrame, parents: DataFrame) -> DataFrame:
     """(id, exact, parent) of pairs (id, prediction, gold): whether the prediction names every unit, and a candidate of every resolvable unit, of gold; null where gold has none."""
-    gold = candidates(citations(pairs.select("id", F.col("gold").alias("text"))), parents)
-    said = candidates(citations(pairs.select("id", F.col("prediction").alias("text"))), parents)
+    gold = candidates(citations(pairs.select("id", F.col("gold").alias("text"))).drop("text"), parents)
+    said = candidates(citations(pairs.select("id", F.col("prediction").alias("text"))).drop("text"), parents)
     unit = F.struct("kind", "number", "subs")
     wanted = gold.groupBy("id").agg(F.collect_set(unit).alias("units"), F.filter(F.collect_list("parent_ids"), lambda p: F.size(p) > 0).alias("sets"))
     given = said.groupBy("id").agg(F.collect_set(unit).alias("named"), F.flatten(F.collect_list("parent_ids")).alias("found"))

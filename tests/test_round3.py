@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import plans
 from lodestone.llm import quality
-from lodestone.operators import mapping, providers
+from lodestone.operators import citations, mapping, providers
 from lodestone.plans.registry import Tables
 from lodestone.plans.views import children
 
@@ -78,3 +78,20 @@ def test_containment_of_empty_and_wordless_texts(spark):
     side = lambda key, *texts: spark.createDataFrame(list(enumerate(texts)), f"{key} long, text string")
     got = mapping.containment(side("chunk_id", None, "", "!", "A b", "x"), side("parent_id", "", "a, b", None, "§", "xylo"))
     assert {tuple(r) for r in got.collect()} == {(3, 1, True, True, True), (4, 4, False, True, False)}
+
+
+def test_citations_read_other_text_as_one_lexeme():
+    """Text that no citation can be part of is not cut into words, and what stands beside numbers and labels still is."""
+    text = "see article 4(1)(a) and then, " + "some words of another text. " * 1000 + "abcd1 recital 3 (ab ) 376/2014"
+    assert len(citations.lexemes(text)) < 60
+    assert [x[:4] for x in citations.parse(text)] == [("376/2014", "ARTICLE", "4", ["1", "a"]), ("376/2014", "RECITALS", "3", [])]
+    assert [x.text for x in citations.lexemes("4abcd efgh ")][:2] == ["4", "abcd"]
+
+
+def test_citation_rows_carry_no_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(citations, "candidates", lambda cited, parents, own=citations.candidates: seen.append(cited.columns) or own(cited, parents))
+    pairs = spark.createDataFrame([(1, "Article 4(1) of Regulation 376/2014", "Article 4")], "id long, prediction string, gold string")
+    parents = spark.createDataFrame([("EU_376_2014_ART_4",)], "parent_id string")
+    assert [tuple(r) for r in citations.matches(pairs, parents).collect()] == [(1, False, True)]
+    assert len(seen) == 2 and not any("text" in c for c in seen)
