@@ -183,16 +183,23 @@ def gram_keys(texts: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndar
     sizes = np.array([len(t) + 3 for t in texts])
     number = np.repeat(np.arange(len(texts)), sizes)[2:]
     inside = number == np.repeat(np.arange(len(texts)), sizes)[:-2]
-    seldom, hashed = rare(line), mixed(line)
-    u, v, w = slice(0, -2), slice(1, -1), slice(2, None)
+    seldom = rare(line)
     plain = line.view(np.uint64)
-    before = np.where(seldom, np.uint64(1 << BEFORE_BITS - 1) | top(hashed, BEFORE_BITS - 1), plain)[u]
-    w_rare, v_rare = seldom[w], seldom[v]
-    pair = plain[v] << np.uint64(WORD_BITS) | plain[w]
-    pair = np.where(v_rare, np.uint64(1 << 40) | plain[w] << np.uint64(V_BITS) | top(hashed, V_BITS)[v], pair)
-    pair = np.where(w_rare, np.uint64(2 << 40) | top(hashed, 24)[w] << np.uint64(16) | top(hashed, 16)[v], pair)
-    shard = np.where(w_rare, line[w] % shards, (top(mixed(line[v], line[w]), 32) % np.uint64(shards)).astype(np.int64))
-    return (pair << np.uint64(BEFORE_BITS) | before)[inside], shard[inside], number[inside]
+    at = np.flatnonzero(seldom)
+    before = plain.copy()
+    before[at] = np.uint64(1 << BEFORE_BITS - 1) | top(mixed(line[at]), BEFORE_BITS - 1)
+    inside = np.flatnonzero(inside)
+    before, plain_v, plain_w = before[inside], plain[inside + 1], plain[inside + 2]
+    w_rare, v_rare = seldom[inside + 2], seldom[inside + 1]
+    v, w = plain_v.view(np.int64), plain_w.view(np.int64)
+    pair = plain_v << np.uint64(WORD_BITS) | plain_w
+    at = np.flatnonzero(v_rare & ~w_rare)
+    pair[at] = np.uint64(1 << 40) | plain_w[at] << np.uint64(V_BITS) | top(mixed(v[at]), V_BITS)
+    shard = (top(mixed(v, w), 32) % np.uint64(shards)).astype(np.int64)
+    at = np.flatnonzero(w_rare)
+    pair[at] = np.uint64(2 << 40) | top(mixed(w[at]), 24) << np.uint64(16) | top(mixed(v[at]), 16)
+    shard[at] = w[at] % shards
+    return pair << np.uint64(BEFORE_BITS) | before, shard, number[inside]
 
 
 def word_counts_of(pairs: np.ndarray, counts: np.ndarray, known: Words) -> np.ndarray:
@@ -202,7 +209,7 @@ def word_counts_of(pairs: np.ndarray, counts: np.ndarray, known: Words) -> np.nd
     out = known.counts[np.where(kind == 2, 0, ids)]
     first = int(np.searchsorted(kind, 2))
     if first < len(pairs):
-        _, which = np.unique(pairs[first:] >> np.uint64(16), return_inverse=True)
+        which = np.cumsum(np.diff(pairs[first:] >> np.uint64(16), prepend=pairs[first] >> np.uint64(16)) != 0)
         out[first:] = np.bincount(which, counts[first:])[which]
     return out
 
@@ -296,7 +303,9 @@ class Grams:
 
     def __init__(self, keys: bytes, counts: bytes, known: Words):
         self.keys, self.c3 = np.cumsum(unpacked(keys, np.uint64)), unpacked(counts, np.int64)
-        self.pairs, first = np.unique(self.keys >> np.uint64(BEFORE_BITS), return_index=True)
+        pairs = self.keys >> np.uint64(BEFORE_BITS)
+        first = np.flatnonzero(np.diff(pairs, prepend=pairs[0] ^ np.uint64(1)))  # keys rise
+        self.pairs = pairs[first]
         self.c2 = np.add.reduceat(self.c3, first)
         self.c1 = word_counts_of(self.pairs, self.c2, known)
         self.p1 = known.p(self.c1)
@@ -314,7 +323,9 @@ class Grams:
     def trust_terms(self, a: float) -> list[float]:
         """For each trust, the sum over trigram tokens, each left out, of the logarithm of its probability (less the texts' first tokens' common divisor)."""
         rest, c1, c2 = np.repeat(self.c2 - 1 + a * self.p1, self.sizes), self.c1[~ends(self.pairs)], self.c2[~ends(self.pairs)]
-        return [float((self.c3 * np.log(k * (self.c3 - 1) + rest)).sum() - (c2 * np.log(k * (c2 - 1) + c1 - 1 + a)).sum()) for k in TRUSTS]
+        once = self.c3 == 1  # most trigrams; what they give is the same for every trust
+        alike, c3, rest = np.log(rest[once]).sum(), self.c3[~once], rest[~once]
+        return [float(alike + (c3 * np.log(k * (c3 - 1) + rest)).sum() - (c2 * np.log(k * (c2 - 1) + c1 - 1 + a)).sum()) for k in TRUSTS]
 
 
 def fitted(grams: DataFrame, words: DataFrame, known, texts: int) -> tuple[float, float]:
