@@ -21,15 +21,15 @@ and their counts by joins. That is for speed alone: all words are in the model,
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import binary_list, crc_of_id, cut, shuffle_partitions, slices, table
+from lodestone.llm.common import binary_list, crc_of_id, cut, shuffle_partitions, table
 from lodestone.llm.elias_fano import BEFORE_BITS, Trie
 from lodestone.llm.packed import pa_bytes, pack_parts, packed, parts_of, unpacked
+from lodestone.llm.word_hashes import word_hashes
 
 #: Words with ids of their own, whose counts are broadcast; ids have WORD_BITS bits.
 COMMON, WORD_BITS = 130_000, 17
@@ -41,17 +41,13 @@ STRENGTHS, TRUSTS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0), (0.1, 0.4, 1.
 #: Training tokens of a shard: at most, and at least where shards are only as many as shuffle partitions.
 SHARD_TOKENS, LEAST_TOKENS = 4_000_000, 250_000
 BLOCK = 1 << 20
-MEMO = 500_000
-#: Bytes of the longest word that is kept in the memo.
-LONG_WORD = 64
+#: Tokens whose hashes are sorted together, and distinct words of a task that are held before they are passed on.
+SORTED, HELD = 1 << 20, 500_000
 
 
-def word_hash(word: bytes) -> int:
-    """A signed 64-bit hash that never is a number that word ids use."""
-    from xxhash import xxh64_intdigest
-
-    h = xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h if h >> WORD_BITS else h | 1 << 50
+def signed(hashes: np.ndarray) -> np.ndarray:
+    """Words' hashes as signed numbers that never are numbers that word ids use."""
+    return np.where(hashes >> np.uint64(WORD_BITS) == 0, hashes | np.uint64(1 << 50), hashes).view(np.int64)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -60,25 +56,43 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        total: Counter = Counter()
+        held, new, n = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
 
-        def flush():
-            rows = np.array(list(map(word_hash, total)), np.int64), np.array(list(total.values()), np.int64)
-            total.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["h", "c"])
+        def settled():
+            """held with the new tokens."""
+            fresh = np.sort(np.concatenate(new)) if new else np.zeros(0, np.uint64)
+            new.clear()
+            first = run_starts(fresh)
+            keys, counts = np.concatenate([held[0], fresh[first]]), np.concatenate([held[1], np.diff(np.append(first, len(fresh)))])
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            first = run_starts(keys)
+            return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(signed(held[0])), pa.array(held[1])], ["h", "c"])
 
         for batch in batches:
-            for text in binary_list(batch.column(0)):
-                for part in slices(text or b""):
-                    total.update(part.lower().split())
-                if len(total) > MEMO:
-                    yield flush()
-        if total:
-            yield flush()
+            for hashes, _ in word_hashes([t or b"" for t in binary_list(batch.column(0))]):
+                new.append(hashes)
+                n += len(hashes)
+                if n > SORTED:
+                    held, n = settled(), 0
+                    if len(held[0]) > HELD:
+                        yield rows()
+                        held = held[0][:0], held[1][:0]
+        held = settled()
+        if len(held[0]):
+            yield rows()
 
     return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def run_starts(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal ones of unsigned values begin."""
+    return np.flatnonzero(np.diff(values, prepend=values[0] ^ np.uint64(1))) if len(values) else np.zeros(0, np.int64)
+
+
 def by_shard(shards: np.ndarray, count: int):
     """(shard, slice) of runs, for rows ordered by shard."""
     edges = np.searchsorted(shards, np.arange(count + 1))
@@ -127,33 +141,31 @@ def common_words(words: DataFrame, texts: int, size: int = COMMON) -> tuple[Word
 class Reader:
     """Texts as codes of words: ids of the common ones, hashes of the others."""
 
+    #: Bits of a hash that say where among the common words' hashes, rising, to seek it.
+    BITS = 18
+
     def __init__(self, known: Words):
-        self.by_hash = {h: i for i, h in enumerate(known.hashes.tolist(), FIRST)}
-        self.memo: dict[bytes, int] = {}
-
-    def codes(self, text: bytes) -> np.ndarray:
-        found = []
-        for part in slices(text):
-            words = part.lower().split()
-            try:
-                found.append(np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)))
-            except KeyError:
-                found.append(self.learned(words))
-        return found[0] if len(found) == 1 else np.concatenate(found) if found else np.zeros(0, np.int64)
-
-    def learned(self, words: list[bytes]) -> np.ndarray:
-        """The codes of words of which some are not in the memo."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = set(words).difference(self.memo)
-        for w in new:
-            h = word_hash(w)
-            self.memo[w] = self.by_hash.get(h, h)
-        out = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.memo[w]
-        return out
+        hashes = known.hashes.view(np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = np.append(hashes[order], np.uint64(0)), np.append(order + FIRST, 0)
+        self.first = np.searchsorted(hashes[order], np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS))
+        self.first = np.append(self.first, len(hashes))
+
+    def codes(self, texts: list[bytes | None]):
+        """The codes of each text's words."""
+        for hashes, edges in word_hashes([t or b"" for t in texts]):
+            out = signed(hashes)
+            sought = out.view(np.uint64)
+            part = (sought >> np.uint64(64 - self.BITS)).astype(np.int64)
+            at, stop = self.first[part], self.first[part + 1]
+            ids = np.where(self.hashes[at] == sought, self.ids[at], 0)
+            rows = np.flatnonzero((ids == 0) & (at + 1 < stop))
+            while len(rows):
+                at[rows] += 1
+                ids[rows] = np.where(self.hashes[at[rows]] == sought[rows], self.ids[at[rows]], 0)
+                rows = rows[(ids[rows] == 0) & (at[rows] + 1 < stop[rows])]
+            codes = np.where(ids > 0, ids, out)
+            yield from (codes[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()))
 
 
 def rare(codes: np.ndarray) -> np.ndarray:
@@ -273,9 +285,9 @@ def gram_counts(texts: DataFrame, known, labels: list[int]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["s", "keys", "counts"])
 
         for batch in batches:
-            for text in binary_list(batch.column(0)):
-                held.append(reader.codes(text or b""))
-                n += len(held[-1]) + 1
+            for codes in reader.codes(binary_list(batch.column(0))):
+                held.append(codes)
+                n += len(codes) + 1
                 if n > 3 * BLOCK // 2:
                     yield flush()
                     held.clear()
@@ -411,9 +423,9 @@ def requests(docs: DataFrame, known, labels: list[int]) -> DataFrame:
         n = 0
         for batch in batches:
             kind_of_id = batch.column(0).type
-            for i, text in zip(batch.column(0).to_pylist(), binary_list(batch.column(1))):
-                held.append((i, reader.codes(text or b"")))
-                n += len(held[-1][1]) + 1
+            for i, codes in zip(batch.column(0).to_pylist(), reader.codes(binary_list(batch.column(1)))):
+                held.append((i, codes))
+                n += len(codes) + 1
                 if n > BLOCK or len(held) >= 60_000:
                     yield flush()
                     n = 0
