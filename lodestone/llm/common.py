@@ -48,6 +48,11 @@ def binary_list(column) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def binary_lists(column, size: int = 256):
+    """binary_list of a few values at a time, so that a batch of long texts is not held twice."""
+    return (binary_list(column.slice(at, size)) for at in range(0, len(column), size))
+
+
 def values(column, size: int = 256):
     """The Python values of an Arrow column, a few at a time, so that a batch of long texts is not held twice."""
     for at in range(0, len(column), size):

@@ -10,31 +10,39 @@ import numpy as np
 #: Bits of an n-gram key that stand for its last two words, and for the word before them.
 PAIR_BITS, BEFORE_BITS = 42, 22
 CODES = 65_535
+#: Values worked on at once: as many as stay in a processor's cache, whatever the length of a sequence. They fill whole bytes, whatever the bits.
+PIECE = 1 << 16
 #: The place of the r-th set bit of each byte.
 PLACE = np.array([[([k for k in range(8) if b >> k & 1] + [8] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
 
 
+def _pieces(n: int):
+    """Slices of PIECE of n values."""
+    return (slice(at, min(n, at + PIECE)) for at in range(0, n, PIECE))
+
+
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     """The low bits of the values, one after the other."""
     if not bits or not len(values):
         return np.zeros(8, np.uint8)
     parts, size = [], -(-bits // 8)
-    for at in range(0, len(values), 1 << 16):  # 64 Ki values fill whole bytes, whatever the bits
-        part = values[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
+    for x in _pieces(len(values)):
+        part = values[x].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
         parts.append(np.packbits(np.unpackbits(np.ascontiguousarray(part), axis=1, bitorder="little")[:, :bits], bitorder="little"))
     return np.concatenate([*parts, np.zeros(8, np.uint8)])  # so that 8 bytes can be read anywhere
 
 
 def encode(values: np.ndarray, universe: int) -> bytes:
     """The bytes of a sequence of values that never fall, all below universe: low bits packed, high parts in unary, and the ones before each 64-bit word of these."""
-    values = values.astype(np.uint64)
+    values = values.astype(np.uint64, copy=False)
     n = len(values)
     low = max(0, (universe // max(1, n)).bit_length() - 1)
-    lows = _pack(values & np.uint64((1 << low) - 1), low)
+    lows = _pack(values, low)
     lows = np.concatenate([lows, np.zeros(-len(lows) % 8, np.uint8)])
     size = n + (universe >> low) + 2
     high = np.zeros(-(-size // 64) * 64 + 64, np.uint8)
-    high[(values >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
+    for x in _pieces(n):
+        high[(values[x] >> np.uint64(low)).astype(np.int64) + np.arange(x.start, x.stop)] = 1
     highs = np.packbits(high, bitorder="little")
     directory = np.concatenate([[0], np.cumsum(np.bitwise_count(highs.view("<u8")), dtype=np.int64)]).astype("<i8")
     return struct.pack("<qqqqq", n, low, len(lows), len(highs), len(directory) * 8) + lows.tobytes() + highs.tobytes() + directory.tobytes()
@@ -116,14 +124,19 @@ def _codebook(weights: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Weights as 16-bit codes on an even scale between their least and greatest."""
     least, most = (float(weights.min()), float(weights.max())) if len(weights) else (0.0, 0.0)
     step = (most - least) / CODES or 1.0
-    return struct.pack("<dd", least, step), np.rint((weights - least) / step).astype("<u2")
+    codes = np.empty(len(weights), "<u2")
+    for x in _pieces(len(weights)):
+        codes[x] = np.rint((weights[x] - least) / step)
+    return struct.pack("<dd", least, step), codes
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ones of values that never fall, and the number of each one's."""
     new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    return values[new], np.cumsum(new) - 1
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    number = np.cumsum(new)
+    number -= 1
+    return values[new], number
 
 
 class Trie:
@@ -136,9 +149,12 @@ class Trie:
     @staticmethod
     def build(keys: np.ndarray, second: np.ndarray, third: np.ndarray) -> bytes:
         """keys: rising (pair << BEFORE_BITS | word before), unsigned; second: a weight for each distinct pair; third: one for each key."""
-        pair, start = np.unique(keys >> np.uint64(BEFORE_BITS), return_index=True)
-        parent = np.repeat(np.arange(len(pair), dtype=np.uint64), np.diff(np.append(start, len(keys))))
-        below = parent << np.uint64(BEFORE_BITS) | keys & np.uint64((1 << BEFORE_BITS) - 1)
+        pair, parent = _distinct(keys >> np.uint64(BEFORE_BITS))
+        start = np.searchsorted(parent, np.arange(len(pair)))
+        below = parent.view(np.uint64)
+        below <<= np.uint64(BEFORE_BITS)
+        for x in _pieces(len(keys)):
+            below[x] |= keys[x] & np.uint64((1 << BEFORE_BITS) - 1)
         parts = [encode(pair, 1 << PAIR_BITS), encode(np.append(start, len(keys)), len(keys) + 1), encode(below, max(1, len(pair)) << BEFORE_BITS)]
         for weights in (second, third):
             scale, codes = _codebook(weights)
@@ -162,8 +178,12 @@ class Trie:
     def weights(self, keys: np.ndarray) -> np.ndarray:
         """For each key (rising, unsigned) the weight of its pair plus its own, zero for what the trie lacks."""
         out = np.zeros(len(keys))
-        if not self.pairs.n or not len(keys):
-            return out
+        for x in _pieces(len(keys) if self.pairs.n else 0):
+            out[x] = self._weights(keys[x])
+        return out
+
+    def _weights(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys))
         pair, spread = _distinct(keys >> np.uint64(BEFORE_BITS))
         node, held = self.pairs.find(0, self.pairs.n, pair.astype(np.int64))
         out += np.where(held, self._weight(0, np.where(held, node, 0)), 0.0)[spread]

@@ -21,13 +21,14 @@ and their counts by joins. That is for speed alone: all words are in the model,
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import binary_list, crc_of_id, cut, shuffle_partitions, table
-from lodestone.llm.elias_fano import BEFORE_BITS, Trie
+from lodestone.llm.common import binary_lists, crc_of_id, cut, shuffle_partitions, table
+from lodestone.llm.elias_fano import BEFORE_BITS, PIECE, Trie
 from lodestone.llm.packed import pa_bytes, pack_parts, packed, parts_of, unpacked
 from lodestone.llm.word_hashes import word_hashes
 
@@ -73,7 +74,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(signed(held[0])), pa.array(held[1])], ["h", "c"])
 
         for batch in batches:
-            for hashes, _ in word_hashes([t or b"" for t in binary_list(batch.column(0))]):
+            for hashes, _ in chain.from_iterable(word_hashes([t or b"" for t in texts]) for texts in binary_lists(batch.column(0))):
                 new.append(hashes)
                 n += len(hashes)
                 if n > SORTED:
@@ -89,8 +90,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def run_starts(values: np.ndarray) -> np.ndarray:
-    """Where the runs of equal ones of unsigned values begin."""
-    return np.flatnonzero(np.diff(values, prepend=values[0] ^ np.uint64(1))) if len(values) else np.zeros(0, np.int64)
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(new_values(values))
+
+
+def new_values(values: np.ndarray) -> np.ndarray:
+    """Which values differ from the one before them."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new
 
 
 def by_shard(shards: np.ndarray, count: int):
@@ -214,6 +222,23 @@ def gram_keys(texts: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndar
     return pair << np.uint64(BEFORE_BITS) | before, shard, number[inside]
 
 
+def all_gram_keys(texts: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gram_keys of many texts, made of some at a time, so that of each token no more is held than the three; the last two as small numbers."""
+    n = sum(len(t) + 1 for t in texts)
+    keys, own, number = np.empty(n, np.uint64), np.empty(n, np.uint16 if shards < 1 << 16 else np.int64), np.empty(n, np.uint32)
+    at = first = 0
+    while first < len(texts):
+        stop, size = first + 1, len(texts[first]) + 1
+        while stop < len(texts) and size + len(texts[stop]) + 1 <= PIECE:
+            size += len(texts[stop]) + 1
+            stop += 1
+        x = slice(at, at + size)
+        keys[x], own[x], number[x] = gram_keys(texts[first:stop], shards)
+        number[x] += np.uint32(first)
+        at, first = at + size, stop
+    return keys, own, number
+
+
 def word_counts_of(pairs: np.ndarray, counts: np.ndarray, known: Words) -> np.ndarray:
     """The count of the last word of each pair (rising): a common word's is known, and all the trigrams of a rare one are in its shard."""
     kind = (pairs >> np.uint64(40)).astype(np.int64)
@@ -237,9 +262,26 @@ def order_of(keys: np.ndarray) -> np.ndarray:
     """A stable order of unsigned keys. Sorting numbers is far faster than sorting their places, so halves of the keys are sorted with the places below them."""
     if len(keys) >> 24:
         return np.argsort(keys, kind="stable")
-    place, low = np.arange(len(keys), dtype=np.uint64), np.uint64((1 << 24) - 1)
-    order = (np.sort((keys & np.uint64(0xFFFFFFFF)) << np.uint64(24) | place) & low).astype(np.int64)
-    return order[(np.sort((keys[order] >> np.uint64(32)) << np.uint64(24) | place) & low).astype(np.int64)]
+    place = np.arange(len(keys), dtype=np.uint64)
+
+    def placed(x):
+        """The order of 32-bit x, which is overwritten with it."""
+        x <<= np.uint64(24)
+        x |= place
+        x.sort()
+        x &= np.uint64((1 << 24) - 1)
+        return x.view(np.int64)
+
+    order = placed(keys & np.uint64(0xFFFFFFFF))
+    high = keys[order]
+    high >>= np.uint64(32)
+    return order[placed(high)]
+
+
+def risen(differences: bytes) -> np.ndarray:
+    """Rising keys of which the differences are packed."""
+    x = unpacked(differences, np.uint64)
+    return np.cumsum(x, out=x if x.flags.writeable else None)
 
 
 def shards_of(tokens: int, partitions: int) -> int:
@@ -273,24 +315,24 @@ def gram_counts(texts: DataFrame, known, labels: list[int]) -> DataFrame:
         reader, held, n = Reader(known.value), [], 0
 
         def flush():
-            keys, own, _ = gram_keys(held, shards)
+            keys, own, _ = all_gram_keys(held, shards)
+            held.clear()
             order = order_of(keys)
             keys, own = keys[order], own[order]
-            starts = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint64(1)))
-            counts = np.diff(np.append(starts, len(keys)))
-            keys, own = keys[starts], own[starts].astype(np.uint16 if shards < 1 << 16 else np.int64)
+            starts = run_starts(keys)
+            counts = np.diff(np.append(starts, len(keys))).astype(np.uint32)
+            keys, own = keys[starts], own[starts]
             order = np.argsort(own, kind="stable")
             keys, counts, own = keys[order], counts[order], own[order]
-            rows = [(labels[s], packed(np.diff(keys[x], prepend=np.uint64(0))), packed(counts[x].astype(np.uint32))) for s, x in by_shard(own, shards)]
+            rows = [(labels[s], packed(np.diff(keys[x], prepend=np.uint64(0))), packed(counts[x])) for s, x in by_shard(own, shards)]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["s", "keys", "counts"])
 
         for batch in batches:
-            for codes in reader.codes(binary_list(batch.column(0))):
+            for codes in chain.from_iterable(map(reader.codes, binary_lists(batch.column(0)))):
                 held.append(codes)
                 n += len(codes) + 1
                 if n > 3 * BLOCK // 2:
                     yield flush()
-                    held.clear()
                     n = 0
         if held:
             yield flush()
@@ -298,11 +340,11 @@ def gram_counts(texts: DataFrame, known, labels: list[int]) -> DataFrame:
     def merge(group):
         import pyarrow as pa
 
-        parts = [(np.cumsum(unpacked(k, np.uint64)), unpacked(c, np.uint32)) for k, c in zip(group.column(1).to_pylist(), group.column(2).to_pylist())]
-        keys, counts = (np.concatenate(x) for x in zip(*parts))
+        keys = np.concatenate([risen(k.as_py()) for k in group.column(1)])
         order = order_of(keys)
-        keys, counts = keys[order], counts[order].astype(np.int64)
-        starts = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint64(1)))
+        keys = keys[order]
+        counts = np.concatenate([unpacked(c.as_py(), np.uint32) for c in group.column(2)])[order].astype(np.int64)
+        starts = run_starts(keys)
         keys, counts = keys[starts], np.add.reduceat(counts, starts)
         row = [group.column(0)[0].as_py()], [packed(np.diff(keys, prepend=np.uint64(0)))], [packed(counts)]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("s", "keys", "counts"), row, (pa.int32(), pa.binary(), pa.binary()))})
@@ -314,18 +356,23 @@ class Grams:
     """The counts of a shard: trigram keys and their counts, pairs with theirs and those of their last words."""
 
     def __init__(self, keys: bytes, counts: bytes, known: Words):
-        self.keys, self.c3 = np.cumsum(unpacked(keys, np.uint64)), unpacked(counts, np.int64)
-        pairs = self.keys >> np.uint64(BEFORE_BITS)
-        first = np.flatnonzero(np.diff(pairs, prepend=pairs[0] ^ np.uint64(1)))  # keys rise
-        self.pairs = pairs[first]
+        self.keys, self.c3 = risen(keys), unpacked(counts, np.int64)
+        first = run_starts(self.keys >> np.uint64(BEFORE_BITS))
+        self.pairs = self.keys[first] >> np.uint64(BEFORE_BITS)
         self.c2 = np.add.reduceat(self.c3, first)
         self.c1 = word_counts_of(self.pairs, self.c2, known)
         self.p1 = known.p(self.c1)
         self.sizes = np.diff(np.append(first, len(self.keys)))
 
     def trie(self, known: Words) -> Trie:
+        """The trie of the shard; the counts go as they are used."""
+        third = known.trust * self.c3
+        third /= np.repeat(self.c2 + known.strength * self.p1, self.sizes)
+        del self.c3, self.sizes
+        third += 1
+        np.log10(third, out=third)
         second = np.log10(1 + self.c2 / (known.strength * self.p1)) + np.where(ends(self.pairs), 0.0, known.back2(self.c2, self.c1))
-        third = np.log10(1 + known.trust * self.c3 / np.repeat(self.c2 + known.strength * self.p1, self.sizes))
+        del self.pairs, self.c2, self.c1, self.p1
         return Trie(Trie.build(self.keys, second, third))
 
     def strength_terms(self) -> list[float]:
@@ -383,14 +430,15 @@ def requests(docs: DataFrame, known, labels: list[int]) -> DataFrame:
             """Rows of the (key, document) pairs, in shards; documents come in order."""
             order = order_of(keys)
             keys, doc, shard = keys[order], doc[order], shard[order]
-            new_key = np.diff(keys, prepend=keys[0] ^ np.uint64(1)) != 0
-            starts = np.flatnonzero(new_key | (np.diff(doc, prepend=-1) != 0))
+            new_key = new_values(keys)
+            starts = np.flatnonzero(new_key | new_values(doc))
             times = np.diff(np.append(starts, len(keys))).astype(np.uint32)
-            keys, doc = keys[starts], doc[starts].astype(np.uint16)
+            doc = doc[starts].astype(np.uint16)
             first = np.flatnonzero(new_key[starts])
-            holders = np.diff(np.append(first, len(keys)))
-            distinct = keys[first]
-            where = shard[starts][first].astype(np.uint16 if shards < 1 << 16 else np.int64)
+            holders = np.diff(np.append(first, len(starts)))
+            starts = starts[first]
+            distinct, where = keys[starts], shard[starts]
+            del keys, shard, new_key, starts
             order = np.argsort(where, kind="stable")
             for s, x in by_shard(where[order], shards):
                 mine = order[x]
@@ -401,14 +449,15 @@ def requests(docs: DataFrame, known, labels: list[int]) -> DataFrame:
         def flush():
             nonlocal number
             ids, texts = [h[0] for h in held], [h[1] for h in held]
-            rows = [(number, s, 0, *x) for s, *x in grouped(*gram_keys(texts, shards))]
+            held.clear()
+            rows = [(number, s, 0, *x) for s, *x in grouped(*all_gram_keys(texts, shards))]
             line = np.concatenate(texts)
             doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
             seldom = rare(line)
             if seldom.any():
                 hashes = line[seldom]
-                rows += [(number, s, 1, *x) for s, *x in grouped(hashes.view(np.uint64), hashes % shards, doc[seldom])]
-            plain, doc, n = line[~seldom], doc[~seldom], len(held)
+                rows += [(number, s, 1, *x) for s, *x in grouped(hashes.view(np.uint64), (hashes % shards).astype(np.uint16 if shards < 1 << 16 else np.int64), doc[seldom])]
+            plain, doc, n = line[~seldom], doc[~seldom], len(texts)
             add = lambda values, first: first + np.bincount(doc, values, n)
             local = np.zeros((n, 4))
             local[:, 0] = [len(t) + 1 for t in texts]
@@ -417,13 +466,12 @@ def requests(docs: DataFrame, known, labels: list[int]) -> DataFrame:
             local[:, 3] = add(back[plain], back[START] + own.back2(own.texts, own.texts))  # the first token's context is two starts
             rows.append((number, labels[number % shards], 2, pa_bytes(pa.array(ids, kind_of_id)), local.tobytes(), None))
             number += 1
-            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["p", "s", "kind", "a", "b", "c"])
 
         n = 0
         for batch in batches:
             kind_of_id = batch.column(0).type
-            for i, codes in zip(batch.column(0).to_pylist(), reader.codes(binary_list(batch.column(1)))):
+            for i, codes in zip(batch.column(0).to_pylist(), chain.from_iterable(map(reader.codes, binary_lists(batch.column(1))))):
                 held.append((i, codes))
                 n += len(codes) + 1
                 if n > BLOCK or len(held) >= 60_000:
@@ -437,9 +485,9 @@ def requests(docs: DataFrame, known, labels: list[int]) -> DataFrame:
 
 def distinct_keys(differences) -> np.ndarray:
     """The distinct ones, rising, of keys given as arrays of their differences."""
-    held = [np.cumsum(d) for d in differences]
-    keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-    return keys[np.diff(keys, prepend=keys[0] ^ np.uint64(1)) != 0] if len(keys) else keys
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(d) for d in differences)])
+    keys.sort()
+    return keys[new_values(keys)]
 
 
 def answered(requested: DataFrame, grams: DataFrame, words: DataFrame, known, labels: list[int]) -> DataFrame:
@@ -468,7 +516,7 @@ def answered(requested: DataFrame, grams: DataFrame, words: DataFrame, known, la
             if kind == 2:
                 out.append((p, a, b))
                 continue
-            keys, holders = np.cumsum(unpacked(a, np.uint64)), unpacked(b, np.uint32).astype(np.int64)
+            keys, holders = risen(a), unpacked(b, np.uint32).astype(np.int64)
             docs, times = (unpacked(d, k).astype(np.int64) for d, k in zip(parts_of(x.as_py()), (np.uint16, np.uint32)))
             index = np.repeat(np.arange(len(keys)), holders)
             n = int(docs.max()) + 1
