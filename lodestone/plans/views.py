@@ -26,7 +26,7 @@ TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 def lines(t: Tables, of: DataFrame | None = None) -> DataFrame:
     """(doc_id, sequence, line): the non-blank lines of documents, or only of those named by of (doc_id)."""
     documents = t.documents if of is None else t.documents.join(of, "doc_id", "left_semi")
-    kept = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+    kept = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"\P{Zs}"))  # DuckDB trims all spaces of Unicode
     return documents.select("doc_id", F.posexplode(kept).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("sequence"), "line")
 
 
