@@ -64,12 +64,13 @@ _IDEAL = "list_sum([1 / log2(r + 1) for r in generate_series(1, least(len(ids),
 
 
 @query(f"""WITH {_BM25.format(b=0.75)}, {_GOLD}, m AS (SELECT g.qa_id, CASE WHEN g.qa_id % 2 = 0 THEN 'development' ELSE 'test' END AS split, k, count(*) FILTER (h) AS hits, min(rank) FILTER (h) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (h), 0) / {_IDEAL} AS ndcg, count(*) FILTER (h) / len(ids) AS recall
-FROM (SELECT g.qa_id, ids, k, rank, list_contains(ids, rk.id) AS h FROM gold g, (VALUES (1), (5), (20)) v(k), rk WHERE rk.qa_id = g.qa_id AND rk.rank <= k) g GROUP BY g.qa_id, ids, k)
+FROM (SELECT g.qa_id, ids, k, rank, list_contains(ids, rk.id) AS h FROM gold g, (VALUES (1), (3), (5), (10), (20)) v(k), rk WHERE rk.qa_id = g.qa_id AND rk.rank <= k) g GROUP BY g.qa_id, ids, k)
 SELECT split, k, count(*) AS n, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS parent_recall, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS any_gold_recall, round(avg(recall), 6) AS evidence_recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM m GROUP BY GROUPING SETS ((split, k), (k))""")
 def r11_metrics(t):
+    """At every cutoff of the reference. A question that no document holds has no evidence to be found, and no metrics."""
     gold = materialized(_gold(t), "gold").groupBy("qa_id").agg(F.collect_list("doc_id").alias("ids"))
     qa = gold.select("qa_id", F.when(F.col("qa_id") % 2 == 0, "development").otherwise("test").alias("split"), F.array("ids").alias("evidence_sets"), F.col("ids").alias("parent_ids"))
-    return retrieval.evaluate(qa, _bm25(t), t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("parent_id")), [1, 5, 20])
+    return retrieval.evaluate(qa, _bm25(t), t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("parent_id")), [1, 3, 5, 10, 20])
 
 
 @query(f"WITH {_BM25.format(b=0.75)}, {_GOLD} SELECT qa_id, bool_or(list_contains(ids, id)) AS hit FROM gold JOIN rk USING (qa_id) WHERE rank <= 3 GROUP BY qa_id")
